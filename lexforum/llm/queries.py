@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, kdtree, langid, packing, secrets, toxicity
+from . import bpe, hnsw, jaccard, kdtree, langid, packing, secrets, toxicity
 from .shared import prepare
 
 
@@ -55,7 +55,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), filters).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_nearest_neighbours, op5_bpe, op6_toxicity, op7_exact_top_k, op8_language_id, op9_best_fit_packing)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("set_name")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_nearest_neighbours, op5_bpe, op6_toxicity, op7_exact_top_k, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings

@@ -22,18 +22,32 @@ from . import kernel
 from .shared import prepare
 
 #: Labelled texts to learn from at most; hashed words; texts a word must occur in to count.
-SAMPLE, DIMENSIONS, LEAST_TEXTS = 10_000, 1 << 20, 5
+SAMPLE, DIMENSIONS, LEAST_TEXTS = 8_000, 1 << 20, 5
+#: Bytes of the beginnings of words that are features too.
+BEGINNINGS = (4, 6, 8)
+#: Standard errors by which a feature's share among toxic texts must differ from its share among others.
+LEAST_Z = 3.0
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word features of each document, and the number of features before each. Letters and digits only: marks at words' ends do not count."""
+    """Distinct features of each document, its words and their beginnings, and the number of features before each.
+
+    Letters and digits only: marks at words' ends do not count.
+    """
     inside = np.zeros(256, bool)
     inside[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
     clean = np.where(inside[data], data, 32).astype(np.uint8)
-    h, before = kernel.word_hashes(clean, off)
+    starts, ends, before = kernel.words(clean, off)
     n = len(off) - 1
-    key = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(before)) << np.uint64(32)) | (h & np.uint64(DIMENSIONS - 1))
-    key = np.unique(key)
+    doc = np.repeat(np.arange(n, dtype=np.uint64), np.diff(before)) << np.uint64(32)
+    parts = [doc | (kernel.slice_hashes(clean, starts, ends, lower=True) & np.uint64(DIMENSIONS - 1))]
+    for size in BEGINNINGS:
+        long = ends - starts > size
+        h = kernel.slice_hashes(clean, starts[long], starts[long] + size, lower=True) + np.uint64(size)
+        parts.append(doc[long] | (kernel.mix(h) & np.uint64(DIMENSIONS - 1)))
+    key = np.sort(np.concatenate(parts))
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
 
 
@@ -125,8 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | str = "toxic", id_
         return np.concatenate([*own, np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
 
     words, before = part(~out)
-    common = np.bincount(words, minlength=DIMENSIONS) >= min(LEAST_TEXTS, 1 + int((~out).sum()) // 200)
-    keep = common[words]
+    # Words that occur often enough, and clearly more or less often in toxic texts than in others.
+    toxic = grades[~out] > 0
+    n, n1 = len(toxic), max(1, int(toxic.sum()))
+    texts = np.bincount(words, minlength=DIMENSIONS)
+    among = np.bincount(words[np.repeat(toxic, np.diff(before))], minlength=DIMENSIONS)
+    rate = texts / n
+    z = (among / n1 - (texts - among) / max(1, n - n1)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / max(1, n - n1)))
+    keep = ((texts >= min(LEAST_TEXTS, 1 + n // 200)) & (np.abs(z) >= LEAST_Z))[words]
     before = np.concatenate(([0], np.cumsum(keep)))[before]
     model.fit(words[keep], before, grades[~out])
     model.calibrate(*part(out), grades[out])
