@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, jaccard, kdtree, langid, packing, secrets, toxicity
+from . import bpe, hnsw, jaccard, kdtree, langid, packing, pitman_yor, secrets, toxicity
 from .shared import prepare
 
 
@@ -34,6 +34,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return pitman_yor.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).drop("set_name")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_nearest_neighbours, op5_bpe, op6_toxicity, op7_exact_top_k, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_nearest_neighbours, op5_bpe, op6_toxicity, op7_exact_top_k, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
