@@ -88,8 +88,25 @@ def _code(count: np.ndarray) -> np.ndarray:
     return np.where(count < 128, count, 121 + np.log2(np.maximum(count, 1)).astype(np.int64)).astype(np.uint8)
 
 
+def pack(element: np.ndarray, text: np.ndarray, texts: int, code: np.ndarray | None = None) -> bytes:
+    """Elements of one hash range, ordered by text, in 5 bytes each (40 bits; the range stands for more), with codes if given, and how many each text has."""
+    head = np.array([len(element), texts], "<u4").tobytes()
+    high = ((element >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+    counts = np.bincount(text, minlength=texts).astype("<u4").tobytes()
+    return head + counts + element.astype("<u4").tobytes() + high + (b"" if code is None else code.tobytes())
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Elements, their texts, the number of texts, and codes (empty if none were given)."""
+    m, texts = np.frombuffer(blob, "<u4", 2).tolist()
+    counts = np.frombuffer(blob, "<u4", texts, 8).astype(np.int64)
+    low = np.frombuffer(blob, "<u4", m, 8 + 4 * texts).astype(np.uint64)
+    high = np.frombuffer(blob, np.uint8, m, 8 + 4 * texts + 4 * m).astype(np.uint64)
+    return low | high << np.uint64(32), np.repeat(np.arange(texts), counts), texts, np.frombuffer(blob, np.uint8, -1, 8 + 4 * texts + 5 * m)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Step 1 up to the exchange. Rows: kind 0, a chunk's elements of one hash range (element << 16 | text); kind 1, a chunk's texts."""
+    """Step 1 up to the exchange. Rows: kind 0, a chunk's elements of one hash range; kind 1, a chunk's texts."""
 
     def flush(number: int, ids: list[pa.Array], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         names = [signature(s) if len(s) else "" for s in sets]
@@ -100,14 +117,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
         chunk_id = pa.concat_arrays(ids)
         chunk = TaskContext.get().partitionId() << 32 | number  # the same when a lost task is run again
         joined = np.concatenate([*speaks, np.zeros(0, np.uint64)])
-        text = np.repeat(np.flatnonzero(own), [len(s) for s in speaks]).astype(np.uint64)
+        text = np.repeat(np.flatnonzero(own), [len(s) for s in speaks])
         part = ((joined >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
-        order = np.argsort(part, kind="stable")
-        packed = ((joined << np.uint64(16)) | text)[order]
+        order = np.argsort(part, kind="stable")  # texts stay in order within a range
+        packed, text = joined[order], text[order]
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         some = np.flatnonzero(np.diff(edges))
         none = pa.nulls(len(some), chunk_id.type)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array(np.zeros(len(some), np.int32)), pa.array([packed[a:b].tobytes() for a, b in zip(edges[some], edges[some + 1], strict=True)], pa.binary()), pa.array([None] * len(some), pa.string()), none, pa.nulls(len(some), pa.int32())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array(np.zeros(len(some), np.int32)), pa.array([pack(packed[a:b], text[a:b], len(sets)) for a, b in zip(edges[some], edges[some + 1], strict=True)], pa.binary()), pa.array([None] * len(some), pa.string()), none, pa.nulls(len(some), pa.int32())], NAMES)
         m = len(sets)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kernel.mix(np.array([chunk], np.uint64))[0] % np.uint64(parts), np.int32)), pa.array(np.full(m, chunk)), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(names, pa.string()), chunk_id, pa.array([len(s) for s in sets], pa.int32())], NAMES)
 
@@ -133,21 +150,21 @@ def _repeated(part: pa.Table) -> pa.Table:
     """Of a hash range: each chunk's elements that more than one set holds, with their frequency codes behind them. Texts' rows pass."""
     is_set = np.asarray(part["kind"]) == 0
     rows = part.filter(pa.array(is_set))
-    blobs = rows["packed"].to_pylist()
-    packed = np.frombuffer(b"".join(blobs), np.uint64)
-    order = np.argsort(packed >> np.uint64(16), kind="stable")
-    s = packed[order] >> np.uint64(16)
+    sets = [unpack(x) for x in rows["packed"].to_pylist()]
+    element = np.concatenate([*(x[0] for x in sets), np.zeros(0, np.uint64)])
+    order = np.argsort(element, kind="stable")
+    s = element[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(s)))
     code = np.empty(len(s), np.uint8)
     code[order] = np.repeat(_code(count), count)
-    edges = np.concatenate(([0], np.cumsum([len(b) // 8 for b in blobs]))).astype(np.int64)
-    out = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        more = code[a:b] > 1
-        out.append(packed[a:b][more].tobytes() + code[a:b][more].tobytes())
+    out, a = [], 0
+    for own, text, texts, _ in sets:
+        more = (c := code[a : a + len(own)]) > 1
+        out.append(pack(own[more], text[more], texts, c[more]))
+        a += len(own)
     rows = rows.set_column(rows.schema.get_field_index("packed"), "packed", pa.array(out, pa.binary()))
     return pa.concat_tables([rows.cast(part.schema), part.filter(pa.array(~is_set))])
 
@@ -159,16 +176,12 @@ def _texts(id_kind: str):
         kinds = np.asarray(part["kind"])
         texts = part.filter(pa.array(kinds == 1)).combine_chunks()
         rows = part.filter(pa.array(kinds == 0))
-        elements, codes, ranges = [], [], []
+        elements, codes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
         for blob, p in zip(rows["packed"].to_pylist(), rows["part"].to_pylist(), strict=True):
-            m = len(blob) // 9
-            elements.append(np.frombuffer(blob, np.uint64, m)), codes.append(np.frombuffer(blob, np.uint8, m, 8 * m)), ranges.append(np.full(m, p, np.int64))
-        element = np.concatenate([*elements, np.zeros(0, np.uint64)])
-        code = np.concatenate([*codes, np.zeros(0, np.uint8)])
-        where = np.concatenate([*ranges, np.zeros(0, np.int64)]).astype(np.uint64)
-        text = (element & np.uint64(0xFFFF)).astype(np.int64)
-        # An element's name: its lower 48 bits mixed with its range.
-        name = (element >> np.uint64(16)) + kernel.mix(where + np.uint64(1))
+            element, text, _, code = unpack(blob)
+            # An element's name: its bits mixed with its range.
+            elements.append(element + kernel.mix(np.array([p + 1], np.uint64))), codes.append(code), owners.append(text)
+        name, code, text = np.concatenate(elements), np.concatenate(codes), np.concatenate(owners)
         n = np.asarray(texts["n"]).astype(np.int64)
         held = np.bincount(text, minlength=len(n))
         order = np.lexsort((name, text))

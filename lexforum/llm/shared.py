@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Asks the JVM to collect what no DataFrame holds any more, so that Spark drops its shuffle files."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
