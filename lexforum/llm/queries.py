@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, jaccard, kdtree, langid, packing, pitman_yor, secrets, toxicity
+from . import bpe, hnsw, jaccard, kdtree, langid, line_dedup, packing, pitman_yor, secrets, toxicity
 from .shared import prepare
 
 
@@ -39,6 +39,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"), held_out)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "lines_total", "lines_removed", "text")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -64,12 +68,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).drop("set_name")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_nearest_neighbours, op5_bpe, op6_toxicity, op7_exact_top_k, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_line_dedup, op4_nearest_neighbours, op5_bpe, op6_toxicity, op7_exact_top_k, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
 ORACLES: dict[str, str] = {
+    # All runs of 50 words or more that are shortest from their first or up to their last line; of equal ones all but the first go.
+    "op3_line_dedup": """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS pos, ls[i] AS line, len(regexp_extract_all(ls[i], '[^ \\t\\n\\x0B\\f\\r]+')) AS w FROM d, range(1, len(ls) + 1) t(i)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+fw AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.w >= 50 GROUP BY 1, 2),
+bw AS (SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.w >= 50 GROUP BY 1, 3),
+r AS (SELECT * FROM fw UNION SELECT * FROM bw),
+n AS (SELECT r.doc_id, s, e, array_to_string(d.ls[s:e], chr(10)) AS body FROM r JOIN d USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY body, e - s ORDER BY doc_id, s) AS k FROM n),
+g AS (SELECT DISTINCT o.doc_id, l.pos FROM o JOIN l ON o.doc_id = l.doc_id AND l.pos BETWEEN o.s AND o.e WHERE k > 1)
+SELECT l.doc_id, CAST(count(*) AS INTEGER) AS lines_total, CAST(count(g.pos) AS INTEGER) AS lines_removed,
+       coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id""",
     "op7_exact_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * c.w[i])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
