@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lexforum.plans import relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES}
 FLAGSHIP = "flagship"
