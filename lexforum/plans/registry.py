@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforum.plans import relational
+from lexforum.plans import relational, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **texts.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **texts.ORACLES}
 FLAGSHIP = "flagship"
