@@ -39,7 +39,8 @@ def clean(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str]] =
 def issue_date(head: Column) -> Column:
     """ISO date of the first of: day de month de year, D/M/Y, ISO; null if it is no calendar day of 1990 to 2030."""
     low = F.lower(head)
-    long = r"(\d{1,2})\s*(?:\(\d+\)\s*)?de\s+(" + "|".join(MONTHS) + r")\s+(?:de|del)\s+(\d{4})"
+    # Day in digits, perhaps in brackets after its word; year in digits, perhaps in brackets after its words.
+    long = r"(\d{1,2})\)?\s*(?:\(\d+\)\s*)?(?:d[ií]as\s+)?(?:del?\s+mes\s+)?de\s+(" + "|".join(MONTHS) + r")\s+(?:de|del)\s+(?:[a-zñ\s]*\()?(\d{4})"
     months = F.create_map(*(F.lit(x) for k, v in MONTHS.items() for x in (k, v)))
     day, month, year = (F.nullif(F.regexp_extract(low, long, i), F.lit("")) for i in (1, 2, 3))
     slash = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b"
@@ -48,7 +49,7 @@ def issue_date(head: Column) -> Column:
         F.when(F.regexp_extract(head, slash, 3) != "", F.concat_ws("-", F.regexp_extract(head, slash, 3), F.lpad(F.regexp_extract(head, slash, 2), 2, "0"), F.lpad(F.regexp_extract(head, slash, 1), 2, "0"))),
         F.nullif(F.regexp_extract(head, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")),
     ]
-    valid = lambda iso: F.when(F.try_to_date(iso, F.lit("yyyy-MM-dd")).between(F.lit("1990-01-01").cast("date"), F.lit("2030-12-31").cast("date")), iso)
+    valid = lambda iso: F.when(F.try_to_date(iso, "yyyy-MM-dd").between(F.lit("1990-01-01").cast("date"), F.lit("2030-12-31").cast("date")), iso)
     return F.coalesce(*(valid(F.when(year.isNotNull(), parts[0]) if i == 0 else p) for i, p in enumerate(parts)))
 
 

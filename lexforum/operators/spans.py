@@ -38,7 +38,10 @@ def positions(text: Column, pattern: str) -> Column:
 
 def find(df: DataFrame, rules: Sequence[Rule], text: str = "text", flags: str = "(?iu)") -> DataFrame:
     """Adds spans array<struct<mechanism, weight, start, end>>, in order of rules and places."""
-    parts = [F.transform(positions(F.col(text), flags + r.pattern), lambda s, r=r: F.struct(F.lit(r.mechanism).alias("mechanism"), F.lit(float(r.weight)).alias("weight"), s["start"].alias("start"), s["end"].alias("end"))) for r in rules]
+    def of(rule: Rule) -> Column:
+        return F.transform(positions(F.col(text), flags + rule.pattern), lambda s: F.struct(F.lit(rule.mechanism).alias("mechanism"), F.lit(float(rule.weight)).alias("weight"), s["start"].alias("start"), s["end"].alias("end")))
+
+    parts = [of(r) for r in rules]
     return df.withColumn("spans", F.coalesce(F.concat(*parts), F.array().cast("array<struct<mechanism:string,weight:double,start:int,end:int>>")))
 
 
