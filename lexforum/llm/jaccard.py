@@ -14,9 +14,10 @@ A size-aware heavy-light join. Elements are ordered from rare to frequent.
    rarest elements, where light sets are listed too as far as their sizes reach.
    The boundary is the size from which listing costs less, by the measured
    frequencies of elements.
-4. Sets that share a key are compared with the first of the key only, then, over
-   several rounds, the components that a key still holds are compared by their
-   first members, and last all pairs of a key in different components. So a key
+4. Sets that share a key are compared with one of them only (keys of very many
+   sets by parts, whose components are then compared in the same way), and last
+   all pairs of a key in different components that can link by their sizes and by
+   what follows the key in their order of elements. So a key
    shared by a group of near copies costs as many comparisons as it has sets,
    and no link between two components can be missed.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -124,9 +125,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         some = np.flatnonzero(np.diff(edges))
         none = pa.nulls(len(some), chunk_id.type)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array(np.zeros(len(some), np.int32)), pa.array([pack(packed[a:b], text[a:b], len(sets)) for a, b in zip(edges[some], edges[some + 1], strict=True)], pa.binary()), pa.array([None] * len(some), pa.string()), none, pa.nulls(len(some), pa.int32())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array(np.zeros(len(some), np.int32)), pa.array([pack(packed[a:b], text[a:b], len(sets)) for a, b in zip(edges[some], edges[some + 1], strict=True)], pa.binary()), pa.array([None] * len(some), pa.string()), none, pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.int32())], NAMES)
         m = len(sets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kernel.mix(np.array([chunk], np.uint64))[0] % np.uint64(parts), np.int32)), pa.array(np.full(m, chunk)), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(names, pa.string()), chunk_id, pa.array([len(s) for s in sets], pa.int32())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array((np.arange(m) % parts).astype(np.int32)), pa.array(np.full(m, chunk)), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(names, pa.string()), chunk_id, pa.array([len(s) for s in sets], pa.int32()), pa.array(np.arange(m, dtype=np.int32))], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, size, number = [], [], 0, 0
@@ -140,10 +141,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
             yield from flush(number, ids, sets)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"part int, chunk long, kind int, packed binary, name string, id {kind}, n int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"part int, chunk long, kind int, packed binary, name string, id {kind}, n int, at int")
 
 
-NAMES = ["part", "chunk", "kind", "packed", "name", "id", "n"]
+NAMES = ["part", "chunk", "kind", "packed", "name", "id", "n", "at"]
 
 
 def _repeated(part: pa.Table) -> pa.Table:
@@ -174,7 +175,7 @@ def _texts(id_kind: str):
 
     def run(part: pa.Table) -> pa.Table:
         kinds = np.asarray(part["kind"])
-        texts = part.filter(pa.array(kinds == 1)).combine_chunks()
+        texts = part.filter(pa.array(kinds == 1)).sort_by("at").combine_chunks()
         rows = part.filter(pa.array(kinds == 0))
         elements, codes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
         for blob, p in zip(rows["packed"].to_pylist(), rows["part"].to_pylist(), strict=True):
@@ -192,30 +193,33 @@ def _texts(id_kind: str):
     return run, f"id {id_kind}, name string, n int, elements binary"
 
 
-def _rare(n: int, blob: bytes, k: int) -> np.ndarray:
-    """The repeated elements among a set's n - needed + k rarest ones, rarest first."""
+def _rare(n: int, blob: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated elements among a set's n - needed + k rarest ones, rarest first, and their places in the set's order."""
     m = len(blob) // 9
     name, code = np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.uint8, m, 8 * m)
-    most = n - int(needed(n)) + k - (n - m)
-    return name[np.lexsort((name, code))[: max(0, most)]]
+    most = max(0, n - int(needed(n)) + k - (n - m))
+    return name[np.lexsort((name, code))[:most]], n - m + np.arange(min(most, m))
 
 
 def _keys(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.RecordBatch]:
-    """Keys of each set: light sets' subsets (kind 2) and listed elements (kind 1 for heavy sets, 0 for light ones near the boundary)."""
+    """Keys of each set: light sets' subsets (kind 2) and listed elements (kind 1 for heavy sets, 0 for light ones near the boundary).
+
+    left: how many elements of the set stand behind the key's last one, the key's own included.
+    """
     reach = int(needed(boundary + 1))  # a light set this large can link with a heavy one
     for batch in batches:
-        keys, owner, kinds = [], [], []
+        keys, owner, kinds, left = [], [], [], []
         for i, (n, blob) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             if n > boundary or n >= reach:
-                e = _rare(n, blob, 1)
-                keys.append(e), owner.append(np.full(len(e), i)), kinds.append(np.full(len(e), int(n > boundary)))
+                e, place = _rare(n, blob, 1)
+                keys.append(e), owner.append(np.full(len(e), i)), kinds.append(np.full(len(e), int(n > boundary))), left.append(n - place)
             if n <= boundary:
-                e = np.sort(_rare(n, blob, SUBSET))
+                e, place = _rare(n, blob, SUBSET)
                 x, y = np.triu_indices(len(e), 1)
                 s = kernel.mix(e[x] * np.uint64(0x9E3779B97F4A7C15) + kernel.mix(e[y]))
-                keys.append(s), owner.append(np.full(len(s), i)), kinds.append(np.full(len(s), 2))
+                keys.append(s), owner.append(np.full(len(s), i)), kinds.append(np.full(len(s), 2)), left.append(n - place[y] - 1 + SUBSET)
         if keys and (o := np.concatenate(owner)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int32)), batch.column(0).take(pa.array(o)), batch.column(1).take(pa.array(o))], ["key", "kind", "name", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(left).astype(np.int32)), batch.column(0).take(pa.array(o)), batch.column(1).take(pa.array(o))], ["key", "kind", "left", "name", "n"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,59 +302,62 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _set_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same sets as all links do."""
     limit = boundary(sets)
-    keys = sets.select("name", "n", "elements").mapInArrow(lambda b: _keys(b, limit), "key long, kind int, name string, n int")
+    keys = sets.select("name", "n", "elements").mapInArrow(lambda b: _keys(b, limit), "key long, kind int, left int, name string, n int")
     keys = keys.withColumn("subset", F.col("kind") == 2).drop_duplicates(["key", "subset", "name"])
     # Keys of one set alone, and lists without a heavy set, make no candidates.
-    many = keys.groupBy("key", "subset").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("top"), F.struct(F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64(F.lit(7), "name"))).alias("content")).where("sets > 1 and (subset or top = 1)")
-    # Of keys with the same members one is enough.
-    once = many.groupBy("content", "subset", "sets").agg(F.min("key").alias("key")).select("key", "subset", F.ceil(F.col("sets") / KEY_MEMBERS).cast("int").alias("split"))
-    runs = checkpointed(keys.join(once, ["key", "subset"]).select("key", "subset", "name", "n", "kind", "split"))
+    many = keys.groupBy("key", "subset").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("top"), F.struct(F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64(F.lit(7), "name"))).alias("content"), F.sum("left").alias("room")).where("sets > 1 and (subset or top = 1)")
+    # Of keys with the same members the one that comes first in their order is enough: any pair's first shared key is one of these.
+    once = many.groupBy("content", "subset", "sets").agg(F.max_by("key", F.struct("room", "key")).alias("key")).select("key", "subset", F.ceil(F.col("sets") / KEY_MEMBERS).cast("int").alias("split"))
+    runs = checkpointed(keys.join(once, ["key", "subset"]).select("key", "subset", "name", "n", "kind", "left", "split"))
     free_shuffles(sets.sparkSession)
     involved = checkpointed(sets.join(runs.select("name").distinct(), "name", "left_semi"))
     salt = F.pmod(F.xxhash64("name"), F.col("split"))
     # First round: members of a key (of one part of it, if it is large) with the largest set there that is heavy, if any.
-    head = F.max(F.struct("kind", "n", "name"))
+    head = F.max(F.struct("kind", "n", "name", "left"))
     links = _verify(_with_head(runs.withColumn("salt", salt), ["key", "subset", "salt"], head), involved)
-    pairs_done = 0
-    for _ in range(3):
-        label = components(links)
-        named = runs.join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        open_keys = named.groupBy("key", "subset").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "subset")
-        named = checkpointed(named.join(open_keys, ["key", "subset"]))
-        # One member of each component there, with the head of the key.
-        members = named.groupBy("key", "subset", "component").agg(F.max(F.struct("kind", "n", "name")).alias("m")).select("key", "subset", F.col("m.kind").alias("kind"), F.col("m.n").alias("n"), F.col("m.name").alias("name"))
+    done = 0
+    while runs.where("split > 1").limit(1).count():  # keys that were compared by parts: now the parts' components, until that links no more
+        named = _open(runs.where("split > 1"), components(links))
+        members = named.groupBy("key", "subset", "component").agg(head.alias("m")).select("key", "subset", "m.*")
         more = checkpointed(_with_head(members, ["key", "subset"], head))
-        count = more.count()
-        if not count or count == pairs_done:
+        if more.count() in (0, done):
             break
-        pairs_done = count
+        done = more.count()
         new = _verify(more, involved)
         if new.isEmpty():
             break
         links = checkpointed(links.unionByName(new).distinct())
-    label = components(links)
-    named = runs.join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    rest = _cross_pairs(named)
+    rest = _cross_pairs(_open(runs, components(links)))
     return links.unionByName(_verify(rest, involved))
 
 
-def _with_head(members: DataFrame, by: list[str], head) -> DataFrame:
-    """Distinct pairs (head, member) of each key whose sizes allow a link and of which one is heavy or both share a subset."""
-    heads = members.groupBy(*by).agg(head.alias("h"))
-    pairs = members.join(heads, by).where("name <> h.name and (subset or kind = 1 or h.kind = 1)")
-    return _sized(pairs.select(F.col("h.name").alias("p"), F.col("h.n").alias("np"), F.col("name").alias("q"), F.col("n").alias("nq")))
+def _open(runs: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of keys whose sets lie in several components, with the component of each."""
+    named = runs.join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    keys = named.groupBy("key", "subset").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "subset")
+    return checkpointed(named.join(keys, ["key", "subset"]))
+
 
+def _fits(p: dict[str, Column], q: dict[str, Column]) -> Column:
+    """Whether two sets with a key in common can link: by kind, and by what can follow the key in both (true for the first key that linked sets share)."""
+    both = p["n"] + q["n"]
+    return (p["subset"] | (p["kind"] == 1) | (q["kind"] == 1)) & (F.least(p["left"], q["left"]) * (100 + PERCENT) >= both * PERCENT) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * PERCENT)
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    fits = F.least("np", "nq") * 100 >= F.greatest("np", "nq") * PERCENT
-    return pairs.where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+def _with_head(members: DataFrame, by: list[str], head: Column) -> DataFrame:
+    """Distinct pairs (a, b) of each key's head and its other members that can link."""
+    heads = members.groupBy(*by).agg(head.alias("h"))
+    h = {c: F.col(f"h.{c}") for c in ("name", "n", "kind", "left")} | {"subset": F.col("subset")}
+    m = {c: F.col(c) for c in ("name", "n", "kind", "left", "subset")}
+    pairs = members.join(heads, by).where((m["name"] != h["name"]) & _fits(h, m))
+    return pairs.select(F.least(h["name"], m["name"]).alias("a"), F.greatest(h["name"], m["name"]).alias("b")).distinct()
 
 
 def _cross_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of a key that lie in different components, sizes permitting: what comparing with heads has left open."""
-    open_keys = named.groupBy("key", "subset").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "subset")
-    named = checkpointed(named.join(open_keys, ["key", "subset"]).select("key", "subset", "name", "n", "kind", "component"))
-    left = named.select("key", "subset", F.col("name").alias("p"), F.col("n").alias("np"), F.col("kind").alias("kp"), F.col("component").alias("cp"))
-    right = named.select("key", "subset", F.col("name").alias("q"), F.col("n").alias("nq"), F.col("kind").alias("kq"), F.col("component").alias("cq"))
-    pairs = left.join(right, ["key", "subset"]).where("p < q and cp <> cq and (subset or kp = 1 or kq = 1) and least(np, nq) * 100 >= greatest(np, nq) * %d" % PERCENT)
-    return _sized(pairs)
+    """All pairs of a key that lie in different components and can link: what comparing with heads has left open."""
+    columns = ("name", "n", "kind", "left", "component")
+    p = named.select("key", "subset", *(F.col(c).alias(f"p_{c}") for c in columns))
+    q = named.select("key", "subset", *(F.col(c).alias(f"q_{c}") for c in columns))
+    of = lambda side: {c: F.col(f"{side}_{c}") for c in columns} | {"subset": F.col("subset")}
+    pairs = p.join(q, ["key", "subset"]).where((F.col("p_name") < F.col("q_name")) & (F.col("p_component") != F.col("q_component")) & _fits(of("p"), of("q")))
+    return pairs.select(F.col("p_name").alias("a"), F.col("q_name").alias("b")).distinct()
