@@ -1,0 +1,176 @@
+"""Text kernels, BPE, packing and secrets against plain Python and the libraries."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+from tokenizers import Tokenizer
+
+from lexforum.llm import bpe, kernel, packing, pretokens, secrets
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+ALPHABET = "''''  \n\tstmdrevl aé5½\xa0 　!\"xß漢😀S1Ab"
+
+
+def batch(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def noise(seed, n, size):
+    r = random.Random(seed)
+    return ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, size))) for _ in range(n)]
+
+
+def test_words_and_hashes_follow_the_definition():
+    texts = [*noise(1, 300, 60), "", "one", " A a ", "\x0b"]
+    data, off = batch(texts)
+    starts, ends, before = kernel.words(data, off)
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    assert np.diff(before).tolist() == [len(s) for s in split]
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == [w for s in split for w in s]
+    h = kernel.slice_hashes(data, starts, ends, lower=True)
+    names = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for s in split for w in s]
+    assert len(set(h.tolist())) == len(set(names)) == len(set(zip(h.tolist(), names)))
+
+
+def test_pretokens_match_the_pattern():
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    texts = [*noise(2, 400, 40), "a" * 1000, "'" * 300, " " * 300 + "x", "x" + "\n" * 300]
+    data, off = batch(texts)
+    want = [o + len(t[: m.start()].encode()) for t, o in zip(texts, off) for m in pattern.finditer(t)]
+    assert pretokens.boundaries(data, off).tolist() == want
+
+
+@pytest.mark.parametrize("path", [RANKS, JSON])
+def test_encoding_matches_the_libraries(path):
+    r = random.Random(3)
+    odd = ["".join(chr(r.choice([r.randint(0, 0x2FFF), r.randint(0, 127), r.randint(0xE000, 0x1FFFF)])) for _ in range(40)) for _ in range(500)]
+    texts = [*noise(4, 300, 80), *odd, "", "a" * 3000, "ab" * 500 + " " * 700 + "x", "é" * 100, "thonreing" * 9]
+    if path == RANKS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        want = [own.encode_ordinary(t) for t in texts]
+    else:
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    e = bpe.Encoder(path)
+    data, off = batch(texts)
+    ids, before = e.encode(data, off)
+    assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])] == want
+    back, at = e.decode(ids, before)
+    assert back.tobytes() == data.tobytes() and at.tolist() == off.tolist()
+    starts = e.byte_offsets(ids, before)
+    assert all(len(texts[i].encode()) == 0 or starts[before[i]] == 0 for i in range(len(texts)))
+
+
+def test_bpe_operators(spark):
+    rows = [(1, "the cat's  hat", "x"), (2, None, "y"), (3, "", None), (1, "the cat's  hat", "x"), (None, "ñandú", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    out = bpe.decode(bpe.encode(df, RANKS), RANKS).collect()
+    assert sorted((str(r.doc_id), bytes(r.content).decode()) for r in out) == sorted((str(i), t or "") for i, t, _ in rows)
+    d = bpe.digests(df, RANKS).collect()
+    assert len(d) == 5 and all(r.round_trip for r in d)
+    assert {r.decoded_sha256 for r in d if r.doc_id in (2, 3)} == {hashlib.sha256(b"").hexdigest()}
+    assert bpe.digests(df.limit(0), RANKS).count() == 0
+
+
+def test_packing_is_whole_and_tight(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["tion", "casa", "x1", "Mord"]) for _ in range(rng.choice([3, 40, 700, 1500, 2600]))) for _ in range(120)]
+    rows = [*enumerate(texts), (500, None), (501, ""), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("zz", "zz")
+    out = packing.pack(df, JSON).collect()
+    tok = Tokenizer.from_file(JSON)
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    by_doc, by_seq = {}, {}
+    for r in out:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+    for i, own in by_doc.items():
+        if i == 501:
+            assert len(own) == 2
+            continue
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert sum(r.length for r in own) == len(ids[i]) and all(r.length == 1024 for r in own[1:])
+        assert len(own) == -(-len(ids[i]) // 1024)
+    for own in by_seq.values():
+        own.sort(key=lambda r: r.offset)
+        at = 0
+        for r in own:
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    total = sum(len(ids[i]) for i, _ in rows)
+    assert len(by_seq) <= 1.05 * -(-total // 1024) + 2
+    assert packing.pack(df.limit(0), JSON).count() == 0
+
+
+def test_shard_quality():
+    sizes = np.random.default_rng(1).integers(1, 1024, 4000)
+    sequence, offset, made = packing.pack_shard(sizes, 1024)
+    assert np.bincount(sequence, sizes, made).max() <= 1024
+    assert made <= 1.06 * sizes.sum() / 1024
+
+
+def brute_secrets(text):
+    found = []
+    for kind, pattern, group, least, flags in (
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.I | re.A),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20, 0),
+        ("hex", r"[0-9a-f]+", 0, 24, 0),
+    ):
+        found += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+    return sorted(found, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
+
+
+def test_base_findings(spark):
+    r = random.Random(7)
+    parts = ["password=", "TOKEN : '", "api_key=", "apiKEY\"=", "ſecret=", "AKIA", "é", " ", "\n", "abc12", "0123456789abcdef", "ABCDEF0123456789", "=", "toKen=short", "secret=longer.value-1", "😀"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    df = spark.createDataFrame([*enumerate(texts), (9999, None)], "doc_id long, text string")
+    out = {x.doc_id: [(s.start, s.end, s.kind) for s in x.spans] for x in secrets.scan(df, secrets.Network.new()).collect()}
+    assert out[9999] == []
+    assert all(out[i] == brute_secrets(t) for i, t in enumerate(texts))
+
+
+def test_network_gradients_and_training(spark):
+    r = np.random.default_rng(2)
+    window = r.integers(32, 122, (6, secrets.WIDTH)).astype(np.uint8)
+    label = np.array([0, 1, 0, 1, 1, 0])
+    n = secrets.Network.new()
+    loss = lambda: -np.mean(label * np.log(n.forward(window)[0]) + (1 - label) * np.log(1 - n.forward(window)[0]))
+    g = n.gradients(window, label)
+    for k in ("o", "h", "k", "kb", "e"):
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        n.weights[k][i] += 1e-5
+        up = loss()
+        n.weights[k][i] -= 2e-5
+        down = loss()
+        n.weights[k][i] += 1e-5
+        assert g[k][i] == pytest.approx((up - down) / 2e-5, rel=0.02, abs=1e-7)
+    rows = []
+    for i in range(400):
+        words = " ".join("".join(r.choice(list("abcdefghij"), 18)) for _ in range(6))
+        rows.append((i, f"{words} password={''.join(r.choice(list('0123456789abcdef'), 20))} {words}"))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    network = secrets.train(df)
+    assert network.recall > 0.8 and network.false_rate <= 0.05
+    found = secrets.scan(spark.createDataFrame([(1, "plain words of a clean document, number 4556737586899855 only"), (2, "see k9Zq3XbT7vWm2LpRs8Yd4Hn6 here")], "doc_id int, text string"), network)
+    assert {x.doc_id: len(x.spans) for x in found.collect()}[1] == 0
+
+
+def test_redaction_keeps_everything_else(spark):
+    df = spark.createDataFrame([(1, "a password=abcdef123 b", 3), (2, None, 4), (3, "clean é", 5), (4, "token=0123456789abcdef0123456789 x", 6)], "doc_id int, text string, spans int")
+    out = {r.doc_id: (r.text, r.spans) for r in secrets.redact(df, secrets.Network.new()).collect()}
+    assert out == {1: ("a [SECRET] b", 3), 2: (None, 4), 3: ("clean é", 5), 4: ("[SECRET] x", 6)}
