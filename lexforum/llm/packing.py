@@ -142,9 +142,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, separator: int = 2, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A shard is one partition of a bounded number of small rows.
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.combine_chunks()
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches).combine_chunks()
             sequence, offset, _ = pack_shard(np.asarray(table["length"]), capacity)
             yield from table.append_column("local", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
 
