@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforum.plans import relational, texts
+from lexforum.plans import relational, studies, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **texts.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **texts.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **texts.QUERIES, **studies.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **texts.ORACLES, **studies.ORACLES}
 FLAGSHIP = "flagship"

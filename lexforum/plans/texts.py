@@ -153,14 +153,14 @@ def t10_jaccard(spark: SparkSession, d: str) -> DataFrame:
 def t34_pole_distance(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     pole = vectors.where("label = 0").agg(F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(64))).alias("pole"))  # one row
-    return vectors.crossJoin(F.broadcast(pole)).select("vec_id", F.round(1 - T.cosine(F.col("embedding"), F.col("pole")), 8).alias("distance"))
+    return vectors.withColumn("pole", pole.scalar()).select("vec_id", F.round(1 - T.cosine(F.col("embedding"), F.col("pole")), 8).alias("distance"))
 
 
 @query("WITH p AS (SELECT quantile_cont(n_chars, 0.05) AS lo, quantile_cont(n_chars, 0.95) AS hi FROM documents) SELECT doc_id, CASE WHEN abs(hi - lo) < 1e-9 THEN 0.5 ELSE least(greatest((n_chars - lo) / (hi - lo), 0.0), 1.0) END AS score FROM documents, p")
 def t2_normalise(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x"))
     fit = docs.agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))  # one row
-    return docs.crossJoin(F.broadcast(fit)).select("doc_id", stats.scaled(F.col("x"), F.col("q")[0], F.col("q")[1]).alias("score"))
+    return docs.withColumn("q", fit.scalar()).select("doc_id", stats.scaled(F.col("x"), F.col("q")[0], F.col("q")[1]).alias("score"))
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), s AS (SELECT doc_id, t, g FROM w, range(0, 50) r(g) WHERE g * 60 < len(t)),
@@ -222,7 +222,7 @@ def t29_batch_summary(spark: SparkSession, d: str) -> DataFrame:
 def k2_labels(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
     total = labels.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return labels.crossJoin(F.broadcast(total)).select("doc_id", F.when(F.col("toxic") == 1, "B").otherwise("A").alias("kind"), "total")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "B").otherwise("A").alias("kind"), total.scalar().alias("total"))
 
 
 @query("SELECT doc_id, lang, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), 'filled') AS source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'new', 'filled' FROM documents WHERE doc_id % 2 = 1")

@@ -120,3 +120,25 @@ def test_text_measures(spark):
     assert one(spark, T.occurrences(F.col("t"), "aa"), t="aaaa") == 2
     assert one(spark, T.visible_text(F.col("t")), t="<p>a &amp; b</p><script>x</script>\n<p>c</p>") == "a & b\nc"
     assert one(spark, T.nfc(F.col("t")), t="é") == "é"
+
+
+def test_least_squares_and_resampling(spark):
+    import numpy as np
+
+    from lexforum.operators import regression, resampling
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 2))
+    y = 1.5 + 2.0 * x[:, 0] - 0.5 * x[:, 1] + r.normal(scale=0.1, size=400)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+    out = {q.term: q for q in regression.least_squares(df, "y", ["a", "b"]).collect()}
+    want = np.linalg.lstsq(np.column_stack((np.ones(400), x)), y, rcond=None)[0]
+    assert [out[t].estimate for t in ("(intercept)", "a", "b")] == pytest.approx(want.tolist(), rel=1e-6)
+    assert out["a"].stars == "***" and regression.least_squares(df.limit(2), "y", ["a", "b"]).count() == 0
+    assert resampling.kendall(np.array([1, 2, 3, 4]), np.array([1, 2, 4, 3])) == pytest.approx(2 / 3)
+    scores = np.array([[0.9, 0.1], [0.5, 0.5], [0.1, 0.9]])
+    summary = resampling.sensitivity_summary(resampling.weight_sensitivity(spark, scores, [0.9, 0.1], 200)).first()
+    assert summary.mean > 0.9 and summary.stable_share > 0.9
+    groups = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 7) + (i % 2)) for i in range(700)], "i int, g string, v double")
+    ci = resampling.bootstrap_gap(groups, "g", "v", "a", "b", 300).first()
+    assert ci.low < 1.0 < ci.high and ci.high - ci.low < 1.2
