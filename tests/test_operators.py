@@ -43,7 +43,7 @@ def test_span_positions_and_greedy(spark):
 def test_context_lowers_weight_and_short_text_scores_nothing(spark):
     df = spark.createDataFrame([(1, "Dicen que presuntamente es un bandido. El bandido huyo del lugar."), (2, "bandido"), (3, None)], "id int, text string")
     found = spans.find(df, [spans.Rule("nv", "bandido", 1.0)])
-    out = {r.id: r for r in spans.score(spans.in_context(found, "presuntamente", 10), 0.0, 0.6).collect()}
+    out = {r.id: r for r in spans.score(spans.in_context(found, "presuntamente", 20), 0.0, 0.6).collect()}
     assert out[1].raw == pytest.approx((0.25 + 1.0) / 2)
     assert out[2].score == 0.0 and out[2].has_warning and out[3].score == 0.0
 
