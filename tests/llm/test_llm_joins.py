@@ -85,8 +85,10 @@ def test_components(spark):
         if b and a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    out = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert out == {n: find(n) for n in parent}
+    df = spark.createDataFrame(edges, "a string, b string")
+    for most in (components.ONE_TASK, 0):  # in one task, and by stars
+        out = {x.node: x.component for x in components.components(df, one_task=most).collect()}
+        assert out == {n: find(n) for n in parent}
     assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
