@@ -15,8 +15,8 @@ A size-aware heavy-light join. Elements are ordered from rare to frequent.
    The boundary is the size from which listing costs less, by the measured
    frequencies of elements.
 4. Sets that share a key are compared with one of them only (keys of very many
-   sets by parts, whose components are then compared in the same way), and last
-   all pairs of a key in different components that can link by their sizes and by
+   sets by parts), then, for some rounds, what is still apart with one more, and
+   last all pairs of a key in different components that can link by their sizes and by
    what follows the key in their order of elements. So a key
    shared by a group of near copies costs as many comparisons as it has sets,
    and no link between two components can be missed.
@@ -47,6 +47,8 @@ WORDS, PERCENT, SUBSET = 5, 80, 2
 CHUNK_TEXTS, CHUNK_BYTES = 4096, 12 << 20
 #: Members of a key that are compared with one first member.
 KEY_MEMBERS = 4096
+#: Rounds of comparing with one more set of a key before all that is left is compared.
+HEADS = 4
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -204,12 +206,15 @@ def _rare(n: int, blob: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _keys(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.RecordBatch]:
     """Keys of each set: light sets' subsets (kind 2) and listed elements (kind 1 for heavy sets, 0 for light ones near the boundary).
 
-    left: how many elements of the set stand behind the key's last one, the key's own included.
+    left: how many elements of the set stand behind the key's last one, the key's own included. weight: mean frequency
+    (by code, in hundredths) of the set's elements; of a group of near copies the text they come from has the largest.
     """
     reach = int(needed(boundary + 1))  # a light set this large can link with a heavy one
     for batch in batches:
-        keys, owner, kinds, left = [], [], [], []
+        keys, owner, kinds, left, weight = [], [], [], [], []
         for i, (n, blob) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            m = len(blob) // 9
+            weight.append(100 * (int(np.frombuffer(blob, np.uint8, m, 8 * m).sum()) + n - m) // n)
             if n > boundary or n >= reach:
                 e, place = _rare(n, blob, 1)
                 keys.append(e), owner.append(np.full(len(e), i)), kinds.append(np.full(len(e), int(n > boundary))), left.append(n - place)
@@ -219,7 +224,7 @@ def _keys(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.Recor
                 s = kernel.mix(e[x] * np.uint64(0x9E3779B97F4A7C15) + kernel.mix(e[y]))
                 keys.append(s), owner.append(np.full(len(s), i)), kinds.append(np.full(len(s), 2)), left.append(n - place[y] - 1 + SUBSET)
         if keys and (o := np.concatenate(owner)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(left).astype(np.int32)), batch.column(0).take(pa.array(o)), batch.column(1).take(pa.array(o))], ["key", "kind", "left", "name", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(left).astype(np.int32)), pa.array(np.array(weight, np.int32)[o]), batch.column(0).take(pa.array(o)), batch.column(1).take(pa.array(o))], ["key", "kind", "left", "weight", "name", "n"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,31 +307,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _set_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same sets as all links do."""
     limit = boundary(sets)
-    keys = sets.select("name", "n", "elements").mapInArrow(lambda b: _keys(b, limit), "key long, kind int, left int, name string, n int")
+    keys = sets.select("name", "n", "elements").mapInArrow(lambda b: _keys(b, limit), "key long, kind int, left int, weight int, name string, n int")
     keys = keys.withColumn("subset", F.col("kind") == 2).drop_duplicates(["key", "subset", "name"])
     # Keys of one set alone, and lists without a heavy set, make no candidates.
     many = keys.groupBy("key", "subset").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("top"), F.struct(F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64(F.lit(7), "name"))).alias("content"), F.sum("left").alias("room")).where("sets > 1 and (subset or top = 1)")
     # Of keys with the same members the one that comes first in their order is enough: any pair's first shared key is one of these.
     once = many.groupBy("content", "subset", "sets").agg(F.max_by("key", F.struct("room", "key")).alias("key")).select("key", "subset", F.ceil(F.col("sets") / KEY_MEMBERS).cast("int").alias("split"))
-    runs = checkpointed(keys.join(once, ["key", "subset"]).select("key", "subset", "name", "n", "kind", "left", "split"))
+    runs = checkpointed(keys.join(once, ["key", "subset"]).select("key", "subset", "name", "n", "kind", "left", "weight", "split"))
     free_shuffles(sets.sparkSession)
     involved = checkpointed(sets.join(runs.select("name").distinct(), "name", "left_semi"))
     salt = F.pmod(F.xxhash64("name"), F.col("split"))
-    # First round: members of a key (of one part of it, if it is large) with the largest set there that is heavy, if any.
-    head = F.max(F.struct("kind", "n", "name", "left"))
-    links = _verify(_with_head(runs.withColumn("salt", salt), ["key", "subset", "salt"], head), involved)
-    done = 0
-    while runs.where("split > 1").limit(1).count():  # keys that were compared by parts: now the parts' components, until that links no more
-        named = _open(runs.where("split > 1"), components(links))
-        members = named.groupBy("key", "subset", "component").agg(head.alias("m")).select("key", "subset", "m.*")
-        more = checkpointed(_with_head(members, ["key", "subset"], head))
-        if more.count() in (0, done):
+    # First round: members of a key (of one part of it, if it is large) with the set there whose elements are the most frequent, heavy ones first.
+    links = _verify(_with_head(runs.withColumn("salt", salt).withColumn("component", F.col("name")), ["key", "subset", "salt"], F.col("weight")), involved)
+    # Further rounds: what a key still holds apart is compared with one more of its sets, drawn anew, while that links any.
+    for turn in range(HEADS):
+        more = checkpointed(_with_head(_open(runs, components(links)), ["key", "subset"], F.xxhash64(F.lit(turn), "name")))
+        if more.isEmpty():
             break
-        done = more.count()
         new = _verify(more, involved)
         if new.isEmpty():
             break
         links = checkpointed(links.unionByName(new).distinct())
+        free_shuffles(sets.sparkSession)
     rest = _cross_pairs(_open(runs, components(links)))
     return links.unionByName(_verify(rest, involved))
 
@@ -344,12 +346,12 @@ def _fits(p: dict[str, Column], q: dict[str, Column]) -> Column:
     return (p["subset"] | (p["kind"] == 1) | (q["kind"] == 1)) & (F.least(p["left"], q["left"]) * (100 + PERCENT) >= both * PERCENT) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * PERCENT)
 
 
-def _with_head(members: DataFrame, by: list[str], head: Column) -> DataFrame:
-    """Distinct pairs (a, b) of each key's head and its other members that can link."""
-    heads = members.groupBy(*by).agg(head.alias("h"))
+def _with_head(members: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """Distinct pairs (a, b) of each key's head (heavy ones first, then by `order`) and its members of other components that can link with it."""
+    heads = members.groupBy(*by).agg(F.max(F.struct("kind", order.alias("order"), "n", "name", "left", "component")).alias("h"))
     h = {c: F.col(f"h.{c}") for c in ("name", "n", "kind", "left")} | {"subset": F.col("subset")}
     m = {c: F.col(c) for c in ("name", "n", "kind", "left", "subset")}
-    pairs = members.join(heads, by).where((m["name"] != h["name"]) & _fits(h, m))
+    pairs = members.join(heads, by).where((F.col("component") != F.col("h.component")) & _fits(h, m))
     return pairs.select(F.least(h["name"], m["name"]).alias("a"), F.greatest(h["name"], m["name"]).alias("b")).distinct()
 
 
