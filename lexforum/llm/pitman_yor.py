@@ -4,8 +4,9 @@ A text is the sequence of its lower-cased words, each spelled byte by byte and
 closed by a space, then an end mark. The restaurant of a context (the last j
 bytes, j up to ORDER) has the restaurant of the context without its first byte
 as its parent: a new table there is a customer of the parent. Seating is
-sampled by Gibbs: customers leave their table and are seated anew by the
-Chinese-restaurant rule; predictive probabilities are averaged over samples.
+sampled by Gibbs: in a sweep every customer leaves its table and is seated anew
+by the Chinese-restaurant rule (in BLOCKS blocks where a pair has more customers);
+predictive probabilities are averaged over samples.
 
 How it is dealt: one pass over the texts counts each chunk's distinct n-grams
 and words; they travel as packed arrays to the range that owns their last two
@@ -39,8 +40,8 @@ ORDER, BURN, SAMPLES = 5, 3, 4
 #: Bytes of text whose n-grams are counted together; texts at most.
 CHUNK_BYTES, CHUNK_TEXTS = 12 << 20, 60_000
 SPACE, END = 32, 10
-#: Customers that are seated one by one to start with; beyond, in blocks that double.
-ONE_BY_ONE = 24
+#: Blocks that a pair's customers move in, in a sweep; pairs of no more customers move one by one.
+BLOCKS = 24
 
 
 # -- the sampler --------------------------------------------------------------
@@ -61,10 +62,11 @@ class Level:
     def _room(self, capacity: np.ndarray) -> None:
         """Lays the tables out anew, with so many places for each pair."""
         start = np.cumsum(capacity) - capacity
-        sizes = np.zeros(int(capacity.sum()), np.int64)
+        sizes, still = np.zeros((2, int(capacity.sum())), np.int64)
         if self.tables.any():
-            sizes[kernel.ragged(start, self.tables)] = self.sizes[kernel.ragged(self.start, self.tables)]
-        self.capacity, self.start, self.sizes = capacity, start, sizes
+            to, at = kernel.ragged(start, self.tables), kernel.ragged(self.start, self.tables)
+            sizes[to], still[to] = self.sizes[at], self.still[at]
+        self.capacity, self.start, self.sizes, self.still = capacity, start, sizes, still
 
     def predict(self, parent: np.ndarray) -> np.ndarray:
         """Probability of each pair's symbol in its context, given that in the parent context."""
@@ -72,84 +74,93 @@ class Level:
         own = self.customers - self.discount * self.tables
         return (own + (self.strength + self.discount * self.all_tables[self.context]) * parent) / whole
 
-    def leave(self, who: np.ndarray) -> np.ndarray:
-        """One random customer of each pair goes; 1 where that empties a table."""
-        at = kernel.ragged(self.start[who], self.tables[who])
-        sums = np.cumsum(self.sizes[at])
-        ends = np.cumsum(self.tables[who])
-        base = np.concatenate(([0], sums))[ends - self.tables[who]]
-        place = at[np.searchsorted(sums, base + (self.rng.random(len(who)) * self.customers[who]).astype(np.int64), "right")]
-        self.sizes[place] -= 1
-        self.customers[who] -= 1
-        np.subtract.at(self.all_customers, self.context[who], 1)
-        empty = self.sizes[place] == 0
-        gone, hole = who[empty], place[empty]
-        last = self.start[gone] + self.tables[gone] - 1
-        self.sizes[hole] = self.sizes[last]
-        self.sizes[last] = 0
-        self.tables[gone] -= 1
-        np.subtract.at(self.all_tables, self.context[gone], 1)
-        return empty.astype(np.int64)
-
-    def enter(self, who: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """One customer is seated at each pair; 1 where it takes a new table."""
-        if (self.tables[who] >= self.capacity[who]).any():
-            self._room(2 * self.tables + 2)
+    def leave(self, who: np.ndarray, block: np.ndarray) -> None:
+        """So many customers of each pair go, drawn at random from those that have not moved yet; tables that they empty go."""
+        at, count = kernel.ragged(self.start[who], self.tables[who]), self.tables[who]
+        gone = deal(block, self.still[at], count, lambda n, left, right: _drawn(self.rng, n, left, right))
+        sizes, still = self.sizes[at] - gone, self.still[at] - gone
+        kept = sizes > 0
+        upto = np.concatenate(([0], np.cumsum(kept)))
+        ends = np.cumsum(count)
+        left = upto[ends] - upto[ends - count]
+        self.sizes[at] = self.still[at] = 0
+        to = kernel.ragged(self.start[who], left)
+        self.sizes[to], self.still[to] = sizes[kept], still[kept]
+        self.tables[who] = left
+        self.customers[who] -= block
+        np.subtract.at(self.all_tables, self.context[who], count - left)
+        np.subtract.at(self.all_customers, self.context[who], block)
+
+    def enter(self, who: np.ndarray, parent: np.ndarray, block: np.ndarray) -> None:
+        """So many customers are seated at each pair. A block of one follows the Chinese-restaurant rule; in a larger one
+        all open a table with the chance of the block's middle, and the others spread as an urn over the tables."""
+        count = self.tables[who]
         new = (self.strength + self.discount * self.all_tables[self.context[who]]) * parent
-        old = self.customers[who] - self.discount * self.tables[who]
-        opens = (self.tables[who] == 0) | (self.rng.random(len(who)) * (new + old) < new)
-        joins = who[~opens]
-        at = kernel.ragged(self.start[joins], self.tables[joins])
-        if len(at):
-            sums = np.cumsum(self.sizes[at] - self.discount)
-            ends = np.cumsum(self.tables[joins])
-            base = np.concatenate(([0.0], sums))[ends - self.tables[joins]]
-            k = np.searchsorted(sums, base + self.rng.random(len(joins)) * (sums[ends - 1] - base), "right")
-            self.sizes[at[np.clip(k, ends - self.tables[joins], ends - 1)]] += 1
-        first = who[opens]
-        self.sizes[self.start[first] + self.tables[first]] = 1
-        self.tables[first] += 1
-        np.add.at(self.all_tables, self.context[first], 1)
-        self.customers[who] += 1
-        np.add.at(self.all_customers, self.context[who], 1)
-        return opens.astype(np.int64)
+        old = self.customers[who] - self.discount * count + (block - 1) / 2
+        opens = self.rng.binomial(block, np.where(count > 0, new / np.maximum(new + old, 1e-300), 1.0).clip(0, 1))
+        opens[count == 0] = np.maximum(opens[count == 0], 1)
+        if (count + opens > self.capacity[who]).any():
+            need = self.tables.copy()
+            need[who] += opens
+            self._room(need + need // 2 + 2)
+        self.sizes[kernel.ragged(self.start[who] + count, opens)] = 1
+        self.tables[who] += opens
+        rest = block - opens
+        some = rest > 0
+        joins, rest, tables = who[some], rest[some], self.tables[who[some]]
+        if len(joins):
+            at = kernel.ragged(self.start[joins], tables)
+            weight = self.sizes[at] - self.discount
+            many = np.repeat(rest > 1, tables)
+            weight[many] = self.rng.standard_gamma(weight[many])
+            weight /= np.repeat(np.maximum(np.add.reduceat(weight, np.cumsum(tables) - tables), 1e-300), tables)
+            self.sizes[at] += deal(rest, weight, tables, lambda n, left, right: self.rng.binomial(n, (left / np.maximum(left + right, 1e-300)).clip(0, 1)))
+        self.customers[who] += block
+        np.add.at(self.all_tables, self.context[who], opens)
+        np.add.at(self.all_customers, self.context[who], block)
 
     def seat(self, customers: np.ndarray, parent: np.ndarray) -> None:
-        """Seats that many customers at each pair of an empty level."""
-        for k in range(1, ONE_BY_ONE + 1):
-            who = np.flatnonzero(customers >= k)
-            if not len(who):
-                return
-            self.enter(who, parent[who])
+        """Seats more customers at each pair, until it has so many: one by one, beyond BLOCKS in blocks of that share of those there."""
         while len(who := np.flatnonzero(customers > self.customers)):
-            block = np.minimum(customers[who] - self.customers[who], self.customers[who])
-            new = (self.strength + self.discount * self.all_tables[self.context[who]]) * parent[who]
-            old = self.customers[who] - self.discount * self.tables[who] + block / 2
-            fresh = self.rng.binomial(block, np.clip(new / (new + old), 0, 1))
-            if (self.tables[who] + fresh > self.capacity[who]).any():
-                need = self.tables.copy()
-                need[who] += fresh
-                self._room(need + need // 2 + 2)
-            # The others spread over the tables there in proportion, rounded at random; the largest takes the difference.
-            at, count = kernel.ragged(self.start[who], self.tables[who]), self.tables[who]
-            weight = self.sizes[at] - self.discount
-            edges = np.concatenate(([0], np.cumsum(count)))
-            total = np.add.reduceat(weight, edges[:-1])
-            share = weight * np.repeat((block - fresh) / total, count)
-            add = np.floor(share + self.rng.random(len(share))).astype(np.int64)
-            over = np.add.reduceat(add, edges[:-1]) - (block - fresh)
-            self.sizes[at] += add
-            order = np.lexsort((self.sizes[at], np.repeat(np.arange(len(who)), count)))
-            largest = at[order[edges[1:] - 1]]
-            self.sizes[largest] -= np.minimum(over, self.sizes[largest] - 1)
-            self.sizes[kernel.ragged(self.start[who] + count, fresh)] = 1
-            self.tables[who] += fresh
-            now = np.add.reduceat(self.sizes[kernel.ragged(self.start[who], self.tables[who])], np.cumsum(self.tables[who]) - self.tables[who])
-            np.add.at(self.all_tables, self.context[who], fresh)
-            np.add.at(self.all_customers, self.context[who], now - self.customers[who])
-            self.customers[who] = now
-            if (now >= customers[who]).all():
-                break
+            there = self.customers[who]
+            self.enter(who, parent[who], np.minimum(customers[who] - there, np.maximum(1, there // BLOCKS)))
+
+    def move(self, parent: np.ndarray) -> None:
+        """Every customer of every pair leaves and is seated anew, once: one by one up to BLOCKS customers, else in BLOCKS blocks. A lone customer would only come back."""
+        self.still = self.sizes.copy()
+        customers = np.where(self.customers > 1, self.customers, 0)
+        for k in range(BLOCKS):
+            block = customers * (k + 1) // BLOCKS - customers * k // BLOCKS
+            who = np.flatnonzero(block)
+            self.leave(who, block[who])
+            self.enter(who, parent[who], block[who])
+
+
+def deal(n: np.ndarray, weight: np.ndarray, count: np.ndarray, draw) -> np.ndarray:
+    """Deals each row's n over its `count` places by halving: draw(n, left, right) of them go left, given the weights of both halves."""
+    sums = np.concatenate(([0], np.cumsum(weight)))
+    out = np.zeros(len(weight), np.int64)
+    high = np.cumsum(count)
+    low = high - count
+    while len(n):
+        one = high - low == 1
+        out[low[one]] = n[one]
+        go = ~one & (n > 0)
+        low, high, n = low[go], high[go], n[go]
+        mid = (low + high) // 2
+        k = draw(n, sums[mid] - sums[low], sums[high] - sums[mid])
+        low, high, n = np.concatenate((low, mid)), np.concatenate((mid, high)), np.concatenate((k, n - k))
+    return out
+
+
+def _drawn(rng: np.random.Generator, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many of n draws without return are from the left; where numpy's law ends (10^9), by the binomial one within what is there."""
+    huge = left + right >= 10**9
+    out = rng.hypergeometric(np.where(huge, n, left), np.where(huge, 0, right), n)
+    if huge.any():
+        near = rng.binomial(n[huge], left[huge] / (left[huge] + right[huge]))
+        out[huge] = np.clip(near, np.maximum(0, n[huge] - right[huge]), np.minimum(n[huge], left[huge]))
+    return out
 
 
 class Restaurants:
@@ -194,21 +205,18 @@ class Restaurants:
         return p
 
     def sweep(self) -> None:
-        """From the longest contexts up: what the level below has opened or given up comes and goes, then a customer of every pair moves."""
+        """From the longest contexts up: what the level below has opened or given up comes and goes, then every customer of every pair moves."""
         change: np.ndarray | None = None
         for j in range(self.high, self.low - 1, -1):
             level, parent = self.levels[j], self._of_parent(self.predict(), j)
-            delta = np.zeros(len(level.keys), np.int64)
-            while change is not None and change.any():
-                more, less = np.flatnonzero(change > 0), np.flatnonzero(change < 0)
-                delta[more] += level.enter(more, parent[more])
-                delta[less] -= level.leave(less)
-                change[more] -= 1
-                change[less] += 1
-            who = np.flatnonzero(level.customers > 1)
-            delta[who] -= level.leave(who)
-            delta[who] += level.enter(who, parent[who])
-            change = np.bincount(self.parent[j], delta, len(self.levels[j - 1].keys)).astype(np.int64) if j > self.low else None
+            before = level.tables.copy()
+            if change is not None:
+                less = np.flatnonzero(change < 0)
+                level.still = level.sizes.copy()
+                level.leave(less, -change[less])
+                level.seat(level.customers + np.maximum(change, 0), parent)
+            level.move(parent)
+            change = np.bincount(self.parent[j], level.tables - before, len(self.levels[j - 1].keys)).astype(np.int64) if j > self.low else None
 
     def average(self, burn: int = BURN, samples: int = SAMPLES) -> np.ndarray:
         """Predictive probability of every n-gram's last symbol, averaged over samples of the seating."""

@@ -107,6 +107,36 @@ def test_many_customers_are_seated():
     assert 20 < level.tables[0] < 5000 and level.sizes[level.start[0] : level.start[0] + level.tables[0]].sum() == 100_000
 
 
+def test_a_sweep_moves_every_customer(monkeypatch):
+    keys, counts = np.array([97, 98, 99], np.uint64), np.array([30_000, 300, 3])
+    rest = pitman_yor.Restaurants(keys, counts, 0, 0, np.array([0.5, 0.3, 0.2]), np.array([0.5]), 1)
+    usual, level, moved = np.mean([(rest.sweep(), rest.levels[0].tables.copy())[1] for _ in range(20)], 0), rest.levels[0], np.zeros(3, np.int64)
+    leave = pitman_yor.Level.leave
+    monkeypatch.setattr(pitman_yor.Level, "leave", lambda self, who, block: (np.add.at(moved, who, block), leave(self, who, block))[1])
+    rest.sweep()
+    assert moved.tolist() == counts.tolist() == level.customers.tolist()
+    # A start with a table for nearly every customer is forgotten.
+    rest.levels[0] = level = pitman_yor.Level(keys, 0, 0.5, 0.5, rest.rng)
+    level.seat(counts, np.full(3, 1e9))
+    assert level.tables[0] > 20_000
+    for _ in range(7):
+        rest.sweep()
+    assert level.customers.tolist() == counts.tolist() and level.all_tables[0] == level.tables.sum()
+    assert level.tables[0] < 5000 and usual[0] < 1000
+
+
+def test_seating_follows_the_law_of_three_customers():
+    keys = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(97)  # one pair in each restaurant
+    rest = pitman_yor.Restaurants(keys, np.full(256, 3), 1, 1, np.full(256, 0.4), np.full(2, 0.3), 2)
+    seen = np.zeros(4)
+    for _ in range(60):
+        rest.sweep()
+        seen += np.bincount(rest.levels[1].tables, minlength=4)
+    s, d, p = 0.5, 0.3, 0.4
+    law = np.array([s * p * (1 - d) * (2 - d), s * (s + d) * p**2 * 3 * (1 - d), s * (s + d) * (s + 2 * d) * p**3])
+    assert seen[1:] / seen.sum() == pytest.approx(law / law.sum(), abs=0.03)
+
+
 def test_scores(spark):
     r = np.random.default_rng(7)
     texts = [(i, " ".join(r.choice([*WORDS["bb"], f"w{i % 7}"], int(r.integers(0, 40)))).title()) for i in range(120)]
