@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexforum.functions.stats import scaled
 
@@ -80,3 +81,13 @@ def token_windows(df: DataFrame, scorer: str | Column, size: int = 400, step: in
     starts = F.slice(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>")), 1, most)
     wins = df.select(key, tokens, F.posexplode(starts).alias("window", "start"))
     return wins.select(key, "window", F.posexplode(F.slice(F.col(tokens), F.col("start") + 1, size)).alias("i", "token"), "start").select(key, "window", (F.col("start") + F.col("i")).alias("token_index"), "token", F.expr(scorer).alias("token_score") if isinstance(scorer, str) else scorer.alias("token_score"))
+
+
+def token_labels(df: DataFrame, spans: Sequence[tuple[int, int, str]], key: str = "doc_id", text: str = "text", other: str = "O") -> DataFrame:
+    """A label for every blank-separated token of the whole text: key, token_index, label. A token's first character decides, the later span wins."""
+    row = df.select(key, F.monotonically_increasing_id().alias("_row"), F.split(text, " ", -1).alias("_tokens"))
+    row = row.select(key, "_row", F.posexplode("_tokens").alias("token_index", "token"))
+    before = W.partitionBy(key, "_row").orderBy("token_index").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0))
+    label = F.coalesce(*(F.when((F.col("start") >= s) & (F.col("start") < e), F.lit(x)) for s, e, x in reversed(spans)), F.lit(other))
+    return row.withColumn("start", start).select(key, "token_index", label.alias("label"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforum.functions import text as T
-from lexforum.operators import audit, indices, regression, resampling
+from lexforum.operators import audit, indices, regression, resampling, spans
 from lexforum.sources.readers import table
 
 QUERIES, ORACLES = {}, {}
@@ -141,13 +141,14 @@ def v5_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(coalesce(list_sum(list_transform(t[1:i - 1], lambda w: length(w) + 1)), 0) AS INTEGER) AS start FROM (SELECT doc_id, string_split(text, ' ')[1:40] AS t FROM documents), range(1, 41) r(i) WHERE i <= len(t)) a
 LEFT JOIN (SELECT * FROM (VALUES (1, 10, 60), (2, 40, 90)) v(k, s, e)) s ON a.start >= s.s AND a.start < s.e GROUP BY a.doc_id, a.i""")
 def t36_token_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of the first 40 tokens from two overlapping character spans: a token's first character decides, the later span wins."""
-    words = F.slice(F.split("text", " "), 1, 40)
-    starts = F.transform(words, lambda w, i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x) + 1))
-    tokens = table(spark, d, "documents").select("doc_id", F.posexplode(starts).alias("token_index", "start"))
-    spans = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(x).alias("label")) for s, e, x in ((10, 60, "SA"), (40, 90, "NV"))))
-    hit = F.filter(spans, lambda x: (x["s"] <= F.col("start")) & (F.col("start") < x["e"]))
-    return tokens.select("doc_id", "token_index", F.coalesce(F.try_element_at(hit, F.lit(-1))["label"], F.lit("O")).alias("label"))
+    """The first 40 tokens of t36_all_token_labels, which is as far as the SQL goes."""
+    return t36_all_token_labels(spark, d).where("token_index < 40")
+
+
+@query()
+def t36_all_token_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of all tokens of the whole text from two overlapping character spans."""
+    return spans.token_labels(table(spark, d, "documents"), [(10, 60, "SA"), (40, 90, "NV")])
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents) SELECT doc_id, CAST(len(list_filter(t, lambda x: length(x) > 7 AND (suffix(x, 'tion') OR suffix(x, 'ment') OR suffix(x, 'keit')))) AS INTEGER) AS nominal, CAST(len(list_filter(t, lambda x: x IN ('the', 'der', 'les', 'los'))) AS INTEGER) AS hits FROM w""")

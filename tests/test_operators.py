@@ -142,3 +142,24 @@ def test_least_squares_and_resampling(spark):
     groups = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 7) + (i % 2)) for i in range(700)], "i int, g string, v double")
     ci = resampling.bootstrap_gap(groups, "g", "v", "a", "b", 300).first()
     assert ci.low < 1.0 < ci.high and ci.high - ci.low < 1.2
+
+
+def made_documents(spark, tmp_path, *texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_all_tokens_are_labelled(spark, tmp_path):
+    from lexforum.plans import registry
+
+    texts = [" ".join("x" * (i % 3) for i in range(3000)), "ñandú " * 50, "", "one"]
+    got = sorted(tuple(r) for r in registry.QUERIES["t36_all_token_labels"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "token_index", "label").collect())
+    want = []
+    for d, text in enumerate(texts):
+        at = 0
+        for i, w in enumerate(text.split(" ")):
+            want.append((d, i, "NV" if 40 <= at < 90 else "SA" if 10 <= at < 60 else "O"))
+            at += len(w) + 1
+    assert got == sorted(want) and len(got) == 3000 + 51 + 2
+    df = spark.createDataFrame([(" ".join(["ab"] * 500),)], "text string").withColumn("doc_id", F.lit(1))
+    assert spans.token_labels(df, [(1200, 1206, "X")]).where("label = 'X'").count() == 2
