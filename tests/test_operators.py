@@ -163,3 +163,13 @@ def test_all_tokens_are_labelled(spark, tmp_path):
     assert got == sorted(want) and len(got) == 3000 + 51 + 2
     df = spark.createDataFrame([(" ".join(["ab"] * 500),)], "text string").withColumn("doc_id", F.lit(1))
     assert spans.token_labels(df, [(1200, 1206, "X")]).where("label = 'X'").count() == 2
+
+
+def test_all_matches_have_a_position(spark, tmp_path):
+    import re
+
+    from lexforum.plans import registry
+
+    texts = ["ñ the other " * 450, "none", "the"]
+    got = sorted(tuple(r) for r in registry.QUERIES["t_all_span_positions"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "i", "start").collect())
+    assert got == [(d, i, m.start()) for d, text in enumerate(texts) for i, m in enumerate(re.finditer("the", text))] and len(got) == 901
