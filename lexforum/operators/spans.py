@@ -75,10 +75,12 @@ def score(df: DataFrame, low: float, high: float, text: str = "text", least_word
     return out.withColumn("score", F.when(short, F.lit(0.0)).otherwise(scaled(F.col("raw"), F.lit(low), F.lit(high)))).withColumn("has_warning", short)
 
 
-def token_windows(df: DataFrame, scorer: str | Column, size: int = 400, step: int = 300, most: int = 50, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """Sliding windows over a token array: key, window, token_index, token; every token is in one window at least (up to `most` windows)."""
+def token_windows(df: DataFrame, scorer: str | Column, size: int = 400, step: int = 300, most: int | None = None, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """Sliding windows over a token array: key, window, token_index, token; every token is in one window at least. `most` keeps a text's first windows only (the reference: 50)."""
     n = F.size(tokens)
-    starts = F.slice(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>")), 1, most)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    if most is not None:
+        starts = F.slice(starts, 1, most)
     wins = df.select(key, tokens, F.posexplode(starts).alias("window", "start"))
     return wins.select(key, "window", F.posexplode(F.slice(F.col(tokens), F.col("start") + 1, size)).alias("i", "token"), "start").select(key, "window", (F.col("start") + F.col("i")).alias("token_index"), "token", F.expr(scorer).alias("token_score") if isinstance(scorer, str) else scorer.alias("token_score"))
 

@@ -174,8 +174,19 @@ def t2_normalise(spark: SparkSession, d: str) -> DataFrame:
 x AS (SELECT doc_id, g, i, t[i] AS token FROM s, range(1, 2000000) u(i) WHERE i > g * 60 AND i <= least(g * 60 + 80, len(t)))
 SELECT doc_id, count(*) AS covered, count(DISTINCT i) AS tokens, avg(CASE WHEN token = 'the' THEN 1.0 ELSE 0.0 END) AS mean FROM x GROUP BY doc_id""".replace("range(1, 2000000) u(i) WHERE i > g * 60 AND i <= least(g * 60 + 80, len(t))", "range(1, 81) u(o), LATERAL (SELECT g * 60 + o AS i) WHERE g * 60 + o <= len(t)"))
 def w7_token_windows(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
-    wins = spans.token_windows(docs, F.when(F.col("token") == "the", 1.0).otherwise(0.0), 80, 60, 50)
+    """Small windows, 50 of a text at most, as in the SQL."""
+    return _window_means(table(spark, d, "documents"), 80, 60, 50)
+
+
+@query()
+def w7_all_token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's window and step, over every whole text."""
+    return _window_means(table(spark, d, "documents"), 400, 300, None)
+
+
+def _window_means(docs: DataFrame, size: int, step: int, most: int | None) -> DataFrame:
+    docs = docs.select("doc_id", F.split("text", " ").alias("tokens"))
+    wins = spans.token_windows(docs, F.when(F.col("token") == "the", 1.0).otherwise(0.0), size, step, most)
     return wins.groupBy("doc_id").agg(F.count(F.lit(1)).alias("covered"), F.count_distinct("token_index").alias("tokens"), F.avg("token_score").alias("mean"))
 
 

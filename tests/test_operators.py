@@ -173,3 +173,14 @@ def test_all_matches_have_a_position(spark, tmp_path):
     texts = ["ñ the other " * 450, "none", "the"]
     got = sorted(tuple(r) for r in registry.QUERIES["t_all_span_positions"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "i", "start").collect())
     assert got == [(d, i, m.start()) for d, text in enumerate(texts) for i, m in enumerate(re.finditer("the", text))] and len(got) == 901
+
+
+def test_windows_reach_the_end_of_a_text(spark, tmp_path):
+    from lexforum.plans import registry
+
+    texts = [" ".join("the" if i >= 16_000 else "x" for i in range(16_500)), "the x", ""]
+    got = {r.doc_id: (r.covered, r.tokens, r["mean"]) for r in registry.QUERIES["w7_all_token_windows"](spark, made_documents(spark, tmp_path, *texts)).collect()}
+    for d, text in enumerate(texts):
+        words = text.split(" ")
+        seen = [w for a in range(0, len(words), 300) for w in words[a : a + 400]]
+        assert got[d] == (len(seen), len(words), pytest.approx(sum(w == "the" for w in seen) / len(seen)))
