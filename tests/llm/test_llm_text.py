@@ -185,6 +185,27 @@ def test_whole_runs_are_read():
     assert [*zip(a.tolist(), b.tolist(), of.tolist())] == [(0, 40, 0), (100, 140, 1), (101, 141, 1), (300, 340, 2), (320, 360, 2), (340, 380, 2), (355, 395, 2)]
 
 
+def test_recall_binds_the_threshold():
+    class Fixed(secrets.Network):
+        def score(self, window):
+            return window
+
+    n = Fixed({})
+    yes, no = np.linspace(0.1, 0.9, 200), np.full(300, 0.85)
+    n.calibrate(np.concatenate((yes, no)), np.repeat([1, 0], [200, 300]), 0.95)
+    assert n.recall >= 0.95 and n.threshold < 0.2 and n.false_rate == 1.0
+
+
+def test_labelled_windows_are_distinct_and_hold_candidates(spark):
+    runs = [f"Doc{i}Xk9Zq3XbT7vWm2Lp" for i in range(400)]
+    rows = [(f"{x} at\n",) for x in runs] + [("x" * 30 + " password=k9Zq3XbT7vWm2LpRs8Yd " + "x" * 30,)] * 50 + [("x" * 30 + f" token={i:020d} " + "x" * 30,) for i in range(5)]
+    out = spark.createDataFrame(rows, "text string").repartition(3).mapInArrow(secrets._labelled(40), secrets._LABELLED).distinct().collect()
+    body = lambda x: bytes(x.window[secrets.CONTEXT : secrets.CONTEXT + secrets.INSIDE]).rstrip(b"\0").decode()
+    yes, no = ([body(x) for x in out if x.label == k] for k in (1, 0))
+    assert sorted(set(yes)) == sorted(["k9Zq3XbT7vWm2LpRs8Yd", *(f"{i:020d}" for i in range(5))]) and len(yes) == 6
+    assert {x for x in no if x in runs} and all("=" not in x for x in no)
+
+
 def test_redaction_keeps_everything_else(spark):
     df = spark.createDataFrame([(1, "a password=abcdef123 b", 3), (2, None, 4), (3, "clean é", 5), (4, "token=0123456789abcdef0123456789 x", 6)], "doc_id int, text string, spans int")
     out = {r.doc_id: (r.text, r.spans) for r in secrets.redact(df, secrets.Network.new()).collect()}
