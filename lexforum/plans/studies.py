@@ -127,7 +127,7 @@ def v10_consolidated(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def v4_weight_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Stability of the ranking of vector labels under random weights of three components."""
-    per = table(spark, d, "embeddings").groupBy("label").agg(*(F.avg(F.col("embedding")[i].cast("double")).alias(f"c{i}") for i in range(3))).orderBy("label").limit(50).collect()  # one row per entity
+    per = table(spark, d, "embeddings").groupBy("label").agg(*(F.avg(F.col("embedding")[i].cast("double")).alias(f"c{i}") for i in range(3))).orderBy("label").collect()  # one row per entity
     scores = np.array([[r.c0, r.c1, r.c2] for r in per])
     return resampling.sensitivity_summary(resampling.weight_sensitivity(spark, scores, [0.35, 0.35, 0.30], 10_000))
 

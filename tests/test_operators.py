@@ -184,3 +184,15 @@ def test_windows_reach_the_end_of_a_text(spark, tmp_path):
         words = text.split(" ")
         seen = [w for a in range(0, len(words), 300) for w in words[a : a + 400]]
         assert got[d] == (len(seen), len(words), pytest.approx(sum(w == "the" for w in seen) / len(seen)))
+
+
+def test_weight_sensitivity_ranks_all_labels(spark, tmp_path):
+    import numpy as np
+
+    from lexforum.operators import resampling
+    from lexforum.plans import registry
+
+    scores = np.random.default_rng(8).random((60, 3)).astype(np.float32).astype(float)
+    spark.createDataFrame([(i, row, i) for i, row in enumerate(scores.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = resampling.sensitivity_summary(resampling.weight_sensitivity(spark, scores, [0.35, 0.35, 0.30], 10_000)).first()
+    assert tuple(registry.QUERIES["v4_weight_sensitivity"](spark, str(tmp_path)).first()) == pytest.approx(tuple(want), abs=1e-6)
