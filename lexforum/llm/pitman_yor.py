@@ -1,24 +1,43 @@
-"""LM scoring by a hierarchical Pitman-Yor model over the letters of words.
-
-A text is the sequence of its lower-cased words, each spelled byte by byte and
-closed by a space, then an end mark. The restaurant of a context (the last j
-bytes, j up to ORDER) has the restaurant of the context without its first byte
-as its parent: a new table there is a customer of the parent. Seating is
-sampled by Gibbs: in a sweep every customer leaves its table and is seated anew
-by the Chinese-restaurant rule (in BLOCKS blocks where a pair has more customers);
-predictive probabilities are averaged over samples.
-
-How it is dealt: one pass over the texts counts each chunk's distinct n-grams
-and words; they travel as packed arrays to the range that owns their last two
-context bytes (words: their hash), where the restaurants of all longer contexts
-lie together with all their parents but the two topmost levels, which are at
-most 256 x 256 numbers. Each range samples its restaurants and answers every
-chunk's n-grams in the order they came, and chunks score their texts. All pairs
-of a sweep move at once, given the restaurants' totals at its start.
-
-Null text: empty, the end mark alone. Null ids count as held in. Repeated rows
-count as often as they occur. An empty table gives an empty result; other columns
-are not read.
+"""LM scoring by a hierarchical Pitman-Yor model over words, with a model of spellings below it.
+
+A text is the sequence of its lower-cased words, closed by an end mark. The
+restaurant of a context (the word before; a mark before the first word) has the
+restaurant of all words as its parent, whose new dishes come from restaurants of
+bytes: a word is spelled byte by byte, in the context of the two bytes before,
+whose parents are those of one byte and of none. A new table is a customer of
+the parent.
+
+Seating is sampled by Gibbs, in blocks: in a sweep every customer of a pair
+(context, symbol) leaves, and the tables of all of them are drawn anew. Given a
+Gamma variable of each restaurant, the pairs of it are independent, and c customers
+of a pair take t tables with a chance proportional to S(c, t) L**t (S: generalised
+Stirling numbers of the discount; L: discount * Gamma variable * probability in
+the parent). `seated` draws t at a cost of about t steps, however large c is: where
+tables are many, exactly, by seating the Chinese restaurant of a strength that suits
+L table by table and keeping it with the chance that makes the law right; where one
+table holds most customers, by STEPS Metropolis steps that draw all others anew. Strengths are sampled with auxiliary
+variables, discounts are estimated from the pairs that have come once and twice.
+Predictive probabilities are averaged over samples.
+
+How it is dealt. Words that hold more than a share of 1 / ranges of all tokens are
+found first; as contexts they are split into classes by the word before them (the
+first word's context by the document's id), so that no restaurant outgrows its
+range. A second pass counts each chunk's distinct pairs and words, which travel as
+packed arrays: pairs to the range of their context, words to the range of their
+hash. (1) Ranges of contexts sample their restaurants over a root of their own, and
+send the tables of each word on. (2) Ranges of words sample the common root from
+these, over the spellings. (3) Ranges of contexts sample their restaurants again,
+given the root's averaged probabilities, and answer every chunk's pairs. (4) Chunks
+score their texts.
+
+Approximate are: levels pass on averages (3 is not fed back to 2); pairs within a
+range that agree in 63 bits of their hash are one; what the root's ranges hold of
+it stands for the tables of all.
+
+Null text: empty, the end mark alone. Null ids and null `held_out` count as held
+in. Repeated rows count as often as they occur. Very long texts are a chunk of their
+own. An empty table gives an empty result; other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,270 +54,325 @@ from pyspark.sql import functions as F
 from . import kernel
 from .shared import buckets, checkpointed, free_shuffles, prepare
 
-#: Bytes of the longest context; sweeps before the first sample, and samples.
-ORDER, BURN, SAMPLES = 5, 3, 4
-#: Bytes of text whose n-grams are counted together; texts at most.
-CHUNK_BYTES, CHUNK_TEXTS = 12 << 20, 60_000
-SPACE, END = 32, 10
-#: Blocks that a pair's customers move in, in a sweep; pairs of no more customers move one by one.
-BLOCKS = 24
+#: Sweeps before the first sample, and samples.
+BURN, SAMPLES = 3, 4
+#: Metropolis steps of a pair in a sweep, where it takes such.
+STEPS = 8
+#: Bytes before a byte of a spelling that are its context.
+SPELLING = 2
+#: Bytes of text whose pairs are counted together, and texts, at most.
+CHUNK_BYTES, CHUNK_TEXTS = 20 << 20, 60_000
+#: A pair in one number: bits of its context, of its symbol, and one for whether it was learned from.
+CONTEXT_BITS, SYMBOL_BITS = 26, 37
+_SYMBOL = np.uint64((1 << SYMBOL_BITS) - 1)
+#: The end mark and what stands before a text, as hashes; what closes a spelling.
+END, START, CLOSE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), 32
 
 
 # -- the sampler --------------------------------------------------------------
 
 
-class Level:
-    """All restaurants of contexts of one length: pairs (context, symbol) with customers and tables."""
-
-    def __init__(self, keys: np.ndarray, length: int, discount: float, strength: float, rng: np.random.Generator):
-        self.keys, self.discount, self.strength, self.rng = keys, discount, strength, rng
-        contexts = (keys >> np.uint64(8)) & np.uint64((1 << 8 * length) - 1)
-        self.context = np.unique(contexts, return_inverse=True)[1]
-        n, rooms = len(keys), int(self.context.max(initial=-1)) + 1
-        self.customers, self.tables = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.all_customers, self.all_tables = np.zeros(rooms, np.int64), np.zeros(rooms, np.int64)
-        self._room(np.full(n, 2, np.int64))
-
-    def _room(self, capacity: np.ndarray) -> None:
-        """Lays the tables out anew, with so many places for each pair."""
-        start = np.cumsum(capacity) - capacity
-        sizes, still = np.zeros((2, int(capacity.sum())), np.int64)
-        if self.tables.any():
-            to, at = kernel.ragged(start, self.tables), kernel.ragged(self.start, self.tables)
-            sizes[to], still[to] = self.sizes[at], self.still[at]
-        self.capacity, self.start, self.sizes, self.still = capacity, start, sizes, still
+def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of so many customers (1 or more) that eat the same dish: t with a chance proportional to S(customers, t) weight**t."""
+    out = np.ones(len(customers), np.int64)
+    weight = np.maximum(weight, 1e-12)
+    many = weight > discount ** (2 - discount) * customers.astype(float) ** discount
+    for which, draw in ((many, _of_similar_sizes), (~many, _beside_a_large_one)):
+        at = np.flatnonzero(which & (customers > 1))
+        if len(at):
+            out[at] = draw(customers[at], weight[at], discount, rng)
+    return out
 
-    def predict(self, parent: np.ndarray) -> np.ndarray:
-        """Probability of each pair's symbol in its context, given that in the parent context."""
-        whole = self.strength + self.all_customers[self.context]
-        own = self.customers - self.discount * self.tables
-        return (own + (self.strength + self.discount * self.all_tables[self.context]) * parent) / whole
-
-    def leave(self, who: np.ndarray, block: np.ndarray) -> None:
-        """So many customers of each pair go, drawn at random from those that have not moved yet; tables that they empty go."""
-        at, count = kernel.ragged(self.start[who], self.tables[who]), self.tables[who]
-        gone = deal(block, self.still[at], count, lambda n, left, right: _drawn(self.rng, n, left, right))
-        sizes, still = self.sizes[at] - gone, self.still[at] - gone
-        kept = sizes > 0
-        upto = np.concatenate(([0], np.cumsum(kept)))
-        ends = np.cumsum(count)
-        left = upto[ends] - upto[ends - count]
-        self.sizes[at] = self.still[at] = 0
-        to = kernel.ragged(self.start[who], left)
-        self.sizes[to], self.still[to] = sizes[kept], still[kept]
-        self.tables[who] = left
-        self.customers[who] -= block
-        np.subtract.at(self.all_tables, self.context[who], count - left)
-        np.subtract.at(self.all_customers, self.context[who], block)
-
-    def enter(self, who: np.ndarray, parent: np.ndarray, block: np.ndarray) -> None:
-        """So many customers are seated at each pair. A block of one follows the Chinese-restaurant rule; in a larger one
-        all open a table with the chance of the block's middle, and the others spread as an urn over the tables."""
-        count = self.tables[who]
-        new = (self.strength + self.discount * self.all_tables[self.context[who]]) * parent
-        old = self.customers[who] - self.discount * count + (block - 1) / 2
-        opens = self.rng.binomial(block, np.where(count > 0, new / np.maximum(new + old, 1e-300), 1.0).clip(0, 1))
-        opens[count == 0] = np.maximum(opens[count == 0], 1)
-        if (count + opens > self.capacity[who]).any():
-            need = self.tables.copy()
-            need[who] += opens
-            self._room(need + need // 2 + 2)
-        self.sizes[kernel.ragged(self.start[who] + count, opens)] = 1
-        self.tables[who] += opens
-        rest = block - opens
-        some = rest > 0
-        joins, rest, tables = who[some], rest[some], self.tables[who[some]]
-        if len(joins):
-            at = kernel.ragged(self.start[joins], tables)
-            weight = self.sizes[at] - self.discount
-            many = np.repeat(rest > 1, tables)
-            weight[many] = self.rng.standard_gamma(weight[many])
-            weight /= np.repeat(np.maximum(np.add.reduceat(weight, np.cumsum(tables) - tables), 1e-300), tables)
-            self.sizes[at] += deal(rest, weight, tables, lambda n, left, right: self.rng.binomial(n, (left / np.maximum(left + right, 1e-300)).clip(0, 1)))
-        self.customers[who] += block
-        np.add.at(self.all_tables, self.context[who], opens)
-        np.add.at(self.all_customers, self.context[who], block)
-
-    def seat(self, customers: np.ndarray, parent: np.ndarray) -> None:
-        """Seats more customers at each pair, until it has so many: one by one, beyond BLOCKS in blocks of that share of those there."""
-        while len(who := np.flatnonzero(customers > self.customers)):
-            there = self.customers[who]
-            self.enter(who, parent[who], np.minimum(customers[who] - there, np.maximum(1, there // BLOCKS)))
 
-    def move(self, parent: np.ndarray) -> None:
-        """Every customer of every pair leaves and is seated anew, once: one by one up to BLOCKS customers, else in BLOCKS blocks. A lone customer would only come back."""
-        self.still = self.sizes.copy()
-        customers = np.where(self.customers > 1, self.customers, 0)
-        for k in range(BLOCKS):
-            block = customers * (k + 1) // BLOCKS - customers * k // BLOCKS
-            who = np.flatnonzero(block)
-            self.leave(who, block[who])
-            self.enter(who, parent[who], block[who])
-
-
-def deal(n: np.ndarray, weight: np.ndarray, count: np.ndarray, draw) -> np.ndarray:
-    """Deals each row's n over its `count` places by halving: draw(n, left, right) of them go left, given the weights of both halves."""
-    sums = np.concatenate(([0], np.cumsum(weight)))
-    out = np.zeros(len(weight), np.int64)
-    high = np.cumsum(count)
-    low = high - count
-    while len(n):
-        one = high - low == 1
-        out[low[one]] = n[one]
-        go = ~one & (n > 0)
-        low, high, n = low[go], high[go], n[go]
-        mid = (low + high) // 2
-        k = draw(n, sums[mid] - sums[low], sums[high] - sums[mid])
-        low, high, n = np.concatenate((low, mid)), np.concatenate((mid, high)), np.concatenate((k, n - k))
+def _of_similar_sizes(customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Exact, where tables are many for the customers.
+
+    Drawn from the Chinese restaurant of strength a, whose chance is proportional to S(customers, t) (a + d) .. (a + (t - 1) d),
+    and kept with a chance proportional to the quotient of both, which is largest at t = top.
+    """
+    n = customers.astype(float)
+    # log of 1 - z, where tables of sizes tempered by z have the asked sum on average: weight z (1 - z)**(d - 1) = n.
+    goal = np.log(n) - np.log(weight)
+    u = np.minimum(-np.logaddexp(0, goal) / (1 - d), -1e-12)
+    for _ in range(8):
+        e = np.exp(u)
+        u = np.minimum(u - (np.log1p(-e) + (d - 1) * u - goal) / (-e / (1 - e) + d - 1), 0.3 * u)
+    strength = np.maximum(weight * np.exp(d * u), 1e-9) - d
+    top = np.clip(np.ceil((weight - strength) / d), 1, n)
+    n, out, open_ = customers, np.ones(len(customers), np.int64), np.arange(len(customers))
+    quotient = lambda t, w, s: t * np.log(w / d) - _rising(s / d + 1, t - 1)
+    best = quotient(top, weight, strength)
+    while len(open_):
+        t = _chinese(n, strength, d, rng)
+        kept = np.log(1 - rng.random(len(t))) <= quotient(t, weight, strength) - best
+        out[open_[kept]] = t[kept]
+        open_, n, weight, strength, best = (x[~kept] for x in (open_, n, weight, strength, best))
     return out
 
 
-def _drawn(rng: np.random.Generator, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many of n draws without return are from the left; where numpy's law ends (10^9), by the binomial one within what is there."""
-    huge = left + right >= 10**9
-    out = rng.hypergeometric(np.where(huge, n, left), np.where(huge, 0, right), n)
-    if huge.any():
-        near = rng.binomial(n[huge], left[huge] / (left[huge] + right[huge]))
-        out[huge] = np.clip(near, np.maximum(0, n[huge] - right[huge]), np.minimum(n[huge], left[huge]))
+def _beside_a_large_one(customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """By Metropolis steps, where one table holds most customers: the others are drawn freely, a Poisson number of sizes with a long tail, and
+    the first customer's table holds the rest. That table's size n has a chance proportional to G(n - d) / G(n) besides."""
+    t, own = np.ones(len(customers), np.int64), customers.astype(float)
+    room = lambda n: _log_gamma(n - d) - _log_gamma(n)
+    for _ in range(STEPS):
+        others = rng.poisson(weight / d)
+        some = np.flatnonzero((others > 0) | (t > 1))
+        k = others[some]
+        p = np.maximum(rng.beta(d, 1 - d, int(k.sum())), 1e-15)
+        sizes = np.ceil(np.log(1 - rng.random(len(p))) / np.log1p(-np.minimum(p, 1 - 1e-15)))
+        left = customers[some] - np.bincount(np.repeat(np.arange(len(k)), k), np.maximum(sizes, 1), len(k))
+        taken = left >= 1
+        taken[taken] = np.log(1 - rng.random(int(taken.sum()))) <= room(left[taken]) - room(own[some][taken])
+        t[some[taken]], own[some[taken]] = k[taken] + 1, left[taken]
+    return t
+
+
+def _rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log of a (a + 1) .. (a + n - 1)."""
+    return _log_gamma(a + n) - _log_gamma(a)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the Gamma function of positive numbers, by Stirling's series from 8 up (error below 1e-10)."""
+    shift = np.maximum(0, np.ceil(8 - x))
+    y, below = x + shift, np.zeros_like(x)
+    for i in range(int(shift.max(initial=0))):
+        below += np.where(i < shift, np.log(x + i), 0)
+    r = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / y - below
+
+
+def _chinese(n: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables that n customers of a Chinese restaurant take: the first table gets a Beta share of all others, the next of what is left."""
+    out = np.zeros(len(n), np.int64)
+    who, left, k = np.arange(len(n)), n.copy(), 1
+    while len(who):
+        out[who] += 1
+        share = rng.beta(1 - d, strength[who] + k * d)
+        left = left - 1 - rng.binomial(left - 1, share)
+        go = left > 0
+        who, left, k = who[go], left[go], k + 1
     return out
 
 
+class Level:
+    """Restaurants of one level: pairs (context, symbol) with customers and tables."""
+
+    def __init__(self, context: np.ndarray, customers: np.ndarray, rng: np.random.Generator, discount: float | None = None, strength: float = 1.0, sampled: bool = True):
+        self.context, self.rng, self.strength, self.sampled = context, rng, strength, sampled
+        self.rooms = int(context.max(initial=-1)) + 1
+        self.seat(customers)
+        once, twice = int((customers == 1).sum()), int((customers == 2).sum())
+        self.discount = float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95)) if discount is None else discount
+
+    def seat(self, customers: np.ndarray) -> None:
+        """So many customers of each pair are there, at one table to begin with."""
+        self.customers, self.tables = customers, np.minimum(customers, 1)
+        self._sum()
+
+    def _sum(self) -> None:
+        self.all_customers = np.bincount(self.context, self.customers, self.rooms)
+        self.all_tables = np.bincount(self.context, self.tables, self.rooms)
+
+    def predict(self, parent: np.ndarray) -> np.ndarray:
+        """Probability of each pair's symbol in its context, given that in the parent context."""
+        whole = self.strength + self.all_customers
+        new = (self.strength + self.discount * self.all_tables) / whole
+        return (self.customers - self.discount * self.tables) / whole[self.context] + new[self.context] * parent
+
+    def move(self, parent: np.ndarray) -> None:
+        """Every customer of every pair leaves and is seated anew."""
+        x = self.rng.standard_gamma(self.strength / self.discount + self.all_tables)
+        some = np.flatnonzero(self.customers)
+        tables = np.zeros(len(self.customers), np.int64)
+        tables[some] = seated(self.customers[some], self.discount * x[self.context[some]] * parent[some], self.discount, self.rng)
+        self.tables = tables
+        self._sum()
+
+    def strengthen(self) -> None:
+        """A new strength, given the seating, by auxiliary Beta and Bernoulli variables and a Gamma prior with mean 1."""
+        some = self.all_customers >= 2
+        if not self.sampled or not some.any():
+            return
+        c, t = self.all_customers[some], self.all_tables[some].astype(np.int64)
+        lost = -np.log(np.maximum(self.rng.beta(self.strength + 1, c - 1), 1e-300)).sum()
+        # Tables of all restaurants by their place: how many have a k-th one.
+        have = np.cumsum(np.bincount(t)[::-1])[::-1][2:]
+        drawn = self.rng.binomial(have, self.strength / (self.strength + self.discount * np.arange(1, len(have) + 1))).sum() if len(have) else 0
+        self.strength = float(np.clip(self.rng.gamma(1 + drawn) / (1 + lost), 1e-3, 1e4))
+
+
+class Part(Level):
+    """Some pairs of one restaurant, of which all customers are known; of its tables, these pairs' ones stand for all. Its strength stays: with so many tables it does not matter."""
+
+    def __init__(self, customers: np.ndarray, rng: np.random.Generator, total: float, rest: float):
+        self.total, self.rest = total, rest
+        super().__init__(np.zeros(len(customers), np.int64), customers, rng, sampled=False)
+
+    def _sum(self) -> None:
+        self.all_customers, self.all_tables = np.full(self.rooms, self.total), np.full(self.rooms, self.tables.sum() * self.rest)
+
+
 class Restaurants:
-    """The levels of contexts low .. high over one range's n-grams; `top` gives the probability of each lowest pair in its parent context."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, top: np.ndarray, discounts: np.ndarray, seed: int):
-        self.rng = np.random.default_rng(seed)
-        self.low, self.high = low, high
-        mask = lambda j: np.uint64((1 << 8 * (j + 1)) - 1)
-        self.levels: dict[int, Level] = {}
-        self.parent: dict[int, np.ndarray] = {}
-        own, total = keys, {high: counts}
-        for j in range(high, low - 1, -1):
-            self.levels[j] = Level(own, j, float(discounts[j]), 0.5, self.rng)
-            if j > low:
-                above, self.parent[j] = np.unique(own & mask(j - 1), return_inverse=True)
-                total[j - 1] = np.bincount(self.parent[j], total[j], len(above)).astype(np.int64)
-                own = above
-        self.top = top
-        # Probabilities to start with: every pair seen has one table.
-        for j, level in self.levels.items():
-            level.customers, level.tables = total[j].astype(np.int64), (total[j] > 0).astype(np.int64)
-            level.all_customers = np.bincount(level.context, level.customers, len(level.all_customers)).astype(np.int64)
-            level.all_tables = np.bincount(level.context, level.tables, len(level.all_tables)).astype(np.int64)
-        start = self.predict()
-        for level in self.levels.values():
-            for x in (level.customers, level.tables, level.all_customers, level.all_tables):
-                x[:] = 0
-        customers = counts.astype(np.int64)
-        for j in range(high, low - 1, -1):
-            self.levels[j].seat(customers, self._of_parent(start, j))
-            if j > low:
-                customers = np.bincount(self.parent[j], self.levels[j].tables, len(self.levels[j - 1].keys)).astype(np.int64)
-
-    def _of_parent(self, p: dict[int, np.ndarray], j: int) -> np.ndarray:
-        return self.top if j == self.low else p[j - 1][self.parent[j]]
-
-    def predict(self) -> dict[int, np.ndarray]:
-        p: dict[int, np.ndarray] = {}
-        for j in range(self.low, self.high + 1):
-            p[j] = self.levels[j].predict(self._of_parent(p, j))
+    """Levels from the longest contexts to the shortest; parents[j]: the pair of level j + 1 that stands for each pair of level j."""
+
+    def __init__(self, levels: list[Level], parents: list[np.ndarray], base: np.ndarray):
+        self.levels, self.parents, self.base = levels, parents, base
+        for j, at in enumerate(parents):
+            self._send(j, at)
+
+    def _send(self, j: int, at: np.ndarray) -> None:
+        """The tables of a level are the customers of the next."""
+        upper = self.levels[j + 1]
+        upper.customers = np.bincount(at, self.levels[j].tables, len(upper.context)).astype(np.int64)
+        upper.tables = np.minimum(np.maximum(upper.tables, upper.customers > 0), upper.customers)
+        upper._sum()
+
+    def predict(self) -> list[np.ndarray]:
+        p = [np.zeros(0)] * len(self.levels)
+        above = self.base
+        for j in range(len(self.levels) - 1, -1, -1):
+            p[j] = self.levels[j].predict(above)
+            above = p[j][self.parents[j - 1]] if j else above
         return p
 
     def sweep(self) -> None:
-        """From the longest contexts up: what the level below has opened or given up comes and goes, then every customer of every pair moves."""
-        change: np.ndarray | None = None
-        for j in range(self.high, self.low - 1, -1):
-            level, parent = self.levels[j], self._of_parent(self.predict(), j)
-            before = level.tables.copy()
-            if change is not None:
-                less = np.flatnonzero(change < 0)
-                level.still = level.sizes.copy()
-                level.leave(less, -change[less])
-                level.seat(level.customers + np.maximum(change, 0), parent)
-            level.move(parent)
-            change = np.bincount(self.parent[j], level.tables - before, len(self.levels[j - 1].keys)).astype(np.int64) if j > self.low else None
-
-    def average(self, burn: int = BURN, samples: int = SAMPLES) -> np.ndarray:
-        """Predictive probability of every n-gram's last symbol, averaged over samples of the seating."""
+        p = self.predict()
+        for j, level in enumerate(self.levels):
+            level.move(self.base if j == len(self.levels) - 1 else p[j + 1][self.parents[j]])
+            level.strengthen()
+            if j < len(self.parents):
+                self._send(j, self.parents[j])
+
+    def average(self, burn: int = BURN, samples: int = SAMPLES) -> list[np.ndarray]:
+        """Predictive probabilities of all levels' pairs, averaged over samples of the seating."""
         for _ in range(burn):
             self.sweep()
-        p = np.zeros(len(self.levels[self.high].keys))
+        total = [np.zeros(len(x.context)) for x in self.levels]
         for _ in range(samples):
             self.sweep()
-            p += self.predict()[self.high] / samples
-        return p
+            for own, p in zip(total, self.predict(), strict=True):
+                own += p / samples
+        return total
 
 
-# -- texts --------------------------------------------------------------------
+# -- spellings ----------------------------------------------------------------
 
 
-def spell(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spelled bytes of all documents and their offsets; hashes of the words and their number before each document."""
-    starts, ends, before = kernel.words(data, off)
-    lengths = ends - starts + 1
-    n = len(off) - 1
-    doc = np.repeat(np.arange(n), np.diff(before))
-    out_end = np.cumsum(lengths) + doc  # one end mark after each document before
-    total = int(lengths.sum()) + n
-    out = np.full(total, SPACE, np.uint8)
-    at = kernel.ragged(out_end - lengths, lengths - 1)
-    out[at] = data[kernel.ragged(starts, lengths - 1)]
-    upper = (out >= 65) & (out <= 90)
-    out[upper] += 32
-    sums = np.concatenate(([0], np.cumsum(lengths)))[before]
-    offsets = sums + np.arange(n + 1)
-    out[offsets[1:] - 1] = END
-    return out, offsets, kernel.slice_hashes(data, starts, ends, lower=True), before
-
-
-def ngrams(spelled: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Each byte with the `order` bytes before it, as one number; END stands before a document."""
-    x = spelled.astype(np.uint64)
+def spelling_grams(spelled: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Every byte of every word, and what closes it, with the SPELLING bytes before it, as one number; words follow each other."""
+    n = lengths + 1
+    start = np.cumsum(n) - n
+    x = np.full(int(n.sum()), CLOSE, np.uint32)
+    x[kernel.ragged(start, lengths)] = spelled
+    place = np.arange(len(x)) - np.repeat(start, n)
     key = x.copy()
-    for j in range(1, order + 1):
-        shifted = np.full(len(x), END, np.uint64)
+    for j in range(1, SPELLING + 1):
+        shifted = np.full(len(x), CLOSE, np.uint32)
         shifted[j:] = x[:-j]
-        for i in range(j):  # the first j bytes of every document have none of it
-            at = off[:-1] + i
-            shifted[at[at < off[1:]]] = END
-        key |= shifted << np.uint64(8 * j)
+        key |= np.where(place >= j, shifted, CLOSE).astype(np.uint32) << np.uint32(8 * j)
     return key
 
 
-def range_of(key: np.ndarray, parts: int) -> np.ndarray:
-    return (kernel.mix((key >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
+def spelling_model(keys: np.ndarray, counts: np.ndarray, seed: int = 1) -> np.ndarray:
+    """log10 of the averaged probability of each byte n-gram (distinct keys in order), whose restaurants' parents have one context byte less."""
+    rng = np.random.default_rng(seed)
+    levels, parents, own, customers = [], [], keys, counts
+    for j in range(SPELLING, -1, -1):
+        contexts = np.unique(own >> np.uint32(8), return_inverse=True)[1] if j else np.zeros(len(own), np.int64)
+        levels.append(Level(contexts, customers, rng))
+        if j:
+            own, at = np.unique(own & np.uint32((1 << 8 * j) - 1), return_inverse=True)
+            parents.append(at)
+            customers = np.bincount(at, np.minimum(customers, 1), len(own)).astype(np.int64)
+    return np.log10(Restaurants(levels, parents, np.full(len(own), 1 / 256)).average()[0])
+
+
+# -- texts to numbers -----------------------------------------------------------
+
+
+def tokens(data: np.ndarray, off: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: each token's symbol, the one before it, the one before that (first: from the text's seed), and the texts' offsets."""
+    h, before = kernel.word_hashes(data, off)
+    n = np.diff(before)
+    at = before + np.arange(len(off))
+    symbol = np.full(len(h) + len(n), END, np.uint64)
+    symbol[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+    last, before_last = np.full(len(symbol), START, np.uint64), np.full(len(symbol), START, np.uint64)
+    last[1:], before_last[2:] = symbol[:-1], symbol[:-2]
+    last[at[:-1]], before_last[at[:-1]] = START, seeds
+    second = at[:-1][n > 0] + 1
+    before_last[second] = START
+    return symbol, last, before_last, at
+
+
+def contexts(last: np.ndarray, before_last: np.ndarray, hot: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hash of each token's context: the word before, and of hot ones the class of the word before that."""
+    own = last.copy()
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, last), len(hot) - 1)
+        is_hot = np.flatnonzero(hot[at] == last)
+        own[is_hot] += (kernel.mix(before_last[is_hot] + np.uint64(3)) % classes[at[is_hot]]) * np.uint64(0x9E3779B97F4A7C15)
+    return kernel.mix(own * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+
+
+def range_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (h % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
+
+
+def word_range(h: np.ndarray, parts: int) -> np.ndarray:
+    """Range of a word, by the bits that pairs keep of it."""
+    return range_of(kernel.mix((h & _SYMBOL) + np.uint64(5)), parts)
+
+
+def by_range(keys: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys by range and, in it, by size; and the ranges' edges."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    sorted_ = keys[order]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            order[a:b] = order[a:b][np.argsort(sorted_[a:b])]
+    return order, edges
+
+
+def runs(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in order within ranges: where each distinct one starts, and the ranges' edges among these."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    new[edges[:-1][edges[:-1] < len(keys)]] = True
+    start = np.flatnonzero(new)
+    return start, np.searchsorted(start, edges)
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def pairs(symbol: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Context and symbol in one number, with a free lowest bit."""
+    return (context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(SYMBOL_BITS + 1) | (symbol & _SYMBOL) << np.uint64(1)
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and their counts' sums."""
     joined = np.concatenate([*keys, np.zeros(0, np.uint64)])
     order = np.argsort(joined, kind="stable")
     s = joined[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
     c = np.concatenate([*counts, np.zeros(0, np.int64)])[order]
-    return s[new], (np.add.reduceat(c, at) if len(at) else c)
-
+    return s[at], (np.add.reduceat(c, at) if len(at) else c.astype(np.int64))
 
-def _by_range(keys: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by range (keys stay in order within), and the ranges' edges."""
-    order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.uint32), kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
+_ROWS = "part int, chunk long, kind int, a binary, b binary, c binary"
+_COLUMNS = ["part", "chunk", "kind", "a", "b", "c"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+_PAIR, _WORD, _TEXT, _SUM = 0, 1, 2, 3
 
-def _word_range(h: np.ndarray, parts: int) -> np.ndarray:
-    return (h % np.uint64(parts)).astype(np.int64)
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _COLUMNS)
 
-_ROWS = "part int, chunk long, kind int, a binary, b binary"
-_COLUMNS = ["part", "chunk", "kind", "a", "b"]
-_NGRAM, _WORD, _TEXT = 0, 1, 2
 
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    part, chunk, kind, a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], _COLUMNS)
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows)] if rows else [], pa.schema(list(zip(_COLUMNS, _TYPES, strict=True))))
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -322,86 +396,218 @@ def _expand(blob: bytes, dtype: str, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if rising else x
 
 
-def _count(parts: int):
-    """Texts to rows: n-grams and words with their training counts by range, and the chunk's own texts."""
+# -- what tasks do ----------------------------------------------------------------
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
+    held, size, texts = [], 0, 0
+    for batch, data, off in kernel.blocks(batches):
+        if held and (size + len(data) > CHUNK_BYTES or texts + batch.num_rows > CHUNK_TEXTS):
+            yield held
+            held, size, texts = [], 0, 0
+        held.append((batch, data, off))
+        size, texts = size + len(data), texts + batch.num_rows
+    if held:
+        yield held
+
+
+def _frequent(parts: int):
+    """Contexts (words, and the mark before a text) that hold a share of 1 / 2 parts of a chunk's tokens or more, with their count; and that of all tokens (hash 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, texts, grams, words = 0, 0, [], ([], []), ([], [])
+        for chunk in _chunks(batches):
+            h = np.concatenate([kernel.word_hashes(data, off)[0] for _, data, off in chunk])
+            texts = sum(b.num_rows for b, _, _ in chunk)
+            total = len(h) + texts
+            h = np.sort(h)
+            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+            n = np.diff(np.append(at, len(h)))
+            most = n * 2 * parts >= total
+            keys, n = np.concatenate((h[at[most]], [START])), np.concatenate((n[most], [texts]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, np.uint64(0)).view(np.int64)), pa.array(np.append(n, total).astype(np.int64))], ["h", "n"])
+
+    return run
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
+def _packed(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray, hot: np.ndarray, classes: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """Pairs of a block's tokens, their ranges, and the texts' offsets."""
+    symbol, last, before_last, at = tokens(data, off, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+    context = contexts(last, before_last, hot, classes)
+    return pairs(symbol, context), range_of(context, parts), at
+
+
+def _count(hot: np.ndarray, classes: np.ndarray, parts: int):
+    """Texts to rows: distinct pairs and words with their training counts by range, and the chunk's own texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, blocks in enumerate(_chunks(batches)):
             chunk = TaskContext.get().partitionId() << 32 | number  # the same when a lost task is run again
-            for kind, (keys, counts), rule in ((_NGRAM, grams, range_of), (_WORD, words, _word_range)):
-                k, c = _merged(keys, counts)
-                order, edges = _by_range(k, rule(k, parts), parts)
-                k, c = k[order], np.minimum(c[order], 0xFFFFFFFF).astype("<u4")
-                for p in range(0, parts, 64):
-                    rows = [(q, chunk, kind, _squeeze(k[edges[q] : edges[q + 1]], True), _squeeze(c[edges[q] : edges[q + 1]])) for q in range(p, min(parts, p + 64)) if edges[q] < edges[q + 1]]
-                    if rows:
-                        yield _rows(rows)
+            keys, part, words, counts, spelled, lengths = [], [], [], [], [], []
+            for batch, data, off in blocks:
+                k, p, at = _packed(batch, data, off, hot, classes, parts)
+                held = np.asarray(batch.column(2))
+                keys.append(k | np.repeat(~held, np.diff(at)).astype(np.uint64)), part.append(p)
+                starts, ends, before = kernel.words(data, off)
+                h = kernel.slice_hashes(data, starts, ends, lower=True)
+                some, first, rank = kernel.distinct(h)
+                words.append(some), counts.append(np.bincount(rank, np.repeat(~held, np.diff(before)), len(some)).astype(np.int64))
+                n = ends[first] - starts[first]
+                own = data[kernel.ragged(starts[first], n)]
+                spelled.append(np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)), lengths.append(n)
+            keys, part = np.concatenate(keys), np.concatenate(part)
+            order, edges = by_range(keys, part, parts)
+            keys = keys[order]
+            at, edges = runs(keys >> np.uint64(1), edges)
+            learned = np.add.reduceat((keys & np.uint64(1)).astype(np.int64), at)
+            keys, learned = keys[at] >> np.uint64(1), np.minimum(learned, 0xFFFFFFFF).astype("<u4")
+            for p in range(0, parts, 64):
+                rows = [(q, chunk, _PAIR, _squeeze(keys[edges[q] : edges[q + 1]], True), _squeeze(learned[edges[q] : edges[q + 1]]), None) for q in range(p, min(parts, p + 64)) if edges[q] < edges[q + 1]]
+                if rows:
+                    yield _rows(rows)
+            h, n, counts, spelled = np.concatenate(words), np.concatenate(lengths), np.concatenate(counts), np.concatenate(spelled)
+            some, first, rank = kernel.distinct(h)
+            counts = np.bincount(rank, counts, len(some)).astype(np.int64)
+            order, edges = by_range(some, word_range(some, parts), parts)
+            at = np.cumsum(n) - n
+            for p in range(0, parts, 64):
+                rows = []
+                for q in range(p, min(parts, p + 64)):
+                    if edges[q] < edges[q + 1]:
+                        own = order[edges[q] : edges[q + 1]]
+                        letters = spelled[kernel.ragged(at[first[own]], n[first[own]])].tobytes()
+                        rows.append((q, chunk, _WORD, _squeeze(some[own], True), _squeeze(np.stack((counts[own], n[first[own]])).astype("<u4").ravel()), zstandard.compress(letters, 3)))
+                if rows:
+                    yield _rows(rows)
             own = int(kernel.mix(np.array([chunk], np.uint64))[0] % np.uint64(parts))
-            for t in texts:
-                yield _rows([(own, chunk, _TEXT, t, None)])
-
-        for batch, data, off in kernel.blocks(batches):
-            if texts and size + len(data) > CHUNK_BYTES:
-                yield from flush()
-                number, size, texts, grams, words = number + 1, 0, [], ([], []), ([], [])
-            spelled, at, h, before = spell(data, off)
-            train = ~np.asarray(batch.column(2))
-            for store, keys, here in ((grams, ngrams(spelled, at), at), (words, h, before)):
-                for which, weight in ((train, 1), (~train, 0)):
-                    chosen = keys[np.repeat(which, np.diff(here))]
-                    if len(chosen):
-                        k = np.sort(chosen)
-                        new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                        store[0].append(k[new]), store[1].append(np.diff(np.append(new, len(k))) * weight)
-            texts.append(_ipc(batch))
-            size += len(data)
-        if texts:
-            yield from flush()
+            for batch, _, _ in blocks:
+                yield _rows([(own, chunk, _TEXT, _ipc(batch), None, None)])
 
     return run
 
 
-_MERGED = "part int, kind int, keys binary, counts binary, chunks array<long>, places array<binary>, chunk long, text binary, pairs binary, numbers array<long>"
+def _words(part: pa.Table) -> pa.Table:
+    """Of a range of words: all with their training counts and spellings (chunk -1), each chunk's counts, and the byte n-grams of learned and of all words."""
+    p = part["part"][0].as_py()
+    keys = [_expand(x, "<u8", True) for x in part["a"].to_pylist()]
+    numbers = [_expand(x, "<u4").reshape(2, -1).astype(np.int64) for x in part["b"].to_pylist()]
+    letters = np.frombuffer(b"".join(zstandard.decompress(x) for x in part["c"].to_pylist()), np.uint8)
+    joined, n = np.concatenate(keys), np.concatenate([x[1] for x in numbers])
+    at = np.cumsum(n) - n
+    some, first, rank = kernel.distinct(joined)
+    counts = np.bincount(rank, np.concatenate([x[0] for x in numbers]), len(some)).astype(np.int64)
+    n = n[first]
+    spelled = letters[kernel.ragged(at[first], n)]
+    out = [(p, -1, _WORD, _squeeze(some, True), _squeeze(np.stack((counts, n)).ravel()), zstandard.compress(spelled.tobytes(), 1))]
+    out += [(p, c, _WORD, _squeeze(counts[np.searchsorted(some, k)]), None, None) for c, k in zip(part["chunk"].to_pylist(), keys, strict=True)]
+    grams = spelling_grams(spelled, n)
+    g, of = np.unique(grams, return_inverse=True)
+    times = np.bincount(of, np.repeat(counts > 0, n + 1), len(g)).astype(np.int64)
+    for q in range(16):  # dealt anew by their last bits
+        own = g % 16 == q
+        if own.any():
+            out.append((q, -1, _SUM, _squeeze(g[own], True), _squeeze(times[own]), None))
+    out.append((p, -2, _SUM, np.array([counts.sum(), (counts > 0).sum()], "<i8").tobytes(), None, None))
+    return _table(out)
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    keys, counts = merged([_expand(x, "<u4", True).astype(np.uint64) for x in part["a"].to_pylist()], [_expand(x, "<i8") for x in part["b"].to_pylist()])
+    return _table([(0, -1, _SUM, _squeeze(keys.astype("<u4"), True), _squeeze(counts), None)])
+
+
+def _spelling(part: pa.Table) -> pa.Table:
+    """The model of spellings, of 2**24 byte n-grams at most: in one task."""
+    keys, counts = merged([_expand(x, "<u4", True).astype(np.uint64) for x in part["a"].to_pylist()], [_expand(x, "<i8") for x in part["b"].to_pylist()])
+    keys = np.append(keys, np.uint64(0x202020)) if 0x202020 not in keys else keys  # the end mark: a spelling without a letter
+    order = np.argsort(keys)
+    counts = np.append(counts, np.zeros(len(keys) - len(counts), np.int64))[order]
+    keys = keys[order].astype(np.uint32)
+    counts[keys == 0x202020] += 1
+    return _table([(0, -1, _SUM, _squeeze(keys.astype("<u4"), True), _squeeze(spelling_model(keys, counts).astype("<f4")), None)])
+
+
+def _seating(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a range with their counts, each chunk's pairs; and the pairs' contexts, distinct symbols by word, places of the pairs among these."""
+    keys = [_expand(x, "<u8", True) for x in part["a"].to_pylist()]
+    k, c = merged(keys, [_expand(x, "<u4").astype(np.int64) for x in part["b"].to_pylist()])
+    context = k >> np.uint64(SYMBOL_BITS)
+    room = np.cumsum(np.concatenate((np.zeros(min(1, len(k)), bool), context[1:] != context[:-1]))).astype(np.int64)
+    symbols, at = np.unique(k & _SYMBOL, return_inverse=True)
+    return k, c, keys, room, symbols, at
+
+
+def _tables(parts: int):
+    """(1): how many tables each word has in a range's restaurants, sampled over a root of the range's own; to the ranges of words."""
+
+    def run(part: pa.Table) -> pa.Table:
+        p = part["part"][0].as_py()
+        _, c, _, room, symbols, at = _seating(part)
+        rng = np.random.default_rng(p)
+        lower = Level(room, c, rng)
+        root = Level(np.zeros(len(symbols), np.int64), np.bincount(at, lower.tables, len(symbols)).astype(np.int64), rng)
+        r = Restaurants([lower, root], [at], np.full(len(symbols), 1 / max(1, len(symbols))))
+        for _ in range(BURN + 1):
+            r.sweep()
+        tables = root.customers
+        order, edges = by_range(symbols, word_range(symbols, parts), parts)
+        out = [(q, p, _PAIR, _squeeze(symbols[own], True), _squeeze(tables[own].astype("<i8")), None) for q in range(parts) if len(own := order[edges[q] : edges[q + 1]])]
+        sums = np.array([(c == 1).sum(), (c == 2).sum(), tables.sum(), lower.strength * len(c), len(c)], "<f8")
+        return _table([*out, (p, p, _SUM, sums.tobytes(), None, None)])
+
+    return run
 
 
-def _merge(part: pa.Table) -> pa.Table:
-    """One row per kind of a range: all keys with their counts, and each chunk's keys as places among them. Texts pass."""
-    out = []
-    p = part["part"][0].as_py()
-    kinds = np.asarray(part["kind"])
-    for kind in (_NGRAM, _WORD):
-        rows = part.filter(pa.array(kinds == kind))
-        if not rows.num_rows:
-            continue
-        keys = [_expand(x, "<u8", True) for x in rows["a"].to_pylist()]
-        counts = [_expand(x, "<u4").astype(np.int64) for x in rows["b"].to_pylist()]
-        k, c = _merged(keys, counts)
-        places = [_squeeze(np.searchsorted(k, x).astype("<u4"), True) for x in keys]
-        pairs, numbers = b"", [int(c.sum()), int((c > 0).sum())]
-        if kind == _NGRAM:
-            seen, below = k[c > 0], c[c > 0]
-            for j in range(ORDER, 1, -1):  # how many symbols of a context came once, and twice, as customers
-                numbers += [int((below == 1).sum()), int((below == 2).sum())]
-                seen, below = np.unique(seen & np.uint64((1 << 8 * j) - 1), return_counts=True)
-            pairs = np.stack((seen.astype(np.int64), below.astype(np.int64))).tobytes()  # of one-byte contexts: customers
-        out.append((p, kind, _squeeze(k, True), _squeeze(c.astype("<i8")), rows["chunk"].to_pylist(), places, None, None, pairs, numbers))
-    for chunk, text in zip(*(part.filter(pa.array(kinds == _TEXT))[c].to_pylist() for c in ("chunk", "a")), strict=True):
-        out.append((p, _TEXT, None, None, None, None, chunk, text, None, None))
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-    names = [x.split(" ")[0] for x in _MERGED.split(", ")]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-
-def _top(pairs: dict[int, int], discount: float) -> np.ndarray:
-    """256 x 256: averaged probability of a symbol after a byte, from the restaurants of one-byte contexts and of the empty context, over a uniform base."""
-    every = np.arange(65536, dtype=np.uint64)
-    counts = np.zeros(65536, np.int64)
-    for k, c in pairs.items():
-        counts[k] = c
-    r = Restaurants(every, counts, 0, 1, np.full(256, 1 / 256), np.full(2, discount), 1)
-    return r.average().reshape(256, 256)
+def _root(total: float, words: int, spelling, seed: int = 99):
+    """(2): the root's averaged probability of each word that a range has asked for, in the order of its request."""
+
+    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _table([])
+        p = asked["part"][0].as_py()
+        wanted = [_expand(x, "<u8", True) for x in asked["a"].to_pylist()]
+        symbols, customers = merged(wanted, [_expand(x, "<i8") for x in asked["b"].to_pylist()])
+        # Probability of each spelling; words that agree in what pairs keep of them are one.
+        base = np.full(len(symbols), 10.0 ** float(_spelled(spelling.value, np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]))
+        if known.num_rows:
+            h = _expand(known["a"][0].as_py(), "<u8", True) & _SYMBOL
+            n = _expand(known["b"][0].as_py(), "<i8").reshape(2, -1)[1]
+            log = _spelled(spelling.value, np.frombuffer(zstandard.decompress(known["c"][0].as_py()), np.uint8), n)
+            base[np.searchsorted(symbols, h)] = np.maximum(10.0**log, 1e-300)
+        rng = np.random.default_rng(seed + p)
+        own = int((customers > 0).sum())
+        level = Part(customers, rng, total, max(1.0, words / max(1, own)))
+        log = np.log10(np.maximum(Restaurants([level], [], base).average()[0], 1e-300)).astype("<f4")
+        return _table([(r, p, _PAIR, _squeeze(log[np.searchsorted(symbols, w)]), None, None) for r, w in zip(asked["chunk"].to_pylist(), wanted, strict=True)])
+
+    return run
+
+
+def _spelled(model: tuple[np.ndarray, np.ndarray], spelled: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each spelling."""
+    keys, log = model
+    grams = spelling_grams(spelled, lengths)
+    return kernel.segment_sums(log[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)].astype(float), np.concatenate(([0], np.cumsum(lengths + 1))))
+
+
+def _answers(parts: int, discount: float, strength: float):
+    """(3): log10 probability of every chunk's pairs, in the order they came."""
+
+    def run(part: pa.Table, given: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return _table([])
+        p = part["part"][0].as_py()
+        k, c, keys, room, symbols, at = _seating(part)
+        order, edges = by_range(symbols, word_range(symbols, parts), parts)
+        above = np.zeros(len(symbols))
+        for q, blob in zip(given["chunk"].to_pylist(), given["a"].to_pylist(), strict=True):
+            above[order[edges[q] : edges[q + 1]]] = 10.0 ** _expand(blob, "<f4").astype(float)
+        level = Level(room, c, np.random.default_rng(parts + p), discount, strength)
+        log = np.log10(np.maximum(Restaurants([level], [], above[at]).average()[0], 1e-300))
+        # 18 bits behind the point are enough, and pack well.
+        log = (np.round(log * 4096) / 4096).astype("<f4")
+        return _table([(p, chunk, _PAIR, _squeeze(log[np.searchsorted(k, own)]), None, None) for chunk, own in zip(part["chunk"].to_pylist(), keys, strict=True)])
+
+    return run
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,77 +616,68 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     prepare(spark)
     parts = buckets(spark)
     id_kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = texts.mapInArrow(_count(parts), _ROWS)
-    merged = checkpointed(counted.groupBy("part").applyInArrow(_merge, _MERGED))
-    free_shuffles(spark)
-    numbers = merged.where(F.col("numbers").isNotNull()).groupBy("kind").agg(*(F.sum(F.try_element_at("numbers", F.lit(i + 1))).alias(f"x{i}") for i in range(2 + 2 * (ORDER - 1)))).collect()  # two rows
-    by_kind = {r.kind: r for r in numbers}
-    words, types = (by_kind[_WORD][1], by_kind[_WORD][2]) if _WORD in by_kind else (0, 0)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64(id_col).alias("seed"))
+    seen = checkpointed(texts.mapInArrow(_frequent(parts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    every = sum(r.n for r in seen.where("h = 0").collect())
+    seen = {r.h: r.n for r in seen.where((F.col("h") != 0) & (F.col("n") * parts > every)).collect()}  # 2 parts rows at most
+    share = {h: -(-n * parts // every) for h, n in seen.items()}
+    hot = np.array(sorted(np.array(list(share), np.int64).view(np.uint64)), np.uint64)
+    classes = np.array([share[int(h)] for h in hot.view(np.int64)], np.uint64)
+    counted = checkpointed(texts.mapInArrow(_count(hot, classes, parts), _ROWS))
+
+    words = checkpointed(counted.where(F.col("kind") == _WORD).groupBy("part").applyInArrow(_words, _ROWS))
+    grams = words.where((F.col("kind") == _SUM) & (F.col("chunk") == -1)).groupBy("part").applyInArrow(_summed, _ROWS).groupBy("kind").applyInArrow(_spelling, _ROWS).collect()
+    none = [(np.array([0x202020], np.uint32), np.zeros(1, "<f4"))]
+    spelling = spark.sparkContext.broadcast(([(_expand(r.a, "<u4", True), _expand(r.b, "<f4")) for r in grams] or none)[0])  # 2**24 numbers at most
+    numbers = lambda df, dtype, chunk=None: [np.frombuffer(r.a, dtype) for r in df.where(F.col("kind") == _SUM).where(F.lit(True) if chunk is None else F.col("chunk") == chunk).select("a").collect()]  # noqa: E731  one row for each range
+    n, v = (int(x) for x in np.sum(numbers(words, "<i8", -2), 0)) if not words.isEmpty() else (0, 0)
     ends = texts.where(~F.col("held_out")).count()
-    n, v = words + ends, types + (ends > 0)
-    discounts = np.full(ORDER + 1, 0.5)
-    if _NGRAM in by_kind:
-        for i, j in enumerate(range(ORDER, 1, -1)):
-            once, twice = by_kind[_NGRAM][3 + 2 * i], by_kind[_NGRAM][4 + 2 * i]
-            discounts[j] = np.clip(once / max(1, once + 2 * twice), 0.1, 0.9)
-
-    def two_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                k, c = np.frombuffer(blob, np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["k", "c"])
-
-    pairs = merged.where(F.col("kind") == _NGRAM).select("pairs").mapInArrow(two_bytes, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    top = spark.sparkContext.broadcast(_top({r.k: r.c for r in pairs.collect()}, 0.5))  # 65,536 pairs at most
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["kind"] == _TEXT:
-                    yield _rows([(r["part"], r["chunk"], _TEXT, r["text"], None)])
-                    continue
-                k, c = _expand(r["keys"], "<u8", True), _expand(r["counts"], "<i8")
-                if r["kind"] == _NGRAM:
-                    low = np.unique(k & np.uint64(0xFFFFFF))
-                    p = Restaurants(k, c, 2, ORDER, top.value.ravel()[(low & np.uint64(0xFFFF)).astype(np.int64)], discounts, r["part"]).average()
-                    values = np.log10(np.maximum(p, 1e-300)).astype("<f4")
-                else:
-                    values = c
-                for chunk, places in zip(r["chunks"], r["places"], strict=True):
-                    yield _rows([(r["part"], chunk, r["kind"], _squeeze(values[_expand(places, "<u4", True)]), None)])
-
-    answers = merged.mapInArrow(answer, _ROWS)
-    end_known = int(ends > 0)
+
+    pair_rows = counted.where(F.col("kind") == _PAIR)
+    tables = checkpointed(pair_rows.groupBy("part").applyInArrow(_tables(parts), _ROWS))
+    free_shuffles(spark)
+    sums = np.sum([np.zeros(5), *numbers(tables, "<f8")], 0)
+    discount = float(np.clip((sums[0] + 1) / (sums[0] + 2 * sums[1] + 2), 0.05, 0.95))
+    strength = float(sums[3] / sums[4]) if sums[4] else 1.0
+    known = words.where((F.col("kind") == _WORD) & (F.col("chunk") == -1))
+    asked = tables.where(F.col("kind") == _PAIR)
+    root = checkpointed(known.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_root(float(sums[2]), v + (ends > 0), spelling), _ROWS))
+    answers = pair_rows.groupBy("part").cogroup(root.groupBy("part")).applyInArrow(_answers(parts, discount, strength), _ROWS)
+    n_all, v_all = n + ends, v + (ends > 0)
 
     def final(part: pa.Table) -> pa.Table:
         kinds, ranges = np.asarray(part["kind"]), np.asarray(part["part"])
         blobs = part["a"]
-        found = []
         batches = [pa.ipc.open_stream(zstandard.decompress(blobs[i].as_py())).read_all().combine_chunks().to_batches()[0] for i in np.flatnonzero(kinds == _TEXT).tolist()]
-        spelled = [spell(*kernel.utf8(b.column(1))) for b in batches]
-        for kind, rule, dtype in ((_NGRAM, range_of, "<f4"), (_WORD, _word_range, "<i8")):
-            keys = np.zeros(0, np.uint64)
-            for s, at, h, _ in spelled:
-                k = np.sort(ngrams(s, at) if kind == _NGRAM else h)
-                keys = np.concatenate((keys, k[np.concatenate(([True], k[1:] != k[:-1]))])) if len(k) else keys
-            keys = np.unique(keys)
-            order, edges = _by_range(keys, rule(keys, parts), parts)
-            values = np.zeros(len(keys), dtype)
+        bytes_of = [kernel.utf8(b.column(1)) for b in batches]
+        blocks = [_packed(b, data, off, hot, classes, parts) for b, (data, off) in zip(batches, bytes_of, strict=True)]
+        hashes = [kernel.word_hashes(data, off) for data, off in bytes_of]
+        values = []
+        for kind, keys, own, dtype in (
+            (_PAIR, np.concatenate([x[0] >> np.uint64(1) for x in blocks]), np.concatenate([x[1] for x in blocks]), "<f4"),
+            (_WORD, h := np.concatenate([x[0] for x in hashes]), word_range(h, parts), "<i8"),
+        ):
+            order, edges = by_range(keys, own, parts)
+            at, edges = runs(keys[order], edges)
+            found = np.zeros(len(at), dtype)
             for i in np.flatnonzero(kinds == kind).tolist():
-                values[order[edges[ranges[i]] : edges[ranges[i] + 1]]] = _expand(blobs[i].as_py(), dtype)
-            found.append((keys, values))
-        (gram, log), (word, count) = found
-        out = []
-        unit = np.log10(n + 0.5 * (v + 1)) if n + v else np.log10(0.5)
-        for b, (s, at, h, before) in zip(batches, spelled, strict=True):
-            c = count[np.searchsorted(word, h)] if len(word) else np.zeros(0, np.int64)
-            tokens = np.diff(before) + 1
-            base = kernel.segment_sums(np.log10(c + 0.5) - unit, before) + np.log10((ends if end_known else 0) + 0.5) - unit
-            known = kernel.segment_sums((c > 0).astype(np.int64), before) + end_known
-            model = kernel.segment_sums(log[np.searchsorted(gram, ngrams(s, at))].astype(float), at)
-            out.append(pa.table([b.column(0), b.column(2), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), n, np.int64)), pa.array(base), pa.array(model)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+                found[edges[ranges[i]] : edges[ranges[i] + 1]] = _expand(blobs[i].as_py(), dtype)
+            spread = np.empty(len(keys), dtype)
+            spread[order] = np.repeat(found, np.diff(np.append(at, len(keys))))
+            values.append(spread)
+        log, count = values
+        out, a, z = [], 0, 0
+        unit = np.log10(n_all + 0.5 * (v_all + 1))
+        for b, (_, _, at), (_, before) in zip(batches, blocks, hashes, strict=True):
+            c = count[z : z + before[-1]]
+            model = kernel.segment_sums(log[a : a + at[-1]].astype(float), at)
+            a, z = a + int(at[-1]), z + int(before[-1])
+            many = np.diff(at)
+            base = kernel.segment_sums(np.log10(c + 0.5) - unit, before) + np.log10(ends + 0.5) - unit
+            known = kernel.segment_sums((c > 0).astype(np.int64), before) + int(ends > 0)
+            out.append(pa.table([b.column(0), b.column(2), pa.array(many), pa.array(known), pa.array(np.full(len(many), n_all, np.int64)), pa.array(base), pa.array(model)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    result = answers.groupBy("chunk").applyInArrow(final, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = answers.unionByName(words.where((F.col("kind") == _WORD) & (F.col("chunk") >= 0))).unionByName(counted.where(F.col("kind") == _TEXT))
+    result = rows.select("chunk", "part", "kind", "a").groupBy("chunk").applyInArrow(final, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("id", id_col)
