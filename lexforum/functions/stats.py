@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 
@@ -31,20 +36,62 @@ def scaled(x: Column, low: Column, high: Column) -> Column:
     return F.when(F.abs(high - low) < 1e-9, F.lit(0.5)).otherwise(clamp((x - low) / (high - low)))
 
 
-def minmax(x: Column, *by: str) -> Column:
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    return (x - F.min(x).over(w)) / (F.max(x).over(w) - F.min(x).over(w) + 1e-9)
+@F.pandas_udf(DoubleType())
+def student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided P(|T| > |t|) of Student's law with df degrees of freedom; one row for each group, so Python costs nothing here."""
+
+    def tail(t: float | None, df: float | None) -> float | None:
+        if t is None or df is None or t != t or df != df or df <= 0:
+            return None
+        if math.isinf(t):
+            return 0.0
+        return _beta_share(df / (df + t * t), df / 2, 0.5)
+
+    return pd.Series([tail(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
+
+
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete Beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    out = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d)
+            c = 1 + step / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
+def running_totals(df: DataFrame, by: Sequence[str], value: str, amounts: Sequence[str]) -> DataFrame:
+    """Adds upto_<amount>: each amount's sum over the rows of the group up to this value (values are distinct within a group).
+
+    Rows are dealt by ranges of (group, value); what a range has before it in its group is added, so a large group takes many tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *by, value).withColumn("_part", F.spark_partition_id())
+    per = dealt.groupBy("_part", *by).agg(*(F.sum(a).alias(f"_sum_{a}") for a in amounts))  # ranges and groups: few rows
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = per.select("_part", *by, *(F.coalesce(F.sum(f"_sum_{a}").over(earlier), F.lit(0)).alias(f"_before_{a}") for a in amounts))
+    own = W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    out = dealt.join(before, ["_part", *by]).withColumns({f"upto_{a}": F.sum(a).over(own) + F.col(f"_before_{a}") for a in amounts})
+    return out.drop("_part", *(f"_before_{a}" for a in amounts))
 
 
 def average_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Adds rank (ties get their mean) and ties (rows with this value), within groups.
 
-    Ranks come from counts by value, so that ties, however many, are one row in the ordered window.
+    Ranks come from counts by value, so that ties, however many, are one row, and values from ranges, so that groups are split.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    order = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(value)
-    ranks = counts.withColumn("rank", F.sum("ties").over(order.rowsBetween(W.unboundedPreceding, 0)) - (F.col("ties") - 1) / 2)
-    return df.join(ranks, [*by, value])
+    ranks = running_totals(counts, by, value, ["ties"]).withColumn("rank", F.col("upto_ties") - (F.col("ties") - 1) / 2)
+    return df.join(ranks.drop("upto_ties"), [*by, value])
 
 
 def mann_whitney(df: DataFrame, group: Column, value: str, by: list[str], least: int = 5) -> DataFrame:
@@ -53,9 +100,7 @@ def mann_whitney(df: DataFrame, group: Column, value: str, by: list[str], least:
     Works on counts by value: one pass, no row order beyond distinct values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(group).alias("a"), F.count_if(~group).alias("b"))
-    order = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    t = F.col("a") + F.col("b")
-    ranked = counts.withColumn("t", t).withColumn("rank", F.sum("t").over(order) - (F.col("t") - 1) / 2)
+    ranked = running_totals(counts.withColumn("t", F.col("a") + F.col("b")), by, value, ["t"]).withColumn("rank", F.col("upto_t") - (F.col("t") - 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("tie"))
     n = (F.col("n1") + F.col("n2")).cast("double")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -66,12 +111,20 @@ def mann_whitney(df: DataFrame, group: Column, value: str, by: list[str], least:
     return out.select(*by, "n1", "n2", "u", "z", F.least(F.lit(1.0), 2 * normal_tail(F.greatest(F.col("z"), F.lit(0.0)))).alias("p"))
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs; null for fewer than 3."""
+    free = (n - 2).cast("double")
+    t = F.when(F.abs(r) >= 1, F.lit(float("inf"))).otherwise(r * F.sqrt(free / (1 - r * r)))
+    return F.when(free > 0, student_tail(t, free))
+
+
 def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """Spearman's rho within groups (ties get mean ranks): by, n, rho."""
+    """Spearman's rho within groups (ties get mean ranks): by, n, rho, p."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("x"), F.col(b).alias("y"))
     ranked = average_ranks(both, "x", *by).withColumnRenamed("rank", "rx").drop("ties")
     ranked = average_ranks(ranked, "y", *by).withColumnRenamed("rank", "ry")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def cronbach(df: DataFrame, columns: list[str], *by: str) -> DataFrame:

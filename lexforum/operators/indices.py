@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforum.functions.stats import minmax
-
 #: Weights of the composite indices (a minus sign: of one minus the scaled value).
 DIS = {"sa": 0.35, "nv": 0.35, "-rep": 0.30}
 IEI = {"y8": 0.35, "y9": 0.20, "nv": 0.25, "-rep": 0.20}
@@ -26,8 +24,10 @@ def weighted(columns: Mapping[str, float], of) -> Column:
 
 
 def composite(df: DataFrame, key: str) -> DataFrame:
-    """dis, iei and dissociation from columns sa, nv, rep, y8, y9, each scaled over all entities."""
-    scaled = df.select(key, *(minmax(F.col(c)).alias(c) for c in ("sa", "nv", "rep", "y8", "y9")))
+    """dis, iei and dissociation from columns sa, nv, rep, y8, y9, each scaled over all entities (their extremes are one row, read back)."""
+    names = ("sa", "nv", "rep", "y8", "y9")
+    edges = df.agg(F.struct(*(F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in names)).alias("e"))
+    scaled = df.withColumn("_e", edges.scalar()).select(key, *(((F.col(c) - F.col(f"_e.{c}.low")) / (F.col(f"_e.{c}.high") - F.col(f"_e.{c}.low") + 1e-9)).alias(c) for c in names))
     out = scaled.select(key, weighted(DIS, F.col).alias("dis"), weighted(IEI, F.col).alias("iei"))
     gap = F.col("dis") - F.col("iei")
     return out.withColumn("dissociation", F.abs(gap)).withColumn("direction", F.when(gap > 0, "discursive").when(gap < 0, "evaluative").otherwise("none"))
@@ -48,11 +48,13 @@ def congruence_class(icm: Column) -> Column:
 
 
 def prosody_score(shimmer: Column, alpha: Column, f0_var: Column, hnr: Column) -> Column:
-    """Mean of the terms that are active (not null, not zero), each capped at 1; 0 without any."""
-    terms = [F.least(shimmer / 2, F.lit(1.0)), F.least(F.abs(alpha) / 10, F.lit(1.0)), F.least(f0_var, F.lit(1.0)), F.greatest(F.lit(0.0), F.least((20 - hnr) / 20, F.lit(1.0)))]
-    active = [F.when(c.isNotNull() & (c != 0), t) for c, t in zip((shimmer, alpha, f0_var, hnr), terms, strict=True)]
-    n = sum((F.when(a.isNotNull(), 1).otherwise(0) for a in active), F.lit(0))
-    total = sum((F.coalesce(a, F.lit(0.0)) for a in active), F.lit(0.0))
+    """Mean of the terms that are active, each capped at 1; 0 without any. Shimmer and F0 are active above 0, alpha if it is not 0, HNR below 20."""
+    terms = [
+        F.when(shimmer > 0, F.least(shimmer / 2, F.lit(1.0))), F.when(alpha != 0, F.least(F.abs(alpha) / 10, F.lit(1.0))),
+        F.when(f0_var > 0, F.least(f0_var, F.lit(1.0))), F.when(hnr < 20, F.greatest(F.lit(0.0), F.least((20 - hnr) / 20, F.lit(1.0)))),
+    ]
+    n = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in terms), F.lit(0))
+    total = sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0))
     return F.when(n > 0, total / n).otherwise(0.0)
 
 

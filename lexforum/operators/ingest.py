@@ -10,56 +10,28 @@ from pyspark.sql.window import Window as W
 
 from lexforum.functions import text as T
 
-#: Spanish month names and number words of dates.
-MONTHS = {m: i + 1 for i, m in enumerate("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split())} | {"setiembre": 9}
-
 
 def clean(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str]] = (), lower: bool = False) -> DataFrame:
-    """Adds clean_text and cleaning_report (lengths, fixes by kind, compression ratio). Null stays null."""
+    """Adds clean_text and cleaning_report (lengths, fixes by kind, compression ratio). Null stays null.
+
+    Steps are columns of their own, each read more than once, so that the optimizer keeps them apart and none is worked out twice.
+    """
     raw = F.col(text)
-    encoded = T.lookalike_spaces(raw)
-    kept = T.drop_unprintable(encoded)
-    typed = T.plain_typography(kept)
-    fixed, corrections = T.substitutions(typed, rules)
-    out = T.whitespace(fixed)
-    if lower:
-        out = F.lower(out)
+    fixed, corrections = T.substitutions(F.col("_typed"), rules)
+    out = df.withColumn("_encoded", T.lookalike_spaces(raw)).withColumn("_kept", T.drop_unprintable(F.col("_encoded"))).withColumn("_n_kept", F.length("_kept"))
+    out = out.withColumn("_typed", T.plain_typography(F.col("_kept"))).withColumn("_fixed", fixed).withColumn("_n_fixed", F.length("_fixed"))
+    out = out.withColumn("_out", T.whitespace(F.col("_fixed"))).withColumn("_n_out", F.length("_out"))
     report = F.struct(
         F.length(raw).alias("original_length"),
-        F.length(out).alias("final_length"),
+        F.col("_n_out").alias("final_length"),
         corrections.cast("int").alias("ocr_corrections"),
-        (T.count_of(raw, f"[{T.LOOKALIKE_SPACES}]") + F.length(encoded) - F.length(kept)).cast("int").alias("encoding_fixes"),
-        (F.length(fixed) - F.length(T.whitespace(fixed))).alias("whitespace_fixes"),
-        (F.length(raw) - F.length(out)).alias("chars_removed"),
-        F.when(F.length(raw) > 0, F.round(1 - F.length(out) / F.length(raw), 4)).otherwise(0.0).alias("compression_ratio"),
+        (T.count_of(raw, f"[{T.LOOKALIKE_SPACES}]") + F.length("_encoded") - F.col("_n_kept")).cast("int").alias("encoding_fixes"),
+        (F.col("_n_fixed") - F.col("_n_out")).alias("whitespace_fixes"),
+        (F.length(raw) - F.col("_n_out")).alias("chars_removed"),
+        F.when(F.length(raw) > 0, F.round(1 - F.col("_n_out") / F.length(raw), 4)).otherwise(0.0).alias("compression_ratio"),
     )
-    return df.withColumn("cleaning_report", report).withColumn("clean_text", out)
-
-
-def issue_date(head: Column) -> Column:
-    """ISO date of the first of: day de month de year, D/M/Y, ISO; null if it is no calendar day of 1990 to 2030."""
-    low = F.lower(head)
-    # Day in digits, perhaps in brackets after its word; year in digits, perhaps in brackets after its words.
-    long = r"(\d{1,2})\)?\s*(?:\(\d+\)\s*)?(?:d[ií]as\s+)?(?:del?\s+mes\s+)?de\s+(" + "|".join(MONTHS) + r")\s+(?:de|del)\s+(?:[a-zñ\s]*\()?(\d{4})"
-    months = F.create_map(*(F.lit(x) for k, v in MONTHS.items() for x in (k, v)))
-    day, month, year = (F.nullif(F.regexp_extract(low, long, i), F.lit("")) for i in (1, 2, 3))
-    slash = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b"
-    parts = [
-        F.format_string("%s-%02d-%s", year, F.try_element_at(months, month), F.lpad(day, 2, "0")),
-        F.when(F.regexp_extract(head, slash, 3) != "", F.concat_ws("-", F.regexp_extract(head, slash, 3), F.lpad(F.regexp_extract(head, slash, 2), 2, "0"), F.lpad(F.regexp_extract(head, slash, 1), 2, "0"))),
-        F.nullif(F.regexp_extract(head, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")),
-    ]
-    valid = lambda iso: F.when(F.try_to_date(iso, "yyyy-MM-dd").between(F.lit("1990-01-01").cast("date"), F.lit("2030-12-31").cast("date")), iso)
-    return F.coalesce(*(valid(F.when(year.isNotNull(), parts[0]) if i == 0 else p) for i, p in enumerate(parts)))
-
-
-def metadata(df: DataFrame, courts: Sequence[tuple[str, str]], numbers: Sequence[str], places: Sequence[str], types: Sequence[tuple[str, str]], text: str = "clean_text") -> DataFrame:
-    """Adds tribunal, case_number, date_issued, region, doc_type, word_count, doc_sha and extraction_confidence."""
-    body, head = F.col(text), F.substring(text, 1, 3000)
-    region = most_frequent(F.regexp_extract_all(F.lower(body), F.lit(r"\b(" + "|".join(places) + r")\b"), F.lit(1)))
-    out = df.withColumns({"tribunal": T.first_match(head, courts), "case_number": T.first_extract(head, numbers), "date_issued": issue_date(head), "region": F.initcap(region), "doc_type": T.first_match(head, types), "word_count": T.word_count(body), "doc_sha": F.sha2(body, 256)})
-    part = lambda c, w: F.when(F.col(c).isNotNull(), w).otherwise(0.0)
-    return out.withColumn("extraction_confidence", F.round(part("tribunal", 0.25) + part("case_number", 0.30) + part("date_issued", 0.20) + part("region", 0.05) + part("doc_type", 0.10), 2))
+    clean_text = F.lower("_out") if lower else F.col("_out")
+    return out.withColumn("cleaning_report", report).withColumn("clean_text", clean_text).drop("_encoded", "_kept", "_n_kept", "_typed", "_fixed", "_n_fixed", "_out", "_n_out")
 
 
 def most_frequent(items: Column) -> Column:

@@ -77,3 +77,12 @@ def fragments(text: Column, size: int = 800) -> Column:
     half = (n / 2).cast("int")
     three = F.array(F.substring(flat, 1, size), F.substring(flat, F.greatest(half - size // 2, F.lit(0)) + 1, F.lit(size)), F.substring(flat, F.greatest(n - size, F.lit(0)) + 1, F.lit(size)))
     return F.when(n > 3 * size, three).otherwise(F.array(F.substring(flat, 1, size)))
+
+
+def representative(text: Column, most: int = 800, least: int = 200) -> Column:
+    """One fragment of a text: blanks collapsed; of a text of more than `most` characters its beginning, up to the last full stop that a blank follows, if that stands behind `least` characters; null for shorter texts than `least`."""
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n+", " "), r" {2,}", " "), r"^\s+|\s+$", "")
+    head = F.substring(flat, 1, most)
+    stop = F.length(head) - F.length(F.substring_index(head, ". ", -1)) - 2  # place of the full stop
+    cut = F.when(head.contains(". ") & (stop > least), F.substring(head, F.lit(1), stop + 1)).otherwise(head)
+    return F.when(F.length(flat) > most, F.regexp_replace(cut, r"^\s+|\s+$", "")).when(F.length(flat) >= least, flat)

@@ -221,7 +221,14 @@ _RANK = "rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITIO
 
 @query(f"SELECT l_returnflag, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT l_returnflag, {_RANK.format(by='l_returnflag', c='l_quantity')} AS rx, {_RANK.format(by='l_returnflag', c='l_extendedprice')} AS ry FROM lineitem) GROUP BY l_returnflag")
 def a14_spearman(spark: SparkSession, d: str) -> DataFrame:
-    return stats.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return stats.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag").drop("p")
+
+
+@query()
+def n2_spearman_p(spark: SparkSession, d: str) -> DataFrame:
+    """Spearman's rho with p by Student's law (no SQL function gives it; tested by brute force)."""
+    out = stats.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return out.select("l_returnflag", "n", "rho", "p", stats.stars(F.col("p")).alias("stars"))
 
 
 @query("SELECT o_orderpriority, corr(mean_price, y) AS r, count(*) AS years FROM (SELECT o_orderpriority, year(o_orderdate) AS y, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 2")
@@ -403,12 +410,21 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return indices.composite(per, "entity")
 
 
+#: Coefficients of the normal tail's approximation, as in functions.stats.
+_T = "(1 / (1 + 0.5 * abs(z) / sqrt(2.0)))"
+_POLY = "0.17087277"
+for _c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+    _POLY = f"({_c} + {_T} * {_POLY})"
+_NORMAL_P = f"least(1.0, 2 * 0.5 * {_T} * exp(-z * z / 2 - 1.26551223 + {_T} * {_POLY}))"
+
+
 @query(f"""WITH r AS (SELECT l_linestatus AS g, l_returnflag = 'A' AS a, {_RANK.format(by='l_linestatus', c='l_discount')} AS rk, count(*) OVER (PARTITION BY l_linestatus, l_discount) AS ties FROM lineitem WHERE l_returnflag IN ('A', 'N')),
-s AS (SELECT g, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, sum(rk) FILTER (a) AS r1, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie FROM r GROUP BY g)
-SELECT g AS l_linestatus, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * CAST(n1 + n2 - 1 AS DOUBLE)))) AS z FROM s WHERE n1 >= 5 AND n2 >= 5""")
+s AS (SELECT g, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, sum(rk) FILTER (a) AS r1, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie FROM r GROUP BY g),
+t AS (SELECT g AS l_linestatus, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * CAST(n1 + n2 - 1 AS DOUBLE)))) AS w FROM s WHERE n1 >= 5 AND n2 >= 5)
+SELECT l_linestatus, n1, n2, u, w AS z, round({_NORMAL_P}, 6) AS p FROM (SELECT *, greatest(w, 0.0) AS z FROM t)""")
 def n1_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "N"))
-    return stats.mann_whitney(lines, F.col("l_returnflag") == "A", "l_discount", ["l_linestatus"]).drop("p")
+    return stats.mann_whitney(lines, F.col("l_returnflag") == "A", "l_discount", ["l_linestatus"]).withColumn("p", F.round("p", 6))
 
 
 @query("""WITH c AS (SELECT vec_id, (1 + embedding[1]) / 2 AS v, (1 + embedding[2]) / 2 AS p, (1 + embedding[3]) / 2 AS f FROM embeddings),

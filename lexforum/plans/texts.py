@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexforum.functions import stats, text as T
-from lexforum.operators import ingest, relational as R, spans
+from lexforum.operators import indicators, ingest, relational as R, spans
 from lexforum.sources.readers import decoded, rttm, table
 
 QUERIES, ORACLES = {}, {}
@@ -75,14 +75,6 @@ def i6_substitutions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", fixed.alias("fixed"), count.cast("int").alias("corrections"))
 
 
-@query()
-def m1_metadata(spark: SparkSession, d: str) -> DataFrame:
-    head = F.concat(F.lit("JUZGADO "), F.expr("1 + doc_id % 40"), F.lit(" PENAL. Radicado 05001-"), F.expr("2000 + doc_id % 20"), F.lit(". Bogotá, quince ("), F.expr("1 + doc_id % 31"), F.lit(") "), F.expr("1 + doc_id % 31"), F.lit(" de marzo de "), F.expr("1985 + doc_id % 50"), F.lit(". "), "text")
-    docs = table(spark, d, "documents").withColumn("clean_text", head)
-    out = ingest.metadata(docs, [("juzgado", "JUZGADO"), ("corte", "CORTE")], [r"\d{5}-\d{4}", r"SP\d+"], ["bogotá", "cali"], [("sentencia", "SENTENCIA"), ("radicado", "AUTO")])
-    return out.select("doc_id", "tribunal", "case_number", "date_issued", "region", "doc_type", "word_count", "extraction_confidence")
-
-
 @query("""WITH c AS (SELECT doc_id, regexp_extract_all(lower(text), '(the|and|der|les|la|und)') AS m FROM documents), e AS (SELECT doc_id, m[i] AS x, i FROM c, range(1, len(m) + 1) t(i)),
 r AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS k FROM e GROUP BY doc_id, x)
 SELECT d.doc_id, x AS place FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND k = 1""")
@@ -113,15 +105,10 @@ def g1_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(starts).alias("found"), kept.alias("kept"), R.replace_near(starts, 50).alias("chained"))
 
 
-@query("""WITH p AS (SELECT doc_id, i AS n, string_split_regex(text, 'the') AS parts FROM documents, range(1, 400) t(i) WHERE i < len(string_split_regex(text, 'the')))
-SELECT doc_id, CAST(n - 1 AS INTEGER) AS i, CAST(list_sum(list_transform(parts[1:n], lambda x: length(x))) + 3 * (n - 1) AS INTEGER) AS start FROM p""")
+@query("""WITH p AS (SELECT doc_id, unnest(range(0, len(string_split(text, 'the')))) AS i, unnest(string_split(text, 'the')) AS part FROM documents),
+q AS (SELECT doc_id, i, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + 3 * i AS start, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
+SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(start AS INTEGER) AS start FROM q WHERE i < n - 1""")
 def t_span_positions(spark: SparkSession, d: str) -> DataFrame:
-    """The first 399 matches of t_all_span_positions, which is as far as the SQL goes."""
-    return t_all_span_positions(spark, d).where("i < 399")
-
-
-@query()
-def t_all_span_positions(spark: SparkSession, d: str) -> DataFrame:
     """All matches of every whole text."""
     found = table(spark, d, "documents").select("doc_id", F.posexplode(spans.positions(F.col("text"), "the")).alias("i", "s"))
     return found.select("doc_id", "i", F.col("s.start").alias("start"))
@@ -129,9 +116,10 @@ def t_all_span_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t24_span_score(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of three mechanisms, lowered near a trigger, overlaps removed, scored by sentences."""
-    found = spans.in_context(spans.find(table(spark, d, "documents").select("doc_id", "text"), RULES), r"(?iu)\bwas\b")
-    return spans.score(found.withColumn("spans", spans.greedy(F.col("spans"))), 0.0, 0.4).select("doc_id", "n_spans", "raw", "score", "has_warning")
+    """Spans of three mechanisms, lowered near a trigger, overlaps removed, scored by sentences; each text is read once for all rules."""
+    found = indicators.pattern_spans([indicators.Mechanism(r.mechanism, r.weight, [r.pattern]) for r in RULES], [r"\bwas\b"], apart=True)
+    docs = table(spark, d, "documents").select("doc_id", "text", found(F.col("text")).alias("spans"))
+    return spans.score(docs, 0.0, 0.4).select("doc_id", "n_spans", "raw", "score", "has_warning")
 
 
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'tion', ''))) / 4 AS INTEGER) AS first, CAST((length(text) - length(replace(text, 'ment', ''))) / 4 AS INTEGER) AS second, (length(text) - length(replace(text, 'tion', ''))) / 4 / ((length(text) - length(replace(text, 'tion', ''))) / 4 + (length(text) - length(replace(text, 'ment', ''))) / 4 + 0.001) AS accountability FROM documents")
@@ -170,16 +158,10 @@ def t2_normalise(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("q", fit.scalar()).select("doc_id", stats.scaled(F.col("x"), F.col("q")[0], F.col("q")[1]).alias("score"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), s AS (SELECT doc_id, t, g FROM w, range(0, 50) r(g) WHERE g * 60 < len(t)),
-x AS (SELECT doc_id, g, i, t[i] AS token FROM s, range(1, 2000000) u(i) WHERE i > g * 60 AND i <= least(g * 60 + 80, len(t)))
-SELECT doc_id, count(*) AS covered, count(DISTINCT i) AS tokens, avg(CASE WHEN token = 'the' THEN 1.0 ELSE 0.0 END) AS mean FROM x GROUP BY doc_id""".replace("range(1, 2000000) u(i) WHERE i > g * 60 AND i <= least(g * 60 + 80, len(t))", "range(1, 81) u(o), LATERAL (SELECT g * 60 + o AS i) WHERE g * 60 + o <= len(t)"))
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // 300 + 1)) AS g FROM w),
+x AS (SELECT doc_id, g, t[g * 300 + 1:g * 300 + 400] AS own FROM s), y AS (SELECT doc_id, g * 300 + unnest(range(0, len(own))) AS i, unnest(own) AS token FROM x)
+SELECT doc_id, count(*) AS covered, count(DISTINCT i) AS tokens, avg(CASE WHEN token = 'the' THEN 1.0 ELSE 0.0 END) AS mean FROM y GROUP BY doc_id""")
 def w7_token_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Small windows, 50 of a text at most, as in the SQL."""
-    return _window_means(table(spark, d, "documents"), 80, 60, 50)
-
-
-@query()
-def w7_all_token_windows(spark: SparkSession, d: str) -> DataFrame:
     """The reference's window and step, over every whole text."""
     return _window_means(table(spark, d, "documents"), 400, 300, None)
 

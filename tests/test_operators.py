@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforum.functions import stats, text as T
-from lexforum.operators import indices, ingest, relational as R, spans
+from lexforum.operators import indices, ingest, records, relational as R, spans
 from lexforum.sources import readers, sinks
 from lexforum.streaming import jobs
 
@@ -26,10 +26,10 @@ def test_clean_report(spark):
 
 @pytest.mark.parametrize(
     ("text", "iso"),
-    [("quince (15) de marzo de dos mil ocho (2008)", "2008-03-15"), ("a 15 de marzo de 2008", "2008-03-15"), ("el 3 (3) de Enero del 1999", "1999-01-03"), ("20/07/2007", "2007-07-20"), ("30/02/2010", None), ("x 2021-01-15", "2021-01-15"), ("1 de mayo de 1980", None), ("nada", None)],
+    [("quince (15) de marzo de dos mil ocho (2008)", "2008-03-15"), ("a 15 de marzo de 2008", "2008-03-15"), ("(3) de Enero de mil novecientos noventa y nueve (1999)", "1999-01-03"), ("20/07/2007", "2007-07-20"), ("30/02/2010", None), ("x 2021-01-15", "2021-01-15"), ("1 de mayo de 1980", None), ("nada", None)],
 )
 def test_issue_date(spark, text, iso):
-    assert one(spark, ingest.issue_date(F.col("t")), t=text) == iso
+    assert one(spark, records.issue_date(F.col("t"))[0], t=text) == iso
 
 
 def test_span_positions_and_greedy(spark):
@@ -153,7 +153,7 @@ def test_all_tokens_are_labelled(spark, tmp_path):
     from lexforum.plans import registry
 
     texts = [" ".join("x" * (i % 3) for i in range(3000)), "ñandú " * 50, "", "one"]
-    got = sorted(tuple(r) for r in registry.QUERIES["t36_all_token_labels"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "token_index", "label").collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["t36_token_labels"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "token_index", "label").collect())
     want = []
     for d, text in enumerate(texts):
         at = 0
@@ -171,7 +171,7 @@ def test_all_matches_have_a_position(spark, tmp_path):
     from lexforum.plans import registry
 
     texts = ["ñ the other " * 450, "none", "the"]
-    got = sorted(tuple(r) for r in registry.QUERIES["t_all_span_positions"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "i", "start").collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["t_span_positions"](spark, made_documents(spark, tmp_path, *texts)).select("doc_id", "i", "start").collect())
     assert got == [(d, i, m.start()) for d, text in enumerate(texts) for i, m in enumerate(re.finditer("the", text))] and len(got) == 901
 
 
@@ -179,7 +179,7 @@ def test_windows_reach_the_end_of_a_text(spark, tmp_path):
     from lexforum.plans import registry
 
     texts = [" ".join("the" if i >= 16_000 else "x" for i in range(16_500)), "the x", ""]
-    got = {r.doc_id: (r.covered, r.tokens, r["mean"]) for r in registry.QUERIES["w7_all_token_windows"](spark, made_documents(spark, tmp_path, *texts)).collect()}
+    got = {r.doc_id: (r.covered, r.tokens, r["mean"]) for r in registry.QUERIES["w7_token_windows"](spark, made_documents(spark, tmp_path, *texts)).collect()}
     for d, text in enumerate(texts):
         words = text.split(" ")
         seen = [w for a in range(0, len(words), 300) for w in words[a : a + 400]]
