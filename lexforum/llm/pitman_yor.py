@@ -13,8 +13,9 @@ Gamma variable of each restaurant, the pairs of it are independent, and c custom
 of a pair take t tables with a chance proportional to S(c, t) L**t (S: generalised
 Stirling numbers of the discount; L: discount * Gamma variable * probability in
 the parent). `seated` draws t at a cost of about t steps, however large c is: where
-tables are many, exactly, by seating the Chinese restaurant of a strength that suits
-L table by table and keeping it with the chance that makes the law right; where one
+tables are many, by seating the Chinese restaurant of a strength that suits L table by
+table and keeping it with the chance that makes the law right (from CROWD tables on,
+from the law itself, taken at its saddle point); where one
 table holds most customers, by STEPS Metropolis steps that draw all others anew. Strengths are sampled with auxiliary
 variables, discounts are estimated from the pairs that have come once and twice.
 Predictive probabilities are averaged over samples.
@@ -26,9 +27,10 @@ range. A second pass counts each chunk's distinct pairs and words, which travel
 packed arrays: pairs to the range of their context, words to the range of their
 hash. (1) Ranges of contexts sample their restaurants over a root of their own, and
 send the tables of each word on. (2) Ranges of words sample the common root from
-these, over the spellings. (3) Ranges of contexts sample their restaurants again,
-given the root's averaged probabilities, and answer every chunk's pairs. (4) Chunks
-score their texts.
+these, over the spellings. (3) A third pass counts the pairs again, which takes less
+than keeping them; ranges of contexts sample their restaurants once more, given the
+root's averaged probabilities, and answer every chunk's pairs. (4) Chunks score their
+texts.
 
 Approximate are: levels pass on averages (3 is not fed back to 2); pairs within a
 range that agree in 63 bits of their hash are one; what the root's ranges hold of
@@ -55,9 +57,11 @@ from . import kernel
 from .shared import buckets, checkpointed, free_shuffles, prepare
 
 #: Sweeps before the first sample, and samples.
-BURN, SAMPLES = 3, 4
+BURN, SAMPLES = 2, 3
 #: Metropolis steps of a pair in a sweep, where it takes such.
-STEPS = 8
+STEPS = 2
+#: Tables of a pair, and customers beyond them, from which its law is taken by the saddle point.
+CROWD = 64
 #: Bytes before a byte of a spelling that are its context.
 SPELLING = 2
 #: Bytes of text whose pairs are counted together, and texts, at most.
@@ -72,16 +76,25 @@ END, START, CLOSE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 # -- the sampler --------------------------------------------------------------
 
 
-def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of so many customers (1 or more) that eat the same dish: t with a chance proportional to S(customers, t) weight**t."""
-    out = np.ones(len(customers), np.int64)
+def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, tables: np.ndarray | None = None, beside: np.ndarray | None = None, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of so many customers (1 or more) that eat the same dish: t with a chance proportional to S(customers, t) weight**t; and how many sit beside the first customer's table.
+
+    tables, beside: where Metropolis steps go on from (one table, if not given).
+    """
+    out, others = np.ones(len(customers), np.int64), np.zeros(len(customers), np.int64)
+    if tables is not None:
+        fits = customers - beside >= 1
+        out, others = np.where(fits, tables, 1), np.where(fits, beside, 0)
     weight = np.maximum(weight, 1e-12)
+    more = customers > 1
+    out[~more], others[~more] = 1, 0
     many = weight > discount ** (2 - discount) * customers.astype(float) ** discount
-    for which, draw in ((many, _of_similar_sizes), (~many, _beside_a_large_one)):
-        at = np.flatnonzero(which & (customers > 1))
-        if len(at):
-            out[at] = draw(customers[at], weight[at], discount, rng)
-    return out
+    if len(at := np.flatnonzero(many & more)):
+        out[at] = _of_similar_sizes(customers[at], weight[at], discount, rng)
+        others[at] = out[at] - 1
+    if len(at := np.flatnonzero(~many & more)):
+        out[at], others[at] = _beside_a_large_one(customers[at], weight[at], discount, rng, out[at], others[at], steps)
+    return out, others
 
 
 def _of_similar_sizes(customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -100,6 +113,11 @@ def _of_similar_sizes(customers: np.ndarray, weight: np.ndarray, d: float, rng:
     strength = np.maximum(weight * np.exp(d * u), 1e-9) - d
     top = np.clip(np.ceil((weight - strength) / d), 1, n)
     n, out, open_ = customers, np.ones(len(customers), np.int64), np.arange(len(customers))
+    mean = 1 + weight / d * -np.expm1(d * u)
+    crowd = (mean >= CROWD) & (n - mean >= CROWD)
+    for i in np.flatnonzero(crowd).tolist():
+        out[i] = _of_a_crowd(float(n[i]), float(weight[i]), float(mean[i]), float(u[i]), d, rng)
+    n, weight, strength, top, open_ = (x[~crowd] for x in (n, weight, strength, top, open_))
     quotient = lambda t, w, s: t * np.log(w / d) - _rising(s / d + 1, t - 1)
     best = quotient(top, weight, strength)
     while len(open_):
@@ -110,22 +128,48 @@ def _of_similar_sizes(customers: np.ndarray, weight: np.ndarray, d: float, rng:
     return out
 
 
-def _beside_a_large_one(customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def _of_a_crowd(n: float, weight: float, mean: float, u: float, d: float, rng: np.random.Generator) -> int:
+    """One pair's tables where they are CROWD or more: from the law itself, on a grid of 48 places a square root of the mean.
+
+    S(n, t) is n! / (t! d**t) times the n-th coefficient of (1 - (1 - z)**d)**t, which is taken at its saddle point; the error falls with 1 / t.
+    """
+    step = max(1.0, np.floor(np.sqrt(mean) / 48))
+    t = np.arange(np.floor(max(2.0, mean - 8 * np.sqrt(mean))), min(n - 1, mean + 8 * np.sqrt(mean)), step)
+    u = np.full(len(t), u)
+    goal = np.log(n / t)
+    for _ in range(12):
+        z, e = -np.expm1(u), np.exp(d * u)
+        size = d * z * np.exp((d - 1) * u) / (1 - e)  # mean size of a table at this tilt
+        off = np.log(size) - goal
+        slope = -(np.exp(u) / z) * (1 + (1 - d) * z / np.exp(u) - size)
+        u = np.minimum(u - off / slope, 0.1 * u)
+    z, e = -np.expm1(u), np.exp(d * u)
+    size = d * z * np.exp((d - 1) * u) / (1 - e)
+    spread = size * (1 + (1 - d) * z / np.exp(u) - size)
+    law = t * (np.log(weight / d) + np.log(1 - e)) - n * np.log(z) - _log_gamma(t + 1) - 0.5 * np.log(t * spread)
+    p = np.cumsum(np.exp(law - law.max()))
+    k = int(np.searchsorted(p, rng.random() * p[-1]))
+    return int(min(n, t[k] + rng.integers(0, int(step))))
+
+
+def _beside_a_large_one(customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator, tables: np.ndarray, beside: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """By Metropolis steps, where one table holds most customers: the others are drawn freely, a Poisson number of sizes with a long tail, and
     the first customer's table holds the rest. That table's size n has a chance proportional to G(n - d) / G(n) besides."""
-    t, own = np.ones(len(customers), np.int64), customers.astype(float)
+    t, own = tables.copy(), (customers - beside).astype(float)
     room = lambda n: _log_gamma(n - d) - _log_gamma(n)
-    for _ in range(STEPS):
-        others = rng.poisson(weight / d)
+    mean = weight / d
+    for _ in range(steps):
+        others = rng.poisson(mean)
         some = np.flatnonzero((others > 0) | (t > 1))
         k = others[some]
         p = np.maximum(rng.beta(d, 1 - d, int(k.sum())), 1e-15)
         sizes = np.ceil(np.log(1 - rng.random(len(p))) / np.log1p(-np.minimum(p, 1 - 1e-15)))
         left = customers[some] - np.bincount(np.repeat(np.arange(len(k)), k), np.maximum(sizes, 1), len(k))
-        taken = left >= 1
-        taken[taken] = np.log(1 - rng.random(int(taken.sum()))) <= room(left[taken]) - room(own[some][taken])
+        fits = np.flatnonzero(left >= 1)
+        some, k, left = some[fits], k[fits], left[fits]
+        taken = np.log(1 - rng.random(len(some))) <= room(left) - room(own[some])
         t[some[taken]], own[some[taken]] = k[taken] + 1, left[taken]
-    return t
+    return t, customers - own.astype(np.int64)
 
 
 def _rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -135,10 +179,15 @@ def _rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log of the Gamma function of positive numbers, by Stirling's series from 8 up (error below 1e-10)."""
-    shift = np.maximum(0, np.ceil(8 - x))
-    y, below = x + shift, np.zeros_like(x)
-    for i in range(int(shift.max(initial=0))):
-        below += np.where(i < shift, np.log(x + i), 0)
+    y, below = x.astype(float), np.zeros(len(x))
+    small = np.flatnonzero(y < 8)
+    if len(small):
+        z, product = y[small].copy(), np.ones(len(small))
+        for _ in range(8):
+            low = z < 8
+            product[low] *= z[low]
+            z += low
+        y[small], below[small] = z, np.log(product)
     r = 1 / (y * y)
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / y - below
 
@@ -168,7 +217,7 @@ class Level:
 
     def seat(self, customers: np.ndarray) -> None:
         """So many customers of each pair are there, at one table to begin with."""
-        self.customers, self.tables = customers, np.minimum(customers, 1)
+        self.customers, self.tables, self.beside = customers, np.minimum(customers, 1), np.zeros(len(customers), np.int64)
         self._sum()
 
     def _sum(self) -> None:
@@ -185,9 +234,9 @@ class Level:
         """Every customer of every pair leaves and is seated anew."""
         x = self.rng.standard_gamma(self.strength / self.discount + self.all_tables)
         some = np.flatnonzero(self.customers)
-        tables = np.zeros(len(self.customers), np.int64)
-        tables[some] = seated(self.customers[some], self.discount * x[self.context[some]] * parent[some], self.discount, self.rng)
-        self.tables = tables
+        tables, beside = np.zeros((2, len(self.customers)), np.int64)
+        tables[some], beside[some] = seated(self.customers[some], self.discount * x[self.context[some]] * parent[some], self.discount, self.rng, self.tables[some], self.beside[some])
+        self.tables, self.beside = tables, beside
         self._sum()
 
     def strengthen(self) -> None:
@@ -436,8 +485,8 @@ def _packed(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray, hot: np.nd
     return pairs(symbol, context), range_of(context, parts), at
 
 
-def _count(hot: np.ndarray, classes: np.ndarray, parts: int):
-    """Texts to rows: distinct pairs and words with their training counts by range, and the chunk's own texts."""
+def _count(hot: np.ndarray, classes: np.ndarray, parts: int, words_too: bool):
+    """Texts to rows: distinct pairs, and words if asked for, with their training counts by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, blocks in enumerate(_chunks(batches)):
@@ -447,13 +496,14 @@ def _count(hot: np.ndarray, classes: np.ndarray, parts: int):
                 k, p, at = _packed(batch, data, off, hot, classes, parts)
                 held = np.asarray(batch.column(2))
                 keys.append(k | np.repeat(~held, np.diff(at)).astype(np.uint64)), part.append(p)
-                starts, ends, before = kernel.words(data, off)
-                h = kernel.slice_hashes(data, starts, ends, lower=True)
-                some, first, rank = kernel.distinct(h)
-                words.append(some), counts.append(np.bincount(rank, np.repeat(~held, np.diff(before)), len(some)).astype(np.int64))
-                n = ends[first] - starts[first]
-                own = data[kernel.ragged(starts[first], n)]
-                spelled.append(np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)), lengths.append(n)
+                if words_too:
+                    starts, ends, before = kernel.words(data, off)
+                    h = kernel.slice_hashes(data, starts, ends, lower=True)
+                    some, first, rank = kernel.distinct(h)
+                    words.append(some), counts.append(np.bincount(rank, np.repeat(~held, np.diff(before)), len(some)).astype(np.int64))
+                    n = ends[first] - starts[first]
+                    own = data[kernel.ragged(starts[first], n)]
+                    spelled.append(np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)), lengths.append(n)
             keys, part = np.concatenate(keys), np.concatenate(part)
             order, edges = by_range(keys, part, parts)
             keys = keys[order]
@@ -464,6 +514,8 @@ def _count(hot: np.ndarray, classes: np.ndarray, parts: int):
                 rows = [(q, chunk, _PAIR, _squeeze(keys[edges[q] : edges[q + 1]], True), _squeeze(learned[edges[q] : edges[q + 1]]), None) for q in range(p, min(parts, p + 64)) if edges[q] < edges[q + 1]]
                 if rows:
                     yield _rows(rows)
+            if not words_too:
+                continue
             h, n, counts, spelled = np.concatenate(words), np.concatenate(lengths), np.concatenate(counts), np.concatenate(spelled)
             some, first, rank = kernel.distinct(h)
             counts = np.bincount(rank, counts, len(some)).astype(np.int64)
@@ -478,14 +530,18 @@ def _count(hot: np.ndarray, classes: np.ndarray, parts: int):
                         rows.append((q, chunk, _WORD, _squeeze(some[own], True), _squeeze(np.stack((counts[own], n[first[own]])).astype("<u4").ravel()), zstandard.compress(letters, 3)))
                 if rows:
                     yield _rows(rows)
-            own = int(kernel.mix(np.array([chunk], np.uint64))[0] % np.uint64(parts))
-            for batch, _, _ in blocks:
-                yield _rows([(own, chunk, _TEXT, _ipc(batch), None, None)])
 
     return run
 
 
-def _words(part: pa.Table) -> pa.Table:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks' own texts; the same chunks as _count makes of the same rows."""
+    for number, blocks in enumerate(_chunks(batches)):
+        for batch, _, _ in blocks:
+            yield _rows([(0, TaskContext.get().partitionId() << 32 | number, _TEXT, _ipc(batch), None, None)])
+
+
+def _words(part: pa.Table) -> list[tuple]:
     """Of a range of words: all with their training counts and spellings (chunk -1), each chunk's counts, and the byte n-grams of learned and of all words."""
     p = part["part"][0].as_py()
     keys = [_expand(x, "<u8", True) for x in part["a"].to_pylist()]
@@ -507,7 +563,7 @@ def _words(part: pa.Table) -> pa.Table:
         if own.any():
             out.append((q, -1, _SUM, _squeeze(g[own], True), _squeeze(times[own]), None))
     out.append((p, -2, _SUM, np.array([counts.sum(), (counts > 0).sum()], "<i8").tobytes(), None, None))
-    return _table(out)
+    return out
 
 
 def _summed(part: pa.Table) -> pa.Table:
@@ -537,9 +593,9 @@ def _seating(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
 
 
 def _tables(parts: int):
-    """(1): how many tables each word has in a range's restaurants, sampled over a root of the range's own; to the ranges of words."""
+    """(1): how many tables each word has in a range's restaurants, sampled over a root of the range's own; to the ranges of words. And what _words gives."""
 
-    def run(part: pa.Table) -> pa.Table:
+    def seating(part: pa.Table) -> list[tuple]:
         p = part["part"][0].as_py()
         _, c, _, room, symbols, at = _seating(part)
         rng = np.random.default_rng(p)
@@ -552,7 +608,14 @@ def _tables(parts: int):
         order, edges = by_range(symbols, word_range(symbols, parts), parts)
         out = [(q, p, _PAIR, _squeeze(symbols[own], True), _squeeze(tables[own].astype("<i8")), None) for q in range(parts) if len(own := order[edges[q] : edges[q + 1]])]
         sums = np.array([(c == 1).sum(), (c == 2).sum(), tables.sum(), lower.strength * len(c), len(c)], "<f8")
-        return _table([*out, (p, p, _SUM, sums.tobytes(), None, None)])
+        return [*out, (p, -3, _SUM, sums.tobytes(), None, None)]
+
+    def run(part: pa.Table) -> pa.Table:
+        kinds, out = np.asarray(part["kind"]), []
+        for kind, work in ((_PAIR, seating), (_WORD, _words)):
+            if (kinds == kind).any():
+                out += work(part.filter(pa.array(kinds == kind)))
+        return _table(out)
 
     return run
 
@@ -615,40 +678,40 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     prepare(spark)
     parts = buckets(spark)
+    docs = docs.select(id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = checkpointed(docs)  # texts are read three times, and must come in the same order
     id_kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64(id_col).alias("seed"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("held_out"), F.xxhash64(id_col).alias("seed"))
     seen = checkpointed(texts.mapInArrow(_frequent(parts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     every = sum(r.n for r in seen.where("h = 0").collect())
     seen = {r.h: r.n for r in seen.where((F.col("h") != 0) & (F.col("n") * parts > every)).collect()}  # 2 parts rows at most
     share = {h: -(-n * parts // every) for h, n in seen.items()}
     hot = np.array(sorted(np.array(list(share), np.int64).view(np.uint64)), np.uint64)
     classes = np.array([share[int(h)] for h in hot.view(np.int64)], np.uint64)
-    counted = checkpointed(texts.mapInArrow(_count(hot, classes, parts), _ROWS))
-
-    words = checkpointed(counted.where(F.col("kind") == _WORD).groupBy("part").applyInArrow(_words, _ROWS))
-    grams = words.where((F.col("kind") == _SUM) & (F.col("chunk") == -1)).groupBy("part").applyInArrow(_summed, _ROWS).groupBy("kind").applyInArrow(_spelling, _ROWS).collect()
+    ranges = checkpointed(texts.mapInArrow(_count(hot, classes, parts, True), _ROWS).groupBy("part").applyInArrow(_tables(parts), _ROWS))
+    free_shuffles(spark)
+    words, tables = ranges.where((F.col("kind") == _WORD)), ranges.where(F.col("kind") == _PAIR)
+    sums_of = lambda chunk, dtype, none: np.sum([none, *(np.frombuffer(r.a, dtype) for r in ranges.where((F.col("kind") == _SUM) & (F.col("chunk") == chunk)).select("a").collect())], 0)  # noqa: E731  one row for each range
+    grams = ranges.where((F.col("kind") == _SUM) & (F.col("chunk") == -1)).groupBy("part").applyInArrow(_summed, _ROWS).groupBy("kind").applyInArrow(_spelling, _ROWS).collect()
     none = [(np.array([0x202020], np.uint32), np.zeros(1, "<f4"))]
     spelling = spark.sparkContext.broadcast(([(_expand(r.a, "<u4", True), _expand(r.b, "<f4")) for r in grams] or none)[0])  # 2**24 numbers at most
-    numbers = lambda df, dtype, chunk=None: [np.frombuffer(r.a, dtype) for r in df.where(F.col("kind") == _SUM).where(F.lit(True) if chunk is None else F.col("chunk") == chunk).select("a").collect()]  # noqa: E731  one row for each range
-    n, v = (int(x) for x in np.sum(numbers(words, "<i8", -2), 0)) if not words.isEmpty() else (0, 0)
+    n, v = (int(x) for x in sums_of(-2, "<i8", np.zeros(2, np.int64)))
     ends = texts.where(~F.col("held_out")).count()
-
-    pair_rows = counted.where(F.col("kind") == _PAIR)
-    tables = checkpointed(pair_rows.groupBy("part").applyInArrow(_tables(parts), _ROWS))
-    free_shuffles(spark)
-    sums = np.sum([np.zeros(5), *numbers(tables, "<f8")], 0)
+    sums = sums_of(-3, "<f8", np.zeros(5))
     discount = float(np.clip((sums[0] + 1) / (sums[0] + 2 * sums[1] + 2), 0.05, 0.95))
     strength = float(sums[3] / sums[4]) if sums[4] else 1.0
-    known = words.where((F.col("kind") == _WORD) & (F.col("chunk") == -1))
-    asked = tables.where(F.col("kind") == _PAIR)
-    root = checkpointed(known.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_root(float(sums[2]), v + (ends > 0), spelling), _ROWS))
-    answers = pair_rows.groupBy("part").cogroup(root.groupBy("part")).applyInArrow(_answers(parts, discount, strength), _ROWS)
+    known = words.where(F.col("chunk") == -1)
+    root = checkpointed(known.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(_root(float(sums[2]), v + (ends > 0), spelling), _ROWS))
+    free_shuffles(spark)
+    # The pairs are counted again, which costs less than keeping them.
+    answers = texts.mapInArrow(_count(hot, classes, parts, False), _ROWS).groupBy("part").cogroup(root.groupBy("part")).applyInArrow(_answers(parts, discount, strength), _ROWS)
     n_all, v_all = n + ends, v + (ends > 0)
 
-    def final(part: pa.Table) -> pa.Table:
+    def final(part: pa.Table, own: pa.Table) -> pa.Table:
         kinds, ranges = np.asarray(part["kind"]), np.asarray(part["part"])
         blobs = part["a"]
-        batches = [pa.ipc.open_stream(zstandard.decompress(blobs[i].as_py())).read_all().combine_chunks().to_batches()[0] for i in np.flatnonzero(kinds == _TEXT).tolist()]
+        batches = [pa.ipc.open_stream(zstandard.decompress(x)).read_all().combine_chunks().to_batches()[0] for x in own["a"].to_pylist()]
         bytes_of = [kernel.utf8(b.column(1)) for b in batches]
         blocks = [_packed(b, data, off, hot, classes, parts) for b, (data, off) in zip(batches, bytes_of, strict=True)]
         hashes = [kernel.word_hashes(data, off) for data, off in bytes_of]
@@ -678,6 +741,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             out.append(pa.table([b.column(0), b.column(2), pa.array(many), pa.array(known), pa.array(np.full(len(many), n_all, np.int64)), pa.array(base), pa.array(model)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    rows = answers.unionByName(words.where((F.col("kind") == _WORD) & (F.col("chunk") >= 0))).unionByName(counted.where(F.col("kind") == _TEXT))
-    result = rows.select("chunk", "part", "kind", "a").groupBy("chunk").applyInArrow(final, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = answers.unionByName(words.where(F.col("chunk") >= 0)).select("chunk", "part", "kind", "a")
+    # Texts have an exchange of their own, so that partitions, which name chunks, are numbered as before.
+    own = texts.mapInArrow(_texts, _ROWS).select("chunk", "a")
+    result = rows.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(final, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("id", id_col)

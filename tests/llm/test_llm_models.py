@@ -71,70 +71,148 @@ def test_toxic_texts_are_found(spark):
     assert not any(x.toxic for x in toxicity.score(docs, none).collect())
 
 
-def test_restaurants_give_a_distribution_and_keep_their_books():
+def stirling_law(n, weight, d):
+    """P(t) of so many customers' tables, from the recursion of generalised Stirling numbers."""
+    row = [0.0, 1.0]
+    for m in range(1, n):
+        row = [0.0] + [row[t - 1] + ((m - d * t) * row[t] if t < len(row) else 0) for t in range(1, m + 2)]
+        row = [x / max(row) for x in row]
+    p = np.array([row[t] * weight**t if t else 0 for t in range(n + 1)])
+    return p / p.sum()
+
+
+@pytest.mark.parametrize("n, weight, d", [(2, 0.3, 0.5), (5, 0.01, 0.5), (5, 3, 0.7), (30, 1.5, 0.3), (30, 40, 0.5), (100, 30, 0.6), (100, 2, 0.8), (3, 100, 0.5)])
+def test_tables_follow_their_law(n, weight, d):
+    t = pitman_yor.seated(np.full(60_000, n), np.full(60_000, float(weight)), d, np.random.default_rng(1), steps=12)[0]
+    law = stirling_law(n, weight, d)
+    assert t.min() >= 1 and t.max() <= n
+    assert t.mean() == pytest.approx((law * np.arange(n + 1)).sum(), rel=0.02)
+
+
+def test_very_many_customers_are_seated_at_once():
+    rng = np.random.default_rng(2)
+    few = pitman_yor.seated(np.full(200, 10**9), np.full(200, 0.5), 0.6, rng)[0]
+    assert few.mean() == pytest.approx(1 + 0.5 / 0.6, rel=0.15)  # a Poisson number beside the large one
+    many = pitman_yor.seated(np.full(20, 10**9), np.full(20, 2000.0), 0.6, rng, steps=8)[0]
+    assert many.mean() == pytest.approx(1 + 2000 / 0.6, rel=0.02)
+
+
+class OneByOne:
+    """The same two levels over a fixed base, sampled one customer at a time, with every table kept."""
+
+    def __init__(self, pairs, base, d, strength, seed=1):
+        self.pairs, self.base, self.d, self.s, self.r = pairs, base, d, strength, __import__("random").Random(seed)
+        self.rooms = [collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(lambda: collections.defaultdict(list))]
+        self.sums = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+        for u, w in pairs:
+            self.enter(0, u, w)
+
+    def p(self, j, u, w):
+        if j == 2:
+            return self.base[w]
+        c, t = self.sums[0][j][u], self.sums[1][j][u]
+        own = self.rooms[j][u].get(w, ())
+        return (sum(own) - self.d[j] * len(own) + (self.s[j] + self.d[j] * t) * self.p(j + 1, None, w)) / (self.s[j] + c)
+
+    def enter(self, j, u, w):
+        if j == 2:
+            return
+        own = self.rooms[j][u][w]
+        weights = [x - self.d[j] for x in own] + [(self.s[j] + self.d[j] * self.sums[1][j][u]) * self.p(j + 1, None, w)]
+        k = self.r.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(0)
+            self.sums[1][j][u] += 1
+            self.enter(j + 1, None, w)
+        own[k] += 1
+        self.sums[0][j][u] += 1
+
+    def leave(self, j, u, w):
+        if j == 2:
+            return
+        own = self.rooms[j][u][w]
+        k = self.r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        self.sums[0][j][u] -= 1
+        if not own[k]:
+            del own[k]
+            self.sums[1][j][u] -= 1
+            self.leave(j + 1, None, w)
+
+    def sweep(self):
+        for u, w in self.pairs:
+            self.leave(0, u, w)
+            self.enter(0, u, w)
+
+
+def test_blocks_agree_with_one_customer_at_a_time():
+    """Mean tables of contexts and perplexity of held-out pairs within 2 %, mean tables of the root within 5 %."""
     r = np.random.default_rng(5)
-    text = r.integers(97, 101, 3000).astype(np.uint8)
-    off = np.array([0, 3000])
-    keys, counts = np.unique(pitman_yor.ngrams(text, off, 3), return_counts=True)
-    mask = np.uint64(0xFFFFFFFF) ^ np.uint64(0xFF)
-    contexts = np.unique(keys & mask)
-    every = np.sort((contexts[:, None] | np.arange(97, 101, dtype=np.uint64)).ravel())
-    full = np.zeros(len(every), np.int64)
-    full[np.searchsorted(every, keys)] = counts
-    low = np.unique(every & np.uint64(0xFFFFFF))
-    rest = pitman_yor.Restaurants(every, full, 2, 3, np.full(len(low), 0.25), np.full(4, 0.5), 1)
-    p = rest.average(3, 3)
-    sums = collections.defaultdict(float)
-    complete = collections.Counter((low >> np.uint64(8)).tolist())
-    for k, x in zip(every.tolist(), p.tolist()):
-        sums[k >> 8] += x
-    assert all(abs(v - 1) < 1e-9 for k, v in sums.items() if complete[k & 0xFFFF] == 4)
-    for level in rest.levels.values():
-        sizes = [level.sizes[s : s + t] for s, t in zip(level.start, level.tables)]
-        assert all((x > 0).all() for x in sizes)
-        assert [int(x.sum()) for x in sizes] == level.customers.tolist()
-        assert np.bincount(level.context, level.tables, len(level.all_tables)).tolist() == level.all_tables.tolist()
-    assert (rest.levels[3].customers == full).all()
-    tables = np.bincount(rest.parent[3], rest.levels[3].tables, len(rest.levels[2].keys))
-    assert np.abs(tables - rest.levels[2].customers).max() <= 2  # what the last sweep changed is still on its way up
-
-
-def test_many_customers_are_seated():
+    share = 1 / np.arange(1, 61)
+    follow = np.array([r.permutation(share) for _ in range(60)])
+    text = [0]
+    for _ in range(3000):
+        text.append(int(r.choice(60, p=follow[text[-1]] / follow[text[-1]].sum())))
+    pairs, held = [*zip(text[:2400], text[1:2401])], [*zip(text[2400:-1], text[2401:])]
+    d, s = (0.6, 0.4), (1.0, 2.0)
+    one = OneByOne(pairs, dict.fromkeys(range(60), 1 / 60), d, s)
+    every = sorted({*pairs, *held})
+    counts = collections.Counter(pairs)
+    context, symbol = (np.array([x[i] for x in every]) for i in (0, 1))
     rng = np.random.default_rng(6)
-    level = pitman_yor.Level(np.array([97, 98], np.uint64), 0, 0.5, 1.0, rng)
-    level.seat(np.array([100_000, 10]), np.array([0.6, 0.4]))
-    assert level.customers.tolist() == [100_000, 10]
-    assert 20 < level.tables[0] < 5000 and level.sizes[level.start[0] : level.start[0] + level.tables[0]].sum() == 100_000
-
-
-def test_a_sweep_moves_every_customer(monkeypatch):
-    keys, counts = np.array([97, 98, 99], np.uint64), np.array([30_000, 300, 3])
-    rest = pitman_yor.Restaurants(keys, counts, 0, 0, np.array([0.5, 0.3, 0.2]), np.array([0.5]), 1)
-    usual, level, moved = np.mean([(rest.sweep(), rest.levels[0].tables.copy())[1] for _ in range(20)], 0), rest.levels[0], np.zeros(3, np.int64)
-    leave = pitman_yor.Level.leave
-    monkeypatch.setattr(pitman_yor.Level, "leave", lambda self, who, block: (np.add.at(moved, who, block), leave(self, who, block))[1])
-    rest.sweep()
-    assert moved.tolist() == counts.tolist() == level.customers.tolist()
-    # A start with a table for nearly every customer is forgotten.
-    rest.levels[0] = level = pitman_yor.Level(keys, 0, 0.5, 0.5, rest.rng)
-    level.seat(counts, np.full(3, 1e9))
-    assert level.tables[0] > 20_000
-    for _ in range(7):
-        rest.sweep()
-    assert level.customers.tolist() == counts.tolist() and level.all_tables[0] == level.tables.sum()
-    assert level.tables[0] < 5000 and usual[0] < 1000
-
-
-def test_seating_follows_the_law_of_three_customers():
-    keys = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(97)  # one pair in each restaurant
-    rest = pitman_yor.Restaurants(keys, np.full(256, 3), 1, 1, np.full(256, 0.4), np.full(2, 0.3), 2)
-    seen = np.zeros(4)
-    for _ in range(60):
-        rest.sweep()
-        seen += np.bincount(rest.levels[1].tables, minlength=4)
-    s, d, p = 0.5, 0.3, 0.4
-    law = np.array([s * p * (1 - d) * (2 - d), s * (s + d) * p**2 * 3 * (1 - d), s * (s + d) * (s + 2 * d) * p**3])
-    assert seen[1:] / seen.sum() == pytest.approx(law / law.sum(), abs=0.03)
+    lower = pitman_yor.Level(context, np.array([counts[x] for x in every]), rng, d[0], s[0], sampled=False)
+    root = pitman_yor.Level(np.zeros(60, np.int64), np.zeros(60, np.int64), rng, d[1], s[1], sampled=False)
+    blocks = pitman_yor.Restaurants([lower, root], [symbol], np.full(60, 1 / 60))
+    place = {x: i for i, x in enumerate(every)}
+    tables, probability = np.zeros((2, 2)), np.zeros((2, len(held)))
+    for turn in range(90):
+        one.sweep(), blocks.sweep()
+        assert lower.customers.sum() == len(pairs) and root.customers.sum() == lower.tables.sum()
+        if turn >= 20:
+            tables += [[sum(one.sums[1][j].values()) for j in (0, 1)], [lower.tables.sum(), root.tables.sum()]]
+            probability += [[one.p(0, *x) for x in held], blocks.predict()[0][[place[x] for x in held]]]
+    assert tables[0, 0] == pytest.approx(tables[1, 0], rel=0.02)
+    assert tables[0, 1] == pytest.approx(tables[1, 1], rel=0.05)  # customers of the root move given its averaged probabilities
+    perplexity = np.exp(-np.log(probability / 70).mean(1))
+    assert perplexity[0] == pytest.approx(perplexity[1], rel=0.02)
+
+
+def test_strengths_are_sampled():
+    rng = np.random.default_rng(4)
+    seen = {}
+    for true in (0.5, 20.0):
+        # 400 restaurants of 40 customers with a dish for every table.
+        room = np.repeat(np.arange(400), tables := pitman_yor._chinese(np.full(400, 40), np.full(400, true), 0.3, rng))
+        level = pitman_yor.Level(room, np.ones(len(room), np.int64), rng, 0.3)
+        level.all_customers = np.full(400, 40)
+        drawn = [(level.strengthen(), level.strength)[1] for _ in range(200)]
+        seen[true] = np.mean(drawn[50:])
+        assert level.all_tables.tolist() == tables.tolist()
+    assert seen[0.5] == pytest.approx(0.5, rel=0.4) and seen[20.0] == pytest.approx(20, rel=0.3)
+
+
+def test_frequent_contexts_are_split_by_the_word_before():
+    hot, classes = np.array([7], np.uint64), np.array([3], np.uint64)
+    last, before = np.array([7] * 50 + [8] * 50, np.uint64), np.arange(100).astype(np.uint64)
+    own = pitman_yor.contexts(last, before, hot, classes)
+    assert len(set(own[:50].tolist())) == 3 and len(set(own[50:].tolist())) == 1
+    assert (own == pitman_yor.contexts(last, before, hot, classes)).all()
+
+
+def test_held_out_texts_gain_from_word_order(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{i:03d}" for i in range(120)]
+    def text():
+        at, out = int(r.integers(120)), []
+        for _ in range(60):
+            out.append(words[at])
+            at = (7 * at + int(r.integers(1, 5))) % 120  # four words follow each
+        return " ".join(out)
+    df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    out = pitman_yor.score(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).where("held_out").toPandas()
+    assert (out.score > out.base_score).all()
+    assert out.score.sum() / out.n_tokens.sum() > -0.85  # four equal choices: -0.60; the base: about -2.1
+    assert out.base_score.sum() / out.n_tokens.sum() < -1.9
 
 
 def test_scores(spark):
