@@ -149,7 +149,7 @@ def test_network_gradients_and_training(spark):
     window = r.integers(32, 122, (6, secrets.WIDTH)).astype(np.uint8)
     label = np.array([0, 1, 0, 1, 1, 0])
     n = secrets.Network.new()
-    loss = lambda: -np.mean(label * np.log(n.forward(window)[0]) + (1 - label) * np.log(1 - n.forward(window)[0]))
+    loss = lambda: np.mean(np.logaddexp(0, np.where(label, -1, 1) * n.forward(window)[0]))
     g = n.gradients(window, label)
     for k in ("o", "h", "k", "kb", "e"):
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -159,15 +159,32 @@ def test_network_gradients_and_training(spark):
         down = loss()
         n.weights[k][i] += 1e-5
         assert g[k][i] == pytest.approx((up - down) / 2e-5, rel=0.02, abs=1e-7)
-    rows = []
-    for i in range(400):
-        words = " ".join("".join(r.choice(list("abcdefghij"), 18)) for _ in range(6))
-        rows.append((i, f"{words} password={''.join(r.choice(list('0123456789abcdef'), 20))} {words}"))
-    df = spark.createDataFrame(rows, "doc_id int, text string")
-    network = secrets.train(df)
-    assert network.recall > 0.8 and network.false_rate <= 0.05
-    found = secrets.scan(spark.createDataFrame([(1, "plain words of a clean document, number 4556737586899855 only"), (2, "see k9Zq3XbT7vWm2LpRs8Yd4Hn6 here")], "doc_id int, text string"), network)
-    assert {x.doc_id: len(x.spans) for x in found.collect()}[1] == 0
+
+
+def test_secrets_without_key_words_are_found(spark):
+    """300 secrets over each of three alphabets, and 300 ordinary names, in ordinary text; the figures that are told hold there."""
+    r = random.Random(3)
+    syllables = "ka lo mir ten sha dor vel ni ras pol gut ber".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 3)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    draw = lambda letters, low, high: "".join(r.choice(letters) for _ in range(r.randint(low, high)))
+    rows = [(i, f"{prose(30)} {word()}_{word()}_{word()}_{r.randint(1, 999)} {prose(5)}" + (f" password={draw('0123456789abcdef', 18, 30)} {prose(5)}" if i % 4 == 0 else "")) for i in range(200)]
+    network = secrets.train(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert network.recall >= 0.95 and network.false_rate <= 0.02
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    found = {}
+    for name, letters in (("hex", digits + "ABCDEF"), ("base64", upper + lower + digits + "+/"), ("lower", lower + digits)):
+        planted = [draw(letters, 20, 64) for _ in range(300)]
+        texts = [f"{prose(12)} {x} {prose(12)}" for x in planted]
+        spans = secrets.find(texts, *batch(texts), network)
+        found[name] = sum(any(s <= t.index(x) + len(x) - 1 and e > t.index(x) for s, e, _ in f) for t, x, f in zip(texts, planted, spans)) / 300
+    assert min(found.values()) >= 0.9, found
+    names = [r.choice([lambda: "".join(word().capitalize() for _ in range(4)), lambda: "/".join(word() for _ in range(4)) + f"{r.randint(1, 99)}.txt", lambda: "_".join(word() for _ in range(3)) + f"_{r.randint(10, 9999)}", lambda: f"{r.randint(1990, 2024)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{word()}-{word()}"])() for _ in range(300)]
+    texts = [f"{prose(12)} {x} {prose(12)}" for x in names]
+    assert sum(bool(f) for f in secrets.find(texts, *batch(texts), network)) <= 3
+    # Too few findings: the base rules alone.
+    assert secrets.train(spark.createDataFrame(rows[1:3], "doc_id int, text string")).threshold == 2.0
+    assert secrets.train(spark.createDataFrame([], "doc_id int, text string")).threshold == 2.0
 
 
 def test_whole_runs_are_read():
@@ -187,13 +204,13 @@ def test_whole_runs_are_read():
 
 def test_recall_binds_the_threshold():
     class Fixed(secrets.Network):
-        def score(self, window):
-            return window
+        def forward(self, window):
+            return window, ()
 
     n = Fixed({})
     yes, no = np.linspace(0.1, 0.9, 200), np.full(300, 0.85)
     n.calibrate(np.concatenate((yes, no)), np.repeat([1, 0], [200, 300]), 0.95)
-    assert n.recall >= 0.95 and n.threshold < 0.2 and n.false_rate == 1.0
+    assert n.recall >= 0.95 and n.false_rate == 1.0
 
 
 def test_labelled_windows_are_distinct_and_hold_candidates(spark):
@@ -201,7 +218,7 @@ def test_labelled_windows_are_distinct_and_hold_candidates(spark):
     rows = [(f"{x} at\n",) for x in runs] + [("x" * 30 + " password=k9Zq3XbT7vWm2LpRs8Yd " + "x" * 30,)] * 50 + [("x" * 30 + f" token={i:020d} " + "x" * 30,) for i in range(5)]
     out = spark.createDataFrame(rows, "text string").repartition(3).mapInArrow(secrets._labelled(40), secrets._LABELLED).distinct().collect()
     body = lambda x: bytes(x.window[secrets.CONTEXT : secrets.CONTEXT + secrets.INSIDE]).rstrip(b"\0").decode()
-    yes, no = ([body(x) for x in out if x.label == k] for k in (1, 0))
+    yes, no = ([body(x) for x in out if x.label in k] for k in ((1,), (0, 2)))
     assert sorted(set(yes)) == sorted(["k9Zq3XbT7vWm2LpRs8Yd", *(f"{i:020d}" for i in range(5))]) and len(yes) == 6
     assert {x for x in no if x in runs} and all("=" not in x for x in no)
 
