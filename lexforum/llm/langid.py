@@ -6,7 +6,8 @@ language, and looking an n-gram up (the AND of its slots) gives all languages
 that contain it at once. A text's n-grams are counted per language, the counts
 are corrected for each filter's false positives, and the largest decides.
 
-Learned from a bounded sample of labelled texts. Null text, or text without a
+Learned from a bounded sample of labelled texts (SAMPLE of each of at most LANGUAGES
+languages). Texts are read whole, however long. Null text, or text without a
 letter: `und`, score 0. Ties go to the language that sorts first. An empty table, or
 one without labels, gives `und` for all. Repeated rows each give a row; columns
 other than those named are not read.
@@ -27,10 +28,10 @@ from . import kernel, pretokens
 from .shared import prepare
 
 UND = "und"
-#: Labelled texts to learn from, for each language, about (chosen by a hash of id and text); n-grams kept for each.
-SAMPLE, GRAMS = 400, 30_000
-#: An n-gram belongs to a language if it occurs so often, and so often compared with the language where it is most frequent.
-LEAST_COUNT, SHARE = 3, 0.2
+#: Labelled texts to learn from, for each language, about (chosen by a hash of the id); languages, the most frequent ones.
+SAMPLE, LANGUAGES = 400, 1024
+#: An n-gram belongs to a language if it occurs so often compared with the language where it is most frequent.
+SHARE = 0.2
 #: Lookups of an n-gram; slots for each n-gram kept.
 LOOKUPS, SLOTS = 2, 8
 
@@ -136,11 +137,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters from about `sample` labelled texts of each language that are not held out, all of them if there are fewer."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Filters:
+    """Filters from about `sample` labelled texts of each of the `languages` most frequent languages that are not held out, all of them if there are fewer."""
     prepare(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    many = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
+    many = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
     if not many:
         return Filters.of({})
     # The share of each language that the sample takes, as a limit on a hash.
@@ -169,10 +170,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         most[at] = np.maximum(most[at], counts / counts.sum())
     sets = {}
     for lang, (keys, counts) in tables.items():
-        least = LEAST_COUNT if counts.sum() > 20_000 else 1
-        typical = (counts >= least) & (counts / counts.sum() >= SHARE * most[np.searchsorted(every, keys)])
-        order = np.argsort(-counts[typical], kind="stable")[:GRAMS]
-        sets[lang] = keys[typical][order]
+        sets[lang] = keys[counts / counts.sum() >= SHARE * most[np.searchsorted(every, keys)]]
     return Filters.of(sets)
 
 
@@ -181,7 +179,7 @@ def predict(docs: DataFrame, filters: Filters | None = None, text_col: str = "te
     prepare(docs.sparkSession)
     filters = filters if filters is not None else train(docs, text_col=text_col)
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by GRAMS and the number of languages
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in kernel.blocks(batches, text_col):
