@@ -3,7 +3,10 @@
 Grades 0 .. K share one weight vector; ordered thresholds t_1 < .. < t_K give
 P(grade >= k) = logistic(w x - t_k). The expected severity is the sum of these
 over k. Fitted on a bounded sample of labelled texts; a held-out fifth of it
-sets the cut above which a text counts as toxic. Null text: empty. Labels
+sets the cut above which a text counts as toxic. What the grades are is the caller's
+choice (`grade`): with two of them, as the given labels have, one threshold is left.
+Null text: empty. Very long texts are read whole; columns other than those named are
+not read, whatever their names. Labels
 without a text, and null grades, are left out. Without labels nothing is toxic.
 Repeated rows each give a row; an empty table gives an empty result.
 """
@@ -118,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | str = "toxic", id_
     prepare(docs.sparkSession)
     grade = F.col(grade) if isinstance(grade, str) else grade
     chosen = labels.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("id is not null and grade >= 0").distinct().orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "grade")  # `sample` rows at most
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most are broadcast
+    # Of several texts with one id the one with the smallest hash is learned from, so that `sample` rows at most come back.
+    joined = joined.groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in kernel.blocks(batches):
@@ -126,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | str = "toxic", id_
             flat = words.astype("<i4")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([flat[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)], pa.binary())], ["id", "grade", "words"])
 
-    rows = sorted(((str(r.id), r.grade, r.words) for r in joined.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, grade int, words binary").toLocalIterator()))[: 2 * sample]
+    rows = sorted(((str(r.id), r.grade, r.words) for r in joined.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, grade int, words binary").toLocalIterator()))
     model = Ordinal()
     grades = np.array([r[1] for r in rows], np.int64)
     if not len(grades) or grades.max() == 0:
