@@ -135,7 +135,7 @@ def cosine(matrix: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (matrix * q).sum(1) / (np.sqrt((matrix * matrix).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def _search(indexes: list[vectors.Index], queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _search(indexes: list[vectors.Index], queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     unit = _unit(queries)
     graphs = [Graph(_unit(x["vectors"]), x["level"], x["ground"], x["upper"], x["row"], int(x["entry"])) for x in indexes]
     for i in range(len(queries)):
@@ -151,6 +151,6 @@ def _search(indexes: list[vectors.Index], queries: np.ndarray, own: np.ndarray,
         yield i, found[other], score[other]
 
 
-def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = vectors.SHARD_ROWS) -> DataFrame:
     """The k nearest found rows of every query row: query_id, rank, vec_id, score (cosine)."""
-    return vectors.top_k(table, id_col, vector_col, every, k, _clean, _build, _search, "double")
+    return vectors.top_k(table, id_col, vector_col, every, k, _clean, _build, _search, "double", shard_rows)

@@ -3,7 +3,8 @@
 Trees are split at medians of the widest dimension, and every node keeps the
 tight bounding box of its vectors. The box gives the largest inner product any
 vector inside can have with a query; nodes are visited in this order, until it
-falls below the k-th best score so far, which is carried on from shard to shard.
+falls below the k-th best score so far, which is carried on from shard to shard, and
+from the first group of shards to all others.
 Nulls, ties, repeated rows and empty tables: see `vectors` (zero vectors take
 part here).
 """
@@ -58,20 +59,22 @@ def _exact(*parts: np.ndarray) -> bool:
     return a * b * max(1, parts[0].shape[-1]) < 2.0**53
 
 
-def _search(indexes: list[vectors.Index], queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    kth = np.full(len(queries), -np.inf)  # carried from shard to shard
+def _search(indexes: list[vectors.Index], queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    kth = known.astype(float).copy()  # carried from group to group, and from shard to shard
     ids: list[list[np.ndarray]] = [[] for _ in queries]
     scores: list[list[np.ndarray]] = [[] for _ in queries]
     for x in indexes:
         numbers = np.float64 if _exact(x["vectors"], queries) else np.int64
         matrix, q = x["vectors"][x["order"]].astype(numbers), queries.astype(numbers)
         bounds = np.maximum(q, 0).astype(float) @ x["high"].astype(float).T + np.minimum(q, 0).astype(float) @ x["low"].astype(float).T
-        slack = 0.0 if numbers is np.float64 else 1e-9
+        # Where sums are not exact, a bound is raised by what rounding can take: of the terms' sizes, not of their sum.
+        sizes = 0.0 if numbers is np.float64 else np.abs(q).astype(float) @ np.maximum(np.abs(x["high"].astype(float)), np.abs(x["low"].astype(float))).T
+        bounds = bounds + 1e-9 * sizes
         count = np.diff(x["off"])[x["order"]]
         start = x["off"][:-1][x["order"]]
         first, last, left, right = (x[c].tolist() for c in ("first", "last", "left", "right"))
         for i in range(len(q)):
-            bound = bounds[i] + slack * np.abs(bounds[i])
+            bound = bounds[i]
             heap = [(-bound[0], 0)]
             while heap:
                 b, node = heapq.heappop(heap)
@@ -104,6 +107,6 @@ def _search(indexes: list[vectors.Index], queries: np.ndarray, own: np.ndarray,
             yield i, ids[i][0], scores[i][0]
 
 
-def top_k(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = vectors.SHARD_ROWS) -> DataFrame:
     """The k rows with the largest inner product for every query row, vectors taken as floor(1024 x): query_id, rank, vec_id, score."""
-    return vectors.top_k(table, id_col, vector_col, every, k, _clean, build, _search, "long")
+    return vectors.top_k(table, id_col, vector_col, every, k, _clean, build, _search, "long", shard_rows)

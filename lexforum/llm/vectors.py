@@ -93,7 +93,7 @@ def top_k(
     k: int,
     clean: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
     build: Callable[[np.ndarray], Index],
-    search: Callable[[list[Index], np.ndarray, np.ndarray, int], Iterator[tuple[int, np.ndarray, np.ndarray]]],
+    search: Callable[[list[Index], np.ndarray, np.ndarray, int, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]],
     score_type: str,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
@@ -101,7 +101,7 @@ def top_k(
 
     clean gives the vectors in the form to index and which rows take part; build indexes one shard's distinct
     vectors; search goes through a group's shards with a block of queries and yields, for each query, its place
-    and the ids and scores that may be among its best.
+    and the ids and scores that may be among its best; it is given a score that the k-th best reaches at least.
     """
     spark = table.sparkSession
     prepare(spark)
@@ -139,12 +139,15 @@ def top_k(
         shard = part["shard"][0].as_py()
         return pa.table({"dim": pa.array([dim], pa.int32()), "grp": pa.array([shard // GROUP_SHARDS], pa.int32()), "shard": pa.array([shard], pa.int32()), "payload": pa.array([pack(**index)], pa.binary())})
 
-    index = checkpointed(rows.mapInArrow(lambda b: cleaned(b, False), schema).groupBy("dim", "shard").applyInArrow(built, "dim int, grp int, shard int, payload binary"))
+    # A number of partitions of its own, as the work is in the shards and not in their bytes: they are not put together again.
+    index = checkpointed(rows.mapInArrow(lambda b: cleaned(b, False), schema).repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(built, "dim int, grp int, shard int, payload binary"))
     queries = rows.where(F.col("id") % every == 0).mapInArrow(lambda b: cleaned(b, True), schema)
     blocks = max(1, -(-rows.where(F.col("id") % every == 0).count() // QUERY_ROWS))
-    # Each block of queries meets each group of shards once: a bounded number of both in a task.
+    # Each block of queries meets each group of shards once: a bounded number of both in a task. First its home group,
+    # whose k-th score is where the others start from.
+    home = F.pmod(F.xxhash64(F.lit(5), "id", "v"), F.lit(groups)).cast("int")
+    queries = queries.select("id", "dim", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), home.alias("home"))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score_type == "double" else pa.int64())])
 
     def searched(shards: pa.Table, part: pa.Table) -> pa.Table:
@@ -152,16 +155,29 @@ def top_k(
             return result.empty_table()
         dim = part["dim"][0].as_py()
         indexes = [unpack(x) for x in shards.sort_by("shard")["payload"].to_pylist()]
-        own = part["id"].to_numpy()
+        own, kth = part["id"].to_numpy(), part["kth"].to_numpy()
         q, v, s = [], [], []
-        for i, ids, scores in search(indexes, matrix_of(part["v"], dim), own, k):
+        for i, ids, scores in search(indexes, matrix_of(part["v"], dim), own, k, kth):
             order = np.lexsort((ids, -scores))[:k]
             q.append(np.full(len(order), own[i])), v.append(ids[order]), s.append(scores[order])
         if not q:
             return result.empty_table()
         return pa.table([np.concatenate(q), np.concatenate(v), np.concatenate(s)], schema=result)
 
-    found = left.groupBy("dim", "grp", "block").cogroup(right.groupBy("dim", "grp", "block")).applyInArrow(searched, f"query_id long, vec_id long, score {score_type}")
+    def met(asked: DataFrame) -> DataFrame:
+        parts = 4 * groups * blocks
+        cells = left.repartition(parts, "dim", "grp", "block").groupBy("dim", "grp", "block").cogroup(asked.repartition(parts, "dim", "grp", "block").groupBy("dim", "grp", "block"))
+        return cells.applyInArrow(searched, f"query_id long, vec_id long, score {score_type}")
+
+    none = F.lit(float("-inf")).alias("kth")
+    first = checkpointed(met(queries.select("id", "dim", "v", "block", F.col("home").alias("grp"), none)))
+    found = first
+    if groups > 1:
+        # Ids may repeat, so a bound holds for an id only if each of its vectors has one; the least of them is taken.
+        per = queries.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+        bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least")).join(per.withColumnRenamed("id", "query_id"), "query_id").where((F.col("rows") == 1) & (F.col("n") == k))
+        others = queries.join(bound.select(F.col("query_id").alias("id"), "least"), "id", "left").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where("grp <> home")
+        found = first.unionByName(met(others.select("id", "dim", "v", "block", "grp", F.coalesce("least", F.lit(float("-inf"))).alias("kth"))))
     # A query has k rows from each group; array sorting needs no order over all rows.
     best = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "score")))), 1, k)
     return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
