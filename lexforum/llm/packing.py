@@ -3,13 +3,15 @@
 Every document's ids end with one separator id. Documents longer than a
 sequence are cut into whole sequences from the end, so that only the first
 piece may be shorter. Whole pieces fill a sequence each; the others are dealt
-evenly to shards, and in each shard the sum-of-squares rule places a piece
-where the sum over gaps of (open sequences with that gap) squared becomes
-smallest. Shards hold a bounded number of pieces, so that no task grows with
+evenly to shards, and in each shard the sum-of-squares rule places every piece, larger
+ones first: into the open sequence that holds it for which the sum over gaps of (open
+sequences with that gap) squared becomes smallest; a sequence is opened where none
+holds the piece. Shards hold a bounded number of pieces, so that no task grows with
 the input and what shards leave open stays a small, fixed share.
 
 Null text: the separator alone. Repeated rows are packed as often as they occur.
-An empty table gives an empty result. Other columns are not read.
+Texts are read whole, however long. An empty table gives an empty result. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,71 +43,29 @@ class SumOfSquares:
     def place(self, size: int) -> tuple[int, int]:
         """Sequence and offset of a piece of 1 to capacity tokens."""
         b, n = self.capacity, self.count
-        if size == b:
-            self.made += 1
-            return self.made - 1, 0
-        # Moving a sequence from gap g to g - size changes the sum by 2 (n[g - size] - n[g]) + 2; a new one or one that gets full by less.
-        gain = n[1 : b - size + 1] - n[size + 1 :] + 1  # for g = size + 1 .. b, halved; g = b stands for a new sequence
-        gain[-1] = n[b - size]
-        full = 0.5 - n[size] if n[size] else np.inf
-        usable = n[size + 1 :] > 0
-        usable[-1] = True
-        cost = np.where(usable, gain.astype(float), np.inf)
-        cost[-1] += 0.5
-        k = int(cost.argmin())  # the smallest gap among equals
-        if full <= cost[k]:
-            g = size
-        else:
-            g = size + 1 + k
-        if g == b:
-            sequence, self.made = self.made, self.made + 1
-        else:
+        # Moving a sequence from gap g to g - size changes the sum by 2 (n[g - size] - n[g]) + 2; one that gets full, by 1 - 2 n[g]. Halved:
+        cost = np.where(n[size:b] > 0, -n[size:b] + 1.0, np.inf)  # for g = size .. b - 1
+        cost[1:] += n[1 : b - size] if size < b else 0
+        cost[:1] -= 0.5
+        if len(cost) and cost.min() < np.inf:
+            g = size + int(cost.argmin())  # the smallest gap among equals
             n[g] -= 1
             sequence = self.open[g].pop()
+        else:
+            g, sequence = b, self.made
+            self.made += 1
         if g > size:
             n[g - size] += 1
             self.open[g - size].append(sequence)
         return sequence, b - g
 
 
-def _tightest(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sequence and offset of each piece, larger first, each in the open sequence with the smallest gap that holds it."""
-    gaps: list[list[int]] = [[] for _ in range(capacity + 1)]
-    some = np.zeros(capacity + 1, bool)
-    sequence, offset, made = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        k = int(some[size:].argmax()) + size
-        if some[k]:
-            sequence[i], offset[i] = gaps[k].pop(), capacity - k
-            some[k] = bool(gaps[k])
-        else:
-            k = capacity
-            sequence[i], offset[i], made = made, 0, made + 1
-        if k > size:
-            gaps[k - size].append(int(sequence[i]))
-            some[k - size] = True
-    return sequence, offset, made
-
-
 def pack_shard(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sequence and offset of each piece, and the number of sequences.
-
-    Pieces are placed by the sum-of-squares rule, larger ones first. The rule leaves sequences of many different
-    gaps open, for pieces to come; as none come, the pieces of those are placed once more, as tightly as they go.
-    """
+    """Sequence and offset of each piece, and the number of sequences: larger pieces first, equal ones as they come."""
     packer = SumOfSquares(capacity)
     sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     for i in np.argsort(-sizes, kind="stable").tolist():
         sequence[i], offset[i] = packer.place(int(sizes[i]))
-    filled = np.bincount(sequence, sizes, packer.made)
-    again = np.flatnonzero(filled[sequence] < capacity)
-    new, at, made = _tightest(sizes[again], capacity)
-    kept = filled == capacity
-    if int(kept.sum()) + made < packer.made:
-        sequence = (np.cumsum(kept) - 1)[sequence]
-        sequence[again], offset[again] = new + int(kept.sum()), at
-        return sequence, offset, int(kept.sum()) + made
     return sequence, offset, packer.made
 
 
