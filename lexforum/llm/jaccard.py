@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .shared import buckets, checkpointed, free_shuffles, prepare
+from .shared import buckets, checkpointed, free_shuffles, hot_from, join_keyed, prepare
 
 #: Words of a shingle; per cent of the union that two linked sets share; elements of a light set's subsets.
 WORDS, PERCENT, SUBSET = 5, 80, 2
@@ -252,24 +252,29 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def boundary(sets: DataFrame) -> int:
-    """Largest size for which enumerating subsets costs less than scanning inverted lists.
+    """Largest size up to which enumerating subsets costs less than scanning inverted lists.
 
-    Costs by size: subsets are n over 2 of the rarest elements; a list costs one entry and a look at each entry
-    that stands there, as many as the element's frequency. Sizes above 64 are never light: their subsets are thousands.
+    Costs by size, in rows: a listed element costs its entry and a look at each set that holds it, as many as its
+    frequency; a subset costs its entry, twice, as there are many with no partner, and a look at each set that would
+    hold both elements if they met by chance. One row for each size of a set comes back.
     """
+    every = max(1, sets.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = np.zeros((65, 2))
         for batch in batches:
+            rows = []
             for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 m = len(blob) // 9
+                code = np.sort(np.frombuffer(blob, np.uint8, m, 8 * m))
+                often = np.where(code < 128, code, np.exp2(np.minimum(code.astype(float), 184) - 121))
                 most = n - int(needed(n)) + 1 - (n - m)
-                code = np.sort(np.frombuffer(blob, np.uint8, m, 8 * m))[: max(0, most)].astype(float)
-                cost[n] += (max(0, most + 1) * max(0, most) / 2 * 2, (1 + np.minimum(code, 127)).sum())
-        some = np.flatnonzero(cost.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cost[some, 0]), pa.array(cost[some, 1])], ["n", "light", "heavy"])
+                own, more = often[: max(0, most)], often[: max(0, most + 1)]
+                rows.append((n, len(more) * (len(more) - 1.0) + (more.sum() ** 2 - (more**2).sum()) / (2 * every), len(own) + own.sum()))
+            if rows:
+                n, light, heavy = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(light, pa.float64()), pa.array(heavy, pa.float64())], ["n", "light", "heavy"])
 
-    rows = sets.where("n <= 64").select("n", "elements").mapInArrow(run, "n int, light double, heavy double").groupBy("n").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).orderBy("n").collect()  # 64 rows at most
+    rows = sets.select("n", "elements").mapInArrow(run, "n int, light double, heavy double").groupBy("n").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).orderBy("n").collect()
     best, at, total = 0.0, 0, 0.0
     for r in rows:
         total += r.light - r.heavy
@@ -312,32 +317,39 @@ def _set_links(sets: DataFrame) -> DataFrame:
     # Keys of one set alone, and lists without a heavy set, make no candidates.
     many = keys.groupBy("key", "subset").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("top"), F.struct(F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64(F.lit(7), "name"))).alias("content"), F.sum("left").alias("room")).where("sets > 1 and (subset or top = 1)")
     # Of keys with the same members the one that comes first in their order is enough: any pair's first shared key is one of these.
-    once = many.groupBy("content", "subset", "sets").agg(F.max_by("key", F.struct("room", "key")).alias("key")).select("key", "subset", F.ceil(F.col("sets") / KEY_MEMBERS).cast("int").alias("split"))
-    runs = checkpointed(keys.join(once, ["key", "subset"]).select("key", "subset", "name", "n", "kind", "left", "weight", "split"))
-    free_shuffles(sets.sparkSession)
+    once = checkpointed(many.groupBy("content", "subset", "sets").agg(F.max_by("key", F.struct("room", "key")).alias("key")).select("key", "subset", "sets", F.ceil(F.col("sets") / KEY_MEMBERS).cast("int").alias("split")))
+    spark = sets.sparkSession
+    hot = hot_from(spark, once.agg(F.sum("sets")).first()[0] or 0)
+    runs = checkpointed(join_keyed(keys, once, ["key", "subset"], "sets", hot).select("key", "subset", "name", "n", "kind", "left", "weight", "split", "sets"))
+    free_shuffles(spark)
     involved = checkpointed(sets.join(runs.select("name").distinct(), "name", "left_semi"))
     salt = F.pmod(F.xxhash64("name"), F.col("split"))
     # First round: members of a key (of one part of it, if it is large) with the set there whose elements are the most frequent, heavy ones first.
-    links = _verify(_with_head(runs.withColumn("salt", salt).withColumn("component", F.col("name")), ["key", "subset", "salt"], F.col("weight")), involved)
+    links = _verify(_with_head(runs.withColumn("salt", salt).withColumn("component", F.col("name")), ["key", "subset", "salt"], F.col("weight"), hot), involved)
     # Further rounds: what a key still holds apart is compared with one more of its sets, drawn anew, while that links any.
     for turn in range(HEADS):
-        more = checkpointed(_with_head(_open(runs, components(links)), ["key", "subset"], F.xxhash64(F.lit(turn), "name")))
+        more = checkpointed(_with_head(_open(runs, components(links), hot), ["key", "subset"], F.xxhash64(F.lit(turn), "name"), hot))
         if more.isEmpty():
             break
         new = _verify(more, involved)
         if new.isEmpty():
             break
         links = checkpointed(links.unionByName(new).distinct())
-        free_shuffles(sets.sparkSession)
-    rest = _cross_pairs(_open(runs, components(links)))
+        free_shuffles(spark)
+    rest = _cross_pairs(_open(runs, components(links), hot), hot)
     return links.unionByName(_verify(rest, involved))
 
 
-def _open(runs: DataFrame, label: DataFrame) -> DataFrame:
+def _by_heat(rows: DataFrame, hot: int) -> list[tuple[DataFrame, bool]]:
+    """The rows of hot keys, which are few keys, and those of all others."""
+    return [(rows.where(F.col("sets") >= hot), True), (rows.where(F.col("sets") < hot), False)]
+
+
+def _open(runs: DataFrame, label: DataFrame, hot: int) -> DataFrame:
     """Rows of keys whose sets lie in several components, with the component of each."""
     named = runs.join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    keys = named.groupBy("key", "subset").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "subset")
-    return checkpointed(named.join(keys, ["key", "subset"]))
+    keys = checkpointed(named.groupBy("key", "subset").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("sets").alias("sets")).where("x <> y").select("key", "subset", "sets"))
+    return checkpointed(join_keyed(named, keys, ["key", "subset"], "sets", hot))
 
 
 def _fits(p: dict[str, Column], q: dict[str, Column]) -> Column:
@@ -346,20 +358,29 @@ def _fits(p: dict[str, Column], q: dict[str, Column]) -> Column:
     return (p["subset"] | (p["kind"] == 1) | (q["kind"] == 1)) & (F.least(p["left"], q["left"]) * (100 + PERCENT) >= both * PERCENT) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * PERCENT)
 
 
-def _with_head(members: DataFrame, by: list[str], order: Column) -> DataFrame:
+def _with_head(members: DataFrame, by: list[str], order: Column, hot: int) -> DataFrame:
     """Distinct pairs (a, b) of each key's head (heavy ones first, then by `order`) and its members of other components that can link with it."""
-    heads = members.groupBy(*by).agg(F.max(F.struct("kind", order.alias("order"), "n", "name", "left", "component")).alias("h"))
+    out = None
+    for own, few in _by_heat(members, hot):
+        heads = own.groupBy(*by).agg(F.max(F.struct("kind", order.alias("order"), "n", "name", "left", "component")).alias("h"))
+        joined = own.join(F.broadcast(heads) if few else heads, by)  # hot keys are few, and so are their parts
+        out = joined if out is None else out.unionByName(joined)
     h = {c: F.col(f"h.{c}") for c in ("name", "n", "kind", "left")} | {"subset": F.col("subset")}
     m = {c: F.col(c) for c in ("name", "n", "kind", "left", "subset")}
-    pairs = members.join(heads, by).where((F.col("component") != F.col("h.component")) & _fits(h, m))
+    pairs = out.where((F.col("component") != F.col("h.component")) & _fits(h, m))
     return pairs.select(F.least(h["name"], m["name"]).alias("a"), F.greatest(h["name"], m["name"]).alias("b")).distinct()
 
 
-def _cross_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of a key that lie in different components and can link: what comparing with heads has left open."""
+#: Parts that the pairs of a hot key are dealt to.
+PAIR_PARTS = 16
+
+
+def _cross_pairs(named: DataFrame, hot: int) -> DataFrame:
+    """All pairs of a key that lie in different components and can link: what comparing with heads has left open. A hot key's are dealt to PAIR_PARTS tasks."""
     columns = ("name", "n", "kind", "left", "component")
-    p = named.select("key", "subset", *(F.col(c).alias(f"p_{c}") for c in columns))
-    q = named.select("key", "subset", *(F.col(c).alias(f"q_{c}") for c in columns))
+    parts = F.when(F.col("sets") >= hot, PAIR_PARTS).otherwise(1)
+    p = named.select("key", "subset", F.pmod(F.xxhash64("name"), parts).cast("int").alias("part"), *(F.col(c).alias(f"p_{c}") for c in columns))
+    q = named.select("key", "subset", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"q_{c}") for c in columns))
     of = lambda side: {c: F.col(f"{side}_{c}") for c in columns} | {"subset": F.col("subset")}
-    pairs = p.join(q, ["key", "subset"]).where((F.col("p_name") < F.col("q_name")) & (F.col("p_component") != F.col("q_component")) & _fits(of("p"), of("q")))
+    pairs = p.join(q, ["key", "subset", "part"]).where((F.col("p_name") < F.col("q_name")) & (F.col("p_component") != F.col("q_component")) & _fits(of("p"), of("q")))
     return pairs.select(F.col("p_name").alias("a"), F.col("q_name").alias("b")).distinct()

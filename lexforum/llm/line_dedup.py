@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import checkpointed, free_shuffles
+from .shared import checkpointed, free_shuffles, hot_from, join_keyed
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -92,7 +92,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     level = checkpointed(lines.join(ids, ["h1", "h2"]).groupBy(*DOC, "pos").agg(F.first("words").alias("words"), F.first("rank").alias("rank")))
     free_shuffles(docs.sparkSession)
     runs = checkpointed(_shortest_runs(level, min_words))
-    longest = runs.agg(F.max("m")).first()[0] or 0
+    sizes = {r.m: r["count"] for r in runs.groupBy("m").count().collect()}  # one row for each length of a run
+    longest = max(sizes, default=0)
     level = level.select(*DOC, "pos", "rank")
     found = None
     k = 0
@@ -101,8 +102,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         here = runs.where((F.col("m") >= size) & (F.col("m") < 2 * size))
         first, last = level.withColumnsRenamed({"pos": "start", "rank": "a"}), level.withColumnsRenamed({"pos": "tail", "rank": "b"})
         named = here.join(first, [*DOC, "start"]).withColumn("tail", F.col("start") + F.col("m") - size).join(last, [*DOC, "tail"])
-        interval = named.groupBy("m", "a", "b").agg(F.min(_position("start")).alias("first"), F.max(_position("start")).alias("high")).where("first < high").select("m", "a", "b", "first")
-        later = named.join(interval, ["m", "a", "b"]).where(F.struct(*DOC, F.col("start").alias("pos")) > F.col("first")).select(*DOC, "start", "m", "first")
+        interval = named.groupBy("m", "a", "b").agg(F.min(_position("start")).alias("first"), F.max(_position("start")).alias("high"), F.count(F.lit(1)).alias("copies"))
+        interval = checkpointed(interval.where("first < high").select("m", "a", "b", "first", "copies"))
+        later = join_keyed(named, interval, ["m", "a", "b"], "copies", hot_from(docs.sparkSession, sum(n for m, n in sizes.items() if size <= m < 2 * size))).where(F.struct(*DOC, F.col("start").alias("pos")) > F.col("first")).select(*DOC, "start", "m", "first")
         found = later if found is None else found.unionByName(later)
         k += 1
         if 2**k > longest:

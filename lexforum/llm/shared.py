@@ -6,6 +6,7 @@ import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: texts can be long, so batches are kept small.
 ARROW_ROWS, ARROW_BYTES = 2048, 4 << 20
@@ -44,6 +45,25 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hot_from(spark: SparkSession, rows: int) -> int:
+    """Rows from which a key of a table with so many rows is hot: there are at most 4 x shuffle partitions of such keys."""
+    return max(2, -(-rows // (2 * buckets(spark))))
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, hot: int) -> DataFrame:
+    """Inner join with a table of one row per key that tells how many rows the key has (`count`).
+
+    Keys with `hot` rows or more are few, so theirs are broadcast; the rows they take are spread over all tasks in the
+    exchange that joins the others. No task holds all rows of a frequent key.
+    """
+    payload = [c for c in keyed.columns if c not in keys]
+    own = keyed.select(*keys, F.struct(*payload).alias("_hot")).where(F.col(f"_hot.{count}") >= hot)
+    others = keyed.select(*keys, F.lit(0).alias("_at"), F.struct(*payload).alias("_cold")).where(F.col(f"_cold.{count}") < hot)
+    first = rows.join(F.broadcast(own), keys, "left").withColumn("_at", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).cast("int"))
+    both = first.join(others, [*keys, "_at"], "left").withColumn("_own", F.coalesce("_hot", "_cold")).where(F.col("_own").isNotNull())
+    return both.select(*rows.columns, *(F.col(f"_own.{c}").alias(c) for c in payload if c not in rows.columns))
+
+
 def buckets(spark: SparkSession) -> int:
     """Number of ranges that keys are dealt to: twice the shuffle partitions, which the cluster sets by its data."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

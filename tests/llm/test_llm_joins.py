@@ -70,6 +70,32 @@ def test_nearest_recall(spark):
     assert [i for _, i, _ in sorted(out[0])] == [1, 4, 7, 10, 13]  # ties by id
 
 
+def test_searches_over_several_shards(spark):
+    """The merge, and the k-th score carried from the home group, over 8 shards and more."""
+    rows = [*vector_rows(1600, 24, 7), (4000, [0.5] * 24, 0), (4000, [0.25] * 24, 0)]
+    df = spark.createDataFrame(rows, DDL).selectExpr("*", "1 as shard", "'x' as v").repartition(5)
+    vectors = usable(rows[:-2], True)
+    out = collections.defaultdict(list)
+    for r in kdtree.top_k(df, shard_rows=200).collect():
+        out[r.query_id].append((r.rank, -r.score, r.vec_id))
+    whole = {i: np.floor(1024 * v).astype(int) for i, v in vectors.items()}
+    twice = [np.floor(1024 * np.full(24, x)).astype(int) for x in (0.5, 0.25)]
+    for q in (i for i in whole if i % 100 == 0 and len(whole[i]) == 24):
+        others = best(whole, q, 10, lambda a, b: int(a @ b)) + [(-int(whole[q] @ t), 4000) for t in twice]
+        assert [(s, i) for _, s, i in sorted(out[q])] == sorted(set(others))[:10]
+    found = collections.defaultdict(list)
+    for r in hnsw.nearest(df, shard_rows=200).collect():
+        found[r.query_id].append(r.vec_id)
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    own = {i: v for i, v in usable(rows[:-2], False).items() if len(v) == 24}
+    hit = total = 0
+    for q in (i for i in own if i % 50 == 0 and i != 4000):
+        want = sorted((-round(cos(own[q], v), 12), i) for i, v in own.items() if i != q)[:5]
+        hit, total = hit + len({i for _, i in want} & set(found[q])), total + 5
+    assert hit / total >= 0.95
+    assert hnsw.nearest(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(f"n{r.randint(0, 150)}", f"n{r.randint(0, 150)}") for _ in range(90)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)] + [("x", None)]
@@ -191,6 +217,36 @@ def test_line_dedup(spark):
     assert not any("Arrow" in s or "Python" in s for s in [df.sparkSession._jvm.PythonSQLUtils.explainString(line_dedup.dedup(df)._jdf.queryExecution(), "simple")])
 
 
+def test_frequent_keys_and_long_texts(spark):
+    """One passage in most documents, one text of 1 MB in two: a hot key in every join, read whole."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage = "\n".join(" ".join(word() for _ in range(12)) for _ in range(5))
+    long = "\n".join(" ".join(word() for _ in range(10)) for _ in range(17_000))
+    rows = [(i, "\n".join([" ".join(word() for _ in range(9)), passage, word()])) for i in range(300)]
+    rows += [(1000, long), (1001, long + "\nend"), (1002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = {x.doc_id: x for x in line_dedup.dedup(df).collect()}
+    assert out[0].text == rows[0][1] and out[1000].text == long and out[1001].text == "end" and out[1002].text == ""
+    assert all(out[i].text == rows[i][1].replace(passage + "\n", "") for i in range(1, 300))
+    joined = {x.doc_id: x.component_id for x in jaccard.join(df).collect()}
+    assert joined[1001] == 1000 and joined[1002] == 1002
+    want = brute_jaccard(rows[:300])
+    assert all(joined[i] == want[i][1] for i in range(300))
+
+
+def test_keyed_join_spreads_frequent_keys(spark):
+    from pyspark.sql import functions as F
+
+    from lexforum.llm.shared import hot_from, join_keyed
+
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(900)], "k int, v int")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).where("k % 2 = 0")
+    want = sorted(tuple(x) for x in rows.join(keyed, "k").select("k", "v", "n", "top").collect())
+    for hot in (2, hot_from(spark, 900), 10_000):
+        assert sorted(tuple(x) for x in join_keyed(rows, keyed, ["k"], "n", hot).select("k", "v", "n", "top").collect()) == want
+
+
 def test_null_ids_are_documents_too(spark):
     text = " ".join(["w"] * 60)
     out = line_dedup.dedup(spark.createDataFrame([(None, text), (1, text), (None, "short")], "doc_id long, text string")).collect()
