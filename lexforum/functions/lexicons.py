@@ -135,3 +135,38 @@ CIVIL = {
     "memoria": "memoria recuerdo ausencia dolor sufrimiento lágrimas luto duelo pérdida extrañar verdad justicia reparación reconocimiento madres MAFAPO soacha víctimas buscar identificar cuerpo restos tumba".split(),
 }
 CIVIL_REPEATS = 3
+
+# Terms of testimony, counted as substrings of the lower-case text.
+FIRST_PERSON = "yo nosotros ordené ordenamos maté matamos ejecuté ejecutamos participé participamos reconozco reconocemos acepto aceptamos asumo asumimos fui fuimos di dimos tomé tomamos cometí cometimos".split()
+IMPERSONAL = "se produjo|se presentó|se dio de baja|fue dado de baja|fue presentado|se encontró|fue hallado|se reportó|fue reportado|se procedió|fue muerto en|resultó muerto|se identificó|fue identificado como|se neutralizó".split("|")
+HEDGES = {
+    "tal vez": 1.0, "quizás": 1.0, "quizá": 1.0, "posiblemente": 1.0, "probablemente": 1.0, "en cierta medida": 0.8, "en alguna medida": 0.8,
+    "podría": 0.7, "podrían": 0.7, "pudiera": 0.7, "parecería": 0.8, "pareciera": 0.8, "aparentemente": 0.9, "presuntamente": 1.0,
+    "supuestamente": 1.0, "al parecer": 0.9, "se estima": 0.6, "se considera": 0.5, "eventualmente": 0.6, "en principio": 0.5,
+    "en teoría": 0.7, "según se indica": 0.8, "de alguna manera": 0.7, "de cierta forma": 0.7, "cabe la posibilidad": 0.9, "no se descarta": 0.8,
+    "habría": 0.8, "habrían": 0.8, "hubiera": 0.7,
+}
+EMOTIONS = {
+    "culpa": "responsabilidad|responsable|culpable|culpa|reconozco|acepto|perdón|disculpa|lamento|arrepiento|arrepentimiento|vergüenza".split("|"),
+    "tristeza": "dolor|sufrimiento|pérdida|duelo|luto|llanto|lágrimas|angustia|pena|aflicción|desconsuelo|desolación|muerte|asesinato".split("|"),
+    "miedo": "amenaza|peligro|terror|miedo|temor|intimidación|presión|coerción|riesgo|vulnerabilidad|indefensión".split("|"),
+    "ira": "indignación|rabia|furia|injusticia|impunidad|rechazo|condena|repudio|denuncia|reclamo".split("|"),
+    "confianza": "verdad|justicia|reparación|reconocimiento|garantía|compromiso|esperanza|fe|dignidad|derecho|restauración".split("|"),
+    "anticipacion": "futuro|promesa|compromiso|garantía|no repetición|prevención|transformación|cambio|proceso".split("|"),
+    "violencia_institucional": "baja en combate|resultado operacional|dado de baja|neutralizado|abatido|operación|misión táctica|guerrillero|subversivo|delincuente".split("|"),
+    "reconocimiento_victimas": "víctima|civil|inocente|persona protegida|familiar|madre|hijo|padre|hermano|comunidad|pueblo|campesino|trabajador".split("|"),
+}
+VERBAL = "víctima|civil|inocente|reconozco|acepto|responsabilidad|responsable|perdón|lamento|asesinato|homicidio|crimen|delito|ilegal|persona protegida|derecho|dignidad|verdad|reparación|nombre|familia|madre|hijo".split("|")
+KEYWORDS = "DETERMINACI|HECHOS Y CONDUCTAS|PATRONES|CALIFICACI|RECONOCIMIENTO|RESUELVE|CONSIDERACIONES|ANTECEDENTES|SUBCASO|CASO 03|ASESINATOS".split("|")
+
+# Kinds of files by extension; corpora by path, in order.
+FILE_KINDS = {x: kind for kind, xs in {
+    "texto": "txt md rst", "documento": "docx doc pdf rtf", "datos_tabular": "csv tsv xlsx xls parquet feather", "datos_json": "json jsonl", "datos_estructurado": "xml yaml yml",
+    "modelo_o_embedding": "pkl pickle npy npz pt pth bin safetensors h5", "audio": "wav mp3 flac m4a", "video": "mp4 mkv webm avi mov", "subtitulo": "srt vtt",
+    "codigo": "py sh sql r", "notebook": "ipynb", "log": "log", "config": "cfg ini toml lock", "imagen": "png jpg jpeg svg pdf_thumb",
+}.items() for x in xs.split()}
+PATH_CORPORA = [
+    (r"\bA[-_]?CE\b|consejo[-_]?(de[-_]?)?estado", "A-CE"), (r"\bA[-_]?CSJ\b|corte[-_]?suprema|sala[-_]?penal|casacion", "A-CSJ"), (r"\bB[-_]?JEP\b|srvr|macrocaso[-_]?003", "B-JEP"),
+    (r"\bC[-_]?JEP\b|audiencia|catatumbo|costa[-_]?caribe|casanare|dabeiba|huila|ollo|chaparro|torres[-_]?escalante|popa", "C-JEP-oral"),
+    (r"mafapo|madres[-_]?(de[-_]?)?(falsos|soacha)", "REF-MAFAPO"), (r"cidh|villamizar|corteIDH|corte[-_]?interamericana", "REF-CIDH"),
+]

@@ -123,7 +123,7 @@ def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("x"), F.col(b).alias("y"))
     ranked = average_ranks(both, "x", *by).withColumnRenamed("rank", "rx").drop("ties")
     ranked = average_ranks(ranked, "y", *by).withColumnRenamed("rank", "ry")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))).alias("rho"))
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 

@@ -216,3 +216,35 @@ def section_rows(df: DataFrame, corpus: str, text: str = "text", least_words: in
 def section_text(text: Column, start: Column, end: Column) -> Column:
     """Text of a range of characters (end exclusive), without blank ends; null where the range is none."""
     return F.when((start >= 0) & (end >= start), F.trim(F.substring(text, start + 1, end - start)))
+
+
+# -- context ----------------------------------------------------------------------
+
+#: Codes of corpora; first and last year of the scale; courts by what their name holds.
+CORPUS_CODES = {"A-CE": 0, "A-CSJ": 1, "B": 2, "C": 3}
+FIRST_YEAR, LAST_YEAR = 1994, 2023
+COURT_CORPORA = [("consejo de estado", "A-CE"), ("tribunal administrativo", "A-CE"), ("corte suprema", "A-CSJ"), ("jep", "B"), ("jurisdicción especial para la paz", "B")]
+#: Years in ids; the last pattern's has two digits, from 50 on of the century before.
+ID_YEARS = [(r"[A-Z]{2}\d+-(\d{4})", 1), (r"\d+-(\d{4})-", 1), (r"\((\d{2})-\d{2}-(\d{2})\)", 2)]
+PERIODS = [(2008, "pre-escándalo (≤2008)"), (2016, "post-escándalo (2009-2016)"), (2020, "post-acuerdo (2017-2020)")]
+
+
+def context(df: DataFrame, kind: str = "kind", court: str = "court", date: str = "date", name: str = "id") -> DataFrame:
+    """Adds corpus, y5 (its code), year, inferred (the id tells the year), y6 (0 .. 1 from FIRST_YEAR to LAST_YEAR, 0.5 without a year), period."""
+    told = F.upper(F.trim(kind))
+    by_court = F.coalesce(*(F.when(F.lower(court).contains(x), F.lit(c)) for x, c in COURT_CORPORA))
+    by_name = F.when(F.upper(name).rlike(r"^[SA]P\d"), "A-CSJ").otherwise("A-CE")
+    valid = lambda y: F.when(y.between(1990, 2030), y)
+    own = valid(F.regexp_extract(date, r"^(\d{4})", 1).try_cast("int"))
+    others = []
+    for pattern, group in ID_YEARS:
+        year = F.regexp_extract(name, pattern, group).try_cast("int")
+        others.append(valid(F.when(year < 50, 2000 + year).otherwise(1900 + year) if group == 2 else year))
+    out = df.withColumn("corpus", F.when(told.isin("B", "C"), told).otherwise(F.coalesce(by_court, by_name)))
+    out = out.withColumn("y5", F.element_at(F.create_map(*(F.lit(x) for kv in CORPUS_CODES.items() for x in kv)), F.col("corpus")))
+    out = out.withColumn("year", F.coalesce(own, *others)).withColumn("inferred", own.isNull() & F.col("year").isNotNull())
+    scaled = (F.least(F.greatest("year", F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)) - FIRST_YEAR) / float(LAST_YEAR - FIRST_YEAR)
+    period = F.lit("JEP activa (2021+)")
+    for upto, label in reversed(PERIODS):
+        period = F.when(F.col("year") <= upto, label).otherwise(period)
+    return out.withColumn("y6", F.when(F.col("year").isNull(), 0.5).otherwise(scaled)).withColumn("period", F.when(F.col("year").isNull(), "desconocido").otherwise(period))

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,23 @@ def bootstrap_gap(df: DataFrame, group: str, value: str, a: str, b: str, draws:
     gap = per.select((F.col("s0") / F.col("n0") - F.col("s1") / F.col("n1")).alias("gap"))
     q = F.percentile("gap", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return gap.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
+
+
+def parametric_gap(df: DataFrame, group: Column, value: str, draws: int = 5000, seed: int = 99) -> DataFrame:
+    """95 % interval of the difference of two groups' means (where group holds less where not): in each draw both means come from normal laws with the groups' sizes, means and deviations.
+
+    The mean of n normal values is normal with its deviation over the root of n, so a draw takes two numbers, however large the groups are.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))
+    told = {r.g: r for r in own.collect()}  # two rows
+    if True not in told or False not in told:
+        return df.sparkSession.createDataFrame([], "low double, middle double, high double, apart boolean")
+    a, b = told[True], told[False]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            z = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(2) for i in frame["id"]])
+            yield pd.DataFrame({"gap": a.m - b.m + z[:, 0] * (a.s or 0) / np.sqrt(a.n) - z[:, 1] * (b.s or 0) / np.sqrt(b.n)})
+
+    q = df.sparkSession.range(draws).mapInPandas(run, "gap double").agg(F.percentile("gap", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"), (F.col("q")[0] > 0).alias("apart"))

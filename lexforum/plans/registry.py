@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforum.plans import indicators, relational, studies, texts
+from lexforum.plans import indicators, relational, studies, testimony, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **texts.QUERIES, **studies.QUERIES, **indicators.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **texts.ORACLES, **studies.ORACLES, **indicators.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **texts.QUERIES, **studies.QUERIES, **indicators.QUERIES, **testimony.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **texts.ORACLES, **studies.ORACLES, **indicators.ORACLES, **testimony.ORACLES}
 FLAGSHIP = "flagship"
