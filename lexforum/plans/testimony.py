@@ -261,7 +261,7 @@ _CONTEXT_DATES = "CASE WHEN doc_id % 4 = 0 THEN CAST(1985 + doc_id % 50 AS VARCH
 _CONTEXT_KINDS = "['A', 'b', 'C', 'A', 'A-CE'][doc_id % 7 % 5 + 1]"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_CONTEXT_IDS} AS id, {_CONTEXT_COURTS} AS court, {_CONTEXT_DATES} AS date, upper(trim({_CONTEXT_KINDS})) AS kind FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, {_CONTEXT_IDS} AS id, {_CONTEXT_COURTS} AS court, {_CONTEXT_DATES} AS date, upper(trim({_CONTEXT_KINDS})) AS kind FROM documents),
 y AS (SELECT *, CASE WHEN try_cast(regexp_extract(date, '^(\d{{4}})', 1) AS INTEGER) BETWEEN 1990 AND 2030 THEN try_cast(regexp_extract(date, '^(\d{{4}})', 1) AS INTEGER) END AS own,
 try_cast(nullif(regexp_extract(id, '[A-Z]{{2}}\d+-(\d{{4}})', 1), '') AS INTEGER) AS a, try_cast(nullif(regexp_extract(id, '\d+-(\d{{4}})-', 1), '') AS INTEGER) AS b, try_cast(nullif(regexp_extract(id, '\((\d{{2}})-\d{{2}}-(\d{{2}})\)', 2), '') AS INTEGER) AS c FROM t),
 z AS (SELECT *, coalesce(own, CASE WHEN a BETWEEN 1990 AND 2030 THEN a END, CASE WHEN b BETWEEN 1990 AND 2030 THEN b END, CASE WHEN c < 31 THEN 2000 + c WHEN c BETWEEN 90 AND 99 THEN 1900 + c END) AS year FROM y),

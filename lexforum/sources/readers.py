@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,17 +23,69 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")), "^﻿", "")
 
 
-def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """One row per file: path, length, modificationTime, text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", "modificationTime", decoded(F.col("content")).alias("text"))
+def _files(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFrame:
+    """Binary files of these suffixes under a folder."""
+    pattern = "*.{" + ",".join(x.lstrip(".") for x in suffixes) + "}"
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+
+
+def text_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = (".txt",)) -> DataFrame:
+    """One row per file of these suffixes, in order of paths: path, length, modificationTime, text."""
+    files = _files(spark, folder, suffixes)
+    return files.select("path", "length", "modificationTime", decoded(F.col("content")).alias("text")).orderBy("path")
+
+
+def json_documents(spark: SparkSession, folder: str, schema: StructType | str, defaults: Mapping[str, object] | None = None, first: int | None = None) -> DataFrame:
+    """One document per file, in order of file names (only the `first` ones, if asked for).
+
+    A file that cannot be parsed has its text in _corrupt_record, `json_read_error` as warning, and the defaults in its columns.
+    """
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    read = spark.read.schema(StructType([*kind.fields, StructField("_corrupt_record", StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+    out = read.withColumn("file", F.col("_metadata.file_name")).withColumn("warning", F.when(F.col("_corrupt_record").isNotNull(), "json_read_error"))
+    for name, value in (defaults or {}).items():
+        out = out.withColumn(name, F.when(F.col("warning").isNotNull(), F.coalesce(F.col(name), F.lit(value))).otherwise(F.col(name)))
+    return out.orderBy("file").limit(first) if first is not None else out
+
 
+def docx_text(content: bytes | None) -> str | None:
+    """Paragraphs of a DOCX file that hold anything, one to a line; null for what is none."""
+    if content is None:
+        return None
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    read = {f"{w}t": lambda e: e.text or "", f"{w}tab": lambda e: "\t", f"{w}br": lambda e: "\n"}
+    paragraphs = ("".join(read[e.tag](e) for e in p.iter() if e.tag in read) for p in root.iter(f"{w}p"))
+    return "\n".join(x for x in paragraphs if x.strip())
 
-def json_documents(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
-    """One document per file; what cannot be parsed has nulls and its text in _corrupt_record."""
-    kind = schema if isinstance(schema, str) else schema.simpleString()
-    kind = kind if isinstance(schema, StructType) else f"{kind}, _corrupt_record string"
-    return spark.read.schema(kind if isinstance(schema, str) else schema.add("_corrupt_record", "string")).option("multiLine", True).option("mode", "PERMISSIVE").json(folder).withColumn("file", F.col("_metadata.file_name"))
+
+def extracted(spark: SparkSession, folder: str, suffixes: Sequence[str], extractors: Sequence[Callable[[bytes | None], str | None]] = (docx_text,), least: int = 0) -> DataFrame:
+    """path, length, text, extractor of binary documents: the text of the first extractor that gives `least` characters or more, and its place; null if none does.
+
+    Extractors of other formats (PDF, DOC, images) are the caller's functions of a file's bytes.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts, places = [], []
+            for content in frame["content"]:
+                got = None, None
+                for i, f in enumerate(extractors):
+                    try:
+                        text = f(content)
+                    except Exception:  # the next one may read it
+                        continue
+                    if text is not None and len(text) >= least:
+                        got = text, i
+                        break
+                texts.append(got[0]), places.append(got[1])
+            yield pd.DataFrame({"path": frame["path"], "length": frame["length"], "text": texts, "extractor": pd.array(places, "Int32")})
+
+    return _files(spark, folder, suffixes).select("path", "length", "content").mapInPandas(run, "path string, length long, text string, extractor int")
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -50,14 +109,24 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return tasks.select(F.sha2("text", 256).alias("doc"), "text", F.posexplode_outer("label").alias("span_index", "span")).select("doc", "text", "span_index", "span.start", "span.end", F.explode_outer("span.labels").alias("label"))
 
 
-def inventory(spark: SparkSession, folder: str, hash_below: int | None = None, skip: str | None = None) -> DataFrame:
-    """Files under a folder: path, length, modificationTime, extension and, below a size limit, sha256."""
+def inventory(spark: SparkSession, folder: str, hash_below: int | None = None, pruned: Sequence[str] = ()) -> DataFrame:
+    """Files under a folder, without those in folders of the pruned names: path, length, modificationTime, extension and, up to a size, sha256.
+
+    Without hashes no file is opened: only the listing is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.where(~F.col("path").rlike(skip)) if skip else files
+    if pruned:
+        files = files.where(~F.col("path").rlike("/(" + "|".join(map(re.escape, pruned)) + ")/"))
     sha = F.when(F.col("length") <= hash_below, F.sha2("content", 256)) if hash_below else F.lit(None).cast("string")
     return files.select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), sha.alias("sha256"))
 
 
+def centroids(spark: SparkSession, path: str, name: str = "name", vector: str = "vector") -> DataFrame:
+    """Pole vectors from Parquet: name, vector (of doubles); vectors with null entries are left out."""
+    rows = spark.read.parquet(path).select(F.col(name).alias("name"), F.col(vector).cast("array<double>").alias("vector"))
+    return rows.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+
+
 def named_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Text files named doc_SECTION_PARTS_017.txt: doc, section, ordinal, text."""
     files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("stem"), F.col("value").alias("text"))
