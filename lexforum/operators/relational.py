@@ -64,12 +64,29 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
+def seeded(seed: int, key: str) -> Column:
+    """A text that orders rows as if drawn: the same wherever the row is read."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def sample_per_group(df: DataFrame, by: str, most: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """At most `most` rows of each group, by a seeded hash of the key."""
-    order = W.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    order = W.partitionBy(by).orderBy(seeded(seed, key), key)
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
+def priority_sample(df: DataFrame, by: str, priority: Column, most: int = 35, others: int = 15, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """Of each group at most `most` priority rows and `others` of the rest, drawn by a seeded hash; adds is_priority."""
+    flagged = df.withColumn("is_priority", F.coalesce(priority, F.lit(False)))
+    order = W.partitionBy(by, "is_priority").orderBy(seeded(seed, key), key)
+    return flagged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.when(F.col("is_priority"), most).otherwise(others)).drop("_n")
+
+
+def in_training(key: str, per_cent: int = 80, seed: int = 42) -> Column:
+    """Whether a row belongs to the larger part of a split by a seeded hash."""
+    return F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("long") % 100 < per_cent
+
+
 def fragments(text: Column, size: int = 800) -> Column:
     """Head, middle and tail of long texts (over 3 sizes), else the whole, blanks collapsed."""
     flat = F.regexp_replace(F.regexp_replace(text, r"\n+", " "), r" +", " ")

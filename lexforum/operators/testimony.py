@@ -33,13 +33,17 @@ def grammatical_person(text: Column) -> Column:
 
 def hedging(text: Column, markers: Mapping[str, float] = L.HEDGES, most: int = 10) -> Column:
     """Struct: hedging_count, hedging_density (of 100 words), hedging_weight, marcadores (the first ones found, in the lexicon's order, with their counts)."""
-    low, n = F.lower(text), _words(text)
-    # Counted once; the array holds (marker, count, weight).
-    found = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), T.occurrences(low, k).alias("n"), F.lit(float(w)).alias("w")) for k, w in markers.items())), lambda x: x["n"] > 0)
-    count = F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])
-    weight = F.aggregate(found, F.lit(0.0), lambda a, x: a + x["n"] * x["w"])
-    names = F.array_join(F.transform(F.slice(found, 1, most), lambda x: F.concat(x["k"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ", ")
-    return F.struct(count.alias("hedging_count"), F.round(count / n * 100, 4).alias("hedging_density"), F.round(weight, 4).alias("hedging_weight"), names.alias("marcadores"))
+    n = _words(text)
+    # Bound by lambdas, the lower-case text is made once, and the markers are counted once for all four results.
+    counted = lambda low: F.filter(F.array(*(F.struct(F.lit(k).alias("k"), T.occurrences(low, k).alias("n"), F.lit(float(w)).alias("w")) for k, w in markers.items())), lambda x: x["n"] > 0)
+
+    def told(own: Column) -> Column:
+        count = F.aggregate(own, F.lit(0), lambda a, x: a + x["n"])
+        weight = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["n"] * x["w"])
+        names = F.array_join(F.transform(F.slice(own, 1, most), lambda x: F.concat(x["k"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ", ")
+        return F.struct(count.alias("hedging_count"), F.round(count / n * 100, 4).alias("hedging_density"), F.round(weight, 4).alias("hedging_weight"), names.alias("marcadores"))
+
+    return F.element_at(F.transform(F.transform(F.array(F.lower(text)), counted), told), 1)
 
 
 def emotions(text: Column, lexicon: Mapping[str, Sequence[str]] = L.EMOTIONS) -> Column:

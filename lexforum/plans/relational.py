@@ -308,7 +308,7 @@ def w11_average_ranks(spark: SparkSession, d: str) -> DataFrame:
     return stats.average_ranks(table(spark, d, "events"), "value", "event_type").select("event_id", "rank", "ties")
 
 
-@query()
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents) WHERE k <= 50")
 def w12_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return R.sample_per_group(table(spark, d, "documents").select("doc_id", "lang"), "lang", 50)
 

@@ -232,10 +232,18 @@ def k4_upsert(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(docs.where("doc_id % 2 = 0"), new, ["doc_id"], ["source"])
 
 
-@query()
+@query("SELECT doc_id, CAST('0x' || substring(md5('42:' || doc_id), 1, 8) AS BIGINT) % 100 < 80 AS train FROM documents")
 def r3_split(spark: SparkSession, d: str) -> DataFrame:
     """80/20 split by a seeded hash: the same for a row wherever it is read."""
-    return table(spark, d, "documents").select("doc_id", (F.pmod(F.xxhash64(F.lit(42), "doc_id"), F.lit(100)) < 80).alias("train"))
+    return table(spark, d, "documents").select("doc_id", R.in_training("doc_id").alias("train"))
+
+
+@query("""WITH p AS (SELECT doc_id, source, coalesce(contains(text, 'the'), false) AS is_priority FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, is_priority ORDER BY md5('42:' || doc_id), doc_id) AS k FROM p)
+SELECT doc_id, source, is_priority FROM r WHERE k <= CASE WHEN is_priority THEN 35 ELSE 15 END""")
+def r1_priority_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Stratified sample for annotation: 35 priority texts and 15 others of each source."""
+    docs = table(spark, d, "documents")
+    return R.priority_sample(docs, "source", F.col("text").contains("the")).select("doc_id", "source", "is_priority")
 
 
 @query("SELECT a.conv_id, a.turn, a.turn - b.turn AS gap FROM conversations a JOIN (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1) b USING (conv_id) WHERE a.turn > b.turn")
