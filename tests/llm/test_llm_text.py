@@ -86,7 +86,7 @@ def test_packing_is_whole_and_tight(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["tion", "casa", "x1", "Mord"]) for _ in range(rng.choice([3, 40, 700, 1500, 2600]))) for _ in range(120)]
     rows = [*enumerate(texts), (500, None), (501, ""), (501, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("zz", "zz")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     out = packing.pack(df, JSON).collect()
     tok = Tokenizer.from_file(JSON)
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
@@ -120,7 +120,7 @@ def test_shard_quality():
     sizes = np.random.default_rng(1).integers(1, 1024, 4000)
     sequence, offset, made = packing.pack_shard(sizes, 1024)
     assert np.bincount(sequence, sizes, made).max() <= 1024
-    assert made <= 1.06 * sizes.sum() / 1024
+    assert made <= 1.02 * sizes.sum() / 1024
 
 
 def brute_secrets(text):
