@@ -33,7 +33,7 @@ def n18_path_slopes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT var_samp(l_quantity) AS a, var_samp(l_discount) AS b, covar_samp(l_quantity, l_discount) AS ab, covar_samp(l_extendedprice, l_quantity) AS ya, covar_samp(l_extendedprice, l_discount) AS yb FROM lineitem)
 SELECT 'l_quantity' AS term, round((ya * b - yb * ab) / (a * b - ab * ab), 4) AS estimate FROM m UNION ALL SELECT 'l_discount', round((yb * a - ya * ab) / (a * b - ab * ab), 4) FROM m""")
-def n15_path_analysis(spark: SparkSession, d: str) -> DataFrame:
+def path_analysis(spark: SparkSession, d: str) -> DataFrame:
     fit = regression.least_squares(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
     return fit.where("term <> '(intercept)'").select("term", F.round("estimate", 4).alias("estimate"))
 
@@ -166,12 +166,12 @@ def v7_label_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT l_shipmonth, count(*) AS n, avg(l_discount) AS mean_discount FROM (SELECT date_trunc('month', l_shipdate) AS l_shipmonth, l_discount FROM lineitem) GROUP BY 1")
-def n19_series(spark: SparkSession, d: str) -> DataFrame:
+def yearly_series(spark: SparkSession, d: str) -> DataFrame:
     month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")
     return table(spark, d, "lineitem").groupBy(month.alias("l_shipmonth")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("mean_discount"))
 
 
 @query("SELECT toxic, count(*) AS n, avg(n_chars) AS mean_chars, count(DISTINCT lang) AS langs FROM labels JOIN documents USING (doc_id) GROUP BY toxic")
-def n2_label_profile(spark: SparkSession, d: str) -> DataFrame:
+def label_profile(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
     return table(spark, d, "labels").join(docs, "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"), F.count_distinct("lang").alias("langs"))

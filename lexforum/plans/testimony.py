@@ -9,6 +9,7 @@ from lexforum.functions import lexicons as L
 from lexforum.functions import stats
 from lexforum.operators import records, resampling, star, structural
 from lexforum.operators import testimony as E
+from lexforum.sources import sinks
 from lexforum.sources.readers import table
 
 QUERIES, ORACLES = {}, {}
@@ -274,3 +275,57 @@ def t26_context(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda xs, i: F.element_at(F.array(*(F.lit(x).cast("string") for x in xs)), (i + 1).cast("int"))
     docs = table(spark, d, "documents").select("doc_id", pick(["SP036-2018(42374)", "AP4064-2016(46318)", "42770(11-12-13)", "05001-23-31-2006-01", "x(01-02-97)", "none"], k % 6).alias("id"), pick([None, "Corte Suprema · Sala Penal", "Consejo de Estado · Sección Tercera", "JEP · SRVR", "Otro"], k % 5).alias("court"), F.when(k % 4 == 0, F.concat((1985 + k % 50).cast("string"), F.lit("-03-01"))).alias("date"), pick(["A", "b", "C", "A", "A-CE"], k % 7 % 5).alias("kind"))
     return records.context(docs).select("doc_id", "corpus", "y5", "year", "inferred", "y6", "period")
+
+
+@query("SELECT lang, quantile_cont(length(text), 0.05) AS low, quantile_cont(length(text), 0.95) AS high, avg(length(text)) AS mean, CASE WHEN stddev_pop(length(text)) = 0 THEN 1e-8 ELSE stddev_pop(length(text)) END AS std FROM documents GROUP BY lang")
+def a17_scale_fit(spark: SparkSession, d: str) -> DataFrame:
+    """What a scale is fitted from, by language: percentiles, mean and deviation of the population."""
+    per = table(spark, d, "documents").withColumn("n", F.length("text")).groupBy("lang").agg(F.percentile("n", 0.05).alias("low"), F.percentile("n", 0.95).alias("high"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"))
+    return per.withColumn("std", F.when(F.col("std") == 0, 1e-8).otherwise(F.col("std")))
+
+
+@query(f"SELECT CASE lower(regexp_extract(path, '\\.([A-Za-z0-9_]+)$', 1)) {_KINDS} ELSE 'otro' END AS kind, CASE {_RULES} END AS corpus, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT {_PATHS} AS path, length(text) AS n FROM documents) GROUP BY ALL")
+def a22_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes by kind and corpus."""
+    paths = ["data/B_JEP/auto.JSON", "x/consejo-de-estado/a.docx", "corte_suprema/v.wav", "audiencia casanare/1.tar.gz", "soacha/mafapo.TXT", "cidh.pdf", "plain", "a/b.ipynb"]
+    path = F.concat(F.element_at(F.array(*map(F.lit, paths)), (F.col("doc_id") % 8 + 1).cast("int")), F.when(F.col("doc_id") % 3 == 0, "").otherwise(".csv"))
+    return table(spark, d, "documents").groupBy(E.file_kind(path).alias("kind"), E.path_corpus(path).alias("corpus")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("bytes"))
+
+
+@query("""SELECT 'section' AS gate, count(*) AS kept, CAST(sum(least(length(trim(text)), 8000)) AS BIGINT) AS chars FROM documents WHERE length(trim(text)) >= 30
+UNION ALL SELECT 'layer_one', count(*), CAST(sum(length(text)) AS BIGINT) FROM documents WHERE length(trim(text)) >= 100 UNION ALL SELECT 'embedding', count(*), CAST(sum(length(text)) AS BIGINT) FROM documents WHERE length(text) >= 10
+UNION ALL SELECT 'segment', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations WHERE length(text) % 10 >= 5 UNION ALL SELECT 'window', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations WHERE length(text) % 10 >= 1""")
+def p10_gates(spark: SparkSession, d: str) -> DataFrame:
+    """What passes each gate of length (30, with 8,000 characters read; 100; 10) and of duration (5 and 1 seconds; here the last digit of a turn's length)."""
+    docs, turns = table(spark, d, "documents"), table(spark, d, "conversations")
+    n, bare, seconds = F.length("text"), F.length(F.trim("text")), F.length("text") % 10
+    gates = [("section", docs, bare >= 30, F.least(bare, F.lit(8000))), ("layer_one", docs, bare >= 100, n), ("embedding", docs, n >= 10, n), ("segment", turns, seconds >= 5, n), ("window", turns, seconds >= 1, n)]
+    out = None
+    for name, df, kept, chars in gates:
+        one = df.where(kept).agg(F.count(F.lit(1)).alias("kept"), F.sum(chars).alias("chars")).select(F.lit(name).alias("gate"), "kept", "chars")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (toxic = 0) AS success, count(*) FILTER (toxic <> 0) AS failed, count(*) FILTER (quality = 0) AS low_confidence, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) FILTER (toxic <> 0) AS failed_files FROM labels""")
+def k2_batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a batch and the list of what failed."""
+    rows = table(spark, d, "labels").withColumn("name", F.col("doc_id").cast("string"))
+    out = sinks.batch_summary(rows, F.col("toxic") == 0, F.col("quality") == 0, "name")
+    return out.withColumn("failed_files", F.array_join("failed_files", ","))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (c < 0.5) AS low FROM (SELECT source, 0.25 * CAST(text LIKE '%the%' AS INTEGER) + 0.30 * CAST(text LIKE '%and%' AS INTEGER) + 0.20 * CAST(text LIKE '%der%' AS INTEGER) + 0.10 * CAST(text LIKE '%les%' AS INTEGER) + 0.05 * CAST(text LIKE '%und%' AS INTEGER) + 0.10 * CAST(text LIKE '%los%' AS INTEGER) AS c FROM documents) GROUP BY source")
+def m8_low_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose confidence, by the weights of what was found, is below 0.5."""
+    weights = {"the": 0.25, "and": 0.30, "der": 0.20, "les": 0.10, "und": 0.05, "los": 0.10}
+    confidence = sum((F.when(F.col("text").contains(t), w).otherwise(0.0) for t, w in weights.items()), F.lit(0.0))
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.round(confidence, 6) < 0.5).alias("low"))
+
+
+@query()
+def h2_section_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Sections with a star for targets and their words; the first of each label, and the targets, are G4's accessors."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("HECHOS PROBADOS:\n"), "text", F.lit("\nRESUELVE:\n"), "text").alias("text"))
+    rows = records.section_rows(docs, "A")
+    return rows.select("doc_id", "section_index", F.concat("section_id", F.when(F.col("is_target"), " *").otherwise("")).alias("title"), F.regexp_count("text", F.lit(r"\S+")).alias("words"))

@@ -219,7 +219,7 @@ def t29_batch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'B' ELSE 'A' END AS kind, (SELECT count(*) FROM labels) AS total FROM labels")
-def k2_labels(spark: SparkSession, d: str) -> DataFrame:
+def labels_with_total(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
     total = labels.agg(F.count(F.lit(1)).alias("total"))  # one row
     return labels.select("doc_id", F.when(F.col("toxic") == 1, "B").otherwise("A").alias("kind"), total.scalar().alias("total"))
@@ -247,6 +247,6 @@ def r1_priority_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT a.conv_id, a.turn, a.turn - b.turn AS gap FROM conversations a JOIN (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1) b USING (conv_id) WHERE a.turn > b.turn")
-def w13_since_first(spark: SparkSession, d: str) -> DataFrame:
+def turns_since_first(spark: SparkSession, d: str) -> DataFrame:
     first = F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(W.partitionBy("conv_id"))
     return table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") - first).alias("gap")).where("gap > 0")
