@@ -287,3 +287,58 @@ def n5_prosody(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     score = indices.prosody_score(F.col("l_quantity") / 20, F.col("l_linenumber") - 3, F.col("l_discount") * 12 - 0.2, F.col("l_quantity"))
     return lines.select("l_orderkey", "l_linenumber", F.round(score, 9).alias("prosody"))
+
+
+# -- parsed tokens --------------------------------------------------------------------
+# No parser is at hand: every text's tokens get words, parts of speech and heads of the domain by their place, so that all rules are met.
+
+_LEX = [("cuerpo", "cuerpo", "NOUN"), ("reportado", "reportar", "VERB"), ("por", "por", "ADP"), ("Se", "él", "PRON"), ("realizó", "realizar", "VERB"), ("operación", "operación", "NOUN"), ("batallón", "batallón", "NOUN"), ("guerrillero", "guerrillero", "NOUN"), ("fusil", "fusil", "NOUN"), ("con", "con", "ADP"), ("sujeto", "sujeto", "NOUN"), ("comandante", "comandante", "NOUN"), ("enfrentamiento", "enfrentamiento", "NOUN")]
+_DEPS, _ENTS = ["nsubjpass", "nsubj", "obj", "expl", "neg", "agent", "nmod", "prep", "det", "dobj", "amod"], ["", "PER", "", "", "ORG", "", ""]
+_TOKENS = f"""t AS (SELECT doc_id, i // 12 AS sent, i, i * 20 AS start, i * 20 + 9 AS "end", lower([{", ".join(_quoted(x[0]) for x in _LEX)}][(doc_id + i * 5) % {len(_LEX)} + 1]) AS token, [{", ".join(_quoted(x[1]) for x in _LEX)}][(doc_id + i * 5) % {len(_LEX)} + 1] AS lemma,
+[{", ".join(_quoted(x[2]) for x in _LEX)}][(doc_id + i * 5) % {len(_LEX)} + 1] AS pos, [{", ".join(map(_quoted, _DEPS))}][i % {len(_DEPS)} + 1] AS dep, i - i % 3 AS head, [{", ".join(map(_quoted, _ENTS))}][i % {len(_ENTS)} + 1] AS ent FROM (SELECT doc_id, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents)),
+c AS (SELECT * FROM t WHERE i <> head)"""
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("i")
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.size(F.split("text", " ", -1)) - 1)).alias("i"))
+    of = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k + 1).cast("int"))
+    word = (F.col("doc_id") + i * 5) % len(_LEX)
+    return rows.select("doc_id", F.floor(i / 12).cast("int").alias("sent"), "i", (i * 20).alias("start"), (i * 20 + 9).alias("end"), of([x[0] for x in _LEX], word).alias("token"), of([x[1] for x in _LEX], word).alias("lemma"), of([x[2] for x in _LEX], word).alias("pos"), of(_DEPS, i % len(_DEPS)).alias("dep"), (i - i % 3).alias("head"), of(_ENTS, i % len(_ENTS)).alias("ent"))
+
+
+def _by_mechanism(instances: DataFrame) -> DataFrame:
+    return instances.groupBy("doc_id", "mechanism").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(map(_quoted, words)) + ")"
+
+
+_SUFFIX = " OR ".join(f"(ends_with(token, '{s}') AND length(token) > {len(s) + 3})" for s in L.SA_SUFFIXES)
+_FAMILY = "t.doc_id = c.doc_id AND t.sent = c.sent"
+
+
+@query(f"""WITH {_TOKENS}, h AS (SELECT t.*, v.lemma AS vl, v.pos AS vp, v.start AS vs, v."end" AS ve FROM t LEFT JOIN t v ON t.doc_id = v.doc_id AND t.sent = v.sent AND t.head = v.i),
+x AS (SELECT doc_id, 'pasiva_sin_agente' AS mechanism, CASE WHEN lower(vl) IN {_in(L.SA_REPORT_VERBS)} THEN 1.3 ELSE 1.0 END AS weight, least(start, vs) AS a, greatest("end", ve) AS b FROM h t WHERE dep = 'nsubjpass'
+  AND NOT EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.head = t.head AND (c.dep = 'agent' OR (c.token IN ('por', 'mediante') AND c.dep = 'prep'))) AND NOT EXISTS (SELECT 1 FROM t c WHERE {_FAMILY} AND c.token = 'por' AND c.i BETWEEN t.head + 1 AND t.head + 5)
+UNION ALL SELECT doc_id, 'se_impersonal', CASE WHEN lower(vl) IN {_in(L.SA_ACTION_VERBS)} THEN 0.85 ELSE 0.425 END, least(start, vs), greatest("end", ve) FROM h t WHERE token = 'se' AND dep IN ('expl', 'expl:pv', 'nsubj', 'obj', 'iobj') AND NOT EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.head = t.head AND c.dep = 'nsubj' AND c.ent IN ('PER', 'ORG'))
+UNION ALL SELECT doc_id, 'nominalizacion', CASE WHEN dep IN ('nsubj', 'nsubjpass') THEN 0.78 ELSE 0.65 END, start, "end" FROM t WHERE pos = 'NOUN' AND NOT (lower(lemma) IN {_in(L.SA_NO_ACTION)} OR token IN {_in(L.SA_NO_ACTION)}) AND (lower(lemma) IN {_in(L.SA_TRIGGERS)} OR token IN {_in(L.SA_TRIGGERS)} OR {_SUFFIX})
+  AND NOT EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.head = t.i AND c.dep IN ('nmod', 'nmod:poss') AND c.ent IN ('PER', 'ORG'))
+UNION ALL SELECT doc_id, 'sujeto_institucional', 0.5, least(start, vs), greatest("end", ve) FROM h t WHERE dep IN ('nsubj', 'nsubjpass') AND vp = 'VERB' AND lower(vl) IN {_in(L.SA_INSTITUTION_VERBS)} AND (lower(lemma) IN {_in(L.SA_INSTITUTIONS)} OR token IN {_in(L.SA_INSTITUTIONS)} OR EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.head = t.i AND c.dep IN ('det', 'amod') AND lower(c.lemma) IN {_in(L.SA_INSTITUTIONS)})))
+SELECT doc_id, mechanism, count(*) AS n, round(sum(CAST(weight AS DOUBLE)), 4) AS weight, min(a) AS first, max(b) AS last FROM x GROUP BY doc_id, mechanism""")
+def t3_agency_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Passives without agent, impersonal "se", nominalisations and institutional subjects of parsed tokens (T3 to T6)."""
+    return _by_mechanism(I.token_instances(_parsed(spark, d), I.SA_TOKENS))
+
+
+_NEGATED = f"NOT EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.dep = 'neg' AND c.head IN (t.i, t.head))"
+
+
+@query(f"""WITH {_TOKENS}, x AS (SELECT doc_id, 'recategorizacion_combatiente' AS mechanism, 1.0 AS weight, start AS a, "end" AS b FROM t WHERE lower(lemma) IN {_in(L.NV_COMBATANT_LEMMAS)} AND pos <> 'VERB' AND {_NEGATED}
+UNION ALL SELECT doc_id, 'atribucion_armamento', 0.63, start, "end" FROM t WHERE lower(lemma) IN {_in(L.NV_WEAPON_LEMMAS)} AND pos IN ('NOUN', 'PROPN') AND EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.head = t.head AND c.i <> t.i AND (lower(c.lemma) IN {_in(L.NV_POSSESSION_LEMMAS)} OR c.token IN {_in(L.NV_POSSESSION_WORDS)}))
+UNION ALL SELECT doc_id, 'deshumanizacion', 0.7, start, "end" FROM t WHERE pos IN ('NOUN', 'PRON', 'PROPN') AND (lower(lemma) IN {_in(L.NV_DIRECT_LEMMAS)} OR token IN {_in(L.NV_DIRECT_LEMMAS)} OR ((lower(lemma) IN {_in(L.NV_CONTEXT_LEMMAS)} OR token IN {_in(L.NV_CONTEXT_LEMMAS)}) AND dep IN ('nsubj', 'nsubjpass', 'obj', 'dobj'))) AND {_NEGATED})
+SELECT doc_id, mechanism, count(*) AS n, round(sum(CAST(weight AS DOUBLE)), 4) AS weight, min(a) AS first, max(b) AS last FROM x GROUP BY doc_id, mechanism""")
+def t13_denial_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Combatants, weapons and denied persons of parsed tokens, direct negation aside (T13 to T15, T17)."""
+    return _by_mechanism(I.token_instances(_parsed(spark, d), I.NV_TOKENS))
