@@ -17,7 +17,9 @@ maximal repeated runs.
 Order of copies: by document id (null first), hash of the text, line. Rows that
 are equal in id and text are one document and get the same result. Null text
 stays null, empty text empty; a text of which all lines go becomes empty. An empty
-table gives an empty result. Other columns pass.
+table gives an empty result. Other columns pass. Texts are read whole, however long.
+Runs that hold a large share of all places are few; where their first copy is is
+broadcast, and their places are spread over all tasks.
 """
 
 from __future__ import annotations
