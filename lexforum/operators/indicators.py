@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforum.functions import lexicons as L
+from lexforum.functions.patterns import Finder, folded
 from lexforum.functions.stats import clamp
 from lexforum.operators.spans import sentences
 
@@ -68,13 +69,13 @@ def pattern_spans(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (
 
     A span with a match of `questioned` within `width` characters keeps `factor` of its weight. `apart`: see separated().
     """
-    rules = [(m.name, float(m.weight), re.compile(p, re.IGNORECASE)) for m in mechanisms for p in m.patterns]
+    rules = [(m.name, float(m.weight), Finder(p)) for m in mechanisms for p in m.patterns]
     doubts = [re.compile(p, re.IGNORECASE) for p in questioned]
 
     def found(text: str | None) -> list[dict]:
-        out = []
+        out, low = [], folded(text or "")
         for name, weight, pattern in rules:
-            for m in pattern.finditer(text or ""):
+            for m in pattern.finditer(text or "", low):
                 a, b = m.span()
                 near = text[max(0, a - width) : b + width] if doubts else ""
                 doubted = any(d.search(near) for d in doubts)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexforum.functions import courts as C
 from lexforum.functions import text as T
+from lexforum.functions.patterns import Finder, folded
 from lexforum.operators.ingest import most_frequent
 
 #: Characters of a text that hold its head, and those that are looked at first for a date.
@@ -149,13 +150,13 @@ def plain_clean(text: Column) -> Column:
 SECTION = "struct<section_id:string,section_index:int,char_start:int,char_end:int,is_target:boolean,text:string>"
 
 
-def boundaries(text: str, scheme: Sequence[tuple[str, Sequence[re.Pattern], bool]], same: int = 200, other: int = 50) -> list[tuple[int, str, bool]]:
+def boundaries(text: str, scheme: Sequence[tuple[str, Sequence[Finder], bool]], same: int = 200, other: int = 50) -> list[tuple[int, str, bool]]:
     """Where headings stand, in order. One within `same` characters of a like one found before is none; of two within `other`, the later one stays."""
-    found = []
+    found, low = [], folded(text)
     for label, patterns, target in scheme:
         own: list[int] = []
         for p in patterns:
-            for m in p.finditer(text):
+            for m in p.finditer(text, low):
                 i = bisect.bisect_left(own, m.start())
                 if not any(abs(x - m.start()) < same for x in own[max(0, i - 1) : i + 1]):
                     own.insert(i, m.start())
@@ -174,7 +175,7 @@ def sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
     A section of fewer words joins the one before it, or goes if there is none; the last always stays. A first heading behind
     the 100th character leaves a head section; without headings the whole text is CUERPO. Null text: no sections.
     """
-    scheme = [(label, [re.compile(p, re.IGNORECASE | re.MULTILINE) for p in patterns], target) for label, patterns, target in schemes[corpus]]
+    scheme = [(label, [Finder(p, re.MULTILINE) for p in patterns], target) for label, patterns, target in schemes[corpus]]
 
     def cut(text: str | None) -> dict:
         if text is None:

@@ -270,3 +270,18 @@ def test_representative_fragment(spark):
     rows = ["a" * 100, "b" * 300, "c" * 500 + ". " + "d" * 600, "e. " + "f" * 900, None]
     out = {r.doc_id: r.f for r in docs(spark, rows).select("doc_id", R.representative(F.col("text")).alias("f")).collect()}
     assert out == {0: None, 1: "b" * 300, 2: "c" * 500 + ".", 3: ("e. " + "f" * 900)[:800], 4: None}
+
+
+def test_stems_stand_in_every_match():
+    from lexforum.functions.patterns import Finder, folded, stem
+
+    assert stem(r"\bme\s+declaro\s+responsable") == "responsable" and stem(r"\b(?:abc|xyz)") == "" and stem(r"a(?:bcd)?e") in ("a", "e")
+    assert stem(r"(?:^|\n)(?:[IVXLC]+\.?\s+)?HECHOS?(?:\s*:|\s*\n)") == "hecho"
+    r = random.Random(8)
+    every = [p for ps in (L.NV_COMBATANT, L.NV_WEAPONS, L.NV_MORAL, L.REP_ACKNOWLEDGED, L.REP_IDENTITY, L.REP_NAMED, L.REP_LAW, L.REP_REPAIR, L.SA_LEXICAL) for p in ps]
+    pool = [*plans.SENTENCES, "PRE\u017fUNTO GUERRİLLERO", "RECONOZCO MI RESPONSABİLIDAD POR", "SANCIÓN PROPIA", "ACCIÓN", "\u212Ait del falso positivo", "peRDón a Juan"]
+    for _ in range(200):
+        text = " ".join(r.choice(pool) for _ in range(3))
+        text = text.upper() if r.random() < 0.3 else text
+        for p in every:
+            assert [m.span() for m in Finder(p).finditer(text, folded(text))] == [m.span() for m in re.finditer(p, text, re.I)]
