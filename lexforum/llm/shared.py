@@ -50,8 +50,8 @@ def hot_from(spark: SparkSession, rows: int) -> int:
     return max(2, -(-rows // (2 * buckets(spark))))
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, hot: int) -> DataFrame:
-    """Inner join with a table of one row per key that tells how many rows the key has (`count`).
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, hot: int, left: bool = False) -> DataFrame:
+    """Inner join (left: left join) with a table of one row per key that tells how many rows the key has (`count`).
 
     Keys with `hot` rows or more are few, so theirs are broadcast; the rows they take are spread over all tasks in the
     exchange that joins the others. No task holds all rows of a frequent key.
@@ -60,7 +60,8 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, h
     own = keyed.select(*keys, F.struct(*payload).alias("_hot")).where(F.col(f"_hot.{count}") >= hot)
     others = keyed.select(*keys, F.lit(0).alias("_at"), F.struct(*payload).alias("_cold")).where(F.col(f"_cold.{count}") < hot)
     first = rows.join(F.broadcast(own), keys, "left").withColumn("_at", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).cast("int"))
-    both = first.join(others, [*keys, "_at"], "left").withColumn("_own", F.coalesce("_hot", "_cold")).where(F.col("_own").isNotNull())
+    both = first.join(others, [*keys, "_at"], "left").withColumn("_own", F.coalesce("_hot", "_cold"))
+    both = both if left else both.where(F.col("_own").isNotNull())
     return both.select(*rows.columns, *(F.col(f"_own.{c}").alias(c) for c in payload if c not in rows.columns))
 
 
