@@ -54,7 +54,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return links.where("a <> b").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """node, component (the least node reachable) for every node that has a link to another; null ends are left out."""
     edges = checkpointed(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").distinct())
     if edges.isEmpty():
@@ -63,13 +63,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, o
         kind = edges.schema["a"].dataType.simpleString()
         return checkpointed(edges.repartition(1).mapInArrow(_union_find, f"node {kind}, component {kind}"))
     before = None
-    for _ in range(rounds):
+    while True:  # the number of rounds follows the logarithm of the longest path
         edges = checkpointed(_stars(_stars(edges, True), False))
         # Both steps keep the components; when nothing changes the links are stars around the least nodes.
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.count_distinct("a")).first()
         if now == before or now[0] == now[2] and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -301,12 +301,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = checkpointed(sets)
     links = _set_links(sets)
     member = components(links)
-    least = named.groupBy("name").agg(F.min("id").alias("own"))
-    root = least.join(member.withColumnRenamed("node", "name"), "name", "left").select("name", "own", F.coalesce("component", "name").alias("component"))
+    least = named.groupBy("name").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("rows"))
+    root = least.join(member.withColumnRenamed("node", "name"), "name", "left").select("name", "own", "rows", F.coalesce("component", "name").alias("component"))
     smallest = root.groupBy("component").agg(F.min("own").alias("component_id"))
-    by_name = root.join(smallest, "component").select("name", "component_id")
-    out = texts.select("id", "name", F.col("n").cast("long").alias("n_shingles")).join(by_name, "name", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("name").alias("set_name"), F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_name = root.join(smallest, "component").select("name", "rows", "component_id")
+    # Texts without a set have no name to meet by; those of a set with many copies are spread.
+    out = join_keyed(named.select("id", "name", "n"), by_name, ["name"], "rows", hot_from(spark, texts.count())).select("id", "n", "name", "component_id")
+    out = out.unionByName(texts.where("n = 0").select("id", "n", "name", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("set_name"), "component_id")
 
 
 def _set_links(sets: DataFrame) -> DataFrame:
@@ -371,14 +373,14 @@ def _with_head(members: DataFrame, by: list[str], order: Column, hot: int) -> Da
     return pairs.select(F.least(h["name"], m["name"]).alias("a"), F.greatest(h["name"], m["name"]).alias("b")).distinct()
 
 
-#: Parts that the pairs of a hot key are dealt to.
+#: Parts that the pairs of a key with `hot` sets are dealt to; one with more has more parts, in proportion.
 PAIR_PARTS = 16
 
 
 def _cross_pairs(named: DataFrame, hot: int) -> DataFrame:
-    """All pairs of a key that lie in different components and can link: what comparing with heads has left open. A hot key's are dealt to PAIR_PARTS tasks."""
+    """All pairs of a key that lie in different components and can link: what comparing with heads has left open. A hot key's are dealt to tasks by its count."""
     columns = ("name", "n", "kind", "left", "component")
-    parts = F.when(F.col("sets") >= hot, PAIR_PARTS).otherwise(1)
+    parts = F.when(F.col("sets") >= hot, F.ceil(F.col("sets") / hot) * PAIR_PARTS).otherwise(1).cast("int")
     p = named.select("key", "subset", F.pmod(F.xxhash64("name"), parts).cast("int").alias("part"), *(F.col(c).alias(f"p_{c}") for c in columns))
     q = named.select("key", "subset", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"q_{c}") for c in columns))
     of = lambda side: {c: F.col(f"{side}_{c}") for c in columns} | {"subset": F.col("subset")}

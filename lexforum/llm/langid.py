@@ -6,8 +6,8 @@ language, and looking an n-gram up (the AND of its slots) gives all languages
 that contain it at once. A text's n-grams are counted per language, the counts
 are corrected for each filter's false positives, and the largest decides.
 
-Learned from a bounded sample of labelled texts (SAMPLE of each of at most LANGUAGES
-languages). Texts are read whole, however long. Null text, or text without a
+Learned from a bounded sample of labelled texts (SAMPLE of each language, however many
+languages there are: a slot has a bit for each). Texts are read whole, however long. Null text, or text without a
 letter: `und`, score 0. Ties go to the language that sorts first. An empty table, or
 one without labels, gives `und` for all. Repeated rows each give a row; columns
 other than those named are not read.
@@ -28,8 +28,8 @@ from . import kernel, pretokens
 from .shared import prepare
 
 UND = "und"
-#: Labelled texts to learn from, for each language, about (chosen by a hash of the id); languages, the most frequent ones.
-SAMPLE, LANGUAGES = 400, 1024
+#: Labelled texts to learn from, for each language, about (chosen by a hash of the id).
+SAMPLE = 400
 #: An n-gram belongs to a language if it occurs so often compared with the language where it is most frequent.
 SHARE = 0.2
 #: Lookups of an n-gram; slots for each n-gram kept.
@@ -123,12 +123,13 @@ class Filters:
         if not self.languages or not len(h):
             return [UND] * len(n), np.zeros(len(n))
         found = self.lookup(h)
-        share = np.empty((len(n), len(self.languages)))
+        best, most = np.zeros(len(n), np.int64), np.full(len(n), -np.inf)  # one language after the other: no documents x languages table
         for i in range(len(self.languages)):
             hits = kernel.segment_sums(((found[:, i // 8] >> (i % 8)) & 1).astype(np.int64), before)
-            share[:, i] = (hits / np.maximum(n, 1) - self.false[i]) / (1 - self.false[i])
-        best = share.argmax(1)
-        score = np.clip(share[np.arange(len(n)), best], 0, 1)
+            share = (hits / np.maximum(n, 1) - self.false[i]) / (1 - self.false[i])
+            more = share > most
+            best[more], most[more] = i, share[more]
+        score = np.clip(most, 0, 1)
         return [self.languages[b] if k else UND for b, k in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0)
 
 
@@ -137,16 +138,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Filters:
-    """Filters from about `sample` labelled texts of each of the `languages` most frequent languages that are not held out, all of them if there are fewer."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
+    """Filters from about `sample` labelled texts of each language that are not held out, all of them if there are fewer."""
     prepare(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    many = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
+    many = [(r[0], min(1.0, sample / r[1]) * 2**32) for r in labelled.groupBy(lang_col).count().collect()]  # one row for each language, like the filters themselves
     if not many:
         return Filters.of({})
-    # The share of each language that the sample takes, as a limit on a hash.
-    limit = F.element_at(F.create_map(*(x for k, c in many.items() for x in (F.lit(k), F.lit(min(1.0, sample / c) * 2**32)))), F.col(lang_col))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 32)) < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # The share of each language that the sample takes, as a limit on a hash; Spark knows the table's size and picks the join by it.
+    limits = docs.sparkSession.createDataFrame(many, "_lang string, _limit double")
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 32)).alias("_draw"))
+    chosen = rows.join(limits, F.col("lang") == F.col("_lang")).where("_draw < _limit").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in kernel.blocks(batches):

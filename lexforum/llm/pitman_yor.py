@@ -69,6 +69,8 @@ CHUNK_BYTES, CHUNK_TEXTS = 20 << 20, 60_000
 #: A pair in one number: bits of its context, of its symbol, and one for whether it was learned from.
 CONTEXT_BITS, SYMBOL_BITS = 26, 37
 _SYMBOL = np.uint64((1 << SYMBOL_BITS) - 1)
+#: log10 below which a probability from the level above is held while a level samples; what it lacks is added to the logarithms of those that nothing was learned of.
+FLOOR = -200.0
 #: The end mark and what stands before a text, as hashes; what closes a spelling.
 END, START, CLOSE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), 32
 
@@ -629,6 +631,17 @@ def _tables(parts: int):
     return run
 
 
+def _lifted(log: np.ndarray) -> np.ndarray:
+    """Probabilities of these logarithms, no smaller than the floor's."""
+    return 10.0 ** np.maximum(log.astype(float), FLOOR)
+
+
+def _logged(average: np.ndarray, above: np.ndarray, learned: np.ndarray) -> np.ndarray:
+    """log10 of averaged probabilities. Those of which nothing was learned are a share of what stands above, whose logarithm may lie below the floor."""
+    log = np.log10(np.maximum(average, 1e-300))
+    return log + np.where(learned > 0, 0.0, np.minimum(above.astype(float) - FLOOR, 0.0))
+
+
 def _root(total: float, words: int, spelling, seed: int = 99):
     """(2): the root's averaged probability of each word that a range has asked for, in the order of its request."""
 
@@ -639,16 +652,15 @@ def _root(total: float, words: int, spelling, seed: int = 99):
         wanted = [_expand(x, "<u8", True) for x in asked["a"].to_pylist()]
         symbols, customers = merged(wanted, [_expand(x, "<i8") for x in asked["b"].to_pylist()])
         # Probability of each spelling; words that agree in what pairs keep of them are one.
-        base = np.full(len(symbols), 10.0 ** float(_spelled(spelling.value, np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]))
+        above = np.full(len(symbols), float(_spelled(spelling.value, np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]))
         if known.num_rows:
             h = _expand(known["a"][0].as_py(), "<u8", True) & _SYMBOL
             n = _expand(known["b"][0].as_py(), "<i8").reshape(2, -1)[1]
-            log = _spelled(spelling.value, np.frombuffer(zstandard.decompress(known["c"][0].as_py()), np.uint8), n)
-            base[np.searchsorted(symbols, h)] = np.maximum(10.0**log, 1e-300)
+            above[np.searchsorted(symbols, h)] = _spelled(spelling.value, np.frombuffer(zstandard.decompress(known["c"][0].as_py()), np.uint8), n)
         rng = np.random.default_rng(seed + p)
         own = int((customers > 0).sum())
         level = Part(customers, rng, total, max(1.0, words / max(1, own)))
-        log = np.log10(np.maximum(Restaurants([level], [], base).average()[0], 1e-300)).astype("<f4")
+        log = _logged(Restaurants([level], [], _lifted(above)).average()[0], above, customers).astype("<f4")
         return _table([(r, p, _PAIR, _squeeze(log[np.searchsorted(symbols, w)]), None, None) for r, w in zip(asked["chunk"].to_pylist(), wanted, strict=True)])
 
     return run
@@ -670,11 +682,11 @@ def _answers(parts: int, discount: float, strength: float):
         p = part["part"][0].as_py()
         k, c, keys, room, symbols, at = _seating(part)
         order, edges = by_range(symbols, word_range(symbols, parts), parts)
-        above = np.zeros(len(symbols))
+        above = np.full(len(symbols), FLOOR)
         for q, blob in zip(given["chunk"].to_pylist(), given["a"].to_pylist(), strict=True):
-            above[order[edges[q] : edges[q + 1]]] = 10.0 ** _expand(blob, "<f4").astype(float)
+            above[order[edges[q] : edges[q + 1]]] = _expand(blob, "<f4")
         level = Level(room, c, np.random.default_rng(parts + p), discount, strength)
-        log = np.log10(np.maximum(Restaurants([level], [], above[at]).average()[0], 1e-300))
+        log = _logged(Restaurants([level], [], _lifted(above[at])).average()[0], above[at], c)
         # 18 bits behind the point are enough, and pack well.
         log = (np.round(log * 4096) / 4096).astype("<f4")
         return _table([(p, chunk, _PAIR, _squeeze(log[np.searchsorted(k, own)]), None, None) for chunk, own in zip(part["chunk"].to_pylist(), keys, strict=True)])

@@ -199,3 +199,65 @@ def test_many_rules_of_a_table_and_a_hot_url(spark):
     assert all(got[1000 + i][3] == "block" for i in range(300))
     with pytest.raises(ValueError):
         url_rules.by_list(rules)
+
+
+def test_unknown_words_cost_by_their_length(spark):
+    """A word that nothing was learned of keeps the probability of its spelling, however small."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from lexforum.llm import pitman_yor
+
+    out = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, f"the {'abcdefg'[i % 7]}{'xyz'[i % 3]} of one", "x", "y") for i in range(200) if i not in set(out)]
+    lengths = [50, 100, 200, 400, 2000, 20000, 200000]
+    rows += [(i, "q" * n, "x", "y") for i, n in zip(out, lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, base_score string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).collect()}
+    s = [got[i] for i in out[: len(lengths)]]
+    each = [(b - a) / (m - n) for a, b, n, m in zip(s, s[1:], lengths, lengths[1:])]
+    assert max(each) < -1 and max(each) - min(each) < 0.02 * abs(each[0]), (s, each)
+
+
+def test_many_languages_and_plain_sets(spark):
+    import zlib
+
+    from lexforum.llm import langid
+
+    rng = random.Random(11)
+    names = [f"l{i:04d}" for i in range(1100)]
+    # Each language has three words of its own.
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)] for n in names}
+    rows = [(i * 1100 + k, " ".join(rng.choices(words[n], k=6)), n) for i in range(2) for k, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(filters.languages) == learned and len(learned) > 1024
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs.select("doc_id", "text"), filters).collect()}
+
+    def grams(text):
+        padded = " " + " ".join(text.split()) + " "
+        return [padded[i : i + n] for i in range(len(padded)) for n in (3, 4) if i + n <= len(padded) and " " not in padded[i + 1 : i + n - 1]]
+
+    # The same by plain sets: n-grams of the learned texts, shares of a language against the one where they are most frequent.
+    counts = {n: {} for n in learned}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for g in grams(text):
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    share = {n: {g: c / sum(own.values()) for g, c in own.items()} for n, own in counts.items()}
+    most = {}
+    for own in share.values():
+        for g, x in own.items():
+            most[g] = max(most.get(g, 0), x)
+    sets = {n: {g for g, x in own.items() if x >= langid.SHARE * most[g]} for n, own in share.items()}
+    seen = 0
+    for i, text, lang in rows[::37]:
+        own = grams(text)
+        plain = {n: sum(g in s for g in own) / len(own) for n, s in sets.items()}
+        best = max(plain.values())
+        if best > 0.3:  # of unknown languages a text of some 60 n-grams tells little
+            assert got[i][0] == lang == max(plain, key=plain.get) and abs(got[i][1] - best) < 0.05
+            seen += 1
+    assert seen > 20
