@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
+from lexforum.functions.materialise import written
+
 
 def normal_tail(z: Column) -> Column:
     """P(Z > |z|) of the standard normal, by the rational approximation of erfc with relative error below 1.2e-7."""
@@ -70,18 +72,38 @@ def _beta_share(x: float, a: float, b: float) -> float:
 
 
 def running_totals(df: DataFrame, by: Sequence[str], value: str, amounts: Sequence[str]) -> DataFrame:
-    """Adds upto_<amount>: each amount's sum over the rows of the group up to this value (values are distinct within a group).
+    """Adds upto_<amount>, each amount's sum over the rows of the group up to this value (values are distinct within a group), and all_<amount>, its sum over the group.
 
     Rows are dealt by ranges of (group, value); what a range has before it in its group is added, so a large group takes many tasks.
+    The ranges come from a sample, so the dealt rows are written once: another branch that dealt them anew could draw other ranges.
+    Null groups are groups of their own.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *by, value).withColumn("_part", F.spark_partition_id())
-    per = dealt.groupBy("_part", *by).agg(*(F.sum(a).alias(f"_sum_{a}") for a in amounts))  # ranges and groups: few rows
-    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = per.select("_part", *by, *(F.coalesce(F.sum(f"_sum_{a}").over(earlier), F.lit(0)).alias(f"_before_{a}") for a in amounts))
-    own = W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    out = dealt.join(before, ["_part", *by]).withColumns({f"upto_{a}": F.sum(a).over(own) + F.col(f"_before_{a}") for a in amounts})
-    return out.drop("_part", *(f"_before_{a}" for a in amounts))
+    keys = [f"_key{i}" for i in range(len(by))]
+    named = df.withColumns({k: F.struct(b) for k, b in zip(keys, by, strict=True)})
+    dealt = written(named.repartitionByRange(parts, *by, value).withColumn("_part", F.spark_partition_id()))
+    per = dealt.groupBy("_part", *keys).agg(*(F.sum(a).alias(f"_sum_{a}") for a in amounts))  # ranges and groups: few rows
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    before = per.select("_part", *keys, *(c for a in amounts for c in (F.coalesce(F.sum(f"_sum_{a}").over(earlier), F.lit(0)).alias(f"_before_{a}"), F.sum(f"_sum_{a}").over(whole).alias(f"all_{a}"))))
+    own = W.partitionBy("_part", *keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    out = dealt.join(before, ["_part", *keys]).withColumns({f"upto_{a}": F.sum(a).over(own) + F.col(f"_before_{a}") for a in amounts})
+    return out.drop("_part", *keys, *(f"_before_{a}" for a in amounts))
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], *by: str) -> DataFrame:
+    """by, n and q, the array of interpolated quantiles (of n values the one at place share * (n - 1), from 0), within groups; nulls are left out.
+
+    Values are counted, dealt by ranges and selected by their running counts: no task or buffer holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("ties"))
+    ranked = running_totals(counts, by, "_v", ["ties"])
+    place = lambda s: (F.col("all_ties") - 1) * F.lit(float(s))
+    of = lambda k: F.max(F.when((F.col("upto_ties") - F.col("ties") <= k) & (k < F.col("upto_ties")), F.col("_v").cast("double")))
+    picked = [c for i, s in enumerate(shares) for c in (of(F.floor(place(s))).alias(f"_low{i}"), of(F.ceil(place(s))).alias(f"_high{i}"))]
+    found = ranked.groupBy(*by).agg(F.max("all_ties").alias("n"), *picked)
+    between = lambda i, s: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * ((F.col("n") - 1) * float(s) - F.floor((F.col("n") - 1) * float(s)))
+    return found.where(F.col("n").isNotNull()).select(*by, "n", F.array(*(F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(between(i, s)) for i, s in enumerate(shares))).alias("q"))
 
 
 def average_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -91,7 +113,7 @@ def average_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
     ranks = running_totals(counts, by, value, ["ties"]).withColumn("rank", F.col("upto_ties") - (F.col("ties") - 1) / 2)
-    return df.join(ranks.drop("upto_ties"), [*by, value])
+    return df.join(ranks.drop("upto_ties", "all_ties"), [*by, value])
 
 
 def mann_whitney(df: DataFrame, group: Column, value: str, by: list[str], least: int = 5) -> DataFrame:
@@ -120,10 +142,17 @@ def correlation_p(r: Column, n: Column) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Spearman's rho within groups (ties get mean ranks): by, n, rho, p."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("x"), F.col(b).alias("y"))
-    ranked = average_ranks(both, "x", *by).withColumnRenamed("rank", "rx").drop("ties")
-    ranked = average_ranks(ranked, "y", *by).withColumnRenamed("rank", "ry")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))).alias("rho"))
+    # Pairs are counted first: ranks then meet rows of (x, y) with a count, not every row twice.
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("w"))
+    ranked = both
+    for value, rank in (("x", "rx"), ("y", "ry")):
+        counts = both.groupBy(*by, value).agg(F.sum("w").alias("ties"))
+        ranks = running_totals(counts, by, value, ["ties"]).select(*by, value, (F.col("upto_ties") - (F.col("ties") - 1) / 2 - (F.col("all_ties") + 1) / 2).alias(rank))
+        ranked = ranked.join(ranks, [*by, value])
+    # Ranks are taken from their mean, so sums of products are covariances.
+    w = F.col("w")
+    sums = ranked.groupBy(*by).agg(F.sum("w").alias("n"), F.sum(w * F.col("rx") * F.col("ry")).alias("xy"), F.sum(w * F.col("rx") * F.col("rx")).alias("xx"), F.sum(w * F.col("ry") * F.col("ry")).alias("yy"))
+    out = sums.select(*by, "n", (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("rho"))
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
@@ -136,18 +165,17 @@ def cronbach(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
 
 def entropy(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Shannon entropy of label shares over ln of the number of labels."""
-    counts = df.groupBy(*by, label).count()
-    own = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    share = counts.withColumn("p", F.col("count") / F.sum("count").over(own))
-    k = F.count(F.lit(1))
-    return share.groupBy(*by).agg(k.alias("k"), F.when(k > 1, -F.sum(F.col("p") * F.ln("p")) / F.ln(k)).otherwise(F.lit(0.0)).alias("entropy"))
+    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("c"))
+    # -sum p ln p = ln n - sum c ln c / n: sums alone, no window over a group.
+    k, n = F.count(F.lit(1)), F.sum("c")
+    return counts.groupBy(*by).agg(k.alias("k"), F.when(k > 1, (F.ln(n) - F.sum(F.col("c") * F.ln("c")) / n) / F.ln(k)).otherwise(F.lit(0.0)).alias("entropy"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Inverse-frequency weights total / (k count)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    own = W.partitionBy(F.lit(1))
-    return counts.withColumn("weight", F.sum("n").over(own) / (F.count(F.lit(1)).over(own) * F.greatest("n", F.lit(1))))
+    whole = counts.agg(F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).alias("w")).scalar()
+    return counts.withColumn("_w", whole).withColumn("weight", F.col("_w.total") / (F.col("_w.k") * F.greatest("n", F.lit(1)))).drop("_w")
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:

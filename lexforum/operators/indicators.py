@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexforum.functions import lexicons as L
 from lexforum.functions.patterns import Finder, folded
-from lexforum.functions.stats import clamp
+from lexforum.functions.stats import clamp, quantiles
 from lexforum.operators.spans import sentences
 
 
@@ -69,6 +69,46 @@ def pattern_spans(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (
 
     A span with a match of `questioned` within `width` characters keeps `factor` of its weight. `apart`: see separated().
     """
+    found = _found(mechanisms, questioned, width, factor, apart)
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def spans(text: pd.Series) -> pd.Series:
+        return text.map(found, na_action=None)
+
+    return spans
+
+
+def sentence_spans(mechanisms: Sequence[Mechanism]):
+    """A column function of a text and its sentences' starts and ends: all matches within one sentence, as array of SPAN with places in the text."""
+    found = _found(mechanisms)
+
+    def each(text: str | None, starts, ends) -> list[dict]:
+        return [x | {"start": x["start"] + int(a), "end": x["end"] + int(a)} for a, b in zip(starts, ends, strict=True) for x in found((text or "")[int(a) : int(b)])]
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def spans(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([each(*x) for x in zip(text, starts, ends, strict=True)], dtype=object)
+
+    return spans
+
+
+def trigger_spans(patterns: Sequence[str]):
+    """A column function: start and end of all matches of patterns that begin at a word's edge; edge: whether there is one (at the cut of a window any place is)."""
+    bodies = [re.compile(p.removeprefix(r"\b"), re.IGNORECASE) for p in patterns]
+    edge = re.compile(r"\b")
+
+    def found(text: str | None) -> list[dict]:
+        return [{"start": m.start(), "end": m.end(), "edge": edge.match(text, m.start()) is not None} for p in bodies for m in p.finditer(text or "")]
+
+    @F.pandas_udf("array<struct<start:int,end:int,edge:boolean>>")
+    def spans(text: pd.Series) -> pd.Series:
+        return text.map(found, na_action=None)
+
+    return spans
+
+
+def _found(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (), width: int = 150, factor: float = 0.25, apart: bool = False):
+    """The matches of one text, for pattern_spans."""
     rules = [(m.name, float(m.weight), Finder(p)) for m in mechanisms for p in m.patterns]
     doubts = [re.compile(p, re.IGNORECASE) for p in questioned]
 
@@ -82,11 +122,7 @@ def pattern_spans(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (
                 out.append({"mechanism": name, "weight_base": weight, "weight": weight * (factor if doubted else 1.0), "start": a, "end": b, "text": m[0], "questioned": doubted})
         return separated(out) if apart else out
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def spans(text: pd.Series) -> pd.Series:
-        return text.map(found, na_action=None)
-
-    return spans
+    return found
 
 
 def nv_spans(text: Column) -> Column:
@@ -120,11 +156,12 @@ class Scale:
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, method: str = "percentile", low: float = 5.0, high: float = 95.0) -> Scale:
-        """From a column's values (one row is collected)."""
-        r = df.agg(F.percentile(column, low / 100), F.percentile(column, high / 100), F.avg(column), F.stddev_pop(column)).first()
-        if r[0] is None:
+        """From a column's values (two rows are collected)."""
+        ends = quantiles(df, column, (low / 100, high / 100)).first()
+        if ends is None:
             return cls(method)
-        return cls(method, float(r[0]), float(r[1]), float(r[2]), float(r[3]) or 1e-8, True)
+        mean, std = df.agg(F.avg(column), F.stddev_pop(column)).first()
+        return cls(method, float(ends.q[0]), float(ends.q[1]), float(mean), float(std) or 1e-8, True)
 
     def __call__(self, raw: Column) -> Column:
         if self.method == "passthrough":
@@ -281,6 +318,75 @@ def token_instances(tokens: DataFrame, detectors: Sequence) -> DataFrame:
     return first
 
 
+# -- scores from tokens and patterns together -------------------------------------------
+# Instances of both kinds are rows: doc_id, mechanism, weight, start, end.
+
+#: Characters of text that one cell holds; characters to each side that a trigger reaches, and what it leaves of a weight.
+CELL, REACH, DOUBTED = 512, 150, 0.25
+
+
+def sentence_table(tokens: DataFrame, least: int, blank: bool = False) -> DataFrame:
+    """doc_id, sent, start, end of sentences with so many tokens or more; blank ones count if asked."""
+    n = F.count(F.lit(1)) if blank else F.count_if(F.trim("token") != "")
+    return tokens.groupBy(*_KEY).agg(n.alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("n") >= least).drop("n")
+
+
+def pattern_instances(texts: DataFrame, mechanisms: Sequence[Mechanism], sentences: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """Instances of patterns in whole texts or, where sentences are given, in each of these by itself."""
+    if sentences is None:
+        spans = texts.select("doc_id", pattern_spans(mechanisms)(F.col(text)).alias("s"))
+    else:
+        own = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("b"))  # no more than its text holds
+        spans = texts.join(own, "doc_id").select("doc_id", sentence_spans(mechanisms)(F.col(text), F.col("b.start"), F.col("b.end")).alias("s"))
+    return spans.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.mechanism", "s.weight", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+def questioned(instances: DataFrame, texts: DataFrame, patterns: Sequence[str] = L.NV_QUESTIONED, width: int = REACH, factor: float = DOUBTED, text: str = "text") -> DataFrame:
+    """Adds `questioned`: whether a trigger lies within `width` characters of the instance; such keep `factor` of their weight.
+
+    An interval join by cells of text: a trigger stands in the cell of its start, an instance looks into the cells that its window reaches. Neither a long text nor a frequent one gathers in a task.
+    """
+    triggers = texts.select("doc_id", F.explode(trigger_spans(patterns)(F.col(text))).alias("t")).select(F.col("doc_id").alias("t_doc"), F.floor(F.col("t.start") / CELL).alias("t_cell"), F.col("t.start").alias("t_start"), F.col("t.end").alias("t_end"), F.col("t.edge").alias("t_edge")).distinct()
+    low = F.greatest(F.col("start") - width, F.lit(0))
+    spots = instances.select("doc_id", "start", "end").distinct().withColumn("cell", F.explode(F.sequence(F.floor(low / CELL), F.floor((F.col("end") + width) / CELL))))
+    # At the cut of a window a word may begin that is the rest of one.
+    near = (F.col("doc_id") == F.col("t_doc")) & (F.col("cell") == F.col("t_cell")) & (F.col("t_end") <= F.col("end") + width) & ((F.col("t_edge") & (F.col("t_start") >= low)) | (F.col("t_start") == low))
+    doubted = spots.join(triggers, near, "left_semi").select("doc_id", "start", "end").distinct().withColumn("questioned", F.lit(True))
+    out = instances.join(doubted, ["doc_id", "start", "end"], "left").withColumn("questioned", F.coalesce("questioned", F.lit(False)))
+    return out.withColumn("weight", F.when(F.col("questioned"), F.col("weight") * factor).otherwise(F.col("weight")))
+
+
+def _scored(texts: DataFrame, instances: DataFrame, sentences: DataFrame, scale: Scale, mechanisms: Sequence[str], text: str) -> DataFrame:
+    per = instances.groupBy("doc_id").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("n_instances"), F.count_if("questioned").alias("n_questioned"), *(F.count_if(F.col("mechanism") == m).alias(f"n_{m}") for m in mechanisms))
+    sizes = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+    short = F.coalesce(F.length(F.trim(text)) < 20, F.lit(True)).alias("_short")
+    out = texts.select("doc_id", short).join(sizes, "doc_id", "left").join(per, "doc_id", "left")
+    counts = ["n_sentences", "n_instances", "n_questioned", *(f"n_{m}" for m in mechanisms)]
+    out = out.withColumns({c: F.when(F.col("_short"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long") for c in counts})
+    out = out.withColumn("score_raw", F.when(F.col("n_sentences") > 0, F.coalesce("_w", F.lit(0.0)) / F.col("n_sentences")).otherwise(0.0))
+    return out.select("doc_id", F.when(F.col("_short"), 0.0).otherwise(scale(F.col("score_raw"))).alias("score"), "score_raw", *counts, F.when(F.col("_short"), "texto_vacio_o_muy_corto").alias("warning"))
+
+
+def suppressed_agency(texts: DataFrame, tokens: DataFrame, scale: Scale = SA_SCALE, text: str = "text") -> DataFrame:
+    """y2 of each text (doc_id, text; one row each) with its parsed tokens: weights of instances in sentences of 5 tokens or more, and of lexical patterns in the whole text, by the number of these sentences.
+
+    doc_id, score, score_raw, n_sentences, n_instances, n_questioned (0), a count for each mechanism, warning. Texts under 20 characters score 0; texts without tokens have no sentences and a raw score of 0.
+    """
+    found = token_instances(long_sentences(tokens), SA_TOKENS).select("doc_id", "mechanism", "weight", "start", "end")
+    both = found.unionByName(pattern_instances(texts, SA, text=text)).withColumn("questioned", F.lit(False))
+    return _scored(texts, both, sentence_table(tokens, 5), scale, list(L.SA_WEIGHTS), text)
+
+
+def denial(texts: DataFrame, tokens: DataFrame, scale: Scale = NV_SCALE, text: str = "text") -> DataFrame:
+    """y4 of each text with its parsed tokens, columns as suppressed_agency: instances and phrases in sentences of 3 tokens or more (blank ones count), moral phrases in the whole text; instances of both kinds near a trigger keep a quarter."""
+    sentences = sentence_table(tokens, 3, blank=True)
+    own = tokens.join(sentences.select(*_KEY), _KEY, "left_semi")
+    found = token_instances(own, NV_TOKENS).select("doc_id", "mechanism", "weight", "start", "end")
+    whole = {"descalificacion_moral"}
+    phrases = pattern_instances(texts, [m for m in NV if m.name not in whole], sentences, text).unionByName(pattern_instances(texts, [m for m in NV if m.name in whole], text=text))
+    return _scored(texts, questioned(found.unionByName(phrases), texts, text=text), sentences, scale, list(L.NV_WEIGHTS), text)
+
+
 # -- civil lexicon ----------------------------------------------------------------
 
 
@@ -349,8 +455,22 @@ def civil_distance(df: DataFrame, text: str = "text", lexicon: dict[str, list[st
     return out.withColumn("top_civil_tokens", F.when(F.col("civil_warning").isNull(), F.slice(F.array_intersect(own, F.array(*map(F.lit, flat))), 1, 10)))
 
 
+def parsed_feature_rows(sections: DataFrame, tokens: DataFrame, most_chars: int | None = 8000, least_chars: int = 30) -> DataFrame:
+    """feature_rows with y2 and y4 from tokens and patterns together. sections: doc_id, text, one row each; tokens: their parse.
+
+    y1_ebi, y5_corpus_type, y6_period: the sections' columns of these names, where there are any (the first is 0 where it is not given, as no model is in the library).
+    """
+    rows = feature_rows(sections, most_chars=most_chars, least_chars=least_chars).drop("y2_sa", "y4_nv", "n_sa_instances", "n_nv_instances", "n_nv_questioned")
+    texts = sections.select("doc_id", (F.trim("text") if most_chars is None else F.substring(F.trim("text"), 1, most_chars)).alias("text")).where(F.length("text") >= least_chars)
+    own = tokens if most_chars is None else tokens.where(F.col("end") <= most_chars)
+    sa = suppressed_agency(texts, own).select("doc_id", F.col("score").alias("y2_sa"), F.col("n_instances").alias("n_sa_instances"))
+    nv = denial(texts, own).select("doc_id", F.col("score").alias("y4_nv"), F.col("n_instances").alias("n_nv_instances"), "n_questioned")
+    out = rows.join(sa, "doc_id").join(nv, "doc_id").withColumnRenamed("n_questioned", "n_nv_questioned")
+    return out if "y1_ebi" in out.columns else out.withColumn("y1_ebi", F.lit(0.0))
+
+
 def feature_rows(sections: DataFrame, text: str = "text", corpus_type: str = "corpus_type", most_chars: int | None = 8000, least_chars: int = 30) -> DataFrame:
-    """One row per section of `least_chars` characters or more: lengths, y2_sa, y3_civil, y4_nv, y10_rep, counts, has_warning.
+    """One row per section of `least_chars` characters or more: lengths, y2_sa and y4_nv (patterns alone; see parsed_feature_rows), y3_civil, y10_rep, counts, has_warning.
 
     `most_chars`: characters of a section that are read (the reference reads 8,000; None: all).
     """

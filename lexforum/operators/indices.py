@@ -16,6 +16,16 @@ CLASSES = ((0.60, "GENUINE"), (0.35, "AMBIGUOUS"))
 TRI = {"facial": 0.4, "vocal": 0.4, "verbal": 0.2}
 
 
+def centroids(df: DataFrame, by: str | None, vector: str) -> DataFrame:
+    """by, c: the means of each component, as many as the longest vector has (one number is read back); shorter vectors count where they reach.
+
+    The averages stand beside each other: one partial sum for each group and task, no row for each component.
+    """
+    dims = df.agg(F.max(F.size(vector))).first()[0] or 0
+    means = F.array(*(F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(max(dims, 0)))).cast("array<double>").alias("c")
+    return df.groupBy(*([by] if by else [])).agg(means)
+
+
 def weighted(columns: Mapping[str, float], of) -> Column:
     total: Column = F.lit(0.0)
     for name, w in columns.items():

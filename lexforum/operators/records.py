@@ -111,7 +111,7 @@ def place(text: Column) -> Column:
     """The place that is named most often; of equals the first. Only the first letter is upper case."""
     names = F.regexp_extract_all(text, F.lit(r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(C.PLACES) + r")(?![\p{L}\p{N}_])"), F.lit(1))
     best = F.lower(most_frequent(F.transform(names, F.lower)))
-    return F.concat(F.upper(F.substring(best, 1, 1)), F.substring(best, 2, 1000))
+    return F.concat(F.upper(F.substring(best, 1, 1)), F.substr(best, F.lit(2)))
 
 
 def metadata(df: DataFrame, text: str = "clean_text", file_name: str | None = None) -> DataFrame:

@@ -1,43 +1,15 @@
-"""Seeded resampling: weight sensitivity by Dirichlet draws, bootstrap intervals. Draw numbers are dealt out, so results do not depend on tasks."""
+"""Seeded resampling: bootstrap intervals. Draw numbers are dealt out, so results do not depend on tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def kendall(a: np.ndarray, b: np.ndarray) -> float:
-    """Kendall's tau-b of two short vectors."""
-    x, y = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
-    upper = np.triu_indices(len(a), 1)
-    x, y = x[upper], y[upper]
-    scale = np.sqrt((x != 0).sum() * (y != 0).sum())
-    return float((x * y).sum() / scale) if scale else float("nan")
-
-
-def weight_sensitivity(spark: SparkSession, scores: np.ndarray, weights: Sequence[float], draws: int = 10_000, seed: int = 42, concentration: float = 10.0) -> DataFrame:
-    """tau of each draw's ranking against the base ranking, weights drawn from Dirichlet(concentration * weights).
-
-    scores: entities x components, a fixed small table.
-    """
-    base = scores @ np.asarray(weights)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            tau = [kendall(base, scores @ np.random.default_rng([seed, int(i)]).dirichlet(concentration * np.asarray(weights))) for i in frame["id"]]
-            yield pd.DataFrame({"draw": frame["id"], "tau": tau})
-
-    return spark.range(draws).mapInPandas(run, "draw long, tau double")
-
-
-def sensitivity_summary(taus: DataFrame, stable: float = 0.80) -> DataFrame:
-    return taus.agg(F.avg("tau").alias("mean"), F.percentile("tau", F.lit(0.05)).alias("p5"), F.avg((F.col("tau") >= stable).cast("double")).alias("stable_share"))
-
-
 def bootstrap_gap(df: DataFrame, group: str, value: str, a: str, b: str, draws: int = 1000, seed: int = 99) -> DataFrame:
     """95 % interval of the difference of means of two groups, by Poisson bootstrap: every row counts 0, 1, 2, .. times in a replicate.
 

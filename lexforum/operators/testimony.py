@@ -105,7 +105,7 @@ def path_corpus(path: Column) -> Column:
 
 def hearing_of_file(name: Column) -> Column:
     """Name of the hearing in a file of facial units; null for other files."""
-    out = F.replace(F.substring(name, 5, 1000), F.lit(".csv"), F.lit(""))
+    out = F.replace(F.substr(name, F.lit(5)), F.lit(".csv"), F.lit(""))
     for p in (r"_SPEAKER_\d+$", r"_v\d+$"):
         out = F.regexp_replace(out, p, "")
     return F.when(name.startswith("aus_"), F.replace(out, F.lit("_comparecientes"), F.lit("")))

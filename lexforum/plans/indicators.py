@@ -332,6 +332,38 @@ def t3_agency_parsed(spark: SparkSession, d: str) -> DataFrame:
     return _by_mechanism(I.token_instances(_parsed(spark, d), I.SA_TOKENS))
 
 
+_AGENCY = ORACLES["t3_agency_parsed"].split("\nSELECT doc_id, mechanism")[0]
+_SUMS = ", ".join(f"CASE WHEN short THEN 0 ELSE coalesce(n_{m}, 0) END AS n_{m}" for m in L.SA_WEIGHTS if m != "patron_lexical")
+_LONG = "SELECT doc_id, sent FROM t GROUP BY doc_id, sent HAVING count(*) FILTER (trim(token) <> '') >= 5"
+
+
+@query(f"""{_AGENCY.replace("SELECT doc_id, 'pasiva_sin_agente'", "SELECT doc_id, sent, 'pasiva_sin_agente'").replace("SELECT doc_id, 'se_impersonal'", "SELECT doc_id, sent, 'se_impersonal'").replace("SELECT doc_id, 'nominalizacion'", "SELECT doc_id, sent, 'nominalizacion'").replace("SELECT doc_id, 'sujeto_institucional'", "SELECT doc_id, sent, 'sujeto_institucional'")},
+k AS ({_LONG}), s AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id), d AS (SELECT doc_id, {_ADDED} AS text FROM documents),
+p AS (SELECT doc_id, coalesce(length(trim(text)) < 20, true) AS short, {_hits(L.SA_LEXICAL)} - ({_hits(_BY)}) AS lexical FROM d),
+y AS (SELECT x.doc_id, sum(CAST(weight AS DOUBLE)) AS w, {", ".join(f"count(*) FILTER (mechanism = '{m}') AS n_{m}" for m in L.SA_WEIGHTS if m != "patron_lexical")} FROM x JOIN k ON x.doc_id = k.doc_id AND x.sent = k.sent GROUP BY x.doc_id),
+r AS (SELECT p.*, y.* EXCLUDE (doc_id), s.n, CASE WHEN coalesce(s.n, 0) > 0 AND NOT short THEN (coalesce(w, 0) + 0.75 * lexical) / s.n ELSE 0.0 END AS raw FROM p LEFT JOIN y ON p.doc_id = y.doc_id LEFT JOIN s ON p.doc_id = s.doc_id)
+SELECT doc_id, CASE WHEN short THEN 0 ELSE coalesce(n, 0) END AS n_sentences, {_SUMS}, CASE WHEN short THEN 0 ELSE CAST(lexical AS BIGINT) END AS n_patron_lexical, raw AS score_raw, least(raw / 0.5, 1.0) AS score FROM r""")
+def y2_full(spark: SparkSession, d: str) -> DataFrame:
+    """Suppressed agency from parsed tokens and lexical patterns together (T8)."""
+    out = I.suppressed_agency(_texts(spark, d), _parsed(spark, d))
+    return out.select("doc_id", "n_sentences", *(f"n_{m}" for m in L.SA_WEIGHTS), "score_raw", "score")
+
+
+@query()
+def y4_full(spark: SparkSession, d: str) -> DataFrame:
+    """Denial of victimhood from parsed tokens and phrases together, questioned ones at a quarter (T13 to T18; tested by brute force)."""
+    return I.denial(_texts(spark, d), _parsed(spark, d))
+
+
+@query()
+def t28_parsed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows with y2 and y4 of tokens and patterns, y5 and y6 of the documents' contexts (tested by brute force)."""
+    from lexforum.plans.testimony import t26_context
+
+    context = t26_context(spark, d).select("doc_id", F.col("corpus").alias("corpus_type"), "year", F.col("y5").alias("y5_corpus_type"), F.col("y6").alias("y6_period"))
+    return I.parsed_feature_rows(_texts(spark, d).join(context, "doc_id"), _parsed(spark, d), most_chars=None)
+
+
 _NEGATED = f"NOT EXISTS (SELECT 1 FROM c WHERE {_FAMILY} AND c.dep = 'neg' AND c.head IN (t.i, t.head))"
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexforum.plans import indicators, relational, studies, testimony, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **texts.QUERIES, **studies.QUERIES, **indicators.QUERIES, **testimony.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **texts.ORACLES, **studies.ORACLES, **indicators.ORACLES, **testimony.ORACLES}
+_MODULES = (relational, texts, studies, indicators, testimony)
+_names = [name for m in _MODULES for name in m.QUERIES]
+if len(_names) != len(set(_names)):
+    raise ValueError(f"registered twice: {sorted(n for n in set(_names) if _names.count(n) > 1)}")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "flagship"

@@ -179,14 +179,15 @@ def j14_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT CASE WHEN n_chars > 1000 THEN source END) AS long_sources, avg(n_chars) AS mean, median(n_chars) AS median, stddev_samp(n_chars) AS sd, min(n_chars) AS least, max(n_chars) AS greatest, stddev_pop(n_chars) AS sd_pop FROM documents GROUP BY lang")
 def a5_group_statistics(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(n > 1000, F.col("source"))).alias("long_sources"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.stddev_samp(n).alias("sd"), F.min(n).alias("least"), F.max(n).alias("greatest"), F.stddev_pop(n).alias("sd_pop"))
+    n, docs = F.col("n_chars"), table(spark, d, "documents")
+    middle = stats.quantiles(docs, "n_chars", [0.5], "lang").select(F.col("lang").alias("_lang"), F.col("q")[0].alias("median"))
+    rest = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(n > 1000, F.col("source"))).alias("long_sources"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("sd"), F.min(n).alias("least"), F.max(n).alias("greatest"), F.stddev_pop(n).alias("sd_pop"))
+    return rest.join(middle, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
 
 
 @query("SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def a6_describe(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.05, 0.95))))
-    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "q2", "q3", "p5", "p95"))))
+    return stats.quantiles(table(spark, d, "events"), "value", (0.25, 0.5, 0.75, 0.05, 0.95), "event_type").select("event_type", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "q2", "q3", "p5", "p95"))))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source")
@@ -237,12 +238,9 @@ def a16_yearly_trend(spark: SparkSession, d: str) -> DataFrame:
     return yearly.groupBy("o_orderpriority").agg(F.corr("mean_price", F.col("y").cast("double")).alias("r"), F.count(F.lit(1)).alias("years")).where("years > 2")
 
 
-@query("SELECT label, CAST(i AS INTEGER) AS i, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
+@query("SELECT label, CAST(i AS INTEGER) AS i, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM embeddings, range(1, len(embedding) + 1) t(i) GROUP BY label, i")
 def a18_centroids(spark: SparkSession, d: str) -> DataFrame:
-    # 64 averages beside each other: one partial sum per label and task, no row for each component.
-    dims = 64
-    means = table(spark, d, "embeddings").groupBy("label").agg(F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(dims))).alias("c"))
-    return means.select("label", F.posexplode("c").alias("p", "mean")).select("label", (F.col("p") + 1).alias("i"), "mean")
+    return indices.centroids(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("c").alias("p", "mean")).where(F.col("mean").isNotNull()).select("label", (F.col("p") + 1).alias("i"), "mean")
 
 
 @query("SELECT lang, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM documents GROUP BY lang")
@@ -266,7 +264,7 @@ def a23_entropy(spark: SparkSession, d: str) -> DataFrame:
 def a24_variation(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     own = table(spark, d, "events").groupBy("event_type").agg((F.stddev_pop(v) / F.avg(v)).alias("cv_pop"), (F.stddev_samp(v) / F.avg(v)).alias("cv_samp"), (F.max(v) / F.min(v)).alias("ratio"), (F.max(v) - F.min(v)).alias("span"), F.count(F.lit(1)).alias("n"))
-    return own.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))).drop("n")
+    return own.withColumn("share", F.col("n") / own.agg(F.sum("n")).scalar()).drop("n")
 
 
 @query("SELECT l_returnflag, 3 / 2.0 * (1 - (var_samp(a) + var_samp(b) + var_samp(c)) / var_samp(a + b + c)) AS alpha FROM (SELECT l_returnflag, l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 12 AS c FROM lineitem) GROUP BY l_returnflag")
@@ -317,7 +315,8 @@ def w12_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 def w14_rank(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     per = table(spark, d, "embeddings").groupBy("label").agg(indices.tri_channel(F.avg(e[0].cast("double")), F.avg(e[1].cast("double")), F.avg(e[2].cast("double"))).alias("icm"))
-    return per.select("label", F.rank().over(W.orderBy("icm")).alias("place"), "icm")
+    # The first of equal places: the mean rank less half of the others.
+    return stats.average_ranks(per, "icm").select("label", (F.col("rank") - (F.col("ties") - 1) / 2).cast("int").alias("place"), "icm")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -375,8 +374,7 @@ def q5_golden(spark: SparkSession, d: str) -> DataFrame:
 SELECT max(rate) - min(rate) AS span, stddev_pop(rate) / avg(rate) AS cv, sum(power(hits - n * p, 2) / (n * p) + power(n - hits - n * (1 - p), 2) / (n * (1 - p))) AS chi2 FROM f, t""")
 def v2_rate_bias(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))
-    one = W.partitionBy(F.lit(1))  # one row per type
-    p = F.sum("hits").over(one) / F.sum("n").over(one)
+    p = per.agg(F.sum("hits") / F.sum("n")).scalar()
     per = per.withColumn("e", F.col("n") * p)
     chi = F.pow(F.col("hits") - F.col("e"), F.lit(2.0)) / F.col("e") + F.pow(F.col("hits") - F.col("e"), F.lit(2.0)) / (F.col("n") - F.col("e"))
     return per.withColumn("chi", chi).agg((F.max("rate") - F.min("rate")).alias("span"), (F.stddev_pop("rate") / F.avg("rate")).alias("cv"), F.sum("chi").alias("chi2"))

@@ -250,6 +250,37 @@ def n16_multigroup(spark: SparkSession, d: str) -> DataFrame:
     return structural.multigroup(lines, "l_linestatus", structural.Model({"f": ["x1", "x2", "x3"]}, []))
 
 
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of lines under the names of indicators."""
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", (q / 10).alias("y2_sa"), (F.col("l_extendedprice") / 10_000).alias("y3_civil"), (q * n / 50).alias("y4_nv"), (F.col("l_discount") * 10).alias("y5_corpus_type"), (F.col("l_discount") * 20 + n / 10).alias("y6_period"), (F.col("l_tax") * 20 - q / 100).alias("y10_rep"))
+
+
+@query()
+def n14_specifications(spark: SparkSession, d: str) -> DataFrame:
+    """The partial and the two-factor model, with marks and main path (tested on known covariances)."""
+    out = None
+    for name in ("parcial", "dos_factores"):
+        model = structural.Model.of(structural.SPECS[name])
+        one = structural.fit_table(structural.prepared(_features(spark, d), model), model).select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def n16_path_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and 95 % interval of the main path over 200 bootstrap replicates of all lines (tested against NumPy with the same weights)."""
+    model = structural.Model.of(structural.SPECS["dos_factores"])
+    rows = _features(spark, d).withColumnsRenamed(structural.FEATURES)
+    return structural.path_interval(structural.path_replicates(rows, model, ["l_orderkey", "l_linenumber"], draws=200))
+
+
+@query()
+def n17_invariance(spark: SparkSession, d: str) -> DataFrame:
+    """Equal against free loadings of one factor over two groups of lines (tested on made groups)."""
+    return structural.invariance(_features(spark, d), "l_linestatus", structural.Model.of("f =~ y2_sa + y3_civil + y4_nv + y6_period"))
+
+
 @query()
 def n19_plane(spark: SparkSession, d: str) -> DataFrame:
     """Vectors on the plane of their two main components, signs fixed (in place of drawn projections; tested by brute force)."""
@@ -280,7 +311,9 @@ def t26_context(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT lang, quantile_cont(length(text), 0.05) AS low, quantile_cont(length(text), 0.95) AS high, avg(length(text)) AS mean, CASE WHEN stddev_pop(length(text)) = 0 THEN 1e-8 ELSE stddev_pop(length(text)) END AS std FROM documents GROUP BY lang")
 def a17_scale_fit(spark: SparkSession, d: str) -> DataFrame:
     """What a scale is fitted from, by language: percentiles, mean and deviation of the population."""
-    per = table(spark, d, "documents").withColumn("n", F.length("text")).groupBy("lang").agg(F.percentile("n", 0.05).alias("low"), F.percentile("n", 0.95).alias("high"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"))
+    docs = table(spark, d, "documents").select("lang", F.length("text").alias("n"))
+    ends = stats.quantiles(docs, "n", (0.05, 0.95), "lang").select(F.col("lang").alias("_lang"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    per = docs.groupBy("lang").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std")).join(ends, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     return per.withColumn("std", F.when(F.col("std") == 0, 1e-8).otherwise(F.col("std")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexforum.functions import stats, text as T
-from lexforum.operators import indicators, ingest, relational as R, spans
+from lexforum.operators import indicators, indices, ingest, relational as R, spans
 from lexforum.sources.readers import decoded, rttm, table
 
 QUERIES, ORACLES = {}, {}
@@ -144,17 +144,17 @@ def t10_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.jaccard(own, lexicon).alias("j"), F.size(own).alias("n_distinct"))
 
 
-@query("WITH c AS (SELECT list(m ORDER BY i) AS pole FROM (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) WHERE label = 0 GROUP BY i)) SELECT vec_id, round(1 - list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), pole), 8) AS distance FROM embeddings, c")
+@query("WITH c AS (SELECT list(m ORDER BY i) AS pole FROM (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, len(embedding) + 1) t(i) WHERE label = 0 GROUP BY i)) SELECT vec_id, round(1 - list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), pole), 8) AS distance FROM embeddings, c")
 def t34_pole_distance(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    pole = vectors.where("label = 0").agg(F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(64))).alias("pole"))  # one row
+    pole = indices.centroids(vectors.where("label = 0"), None, "embedding")  # one row
     return vectors.withColumn("pole", pole.scalar()).select("vec_id", F.round(1 - T.cosine(F.col("embedding"), F.col("pole")), 8).alias("distance"))
 
 
 @query("WITH p AS (SELECT quantile_cont(n_chars, 0.05) AS lo, quantile_cont(n_chars, 0.95) AS hi FROM documents) SELECT doc_id, CASE WHEN abs(hi - lo) < 1e-9 THEN 0.5 ELSE least(greatest((n_chars - lo) / (hi - lo), 0.0), 1.0) END AS score FROM documents, p")
 def t2_normalise(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x"))
-    fit = docs.agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))  # one row
+    fit = stats.quantiles(docs, "x", (0.05, 0.95)).select("q")  # one row
     return docs.withColumn("q", fit.scalar()).select("doc_id", stats.scaled(F.col("x"), F.col("q")[0], F.col("q")[1]).alias("score"))
 
 
@@ -200,9 +200,9 @@ def s14_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", "turns", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("transcript"))
 
 
-@query("""WITH s AS (SELECT doc_id, [0, 100, 300, 900] AS starts, [90, 300, 800, 100000] AS ends, strpos(text, 'tion') - 1 AS pt FROM documents) SELECT doc_id, coalesce((SELECT min(i) - 1 FROM range(1, 5) t(i) WHERE starts[i] <= pt AND pt < ends[i]), -1) AS sentence FROM s""")
+@query("""WITH s AS (SELECT doc_id, [0, 100, 300, 900] AS starts, [90, 300, 800, length(text)] AS ends, strpos(text, 'tion') - 1 AS pt FROM documents) SELECT doc_id, coalesce((SELECT min(i) - 1 FROM range(1, 5) t(i) WHERE starts[i] <= pt AND pt < ends[i]), -1) AS sentence FROM s""")
 def j11_point_in_interval(spark: SparkSession, d: str) -> DataFrame:
-    intervals = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 90), (100, 300), (300, 800), (900, 100000))))
+    intervals = F.array(*(F.struct(F.lit(a).alias("start"), b.alias("end")) for a, b in ((0, F.lit(90)), (100, F.lit(300)), (300, F.lit(800)), (900, F.length("text")))))
     return table(spark, d, "documents").select("doc_id", R.interval_of(F.instr("text", "tion") - 1, intervals).cast("long").alias("sentence"))
 
 

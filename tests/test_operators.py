@@ -135,10 +135,6 @@ def test_least_squares_and_resampling(spark):
     want = np.linalg.lstsq(np.column_stack((np.ones(400), x)), y, rcond=None)[0]
     assert [out[t].estimate for t in ("(intercept)", "a", "b")] == pytest.approx(want.tolist(), rel=1e-6)
     assert out["a"].stars == "***" and regression.least_squares(df.limit(2), "y", ["a", "b"]).count() == 0
-    assert resampling.kendall(np.array([1, 2, 3, 4]), np.array([1, 2, 4, 3])) == pytest.approx(2 / 3)
-    scores = np.array([[0.9, 0.1], [0.5, 0.5], [0.1, 0.9]])
-    summary = resampling.sensitivity_summary(resampling.weight_sensitivity(spark, scores, [0.9, 0.1], 200)).first()
-    assert summary.mean > 0.9 and summary.stable_share > 0.9
     groups = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 7) + (i % 2)) for i in range(700)], "i int, g string, v double")
     ci = resampling.bootstrap_gap(groups, "g", "v", "a", "b", 300).first()
     assert ci.low < 1.0 < ci.high and ci.high - ci.low < 1.2
@@ -184,15 +180,3 @@ def test_windows_reach_the_end_of_a_text(spark, tmp_path):
         words = text.split(" ")
         seen = [w for a in range(0, len(words), 300) for w in words[a : a + 400]]
         assert got[d] == (len(seen), len(words), pytest.approx(sum(w == "the" for w in seen) / len(seen)))
-
-
-def test_weight_sensitivity_ranks_all_labels(spark, tmp_path):
-    import numpy as np
-
-    from lexforum.operators import resampling
-    from lexforum.plans import registry
-
-    scores = np.random.default_rng(8).random((60, 3)).astype(np.float32).astype(float)
-    spark.createDataFrame([(i, row, i) for i, row in enumerate(scores.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    want = resampling.sensitivity_summary(resampling.weight_sensitivity(spark, scores, [0.35, 0.35, 0.30], 10_000)).first()
-    assert tuple(registry.QUERIES["v4_weight_sensitivity"](spark, str(tmp_path)).first()) == pytest.approx(tuple(want), abs=1e-6)
