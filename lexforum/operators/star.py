@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforum.functions.stats import running_totals
+
 #: The tables of the schema; keys come first. Parents stand before children.
 TABLES = {
     "corpora": "corpus_id string, name string, kind string",
@@ -103,13 +106,83 @@ class Loader:
         return done, errors
 
 
-def commit(tables: Mapping[str, DataFrame], folder: str, dry_run: bool = False) -> DataFrame:
-    """Writes the tables as Parquet, each to a folder of its own; a dry run only counts. Gives table and rows."""
+def with_keys(rows: DataFrame, natural: list[str], key: str, known: DataFrame | None = None) -> DataFrame:
+    """Adds a whole-number key for each distinct natural key: the one that `known` (natural, key) has for it, else the next above the largest there, in order of the natural keys.
+
+    New keys are numbered by ranges, so no task sees them all; rows that come again keep their keys. Nulls are values like others.
+    """
+    names = rows.select(F.struct(*natural).alias("_n")).distinct()
+    if known is None:
+        told = names.limit(0).withColumn(key, F.lit(0).cast("long"))
+    else:
+        told = known.select(F.struct(*natural).alias("_n"), F.col(key).cast("long").alias(key)).distinct()
+    most = told.agg(F.max(key)).first()[0] or 0
+    fresh = running_totals(names.join(told, "_n", "left_anti").withColumn("_one", F.lit(1).cast("long")), [], "_n", ["_one"])
+    numbered = told.unionByName(fresh.select("_n", (F.col("upto__one") + most).alias(key)))
+    return rows.withColumn("_n", F.struct(*natural)).join(numbered, "_n").drop("_n")
+
+
+def with_lookup(rows: DataFrame, dimension: DataFrame, natural: Mapping[str, str], key: str, name: str | None = None) -> DataFrame:
+    """Adds the key of the dimension's row whose natural key is the same (natural: column of rows to column of dimension), under `name`; null where there is none. The dimension has one row for each natural key."""
+    side = dimension.select(F.struct(*natural.values()).alias("_d"), F.col(key).alias(name or key))
+    out = rows.withColumn("_d", F.struct(*(F.col(a).alias(b) for a, b in natural.items())))
+    return out.join(side, "_d", "left").drop("_d")
+
+
+class Conflict(RuntimeError):
+    """Another commit came first."""
+
+
+def _storage(spark: SparkSession, folder: str):
+    """The folder's file system and its path class."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[int]:
+    files, path = _storage(spark, f"{folder}/manifests")
+    if not files.exists(path(f"{folder}/manifests")):
+        return []
+    return sorted(int(s.getPath().getName()) for s in files.listStatus(path(f"{folder}/manifests")) if s.getPath().getName().isdigit())
+
+
+def _places(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Folder of each table by the last manifest."""
+    numbers = _manifests(spark, folder)
+    if not numbers:
+        return {}
+    lines = [r.value for r in spark.read.text(f"{folder}/manifests/{numbers[-1]:010d}").collect()]  # one line for each table
+    return dict(line.split("\t", 1) for line in lines)
+
+
+def committed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the last whole commit; none where there was no commit."""
+    return {name: spark.read.parquet(f"{folder}/{place}") for name, place in _places(spark, folder).items()}
+
+
+def commit(tables: Mapping[str, DataFrame], folder: str, dry_run: bool = False, rows_per_file: int = 0) -> DataFrame:
+    """Writes the tables as Parquet, all or none; a dry run only counts. Gives table and rows.
+
+    Tables go to folders of a new version; then one manifest, made beside and renamed, names the version of every table.
+    A failure before leaves the last commit as it was, for readers too (see committed); tables that are not given stay.
+    Of two commits at a time the later one is a Conflict. rows_per_file: rows of a file at most (0: no limit).
+    """
     spark = next(iter(tables.values())).sparkSession
     if not dry_run:
+        number = (_manifests(spark, folder) or [0])[-1] + 1
+        places = _places(spark, folder)
+        version = f"versions/{number:010d}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+            df.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{folder}/{version}/{name}")
+            places[name] = f"{version}/{name}"
+        files, path = _storage(spark, folder)
+        made, final = path(f"{folder}/manifests/.{version.split('/')[1]}"), path(f"{folder}/manifests/{number:010d}")
+        out = files.create(made, False)
+        out.write(bytearray("".join(f"{n}\t{p}\n" for n, p in sorted(places.items())).encode()))
+        out.close()
+        if files.exists(final) or not files.rename(made, final):
+            raise Conflict(f"manifest {number} of {folder} is there already")
+        tables = {name: spark.read.parquet(f"{folder}/{places[name]}") for name in tables}
     out = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")

@@ -341,11 +341,13 @@ _LONG = "SELECT doc_id, sent FROM t GROUP BY doc_id, sent HAVING count(*) FILTER
 k AS ({_LONG}), s AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id), d AS (SELECT doc_id, {_ADDED} AS text FROM documents),
 p AS (SELECT doc_id, coalesce(length(trim(text)) < 20, true) AS short, {_hits(L.SA_LEXICAL)} - ({_hits(_BY)}) AS lexical FROM d),
 y AS (SELECT x.doc_id, sum(CAST(weight AS DOUBLE)) AS w, {", ".join(f"count(*) FILTER (mechanism = '{m}') AS n_{m}" for m in L.SA_WEIGHTS if m != "patron_lexical")} FROM x JOIN k ON x.doc_id = k.doc_id AND x.sent = k.sent GROUP BY x.doc_id),
-r AS (SELECT p.*, y.* EXCLUDE (doc_id), s.n, CASE WHEN coalesce(s.n, 0) > 0 AND NOT short THEN (coalesce(w, 0) + 0.75 * lexical) / s.n ELSE 0.0 END AS raw FROM p LEFT JOIN y ON p.doc_id = y.doc_id LEFT JOIN s ON p.doc_id = s.doc_id)
+r AS (SELECT p.*, y.* EXCLUDE (doc_id), s.n, CASE WHEN coalesce(s.n, 0) > 0 AND NOT short THEN round(coalesce(w, 0) + 0.75 * lexical, 3) / s.n ELSE 0.0 END AS raw FROM p LEFT JOIN y ON p.doc_id = y.doc_id LEFT JOIN s ON p.doc_id = s.doc_id)
 SELECT doc_id, CASE WHEN short THEN 0 ELSE coalesce(n, 0) END AS n_sentences, {_SUMS}, CASE WHEN short THEN 0 ELSE CAST(lexical AS BIGINT) END AS n_patron_lexical, raw AS score_raw, least(raw / 0.5, 1.0) AS score FROM r""")
 def y2_full(spark: SparkSession, d: str) -> DataFrame:
     """Suppressed agency from parsed tokens and lexical patterns together (T8)."""
-    out = I.suppressed_agency(_texts(spark, d), _parsed(spark, d))
+    # Weights are whole thousandths: rounded, their sum is the same in any order.
+    raw = F.when(F.col("n_sentences") > 0, F.round(F.col("score_raw") * F.col("n_sentences"), 3) / F.col("n_sentences")).otherwise(0.0)
+    out = I.suppressed_agency(_texts(spark, d), _parsed(spark, d)).withColumn("score_raw", raw).withColumn("score", I.SA_SCALE(F.col("score_raw")))
     return out.select("doc_id", "n_sentences", *(f"n_{m}" for m in L.SA_WEIGHTS), "score_raw", "score")
 
 
