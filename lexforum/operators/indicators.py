@@ -360,17 +360,17 @@ def _scored(texts: DataFrame, instances: DataFrame, sentences: DataFrame, scale:
     per = instances.groupBy("doc_id").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("n_instances"), F.count_if("questioned").alias("n_questioned"), *(F.count_if(F.col("mechanism") == m).alias(f"n_{m}") for m in mechanisms))
     sizes = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
     short = F.coalesce(F.length(F.trim(text)) < 20, F.lit(True)).alias("_short")
-    out = texts.select("doc_id", short).join(sizes, "doc_id", "left").join(per, "doc_id", "left")
+    out = texts.select("doc_id", short, F.coalesce(F.length(text) > 20, F.lit(False)).alias("_long")).join(sizes, "doc_id", "left").join(per, "doc_id", "left")
     counts = ["n_sentences", "n_instances", "n_questioned", *(f"n_{m}" for m in mechanisms)]
     out = out.withColumns({c: F.when(F.col("_short"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long") for c in counts})
     out = out.withColumn("score_raw", F.when(F.col("n_sentences") > 0, F.coalesce("_w", F.lit(0.0)) / F.col("n_sentences")).otherwise(0.0))
-    return out.select("doc_id", F.when(F.col("_short"), 0.0).otherwise(scale(F.col("score_raw"))).alias("score"), "score_raw", *counts, F.when(F.col("_short"), "texto_vacio_o_muy_corto").alias("warning"))
+    return out.select("doc_id", F.when(F.col("_short"), 0.0).otherwise(scale(F.col("score_raw"))).alias("score"), "score_raw", *counts, (F.col("_long") & (F.col("n_sentences") > 0)).alias("valid"), F.when(F.col("_short"), "texto_vacio_o_muy_corto").alias("warning"))
 
 
 def suppressed_agency(texts: DataFrame, tokens: DataFrame, scale: Scale = SA_SCALE, text: str = "text") -> DataFrame:
     """y2 of each text (doc_id, text; one row each) with its parsed tokens: weights of instances in sentences of 5 tokens or more, and of lexical patterns in the whole text, by the number of these sentences.
 
-    doc_id, score, score_raw, n_sentences, n_instances, n_questioned (0), a count for each mechanism, warning. Texts under 20 characters score 0; texts without tokens have no sentences and a raw score of 0.
+    doc_id, score, score_raw, n_sentences, n_instances, n_questioned (0), a count for each mechanism, valid (more than 20 characters and a sentence), warning. Texts under 20 characters score 0; texts without tokens have no sentences and a raw score of 0.
     """
     found = token_instances(long_sentences(tokens), SA_TOKENS).select("doc_id", "mechanism", "weight", "start", "end")
     both = found.unionByName(pattern_instances(texts, SA, text=text)).withColumn("questioned", F.lit(False))

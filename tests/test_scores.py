@@ -131,11 +131,12 @@ def test_scores_follow_the_rules(spark, name):
     for d, text in texts:
         r = got[d]
         if len((text or "").strip()) < 20:
-            assert (r.score, r.score_raw, r.n_sentences, r.n_instances, r.warning) == (0, 0, 0, 0, "texto_vacio_o_muy_corto")
+            assert (r.score, r.score_raw, r.n_sentences, r.n_instances, r.valid, r.warning) == (0, 0, 0, 0, False, "texto_vacio_o_muy_corto")
             continue
         raw, n, by, doubts = plain(text, sentences(tokens, d))
         assert (r.n_sentences, r.n_questioned, {m: r[f"n_{m}"] for m in mechanisms}) == (n, doubts, {m: by.get(m, 0) for m in mechanisms}), d
         assert r.score_raw == pytest.approx(raw) and r.score == pytest.approx(min(raw / top, 1.0)) and r.n_instances == sum(by.values()) and r.warning is None
+        assert r.valid == (len(text) > 20 and n > 0)
         seen |= set(by)
         doubted += doubts
     assert seen == set(mechanisms) and (name == "suppressed_agency" or doubted > 10)
