@@ -102,6 +102,27 @@ def rttm(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed.where("start is not null and duration is not null").withColumn("end", F.col("start") + F.col("duration"))
 
 
+def diarizations(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of JSON files that hold a list of speaker, start, end, duration: hearing (the file's name without suffix), segment (place in the list), speaker, start, end, duration.
+
+    A missing duration follows from start and end; a file that is no such list gives one row with nulls, so that it can be told.
+    """
+    kind = "array<struct<speaker:string,start:double,end:double,duracion:double>>"
+    files = spark.read.text(folder, wholetext=True).select(_stem().alias("hearing"), F.from_json("value", kind).alias("_s"))
+    rows = files.select("hearing", F.posexplode_outer("_s").alias("segment", "_one"))
+    return rows.select("hearing", "segment", "_one.speaker", "_one.start", "_one.end", F.coalesce("_one.duracion", F.col("_one.end") - F.col("_one.start")).alias("duration"))
+
+
+def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of JSON files that map starts to texts: hearing (the file's name without suffix), key, text. Files that hold no map give none."""
+    files = spark.read.text(folder, wholetext=True).select(_stem().alias("hearing"), F.from_json("value", "map<string,string>").alias("_t"))
+    return files.select("hearing", F.explode("_t").alias("key", "text"))
+
+
+def _stem() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """Span annotations: one row per span, with its place in the list (later spans win)."""
     kind = "text string, label array<struct<start:int,end:int,labels:array<string>>>"
@@ -129,6 +150,6 @@ def centroids(spark: SparkSession, path: str, name: str = "name", vector: str =
 
 def named_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Text files named doc_SECTION_PARTS_017.txt: doc, section, ordinal, text."""
-    files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("stem"), F.col("value").alias("text"))
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("stem"), F.col("value").alias("text"))
     parts = F.split("stem", "_")
     return files.select(F.try_element_at(parts, F.lit(1)).alias("doc"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "_").alias("section"), F.regexp_extract("stem", r"(\d+)$", 1).try_cast("int").alias("ordinal"), "text")
