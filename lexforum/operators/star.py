@@ -39,10 +39,10 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
 
 
-def orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
+def orphans(tables: Mapping[str, DataFrame], references: list[tuple[str, str, str, str]] = REFERENCES) -> DataFrame:
     """Rows of each foreign key that name no parent: table, column, orphans."""
     out = None
-    for child, column, parent, key in REFERENCES:
+    for child, column, parent, key in references:
         lost = tables[child].where(F.col(column).isNotNull()).join(tables[parent].select(F.col(key).alias(column)).distinct(), column, "left_anti")
         one = lost.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(child).alias("table"), F.lit(column).alias("column"), "orphans")
         out = one if out is None else out.unionByName(one)
@@ -63,13 +63,21 @@ def with_parents(blocks: DataFrame, existing: DataFrame, doc: str = "doc", secti
 
 @dataclass
 class Loader:
-    """Load modules in the order of their parents. A module takes the tables so far and gives rows of its own; an error stays its own."""
+    """Load modules in the order of their parents. A module takes the tables so far and gives rows of its own; an error stays its own.
+
+    `settle` is applied to a module's rows: one that writes them lets errors of tasks, too, stay with their module, and cuts lineage.
+    """
 
     modules: dict[str, tuple[tuple[str, ...], Callable[[dict[str, DataFrame]], DataFrame]]] = field(default_factory=dict)
+    targets: dict[str, tuple[str, bool]] = field(default_factory=dict)
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df
+
+    def module(self, table: str, after: tuple[str, ...] = (), name: str | None = None, replaces: bool = False):
+        """A module of this name (else the table's) that adds to the table, or gives it anew."""
 
-    def module(self, table: str, after: tuple[str, ...] = ()):
         def add(f: Callable[[dict[str, DataFrame]], DataFrame]):
-            self.modules[table] = (after, f)
+            self.modules[name or table] = (after, f)
+            self.targets[name or table] = (table, replaces)
             return f
 
         return add
@@ -92,15 +100,16 @@ class Loader:
         return out
 
     def run(self, tables: dict[str, DataFrame], only: set[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
-        """Tables with all rows added, and errors by module. Nothing is written; a module whose parent failed is left out."""
+        """Tables with all rows added, and errors by module. Tables are not written; a module whose parent failed is left out."""
         done, errors = dict(tables), {}
         for name in self.order(only):
             lost = [p for p in self.modules[name][0] if p in errors]
+            table, replaces = self.targets[name]
             try:
                 if lost:
                     raise RuntimeError(f"after {', '.join(lost)}, which failed")
-                rows = self.modules[name][1](done)
-                done[name] = done[name].unionByName(rows, allowMissingColumns=True) if name in done else rows
+                rows = self.settle(self.modules[name][1](done))
+                done[table] = done[table].unionByName(rows, allowMissingColumns=True) if table in done and not replaces else rows
             except Exception as e:  # an error of one module stops none that does not need it
                 errors[name] = f"{type(e).__name__}: {e}".splitlines()[0]
         return done, errors

@@ -1,11 +1,11 @@
-"""Queries of hearings: transcripts, windows of channels over segments, channels side by side."""
+"""Queries of hearings and of the star schema: transcripts, windows of channels over segments, channels side by side, load modules."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforum.operators import hearings
+from lexforum.operators import hearings, modules, star
 from lexforum.sources.readers import table
 
 QUERIES, ORACLES = {}, {}
@@ -74,3 +74,26 @@ def j15_channels(spark: SparkSession, d: str) -> DataFrame:
         (of("view") / 1000).alias("y8"), F.avg((kind == "signup").cast("double")).alias("y11_prop"),
     )
     return hearings.channels(e, e, e)
+
+
+@query("""WITH r AS (SELECT doc_id, 'document_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0') AS doc, coalesce(lang, 'none') AS section, length(text) AS n FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc, section ORDER BY doc_id) AS k, row_number() OVER (PARTITION BY doc ORDER BY doc_id) AS p FROM r)
+SELECT doc || '__' || section || '__' || k AS external, CAST(p AS INTEGER) AS position, n AS n_chars, 'A-CSJ' AS corpus, round((n % 100) / 100.0, 2) AS y2_sa, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE round((n % 7) / 8.0, 3) END AS y4_nv, 0 AS orphans, 0 AS again FROM b""")
+def d5_load_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as blocks of documents, loaded twice: blocks with their document's corpus and scores, rows without a parent, rows that the second load added."""
+    n = F.length("text").cast("long")
+    rows = table(spark, d, "documents").where("text is not null").select(
+        F.col("doc_id").alias("order"), F.concat(F.lit("document_"), F.lpad(F.floor(F.col("doc_id") / 4).cast("string"), 12, "0")).alias("doc"), F.lit("csj").alias("corpus"), F.lit(None).cast("int").alias("year"),
+        F.coalesce("lang", F.lit("none")).alias("section"), n.alias("n_chars"), F.round(n % 100 / 100.0, 2).alias("y2_sa"), F.when(F.col("doc_id") % 3 != 0, F.round(n % 7 / 8.0, 3)).alias("y4_nv"),
+    )
+    load = modules.loader({"rows_a": rows})
+    once, errors = load.run(modules.empty(spark))
+    twice, more = load.run(once)
+    if errors or more:
+        raise RuntimeError(str(errors | more))
+    size = lambda t: t.agg(F.count(F.lit(1)).alias("n"))
+    again = sum((size(twice[t]).scalar() - size(once[t]).scalar() for t in ("documents", "blocks", "scores")), F.lit(0))
+    lost = star.orphans(twice, modules.REFERENCES).agg(F.sum("orphans").alias("n")).scalar()
+    wide = twice["scores"].groupBy(F.col("block_id").alias("id")).agg(*(F.max(F.when(F.col("code") == c, F.col("value"))).alias(c) for c in ("y2_sa", "y4_nv")))
+    docs = twice["documents"].select(F.col("id").alias("document_id"), "corpus_id").join(twice["corpora"].select(F.col("id").alias("corpus_id"), F.col("code").alias("corpus")), "corpus_id")
+    return twice["blocks"].join(docs, "document_id").join(wide, "id", "left").select("external", "position", "n_chars", "corpus", "y2_sa", "y4_nv", lost.alias("orphans"), again.alias("again"))

@@ -149,7 +149,7 @@ def centroids(spark: SparkSession, path: str, name: str = "name", vector: str =
 
 
 def named_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Text files named doc_SECTION_PARTS_017.txt: doc, section, ordinal, text."""
+    """Text files named doc_SECTION_PARTS_017.txt: stem, doc, section, ordinal, text."""
     files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("stem"), F.col("value").alias("text"))
     parts = F.split("stem", "_")
-    return files.select(F.try_element_at(parts, F.lit(1)).alias("doc"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "_").alias("section"), F.regexp_extract("stem", r"(\d+)$", 1).try_cast("int").alias("ordinal"), "text")
+    return files.select("stem", F.try_element_at(parts, F.lit(1)).alias("doc"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "_").alias("section"), F.regexp_extract("stem", r"(\d+)$", 1).try_cast("int").alias("ordinal"), "text")
