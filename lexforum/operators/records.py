@@ -169,8 +169,8 @@ def boundaries(text: str, scheme: Sequence[tuple[str, Sequence[Finder], bool]],
     return out
 
 
-def sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
-    """A column function: struct of sections (array of SECTION), coverage (share of the text in named sections) and warnings.
+def cutter(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
+    """A function of a text: its sections (dicts of SECTION), coverage (share of the text in named sections) and warnings.
 
     A section of fewer words joins the one before it, or goes if there is none; the last always stays. A first heading behind
     the 100th character leaves a head section; without headings the whole text is CUERPO. Null text: no sections.
@@ -199,6 +199,13 @@ def sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
                 out[-1].update(char_end=end, text=text[out[-1]["char_start"] : end].strip())
         return {"sections": out, "coverage": sum(s["char_end"] - s["char_start"] for s in out) / len(text) if text else 0.0, "warnings": warnings}
 
+    return cut
+
+
+def sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
+    """A column function of what cutter gives: struct of sections, coverage and warnings."""
+    cut = cutter(corpus, least_words, schemes)
+
     @F.pandas_udf(f"sections array<{SECTION}>, coverage double, warnings array<string>")
     def run(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(x) for x in text], columns=["sections", "coverage", "warnings"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexforum.functions import courts as C
 from lexforum.functions import lexicons as L
 from lexforum.operators import indicators as I
-from lexforum.operators import indices, records
+from lexforum.operators import indices, jobs, records
 from lexforum.operators import relational as R
 from lexforum.sources.readers import table
 
@@ -376,3 +376,24 @@ SELECT doc_id, mechanism, count(*) AS n, round(sum(CAST(weight AS DOUBLE)), 4) A
 def t13_denial_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Combatants, weapons and denied persons of parsed tokens, direct negation aside (T13 to T15, T17)."""
     return _by_mechanism(I.token_instances(_parsed(spark, d), I.NV_TOKENS))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as files of corpus A, with headings; each eleventh without content, each thirteenth blank."""
+    k = F.col("doc_id")
+    text = F.when(k % 13 == 0, F.lit(" \n\t\n ")).otherwise(F.concat(F.lit("HECHOS PROBADOS:\n"), "text", F.lit("\nRESUELVE:\n")))
+    return table(spark, d, "documents").select(k, F.when(k % 11 != 0, F.encode(text, "UTF-8")).alias("content"))
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN ' ' || chr(10) || chr(9) || chr(10) || ' ' ELSE 'HECHOS PROBADOS:' || chr(10) || text || chr(10) || 'RESUELVE:' || chr(10) END END AS text FROM documents)
+SELECT doc_id, text IS NOT NULL AND doc_id % 13 <> 0 AS success, CASE WHEN text IS NULL THEN 'read' WHEN doc_id % 13 = 0 THEN 'clean' END AS step, CASE WHEN text IS NULL THEN 'no content' WHEN doc_id % 13 = 0 THEN 'no text is left' END AS error_message, sha256(text) AS sha256_source FROM f""")
+def g6_document_job(spark: SparkSession, d: str) -> DataFrame:
+    """Files through all steps, failures as rows."""
+    return jobs.document_job(_files(spark, d), "A", name="doc_id").select("doc_id", "success", "step", "error_message", "sha256_source")
+
+
+@query()
+def m8_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Sections, coverage and the metadata's own confidence of files, with its flag (tested against the single steps)."""
+    out = jobs.document_job(_files(spark, d), "A", name="doc_id")
+    return out.select("doc_id", F.size("sections").alias("sections"), "coverage", F.col("metadata.extraction_confidence").alias("confidence"), "low_confidence")

@@ -23,7 +23,7 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")), "^﻿", "")
 
 
-def _files(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFrame:
+def binary_files(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFrame:
     """Binary files of these suffixes under a folder."""
     pattern = "*.{" + ",".join(x.lstrip(".") for x in suffixes) + "}"
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
@@ -31,7 +31,7 @@ def _files(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFra
 
 def text_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = (".txt",)) -> DataFrame:
     """One row per file of these suffixes, in order of paths: path, length, modificationTime, text."""
-    files = _files(spark, folder, suffixes)
+    files = binary_files(spark, folder, suffixes)
     return files.select("path", "length", "modificationTime", decoded(F.col("content")).alias("text")).orderBy("path")
 
 
@@ -85,7 +85,7 @@ def extracted(spark: SparkSession, folder: str, suffixes: Sequence[str], extract
                 texts.append(got[0]), places.append(got[1])
             yield pd.DataFrame({"path": frame["path"], "length": frame["length"], "text": texts, "extractor": pd.array(places, "Int32")})
 
-    return _files(spark, folder, suffixes).select("path", "length", "content").mapInPandas(run, "path string, length long, text string, extractor int")
+    return binary_files(spark, folder, suffixes).select("path", "length", "content").mapInPandas(run, "path string, length long, text string, extractor int")
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
