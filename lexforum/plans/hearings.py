@@ -47,10 +47,10 @@ def s14_transcript_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_SEGMENTS}, {_WINDOWS}, p AS (SELECT s.hearing, s.segment, least(s."end", w.b) - greatest(s."start", w.a) AS o, w.value FROM s JOIN w ON s.hearing = w.hearing AND s."start" < w.b AND w.a < s."end"),
 m AS (SELECT hearing, segment, sum(value * o) / sum(CASE WHEN value IS NOT NULL THEN o END) AS value FROM p GROUP BY ALL)
-SELECT s.hearing, s.segment, round(m.value, 6) AS value FROM s LEFT JOIN m ON s.hearing = m.hearing AND s.segment = m.segment""")
+SELECT s.hearing, s.segment, m.value FROM s LEFT JOIN m ON s.hearing = m.hearing AND s.segment = m.segment""")
 def s14_channel_windows(spark: SparkSession, d: str) -> DataFrame:
     """Turns as segments, events as windows of 3 seconds: the mean by common time."""
-    return hearings.with_windows(_segments(spark, d), _windows(spark, d), ["value"]).select("hearing", "segment", F.round("value", 6).alias("value"))
+    return hearings.with_windows(_segments(spark, d), _windows(spark, d), ["value"]).select("hearing", "segment", "value")
 
 
 @query(f"""WITH {_SEGMENTS}, talk AS (SELECT hearing, speaker, sum("end" - "start") AS t FROM s GROUP BY ALL), most AS (SELECT hearing, arg_max(speaker, (t, speaker)) AS speaker FROM talk GROUP BY hearing)
