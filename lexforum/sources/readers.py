@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lexforum.functions.materialise import written
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -130,16 +135,89 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return tasks.select(F.sha2("text", 256).alias("doc"), "text", F.posexplode_outer("label").alias("span_index", "span")).select("doc", "text", "span_index", "span.start", "span.end", F.explode_outer("span.labels").alias("label"))
 
 
-def inventory(spark: SparkSession, folder: str, hash_below: int | None = None, pruned: Sequence[str] = ()) -> DataFrame:
+def listing(spark: SparkSession, folder: str, pruned: Sequence[str] = ()) -> DataFrame:
+    """Files under a folder: path, length, modificationTime. Folders of the pruned names are never entered, nor are links to folders.
+
+    Tasks list folders, one level after the other; a level's folders are dealt over them, and its entries are written before the
+    next one starts, so the driver holds none. The executors must see the folder (a shared file system or any that Arrow knows
+    by its URI). What cannot be listed counts as empty.
+    """
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for place in frame["path"]:
+                system, local = _file_system(place)
+                head = place[: len(place) - len(local)] if place.endswith(local) else ""
+                try:
+                    found = system.get_file_info(fs.FileSelector(local))
+                except OSError:
+                    continue
+                is_link = lambda x: isinstance(system, fs.LocalFileSystem) and os.path.islink(x.path)
+                kept = [x for x in found if x.type == fs.FileType.File or (x.type == fs.FileType.Directory and x.base_name not in pruned and not is_link(x))]
+                rows = [(head + x.path, x.type == fs.FileType.Directory, x.size, None if x.mtime_ns is None else pd.Timestamp(x.mtime_ns // 1000, unit="us", tz="UTC")) for x in kept]
+                for i in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "is_folder", "length", "modificationTime"])
+
+    kind = "path string, is_folder boolean, length long, modificationTime timestamp"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files, folders = None, spark.createDataFrame([(folder.rstrip("/") or "/",)], "path string")
+    while True:
+        level = written(folders.mapInPandas(entries, kind))
+        own = level.where("not is_folder").drop("is_folder")
+        files = own if files is None else files.unionByName(own)
+        if level.where("is_folder").isEmpty():
+            return files
+        folders = level.where("is_folder").select("path").repartition(parts)
+
+
+def inventory(spark: SparkSession, folder: str, hash_below: int | None = None, pruned: Sequence[str] = (), by_tasks: bool = True) -> DataFrame:
     """Files under a folder, without those in folders of the pruned names: path, length, modificationTime, extension and, up to a size, sha256.
 
-    Without hashes no file is opened: only the listing is read.
+    Without hashes no file is opened: only the listing is read. Pruned folders are never entered (see listing). Without
+    `by_tasks` Spark lists the whole tree, on any file system that it reads, and pruned folders go afterwards.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    if pruned:
-        files = files.where(~F.col("path").rlike("/(" + "|".join(map(re.escape, pruned)) + ")/"))
-    sha = F.when(F.col("length") <= hash_below, F.sha2("content", 256)) if hash_below else F.lit(None).cast("string")
-    return files.select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), sha.alias("sha256"))
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension")
+    if not by_tasks:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        if pruned:
+            files = files.where(~F.col("path").rlike("/(" + "|".join(map(re.escape, pruned)) + ")/"))
+        sha = F.when(F.col("length") <= hash_below, F.sha2("content", 256)) if hash_below else F.lit(None).cast("string")
+        return files.select("path", "length", "modificationTime", extension, sha.alias("sha256"))
+    files = listing(spark, folder, pruned)
+    if not hash_below:
+        return files.select("path", "length", "modificationTime", extension, F.lit(None).cast("string").alias("sha256"))
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(sha256=[_sha256(p) if n <= hash_below else None for p, n in zip(frame["path"], frame["length"], strict=True)])
+
+    dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(hashed, "path string, length long, modificationTime timestamp, sha256 string").select("path", "length", "modificationTime", extension, "sha256")
+
+
+def _file_system(place: str):
+    """The file system of a path or URI (its path as it is, not percent-encoded), and the path there."""
+    from pyarrow import fs
+
+    scheme, mark, rest = place.partition("://")
+    if not mark:
+        return fs.LocalFileSystem(), place
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@,')}")
+
+
+def _sha256(place: str) -> str | None:
+    """Digest of a file, read in pieces; null if it cannot be read."""
+    system, local = _file_system(place)
+    digest = hashlib.sha256()
+    try:
+        with system.open_input_stream(local) as f:
+            while piece := f.read(1 << 20):
+                digest.update(piece)
+    except OSError:
+        return None
+    return digest.hexdigest()
 
 
 def centroids(spark: SparkSession, path: str, name: str = "name", vector: str = "vector") -> DataFrame:

@@ -1,7 +1,9 @@
 """Sources and sinks over made files; streaming jobs against batch results."""
 
+import hashlib
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -97,3 +99,30 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     batch = {(r.user_id, r.start, r.n) for r in events.groupBy("user_id", F.session_window("ts", "5 minutes").alias("w")).count().select("user_id", F.col("w.start").alias("start"), F.col("count").alias("n")).collect()}
     # Sessions are told when the watermark has passed them; no later event closes the last ones.
     assert {(r.user_id, r.start, r.n) for r in spark.read.parquet(str(tmp_path / "sessions")).collect()} <= batch
+
+
+def test_listing_never_enters_pruned_folders(spark, tmp_path):
+    root = tmp_path / "tree"
+    kept = {"a.txt": 1, "x/b.TXT": 2, "x/y/z/c": 3, "x/ñ é/d.csv": 4, "x/.hidden/e": 5}
+    for name, n in kept.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"q" * n)
+    for name in (".git/deep/f", "x/.git/g", "x/y/venv/h"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"no")
+    (root / "loop").symlink_to(root, target_is_directory=True)
+    (root / "empty").mkdir()
+    closed = [root / ".git", root / "x" / ".git", root / "x" / "y" / "venv"]
+    for c in closed:
+        os.utime(c, (1, 2))  # reading a folder's entries moves its access time (where the mount keeps one)
+    # Links to files are files; folders that are links are not entered.
+    found = {r.path[len(str(root)) + 1 :]: r for r in readers.listing(spark, str(root), [".git", "venv"]).collect()}
+    assert {k: r.length for k, r in found.items()} == kept and all(c.stat().st_atime == 1 for c in closed)
+    assert found["a.txt"].modificationTime is not None
+    uri = readers.inventory(spark, f"file://{root}", 3, [".git", "venv"])
+    rows = {r.path.split("/tree/")[1]: (r.extension, r.sha256) for r in uri.collect() if r.extension != "csv"}
+    digest = lambda n: hashlib.sha256(b"q" * n).hexdigest()
+    assert rows == {"a.txt": ("txt", digest(1)), "x/b.TXT": ("txt", digest(2)), "x/y/z/c": ("", digest(3)), "x/.hidden/e": ("", None)}
+    assert readers.listing(spark, str(root / "empty")).count() == 0 and readers.listing(spark, str(root / "nowhere")).count() == 0
+    whole = readers.inventory(spark, str(root), by_tasks=False, pruned=[".git", "venv"])
+    assert {r.path.split("/tree/")[1] for r in whole.collect()} >= {"a.txt", "x/b.TXT", "x/y/z/c"}
