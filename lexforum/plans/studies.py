@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforum.functions import text as T
-from lexforum.operators import audit, indices, ranking, regression, resampling, spans
+from lexforum.operators import audit, controls, indices, ranking, regression, resampling, spans
 from lexforum.sources.readers import table
 
 QUERIES, ORACLES = {}, {}
@@ -170,3 +170,33 @@ def yearly_series(spark: SparkSession, d: str) -> DataFrame:
 def label_profile(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
     return table(spark, d, "labels").join(docs, "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"), F.count_distinct("lang").alias("langs"))
+
+
+_CONTROLLED = ("o_totalprice", "o_custkey")
+
+
+@query("""WITH l AS (SELECT o_orderstatus = 'F' AS a, year(o_orderdate) AS y, unnest(['o_totalprice', 'o_custkey']) AS code, unnest([CAST(o_totalprice AS DOUBLE), CAST(o_custkey AS DOUBLE)]) AS v FROM orders),
+x AS (SELECT *, unnest([FALSE, TRUE]) AS recent FROM l), r AS (SELECT * FROM x WHERE NOT recent OR NOT a OR y BETWEEN 1994 AND 1996),
+k AS (SELECT *, rank() OVER (PARTITION BY code, recent ORDER BY v) + (count(*) OVER (PARTITION BY code, recent, v) - 1) / 2.0 AS rk FROM r),
+u AS (SELECT code, recent, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb, avg(v) FILTER (a) AS ma, avg(v) FILTER (NOT a) AS mb, sum(rk) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2 AS u FROM k GROUP BY ALL)
+SELECT p.code, p.na AS n_a, q.na AS n_a_recent, p.nb AS n_b, p.ma AS mean_a, q.ma AS mean_a_recent, p.mb AS mean_b, p.u, q.u AS u_recent FROM u p JOIN u q ON p.code = q.code WHERE NOT p.recent AND q.recent""")
+def n18_temporal_control(spark: SparkSession, d: str) -> DataFrame:
+    """Filled orders against the others, over all years and with the filled ones of 1994 to 1996 (p and verdict: tests)."""
+    orders = table(spark, d, "orders")
+    out = controls.temporal_control(orders, F.col("o_orderstatus") == "F", F.year("o_orderdate"), 1994, 1996, _CONTROLLED)
+    return out.select("code", "n_a", "n_a_recent", "n_b", "mean_a", "mean_a_recent", "mean_b", "u", "u_recent")
+
+
+def _rank(c: str) -> str:
+    return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+
+
+_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_PAIRS = [(a, b) for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]]
+
+
+@query("WITH r AS (SELECT {}, count(*) OVER () AS n FROM lineitem), p AS ({}) SELECT a, b, n, round(rho, 9) AS rho, abs(rho) > 0.7 AS redundant FROM p".format(
+    ", ".join(f"{_rank(c)} AS {c}" for c in _COLUMNS), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS rho FROM r" for a, b in _PAIRS)))
+def v7_redundant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Spearman's rho of every two columns, flagged above 0.70."""
+    return controls.correlated_pairs(table(spark, d, "lineitem"), _COLUMNS).select("a", "b", "n", F.round("rho", 9).alias("rho"), "redundant")
