@@ -132,3 +132,84 @@ SECTIONS = {
         ("CIERRE", [r"(?:^|\n)CIERRE\s+(?:DE\s+LA\s+)?AUDIENCIA" + _LINE, r"(?:^|\n)(?:SE\s+)?(?:LEVANTA|SUSPENDE)\s+(?:LA\s+)?AUDIENCIA", r"(?:^|\n)(?:PRESIDENTE|MAGISTRADO)[:\s]+(?:Se\s+)?(?:levanta|declara\s+terminada)"], False),
     ],
 }
+
+# The looser headings of a second version, which also end in a colon; those of C are the same.
+SECTIONS_LOOSE = {
+    "A": [
+        ("ENCABEZADO", [r"^(?:TRIBUNAL|JUZGADO|CORTE|FISCALÍA|REPÚBLICA\s+DE\s+COLOMBIA)", r"^(?:EXPEDIENTE|RADICADO|PROCESO)\s+N"], False),
+        ("HECHOS", [
+            r"(?:^|\n)(?:I+\.?\s+)?(?:LOS\s+)?HECHOS?(?:\s+PROBADOS?)?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:I+\.?\s+)?RELACI[ÓO]N\s+DE\s+HECHOS",
+            r"(?:^|\n)(?:I+\.?\s+)?CIRCUNSTANCIAS\s+F[ÁA]CTICAS",
+            r"(?:^|\n)PLANTEAMIENTO\s+DEL\s+CASO",
+        ], True),
+        ("CONSIDERACIONES", [
+            r"(?:^|\n)(?:II+\.?\s+)?CONSIDERACIONES?(?:\s+DEL?\s+(?:TRIBUNAL|JUZGADO|DESPACHO))?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:II+\.?\s+)?FUNDAMENTOS?\s+(?:JURI[DÍ]DICOS?|DE\s+DERECHO)",
+            r"(?:^|\n)(?:II+\.?\s+)?MARCO\s+JUR[IÍ]DICO",
+            r"(?:^|\n)(?:II+\.?\s+)?AN[ÁA]LISIS\s+(?:JURI[DÍ]DICO|DEL?\s+CASO)",
+        ], True),
+        ("PRUEBAS", [
+            r"(?:^|\n)(?:II+\.?\s+)?(?:VALORACI[ÓO]N\s+)?PRUEBAS?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:II+\.?\s+)?MATERIAL\s+PROBATORIO",
+            r"(?:^|\n)(?:II+\.?\s+)?M[ÉE]RITOS\s+(?:Y\s+)?PRUEBAS?",
+        ], False),
+        ("DECISIÓN", [
+            r"(?:^|\n)(?:IV+\.?\s+)?DECISI[ÓO]N(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:IV+\.?\s+)?RESUELVE(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:IV+\.?\s+)?FALLA(?:\s*:|\s*\n)",
+            r"(?:^|\n)EN\s+M[ÉE]RITO\s+DE\s+LO\s+EXPUESTO",
+            r"(?:^|\n)POR\s+LO\s+EXPUESTO[,\s]+(?:ESTE|EL)\s+(?:JUZGADO|TRIBUNAL|DESPACHO)",
+        ], True),
+    ],
+    "B": [
+        ("ENCABEZADO", [r"^(?:JURISDICCI[ÓO]N\s+ESPECIAL\s+PARA\s+LA\s+PAZ|JEP)", r"^(?:SALA\s+DE\s+RECONOCIMIENTO|SECCI[ÓO]N\s+DE)", r"^AUTO\s+N[Oº]\.", r"^REPÚBLICA\s+DE\s+COLOMBIA"], False),
+        ("ANTECEDENTES", [
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?ANTECEDENTES?(?:\s+(?:PROCESALES?|DEL?\s+CASO))?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?HECHOS?\s+RELEVANTES?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?CONTEXTO(?:\s+(?:GENERAL|F[ÁA]CTICO))?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?OBJETO\s+(?:DEL?\s+AUTO|DE\s+LA\s+PROVIDENCIA)(?:\s*:|\s*\n)",
+        ], False),
+        ("HECHOS_Y_CONDUCTAS", [
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?DETERMINACI[ÓO]N\s+DE\s+(?:LOS\s+)?HECHOS\s+Y\s+CONDUCTAS(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?HECHOS\s+Y\s+CONDUCTAS(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?DESCRIPCI[ÓO]N\s+DE\s+(?:LOS\s+)?HECHOS(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?LOS\s+HECHOS(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?UNIVERSO\s+DE\s+(?:LAS\s+)?V[IÍ]CTIMAS(?:\s*:|\s*\n)",
+        ], True),
+        ("PATRONES_MACROCRIMINALES", [
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?PATRONES?\s+(?:MACRO)?CRIMINALES?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?MODALIDADES?\s+(?:DE\s+(?:LA\s+)?CONDUCTA|CRIMINAL)(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?MODUS\s+OPERANDI(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?SISTEMA\s+(?:DE\s+)?CRIMEN(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?PRÁCTICA\s+(?:SISTEM[ÁA]TICA|CRIMINAL)(?:\s*:|\s*\n)",
+        ], True),
+        ("CALIFICACION_JURIDICA", [
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?CALIFICACI[ÓO]N\s+JUR[IÍ]DICA(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?TIPIFICACI[ÓO]N\s+(?:DE\s+(?:LAS?\s+)?CONDUCTAS?)?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?CR[IÍ]MENES?\s+INTERNACIONALES?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?CL[ÁA]SIFICACI[ÓO]N\s+(?:DE\s+(?:LOS\s+)?HECHOS)?(?:\s*:|\s*\n)",
+        ], True),
+        ("RECONOCIMIENTO", [
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?RECONOCIMIENTO\s+DE\s+(?:VERDAD|RESPONSABILIDAD)(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?DECLARACI[ÓO]N\s+DE\s+RECONOCIMIENTO(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?APORTE\s+A\s+LA\s+VERDAD(?:\s*:|\s*\n)",
+            r"(?:^|\n)RECONOCE\s+(?:SU\s+)?RESPONSABILIDAD",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?COMPROMISOS?\s+(?:DE\s+)?RECONOCIMIENTO(?:\s*:|\s*\n)",
+        ], True),
+        ("CONSIDERACIONES", [
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?CONSIDERACIONES?(?:\s+(?:DE\s+LA\s+SALA|JUR[IÍ]DICAS?))?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?AN[ÁA]LISIS\s+JUR[IÍ]DICO(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?FUNDAMENTOS?\s+JUR[IÍ]DICOS?(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?MARCO\s+(?:JUR[IÍ]DICO|NORMATIVO)(?:\s*:|\s*\n)",
+        ], True),
+        ("RESUELVE", [
+            r"(?:^|\n)RESUELVE(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?EN\s+VIRTUD\s+DE\s+LO\s+EXPUESTO",
+            r"(?:^|\n)(?:DECISI[ÓO]N\s+)?DE\s+LA\s+SALA(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?PARTE\s+RESOLUTIVA(?:\s*:|\s*\n)",
+            r"(?:^|\n)(?:[IVXLC]+\.?\s+)?ORDENA(?:\s*:|\s*\n)",
+        ], True),
+    ],
+    "C": SECTIONS["C"],
+}

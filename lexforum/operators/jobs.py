@@ -52,7 +52,7 @@ def read_text(files: DataFrame, extractors: Sequence[Callable[[bytes | None], st
     return read.withColumns({"text": F.col("_read.text"), "read_error": F.when(lost, "no content").otherwise(F.col("_read.error"))}).drop("_read")
 
 
-def document_job(files: DataFrame, corpus: str, extractors: Sequence[Callable[[bytes | None], str | None]] = (), name: str = "path", content: str = "content", rules: Sequence[tuple[str, str]] = tuple(C.SCAN_CORRECTIONS), least_words: int = 20, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+def document_job(files: DataFrame, corpus: str, extractors: Sequence[Callable[[bytes | None], str | None]] = (), name: str = "path", content: str = "content", rules: Sequence[tuple[str, str]] = tuple(C.SCAN_CORRECTIONS), least_words: int = 20, least_confidence: float = LEAST_CONFIDENCE, schemes: dict = C.SECTIONS) -> DataFrame:
     """One row per file, whatever happens to it: `name`, corpus_type, version, success, step, error_message, sha256_source, sha256_clean, clean_text, cleaning_report, metadata, sections, coverage, warnings, low_confidence.
 
     Steps are read, clean and segment. A file fails at `read` without content or text, at `clean` if nothing is left of its text, at
@@ -63,7 +63,7 @@ def document_job(files: DataFrame, corpus: str, extractors: Sequence[Callable[[b
     clean = ingest.clean(read, "text", rules).drop(content)
     meta = records.metadata(clean.withColumn("_file", F.regexp_extract(name, r"([^/\\]*)$", 1)), "clean_text", "_file")
     bare = F.col("read_error").isNull() & (F.coalesce(F.length("clean_text"), F.lit(0)) == 0)
-    cut = meta.withColumn("_cut", guarded_sections(corpus, least_words)(F.when(F.col("read_error").isNull() & ~bare, F.col("clean_text"))))
+    cut = meta.withColumn("_cut", guarded_sections(corpus, least_words, schemes)(F.when(F.col("read_error").isNull() & ~bare, F.col("clean_text"))))
     errors = [("read", F.col("read_error")), ("clean", F.when(bare, "no text is left")), ("segment", F.col("_cut.error"))]
     failed = F.coalesce(*(e for _, e in errors))
     facts = ("doc_sha", "tribunal", "tribunal_raw", "case_number", "date_issued", "date_text_raw", "parties", "region", "doc_type", "word_count", "extraction_confidence", "extraction_warnings")
@@ -76,9 +76,9 @@ def document_job(files: DataFrame, corpus: str, extractors: Sequence[Callable[[b
     )
 
 
-def guarded_sections(corpus: str, least_words: int = 20):
+def guarded_sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
     """A column function: sections, coverage and warnings as records.sections gives them, or the error that finding them raised; null text: all null."""
-    cut = records.cutter(corpus, least_words)
+    cut = records.cutter(corpus, least_words, schemes)
 
     def tried(text: str | None) -> dict:
         if text is None:

@@ -213,10 +213,10 @@ def sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
     return run
 
 
-def section_rows(df: DataFrame, corpus: str, text: str = "text", least_words: int = 20) -> DataFrame:
-    """One row per section of each text: the other columns, section_id, section_index, char_start, char_end, is_target, coverage, text of the section."""
+def section_rows(df: DataFrame, corpus: str, text: str = "text", least_words: int = 20, schemes: dict = C.SECTIONS) -> DataFrame:
+    """One row per section of each text, by the headings of a scheme (C.SECTIONS, C.SECTIONS_LOOSE or another): the other columns, section_id, section_index, char_start, char_end, is_target, coverage, text of the section."""
     own = [c for c in df.columns if c != text]
-    cut = df.withColumn("_cut", sections(corpus, least_words)(F.col(text)))
+    cut = df.withColumn("_cut", sections(corpus, least_words, schemes)(F.col(text)))
     rows = cut.select(*own, F.col("_cut.coverage").alias("coverage"), F.explode("_cut.sections").alias("_s"))
     return rows.select(*own, *(F.col(f"_s.{c}").alias(c) for c in ("section_id", "section_index", "char_start", "char_end", "is_target")), "coverage", F.col("_s.text").alias(text))
 

@@ -397,3 +397,10 @@ def m8_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Sections, coverage and the metadata's own confidence of files, with its flag (tested against the single steps)."""
     out = jobs.document_job(_files(spark, d), "A", name="doc_id")
     return out.select("doc_id", F.size("sections").alias("sections"), "coverage", F.col("metadata.extraction_confidence").alias("confidence"), "low_confidence")
+
+
+@query()
+def g3_sections_loose(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by the looser headings of ordinary justice (the algorithm is tested by brute force with g1, the headings by themselves)."""
+    docs = table(spark, d, "documents").select("doc_id", _marked(spark, d, "A").alias("text"))
+    return records.section_rows(docs, "A", schemes=C.SECTIONS_LOOSE).withColumn("n_chars", F.length("text")).drop("text")

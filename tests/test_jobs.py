@@ -38,13 +38,13 @@ def test_what_raises_is_told_in_its_row(spark, monkeypatch):
     whole = {r.path[2]: (r.step, r.success) for r in jobs.document_job(files(spark), "A", [first, second]).collect()}
     assert whole["b"] == ("read", False) and whole["a"] == (None, True)
 
-    def broken(corpus, least_words=20):
+    def broken(corpus, *more):
         def cut(text):
             if "35099" in text:
                 raise RuntimeError("no end")
             return records_cut(text)
 
-        records_cut = real(corpus, least_words)
+        records_cut = real(corpus, *more)
         return cut
 
     real = records.cutter
@@ -76,3 +76,15 @@ def test_run_over_folders(spark, tmp_path):
     (tmp_path / "A" / "y.pdf").write_bytes(b"1")
     out = {r.corpus_type: tuple(r)[1:] for r in jobs.run(spark, str(tmp_path), str(tmp_path / "out")).collect()}
     assert out == {"A": (2, 1, 1, 0), "B": (0, 0, 0, 0)}
+
+
+def test_looser_headings(spark):
+    text = "LOS HECHOS: " + "uno " * 60 + "\nV. ORDENA:\n" + "dos " * 60 + "\nMODUS OPERANDI\n" + "tres " * 60
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    named = lambda schemes: [(r.section_id, r.is_target) for r in records.section_rows(df.where("text <> ''"), "B", schemes=schemes).orderBy("section_index").collect()]
+    assert named(jobs.C.SECTIONS_LOOSE) == [("HECHOS_Y_CONDUCTAS", True), ("RESUELVE", True), ("PATRONES_MACROCRIMINALES", True)]
+    assert [s for s, _ in named(jobs.C.SECTIONS)] == ["ENCABEZADO", "PATRONES_MACROCRIMINALES"]
+    whole = jobs.document_job(spark.createDataFrame([("x", bytearray(text.encode()))], "path string, content binary"), "B", schemes=jobs.C.SECTIONS_LOOSE).first()
+    assert whole.success and [s.section_id for s in whole.sections] == ["HECHOS_Y_CONDUCTAS", "RESUELVE", "PATRONES_MACROCRIMINALES"]
+    # A null text has no section, an empty one a body.
+    assert sorted(r.section_id for r in records.section_rows(df, "A", schemes=jobs.C.SECTIONS_LOOSE).collect()) == ["CUERPO", "HECHOS"]
