@@ -226,6 +226,12 @@ def section_text(text: Column, start: Column, end: Column) -> Column:
     return F.when((start >= 0) & (end >= start), F.trim(F.substring(text, start + 1, end - start)))
 
 
+def section_text_or(source: Column, start: Column, end: Column, inline: Column) -> Column:
+    """Text of the section's range in its source, without blank ends; the inline text, alike, where there is no source (null or empty) or no range; empty where neither is."""
+    found = F.when(F.length(source) > 0, section_text(source, start, end))
+    return F.coalesce(found, F.trim(inline), F.lit(""))
+
+
 # -- context ----------------------------------------------------------------------
 
 #: Codes of corpora; first and last year of the scale; courts by what their name holds.

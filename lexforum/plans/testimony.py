@@ -138,6 +138,14 @@ def s18_section_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", records.section_text(F.col("text"), 5 + k % 7, 10 + k % 50).alias("section"))
 
 
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 5 <> 0 AND length(text) > 0 AND doc_id % 7 <> 0 THEN trim(substring(text, 4, 9 + doc_id % 40), ' ') END, CASE WHEN doc_id % 3 <> 0 THEN trim(source, ' ') END, '') AS section FROM documents")
+def s18_inline_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Each fifth text lacks its source, each seventh its range, each third an inline text."""
+    k = F.col("doc_id")
+    source, start, inline = F.when(k % 5 != 0, F.col("text")), F.when(k % 7 != 0, 3), F.when(k % 3 != 0, F.col("source"))
+    return table(spark, d, "documents").select("doc_id", records.section_text_or(source, start, (12 + k % 40).cast("int"), inline).alias("section"))
+
+
 @query("""WITH p AS (SELECT toxic AS t, 1 - quality AS g FROM labels), l AS (SELECT DISTINCT t AS label FROM p UNION SELECT DISTINCT g FROM p),
 c AS (SELECT label, (SELECT count(*) FROM p WHERE t = label AND g = label) AS tp, (SELECT count(*) FROM p WHERE t = label) AS support, (SELECT count(*) FROM p WHERE g = label) AS guessed FROM l)
 SELECT avg(CASE WHEN guessed > 0 THEN tp / guessed ELSE 0.0 END) AS precision, avg(CASE WHEN support > 0 THEN tp / support ELSE 0.0 END) AS recall, avg(CASE WHEN guessed + support > 0 THEN 2 * tp / (guessed + support) ELSE 0.0 END) AS macro_f1 FROM c""")

@@ -88,3 +88,10 @@ def test_looser_headings(spark):
     assert whole.success and [s.section_id for s in whole.sections] == ["HECHOS_Y_CONDUCTAS", "RESUELVE", "PATRONES_MACROCRIMINALES"]
     # A null text has no section, an empty one a body.
     assert sorted(r.section_id for r in records.section_rows(df, "A", schemes=jobs.C.SECTIONS_LOOSE).collect()) == ["CUERPO", "HECHOS"]
+
+
+def test_section_text_or_inline(spark):
+    rows = [("abc  def", 3, 8, "in"), ("abc", 1, 99, "in"), ("abc", 1, 1, "in"), (None, 0, 2, " in "), ("", 0, 2, "in"), ("abc", None, 2, "in"), ("abc", 2, 1, "in"), (None, None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, a int, b int, t string")
+    got = {r.i: r.x for r in df.select("i", records.section_text_or(F.col("s"), F.col("a"), F.col("b"), F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["def", "bc", "", "in", "in", "in", "in", ""]
