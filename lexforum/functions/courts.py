@@ -60,6 +60,17 @@ PLACES = "Antioquia|Atlántico|Bogotá|Bolívar|Boyacá|Caldas|Caquetá|Casanare
 MONTHS = {m: i + 1 for i, m in enumerate("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split())} | {m: i + 1 for i, m in enumerate("ene feb mar abr may jun jul ago sep oct nov dic".split())}
 UNITS = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete dieciocho diecinueve veinte veintiuno veintidos veintitres veinticuatro".split()
 YEARS = {"dos mil": 2000, "mil novecientos noventa": 1990} | {f"dos mil {u}": 2001 + i for i, u in enumerate(UNITS)} | {f"mil novecientos noventa y {u}": 1991 + i for i, u in enumerate(UNITS[:9])}
+# A month; a year in words; dates in words, in order: pattern, and how its year is told: in digits, in words, or in digits from 2000 to 2025.
+MONTH = "(" + "|".join(MONTHS) + ")"
+YEAR_WORDS = r"(?:mil\s+novecientos\s+\w+(?:\s+y\s+\w+)?|dos\s+mil(?:\s+\w+)?)"
+DATES = [
+    (rf"\(\s*(\d{{1,2}})\s*\)\s+de\s+{MONTH}\s+de\s+dos\s+mil(?:\s+\w+)?\s*\(\s*(\d{{4}})\s*\)", "digits"),
+    (rf"\(\s*(\d{{1,2}})\s*\)\s+de\s+{MONTH}\s+de\s+mil\s+novecientos\s+\w+(?:\s+y\s+\w+)?\s*\(\s*(\d{{4}})\s*\)", "digits"),
+    (rf"(\d{{1,2}})\s+de\s+{MONTH}\s+de\s+(\d{{4}})", "recent"),
+    (rf"(\d{{1,2}})\s+de\s+{MONTH}\s+de\s+(dos\s+mil(?:\s+\w+)?)", "words"),
+    (rf"(\d{{1,2}})\s+de\s+{MONTH}\s+de\s+(mil\s+novecientos\s+\w+(?:\s+y\s+\w+)?)", "words"),
+    (rf"(\d{{1,2}})\s+de\s+{MONTH}\s+de\s+{YEAR_WORDS}\s*\(\s*(\d{{4}})\s*\)", "digits"),
+]
 # Parties; ranks and titles may stand before a name.
 RANKS = r"(?:(?:Sargento\s+(?:Primero|Segundo|Mayor)|Cabo\s+(?:Primero|Segundo)|Suboficial|Teniente\s+(?:Coronel)?|Mayor|Coronel\s*(?:\(R\))?|General|Brigadier|Capitán|Subteniente|Soldado|Dr\.?|Dra\.?|Señor|Señora)\s+)*"
 NAME = r"([A-ZÁÉÍÓÚÑ][a-záéíóúñA-ZÁÉÍÓÚÑ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñA-ZÁÉÍÓÚÑ]+){1,4})"

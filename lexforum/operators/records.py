@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexforum.functions import courts as C
 from lexforum.functions import text as T
-from lexforum.functions.patterns import Finder, folded
+from lexforum.functions.patterns import Finder, folded, stem
 from lexforum.operators.ingest import most_frequent
 
 #: Characters of a text that hold its head, and those that are looked at first for a date.
@@ -23,82 +23,99 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def court(head: Column) -> Column:
-    """Name of the first court whose pattern occurs; groups of the match fill the name's places."""
-    names = []
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What the function gives for a value that is computed once, however often the function names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _low(text: Column) -> Column:
+    """The text in one case, as far as patterns with (?iu) take letters for equal: each of their matches holds the pattern's stem here."""
+    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+
+
+def court_found(head: Column) -> Column:
+    """Struct of the first court whose pattern occurs, in one pass over the patterns: name, whose places the groups of the match fill, and raw, what the pattern found. Null without a court or head.
+
+    A pattern is tried only where the head holds the letters that each of its matches has.
+    """
+    return bound(_low(head), lambda low: F.coalesce(*_courts(head, low)))
+
+
+def _courts(head: Column, low: Column) -> list[Column]:
+    own = []
     for pattern, name in C.COURTS:
         p = "(?iuU)" + pattern
-        if "\\" in name:
-            parts: list[Column] = []
-            for piece in re.split(r"(\\\d)", name):
-                parts.append(F.regexp_extract(head, p, int(piece[1])) if piece.startswith("\\") else F.lit(piece))
-            value = F.trim(F.regexp_replace(F.concat(*parts), r"\s*·\s*$", ""))
-            names.append(F.when(head.rlike(p), value))
-        else:
-            names.append(F.when(head.rlike(p), F.lit(name)))
-    return F.coalesce(*names)
+        parts = [F.regexp_extract(head, p, int(x[1])) if x.startswith("\\") else F.lit(x) for x in re.split(r"(\\\d)", name)]
+        value = F.trim(F.regexp_replace(F.concat(*parts), r"\s*·\s*$", "")) if len(parts) > 1 else parts[0]
+        own.append(F.when(low.contains(stem(pattern)) & head.rlike(p), F.struct(value.alias("name"), _found(head, p).alias("raw"))))
+    return own
 
 
-def court_text(head: Column) -> Column:
-    """What the first court's pattern found."""
-    return F.coalesce(*(_found(head, "(?iuU)" + p) for p, _ in C.COURTS))
+def court(head: Column) -> Column:
+    """Name of the first court whose pattern occurs."""
+    return court_found(head)["name"]
 
 
 def case_number(head: Column, file_name: Column | None = None) -> tuple[Column, Column]:
     """Case number of the head, else of the file's name; and whether it is the latter's."""
-    own = []
-    for p in C.CASE_NUMBERS:
-        groups = re.compile(p).groups
-        own.append(_found(head, p, 1) if groups == 1 else F.when(head.rlike(p), F.concat_ws("-", *(F.regexp_extract(head, p, i + 1) for i in range(groups)))))
-    inside = F.coalesce(*own)
+
+    def tried(low: Column) -> Column:
+        own = []
+        for p in C.CASE_NUMBERS:
+            groups = re.compile(p).groups
+            value = _found(head, p, 1) if groups == 1 else F.when(head.rlike(p), F.concat_ws("-", *(F.regexp_extract(head, p, i + 1) for i in range(groups))))
+            own.append(F.when(low.contains(stem(p)), value))
+        return F.coalesce(*own)
+
+    inside = bound(_low(head), tried)
     if file_name is None:
         return inside, F.lit(False)
     named = F.coalesce(*(_found(file_name, p, 1) for p in C.FILE_NUMBERS))
     return F.coalesce(inside, named), inside.isNull() & named.isNotNull()
 
 
-_MONTH = "(" + "|".join(C.MONTHS) + ")"
-_WORDS = r"(?:mil\s+novecientos\s+\w+(?:\s+y\s+\w+)?|dos\s+mil(?:\s+\w+)?)"
-#: Dates in words, in order: pattern, and how its year is told: in digits, in words, or in digits from 2000 to 2025.
-DATES = [
-    (rf"\(\s*(\d{{1,2}})\s*\)\s+de\s+{_MONTH}\s+de\s+dos\s+mil(?:\s+\w+)?\s*\(\s*(\d{{4}})\s*\)", "digits"),
-    (rf"\(\s*(\d{{1,2}})\s*\)\s+de\s+{_MONTH}\s+de\s+mil\s+novecientos\s+\w+(?:\s+y\s+\w+)?\s*\(\s*(\d{{4}})\s*\)", "digits"),
-    (rf"(\d{{1,2}})\s+de\s+{_MONTH}\s+de\s+(\d{{4}})", "recent"),
-    (rf"(\d{{1,2}})\s+de\s+{_MONTH}\s+de\s+(dos\s+mil(?:\s+\w+)?)", "words"),
-    (rf"(\d{{1,2}})\s+de\s+{_MONTH}\s+de\s+(mil\s+novecientos\s+\w+(?:\s+y\s+\w+)?)", "words"),
-    (rf"(\d{{1,2}})\s+de\s+{_MONTH}\s+de\s+{_WORDS}\s*\(\s*(\d{{4}})\s*\)", "digits"),
-]
-
-
 def _iso(day: Column, month: Column, year: Column, low: int = 1990, high: int = 2030) -> Column:
     """ISO text of a calendar day within these years."""
     iso = F.format_string("%04d-%02d-%02d", year, month, day)
     return F.when(year.between(low, high) & F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), iso)
 
 
-def issue_date(head: Column) -> tuple[Column, Column]:
-    """ISO date of issue and the text that tells it: dates in words of the first TOP characters, then of the head; D/M/Y likewise; an ISO date."""
+def date_found(head: Column) -> Column:
+    """Struct of the ISO date of issue and raw, the text that tells it: dates in words of the first TOP characters, then of the head; D/M/Y likewise; an ISO date. Null without a date.
+
+    Each pattern is searched once, where those before it told no date; its groups are read from what it found.
+    """
     months = F.create_map(*(F.lit(x) for k, v in C.MONTHS.items() for x in (k, v)))
     years = F.create_map(*(F.lit(x) for k, v in C.YEARS.items() for x in (k, v)))
-    iso, raw = [], []
-    for zone in (F.substring(head, 1, TOP), head):
-        for pattern, kind in DATES:
-            p = "(?iuU)" + pattern
-            got = _found(zone, p)
+
+    def told(zone: Column, p: str, iso: Callable[[Column], Column]) -> Column:
+        whole = bound(_found(zone, p), lambda got: F.struct(F.when(got.isNotNull(), iso(got)).alias("iso"), got.alias("raw")))
+        return bound(whole, lambda x: F.when(x["iso"].isNotNull(), x))
+
+    def in_words(p: str, kind: str) -> Callable[[Column], Column]:
+        def iso(got: Column) -> Column:
             month = F.try_element_at(months, F.lower(F.regexp_extract(got, p, 2)))
-            told = F.regexp_extract(got, p, 3)
-            year = F.try_element_at(years, F.trim(F.lower(told))) if kind == "words" else told.try_cast("int")
-            own = _iso(F.regexp_extract(got, p, 1).try_cast("int"), month, year, *((2000, 2025) if kind == "recent" else ()))
-            iso.append(own), raw.append(F.when(own.isNotNull(), got))
-    for zone in (F.substring(head, 1, TOP), head):
-        p = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
-        got = _found(zone, p)
-        own = _iso(*(F.regexp_extract(got, p, i).try_cast("int") for i in (1, 2, 3)), 1990, 2025)
-        iso.append(own), raw.append(F.when(own.isNotNull(), got))
-    p = r"(20\d{2})-(0[1-9]|1[0-2])-(\d{2})"
-    got = _found(head, p)
-    own = _iso(*(F.regexp_extract(got, p, i).try_cast("int") for i in (3, 2, 1)))
-    return F.coalesce(*iso, own), F.coalesce(*raw, F.when(own.isNotNull(), got))
+            third = F.regexp_extract(got, p, 3)
+            year = F.try_element_at(years, F.trim(F.lower(third))) if kind == "words" else third.try_cast("int")
+            return _iso(F.regexp_extract(got, p, 1).try_cast("int"), month, year, *((2000, 2025) if kind == "recent" else ()))
+
+        return iso
+
+    def in_digits(p: str, *places: int, high: int = 2030) -> Callable[[Column], Column]:
+        return lambda got: _iso(*(F.regexp_extract(got, p, i).try_cast("int") for i in places), 1990, high)
+
+    zones = (F.substring(head, 1, TOP), head)
+    worded = head.rlike(rf"(?iuU)\d\s*\)?\s+de\s+{C.MONTH}\s+de\s")  # holds wherever one of C.DATES does
+    slashed, iso = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})", r"(20\d{2})-(0[1-9]|1[0-2])-(\d{2})"
+    words = F.coalesce(*(told(zone, "(?iuU)" + p, in_words("(?iuU)" + p, kind)) for zone in zones for p, kind in C.DATES))
+    tries = [F.when(worded, words)] + [told(zone, slashed, in_digits(slashed, 1, 2, 3, high=2025)) for zone in zones]
+    return F.coalesce(*tries, told(head, iso, in_digits(iso, 3, 2, 1)))
+
+
+def issue_date(head: Column) -> tuple[Column, Column]:
+    """ISO date of issue, and the text that tells it."""
+    found = date_found(head)
+    return found["iso"], found["raw"]
 
 
 def parties(head: Column) -> Column:
@@ -109,19 +126,21 @@ def parties(head: Column) -> Column:
 
 def place(text: Column) -> Column:
     """The place that is named most often; of equals the first. Only the first letter is upper case."""
-    names = F.regexp_extract_all(text, F.lit(r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(C.PLACES) + r")(?![\p{L}\p{N}_])"), F.lit(1))
-    best = F.lower(most_frequent(F.transform(names, F.lower)))
-    return F.concat(F.upper(F.substring(best, 1, 1)), F.substr(best, F.lit(2)))
+    initials = "".join(sorted({x[0] for x in C.PLACES}))
+    names = F.regexp_extract_all(text, F.lit(rf"(?iu)(?=[{initials}])(?<![\p{{L}}\p{{N}}_])(" + "|".join(C.PLACES) + r")(?![\p{L}\p{N}_])"), F.lit(1))
+    best = bound(F.transform(names, F.lower), most_frequent)
+    return bound(best, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
 
 
 def metadata(df: DataFrame, text: str = "clean_text", file_name: str | None = None) -> DataFrame:
     """Adds doc_sha, tribunal, tribunal_raw, case_number, date_issued, date_text_raw, parties, region, doc_type, word_count, extraction_confidence, extraction_warnings. Null text: all null, confidence 0."""
-    head = F.substring(text, 1, HEAD)
+    out = df.withColumn("_head", F.substring(text, 1, HEAD))
+    head = F.col("_head")
     number, from_file = case_number(head, F.col(file_name) if file_name else None)
-    date, told = issue_date(head)
     kinds = F.coalesce(*(F.when(head.rlike("(?iu)" + p), F.lit(k)) for k, p in C.DOC_TYPES))
-    out = df.withColumns({
-        "doc_sha": F.sha2(F.col(text), 256), "tribunal": court(head), "tribunal_raw": court_text(head), "case_number": number, "date_issued": date, "date_text_raw": told,
+    out = out.withColumns({"_court": court_found(head), "_date": date_found(head)})
+    out = out.withColumns({
+        "doc_sha": F.sha2(F.col(text), 256), "tribunal": F.col("_court.name"), "tribunal_raw": F.col("_court.raw"), "case_number": number, "date_issued": F.col("_date.iso"), "date_text_raw": F.col("_date.raw"),
         "parties": parties(head), "region": place(F.col(text)), "doc_type": kinds, "word_count": T.word_count(F.col(text)), "_file": from_file,
     })
     has = {c: F.col(c).isNotNull() for c in C.CONFIDENCE} | {"parties": F.coalesce(F.size("parties") > 0, F.lit(False))}
@@ -130,7 +149,7 @@ def metadata(df: DataFrame, text: str = "clean_text", file_name: str | None = No
         F.when(~has["tribunal"], "tribunal_not_found"), F.when(F.col("_file"), "case_number_from_filename"), F.when(~has["case_number"], "case_number_not_found"),
         F.when(~has["date_issued"], "date_not_found"), F.when(~has["parties"], "parties_not_found"),
     ))
-    return out.withColumn("extraction_confidence", F.round(confidence, 4)).withColumn("extraction_warnings", warnings).drop("_file")
+    return out.withColumn("extraction_confidence", F.round(confidence, 4)).withColumn("extraction_warnings", warnings).drop("_file", "_head", "_court", "_date")
 
 
 def corrected(text: Column, rules: Sequence[tuple[str, str]] = tuple(C.SCAN_CORRECTIONS)) -> tuple[Column, Column]:

@@ -187,7 +187,7 @@ def _date_sql() -> str:
     number = lambda zone, q, i: f"try_cast(regexp_extract({zone}, {q}, {i}) AS INTEGER)"
     out = []
     for zone in ("top", "head"):
-        for p, kind in records.DATES:
+        for p, kind in C.DATES:
             q = _quoted("(?i)" + p.replace(r"\w", r"[\pL\pN_]"))
             month = months.format(f"lower(regexp_extract({zone}, {q}, 2))")
             year = years.format(f"trim(lower(regexp_extract({zone}, {q}, 3)))") if kind == "words" else number(zone, q, 3)

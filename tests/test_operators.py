@@ -180,3 +180,13 @@ def test_windows_reach_the_end_of_a_text(spark, tmp_path):
         words = text.split(" ")
         seen = [w for a in range(0, len(words), 300) for w in words[a : a + 400]]
         assert got[d] == (len(seen), len(words), pytest.approx(sum(w == "the" for w in seen) / len(seen)))
+
+
+def test_patterns_are_tried_wherever_they_may_match(spark):
+    """The letters that stand for a pattern are found in every case that the pattern takes for equal."""
+    heads = ["CORTE CONſTİTUCİONAL", "conseKo", "Corte Suprema de Justicia\n sala de casación penal", "TRIBUNAL ADMINISTRATIVO DE Sucre", "jep", "Juzgado 3° Municipal de Soacha", "", "nada", None]
+    df = spark.createDataFrame([(h,) for h in heads], "h string")
+    plain = [F.when(F.col("h").rlike("(?iuU)" + p), F.regexp_extract("h", "(?iuU)" + p, 0)) for p, _ in records.C.COURTS]
+    got = df.select(records.court_found(F.col("h"))["raw"].alias("a"), F.coalesce(*plain).alias("b"), records.court(F.col("h")).alias("name")).collect()
+    assert all(r.a == r.b for r in got)
+    assert [r.name for r in got] == ["Corte Constitucional", None, "Corte Suprema · Sala Penal", "Tribunal Administrativo · Sucre", "JEP", "Juzgado 3° · Soacha", None, None, None]
