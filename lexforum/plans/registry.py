@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforum.plans import hearings, indicators, relational, studies, testimony, texts
+from lexforum.plans import corpora, hearings, indicators, relational, studies, testimony, texts
 
-_MODULES = (relational, texts, studies, indicators, testimony, hearings)
+_MODULES = (relational, texts, studies, indicators, testimony, hearings, corpora)
 _names = [name for m in _MODULES for name in m.QUERIES]
 if len(_names) != len(set(_names)):
     raise ValueError(f"registered twice: {sorted(n for n in set(_names) if _names.count(n) > 1)}")
