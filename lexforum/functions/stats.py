@@ -33,6 +33,13 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it: by zero it is infinite, and no number for zero by zero. Null where one is null."""
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    by_zero = F.when(F.isnan(a) | (a == 0), nan).when(a > 0, inf).when(a < 0, -inf)
+    return F.when(b == 0, by_zero).otherwise(a / b)
+
+
 def scaled(x: Column, low: Column, high: Column) -> Column:
     """(x - low) / (high - low) within 0 .. 1; 0.5 where the span is degenerate."""
     return F.when(F.abs(high - low) < 1e-9, F.lit(0.5)).otherwise(clamp((x - low) / (high - low)))

@@ -263,7 +263,7 @@ def a23_entropy(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, stddev_pop(value) / avg(value) AS cv_pop, stddev_samp(value) / avg(value) AS cv_samp, max(value) / min(value) AS ratio, max(value) - min(value) AS span, count(*) / (SELECT count(*) FROM events) AS share FROM events GROUP BY event_type")
 def a24_variation(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    own = table(spark, d, "events").groupBy("event_type").agg((F.stddev_pop(v) / F.avg(v)).alias("cv_pop"), (F.stddev_samp(v) / F.avg(v)).alias("cv_samp"), (F.max(v) / F.min(v)).alias("ratio"), (F.max(v) - F.min(v)).alias("span"), F.count(F.lit(1)).alias("n"))
+    own = table(spark, d, "events").groupBy("event_type").agg(stats.ratio(F.stddev_pop(v), F.avg(v)).alias("cv_pop"), stats.ratio(F.stddev_samp(v), F.avg(v)).alias("cv_samp"), stats.ratio(F.max(v), F.min(v)).alias("ratio"), (F.max(v) - F.min(v)).alias("span"), F.count(F.lit(1)).alias("n"))
     return own.withColumn("share", F.col("n") / own.agg(F.sum("n")).scalar()).drop("n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforum.functions import text as T
+from lexforum.functions import stats, text as T
 from lexforum.operators import audit, controls, indices, ranking, regression, resampling, spans
 from lexforum.sources.readers import table
 
@@ -88,7 +88,7 @@ def q6_cardinality(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS k, max(f) / min(f) AS ratio, stddev_pop(f) / avg(f) AS cv, min(f) >= 0.30 AND max(f) / min(f) <= 3 AND stddev_pop(f) / avg(f) < 0.30 AS fair FROM (SELECT event_type, avg(value) / 60 AS f FROM events GROUP BY 1)")
 def v1_disparity(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "events").groupBy("event_type").agg((F.avg("value") / 60).alias("f"))
-    ratio, cv = F.max("f") / F.min("f"), F.stddev_pop("f") / F.avg("f")
+    ratio, cv = stats.ratio(F.max("f"), F.min("f")), stats.ratio(F.stddev_pop("f"), F.avg("f"))
     return per.agg(F.count(F.lit(1)).alias("k"), ratio.alias("ratio"), cv.alias("cv"), ((F.min("f") >= 0.30) & (ratio <= 3) & (cv < 0.30)).alias("fair"))
 
 
