@@ -114,7 +114,8 @@ def first_extract(text: Column, patterns: Sequence[str], group: int = 0) -> Colu
 
 
 def readable_bytes(n: Column) -> Column:
+    """Bytes in their unit to one place; of two equally near values the even one, as C has it (Java rounds up)."""
     out = F.format_string("%d B", n.cast("long"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))).otherwise(out)
     return out
