@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Sequence
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from lexforum.functions import lexicons as L
 from lexforum.functions.patterns import Finder, folded
 from lexforum.functions.stats import clamp, quantiles
+from lexforum.operators.records import bound
 from lexforum.operators.spans import sentences
 
 
@@ -390,18 +392,22 @@ def denial(texts: DataFrame, tokens: DataFrame, scale: Scale = NV_SCALE, text: s
 # -- civil lexicon ----------------------------------------------------------------
 
 
+_MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+
+
 def plain(word: str) -> str:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    low = word.lower()
+    return low if low.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", low))
 
 
 def words_of(text: str) -> list[str]:
     """Words of more than two characters; what is no word character separates."""
-    return [w for w in re.sub(r"[^\w\s]", " ", text).split() if len(w) > 2]
+    return re.findall(r"\w{3,}", text)
 
 
 def _terms(words: list[str]) -> Counter:
-    return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+    return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
 
 
 def lexicon_terms(lexicon: dict[str, list[str]] = L.CIVIL, repeats: int = L.CIVIL_REPEATS) -> dict[str, float]:
@@ -435,24 +441,40 @@ def lexicon_similarity(reference: dict[str, float]):
 
 
 def civil_words(text: Column) -> Column:
-    """Lower-case words of more than two characters (accents kept), without those left empty."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
+    """Lower-case words of more than two characters (accents kept)."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2)
+
+
+def civil_terms(text: Column, lexicon: dict[str, list[str]] = L.CIVIL) -> Column:
+    """Struct: n_words, by_dimension (map: Jaccard of the text's word set and each lexicon, 4 places), top (the first ten words found, in order of appearance).
+
+    The text is split once; beyond that only words of the lexicon are looked at.
+    """
+    sets = {k: list(dict.fromkeys(w.lower() for w in ws)) for k, ws in lexicon.items()}
+    flat = list(dict.fromkeys(w for ws in lexicon.values() for w in ws))
+    known = sorted({w for ws in sets.values() for w in ws} | set(flat))
+
+    def told(x: Column) -> Column:
+        def jaccard(ws: list[str]) -> Column:
+            return bound(F.size(F.filter(x["found"], lambda w: w.isin(*ws))), lambda n: F.round(n / (x["own"] + len(ws) - n), 4))
+
+        by = F.create_map(*(c for k, ws in sets.items() for c in (F.lit(k), jaccard(ws))))
+        top = F.slice(F.filter(x["found"], lambda w: w.isin(*flat)), 1, 10)
+        return F.struct(x["n"].alias("n_words"), by.alias("by_dimension"), top.alias("top"))
+
+    counts = lambda ws: F.struct(F.size(ws).alias("n"), F.size(F.array_distinct(ws)).alias("own"), F.array_distinct(F.filter(ws, lambda w: w.isin(*known))).alias("found"))
+    return bound(bound(civil_words(text), counts), told)
 
 
 def civil_distance(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] = L.CIVIL) -> DataFrame:
-    """Adds y3_civil_similarity_raw, y3_civil_distance, similarity_by_dimension (Jaccard of word sets, 4 places), top_civil_tokens (the first ten, in order of appearance) and civil_warning."""
+    """Adds y3_civil_similarity_raw, y3_civil_distance, similarity_by_dimension (see civil_terms), top_civil_tokens and civil_warning. A text of fewer than 20 characters or 5 words has a warning instead: its similarity is 0."""
     short = F.coalesce(F.length(F.trim(text)) < 20, F.lit(True))
-    words = civil_words(F.col(text))
-    few = F.size(words) < 5
-    warning = F.when(short, "texto_vacio_o_muy_corto").when(few, "texto_muy_corto")
-    own = F.array_distinct(words)
-    flat = list(dict.fromkeys(w for ws in lexicon.values() for w in ws))
-    jaccard = lambda ws: F.round(F.size(F.array_intersect(own, F.array(*map(F.lit, ws)))) / F.size(F.array_union(own, F.array(*map(F.lit, ws)))), 4)
-    by = F.create_map(*(x for k, ws in lexicon.items() for x in (F.lit(k), jaccard([w.lower() for w in ws]))))
-    out = df.withColumn("civil_warning", warning).withColumn("y3_civil_similarity_raw", F.when(F.col("civil_warning").isNull(), lexicon_similarity(lexicon_terms(lexicon))(F.col(text))).otherwise(0.0))
+    own = df.withColumn("_civil", civil_terms(F.col(text), lexicon))
+    warning = F.when(short, "texto_vacio_o_muy_corto").when(F.col("_civil.n_words") < 5, "texto_muy_corto")
+    out = own.withColumn("civil_warning", warning).withColumn("y3_civil_similarity_raw", F.when(F.col("civil_warning").isNull(), lexicon_similarity(lexicon_terms(lexicon))(F.col(text))).otherwise(0.0))
     out = out.withColumn("y3_civil_distance", clamp(1 - F.col("y3_civil_similarity_raw")))
-    out = out.withColumn("similarity_by_dimension", F.when(F.col("civil_warning").isNull(), by))
-    return out.withColumn("top_civil_tokens", F.when(F.col("civil_warning").isNull(), F.slice(F.array_intersect(own, F.array(*map(F.lit, flat))), 1, 10)))
+    out = out.withColumn("similarity_by_dimension", F.when(F.col("civil_warning").isNull(), F.col("_civil.by_dimension")))
+    return out.withColumn("top_civil_tokens", F.when(F.col("civil_warning").isNull(), F.col("_civil.top"))).drop("_civil")
 
 
 def parsed_feature_rows(sections: DataFrame, tokens: DataFrame, most_chars: int | None = 8000, least_chars: int = 30) -> DataFrame:
