@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexforum.functions.materialise import small_batches
+
 #: Code points that look like a space; typographic marks and what stands for them.
 LOOKALIKE_SPACES = "    ​‌‍﻿­"
 TYPOGRAPHY = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
@@ -25,11 +27,16 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; no JVM expression offers it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode NFC; no JVM expression offers it."""
+    small_batches()
+    return _nfc(text)
+
+
 def drop_unprintable(text: Column) -> Column:
     """Keeps letters, numbers, punctuation, symbols, separators, line breaks and tabs."""
     return F.regexp_replace(text, r"[^\p{L}\p{N}\p{P}\p{S}\p{Z}\n\t\r]", "")

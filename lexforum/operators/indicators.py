@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforum.functions import lexicons as L
+from lexforum.functions.materialise import small_batches
 from lexforum.functions.patterns import Finder, folded
 from lexforum.functions.stats import clamp, quantiles
 from lexforum.operators.records import bound
@@ -72,6 +73,7 @@ def pattern_spans(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (
     A span with a match of `questioned` within `width` characters keeps `factor` of its weight. `apart`: see separated().
     """
     found = _found(mechanisms, questioned, width, factor, apart)
+    small_batches()
 
     @F.pandas_udf(f"array<{SPAN}>")
     def spans(text: pd.Series) -> pd.Series:
@@ -83,6 +85,7 @@ def pattern_spans(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (
 def sentence_spans(mechanisms: Sequence[Mechanism]):
     """A column function of a text and its sentences' starts and ends: all matches within one sentence, as array of SPAN with places in the text."""
     found = _found(mechanisms)
+    small_batches()
 
     def each(text: str | None, starts, ends) -> list[dict]:
         return [x | {"start": x["start"] + int(a), "end": x["end"] + int(a)} for a, b in zip(starts, ends, strict=True) for x in found((text or "")[int(a) : int(b)])]
@@ -98,6 +101,7 @@ def trigger_spans(patterns: Sequence[str]):
     """A column function: start and end of all matches of patterns that begin at a word's edge; edge: whether there is one (at the cut of a window any place is)."""
     bodies = [re.compile(p.removeprefix(r"\b"), re.IGNORECASE) for p in patterns]
     edge = re.compile(r"\b")
+    small_batches()
 
     def found(text: str | None) -> list[dict]:
         return [{"start": m.start(), "end": m.end(), "edge": edge.match(text, m.start()) is not None} for p in bodies for m in p.finditer(text or "")]
@@ -189,7 +193,11 @@ def indicator(spans: Column, text: Column, scale: Scale, mechanisms: Sequence[st
     short = F.coalesce(F.length(F.trim(text)) < least_chars, F.lit(True))
     none = F.filter(spans, lambda s: F.lit(False))
     own = F.when(short, none).otherwise(spans)
-    n = F.when(short, 0).otherwise(F.size(sentences(text, least_words)))
+    return bound(F.when(short, 0).otherwise(F.size(sentences(text, least_words))), lambda n: _told(own, short, n, scale, mechanisms, top))
+
+
+def _told(own: Column, short: Column, n: Column, scale: Scale, mechanisms: Sequence[str], top: int) -> Column:
+    """The struct of indicator, of the number of sentences."""
     raw = F.when(n > 0, F.aggregate(own, F.lit(0.0), lambda a, s: a + s["weight"]) / n).otherwise(0.0)
     count = lambda m: F.size(F.filter(own, lambda s: s["mechanism"] == m))
     order = F.array_sort(F.transform(own, lambda s, i: F.struct((-s["weight"]).alias("w"), i.alias("i"), s.alias("s"))))
@@ -420,6 +428,7 @@ def lexicon_similarity(reference: dict[str, float]):
     """A column function: cosine of a text's and the reference's TF-IDF vectors over these two texts (terms in both weigh 1, others 1 + ln 1.5)."""
     rare = (1 + math.log(1.5)) ** 2
     whole = sum(x * x for x in reference.values())
+    small_batches()
 
     def cosine(text: str | None) -> float:
         own = {t: 1 + math.log(n) for t, n in _terms(words_of(plain(text or ""))).items()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexforum.functions import courts as C
 from lexforum.functions import text as T
+from lexforum.functions.materialise import small_batches
 from lexforum.functions.patterns import Finder, folded, stem
 from lexforum.operators.ingest import most_frequent
 
@@ -224,6 +225,7 @@ def cutter(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
 def sections(corpus: str, least_words: int = 20, schemes: dict = C.SECTIONS):
     """A column function of what cutter gives: struct of sections, coverage and warnings."""
     cut = cutter(corpus, least_words, schemes)
+    small_batches()
 
     @F.pandas_udf(f"sections array<{SECTION}>, coverage double, warnings array<string>")
     def run(text: pd.Series) -> pd.DataFrame:
