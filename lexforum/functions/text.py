@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,18 +58,34 @@ def whitespace(text: Column) -> Column:
     return text
 
 
-def substitutions(text: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """Text after ordered case-insensitive rewrites, and how many matches they found (each on the text so far)."""
-    count: Column = F.lit(0)
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What the function gives for a value that is computed once, however often the function names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def substituted(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Struct of text after ordered case-insensitive rewrites and n, how many matches they found (each on the text so far). A rule's matches are counted once, and the text is rewritten only where it has some."""
+    state = F.struct(text.alias("text"), F.when(text.isNotNull(), 0).alias("n"))
+
+    def rewritten(pattern: str, to: str) -> Callable[[Column], Column]:
+        p = f"(?iu){pattern}"
+        step = lambda s: bound(count_of(s["text"], p), lambda k: F.struct(F.when(k > 0, F.regexp_replace(s["text"], p, to)).otherwise(s["text"]).alias("text"), (s["n"] + k).alias("n")))
+        return step
+
     for pattern, to in rules:
-        count = count + count_of(text, f"(?iu){pattern}")
-        text = F.regexp_replace(text, f"(?iu){pattern}", to)
-    return text, count
+        state = bound(state, rewritten(pattern, to))
+    return state
+
+
+def substitutions(text: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+    """Text and number of matches of substituted(), as two columns; where both are used, a column of the struct is cheaper."""
+    both = substituted(text, rules)
+    return both["text"], both["n"] if rules else F.lit(0)
 
 
 def occurrences(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a substring."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    return F.when(text.contains(term), ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")).when(text.isNotNull(), 0)
 
 
 def weighted_terms(text: Column, lexicon: Mapping[str, float]) -> Column:

@@ -26,8 +26,11 @@ def _words(text: Column) -> Column:
 
 def grammatical_person(text: Column) -> Column:
     """Struct: primera_persona_ratio, sa_ratio (to words) and accountability_score, 4 places."""
-    low, n = F.lower(text), _words(text)
-    p, s = hits(low, L.FIRST_PERSON) / n, hits(low, L.IMPERSONAL) / n
+    return T.bound(F.lower(text), lambda low: T.bound(_words(text), lambda n: T.bound(F.struct((hits(low, L.FIRST_PERSON) / n).alias("p"), (hits(low, L.IMPERSONAL) / n).alias("s")), _person)))
+
+
+def _person(x: Column) -> Column:
+    p, s = x["p"], x["s"]
     return F.struct(F.round(p, 4).alias("primera_persona_ratio"), F.round(s, 4).alias("sa_ratio"), F.round(p / (p + s + 0.001), 4).alias("accountability_score"))
 
 
@@ -48,14 +51,17 @@ def hedging(text: Column, markers: Mapping[str, float] = L.HEDGES, most: int = 1
 
 def emotions(text: Column, lexicon: Mapping[str, Sequence[str]] = L.EMOTIONS) -> Column:
     """Struct: occurrences of each dimension's terms in 100 words, 4 places, and balance_victimas: that of victims to it and institutional violence."""
-    low, n = F.lower(text), _words(text)
-    own = {k: F.round(hits(low, terms) / n * 100, 4) for k, terms in lexicon.items()}
+    own = lambda low: T.bound(_words(text), lambda n: F.struct(*(F.round(hits(low, terms) / n * 100, 4).alias(k) for k, terms in lexicon.items())))
+    return T.bound(T.bound(F.lower(text), own), lambda x: _balance(x, lexicon))
+
+
+def _balance(own: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     victims, violence = own["reconocimiento_victimas"], own["violencia_institucional"]
-    return F.struct(*(c.alias(k) for k, c in own.items()), F.round(victims / (victims + violence + 0.001), 4).alias("balance_victimas"))
+    return F.struct(*(own[k].alias(k) for k in lexicon), F.round(victims / (victims + violence + 0.001), 4).alias("balance_victimas"))
 
 
 def verbal_score(text: Column, terms: Sequence[str] = L.VERBAL) -> Column:
-    return F.least(hits(F.lower(text), terms) / _words(text) * 10, F.lit(1.0))
+    return F.least(T.bound(F.lower(text), lambda low: hits(low, terms)) / _words(text) * 10, F.lit(1.0))
 
 
 def layer_one(sections: DataFrame, text: str = "text", least: int = 100) -> DataFrame:
