@@ -17,9 +17,9 @@ def clean(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str]] =
     Steps are columns of their own, each read more than once, so that the optimizer keeps them apart and none is worked out twice.
     """
     raw = F.col(text)
-    fixed, corrections = T.substitutions(F.col("_typed"), rules)
+    corrections = F.coalesce("_rewritten.n", F.lit(0)) if not rules else F.col("_rewritten.n")
     out = df.withColumn("_encoded", T.lookalike_spaces(raw)).withColumn("_kept", T.drop_unprintable(F.col("_encoded"))).withColumn("_n_kept", F.length("_kept"))
-    out = out.withColumn("_typed", T.plain_typography(F.col("_kept"))).withColumn("_fixed", fixed).withColumn("_n_fixed", F.length("_fixed"))
+    out = out.withColumn("_typed", T.plain_typography(F.col("_kept"))).withColumn("_rewritten", T.substituted(F.col("_typed"), rules)).withColumn("_fixed", F.col("_rewritten.text")).withColumn("_n_fixed", F.length("_fixed"))
     out = out.withColumn("_out", T.whitespace(F.col("_fixed"))).withColumn("_n_out", F.length("_out"))
     report = F.struct(
         F.length(raw).alias("original_length"),
@@ -31,7 +31,7 @@ def clean(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str]] =
         F.when(F.length(raw) > 0, F.round(1 - F.col("_n_out") / F.length(raw), 4)).otherwise(0.0).alias("compression_ratio"),
     )
     clean_text = F.lower("_out") if lower else F.col("_out")
-    return out.withColumn("cleaning_report", report).withColumn("clean_text", clean_text).drop("_encoded", "_kept", "_n_kept", "_typed", "_fixed", "_n_fixed", "_out", "_n_out")
+    return out.withColumn("cleaning_report", report).withColumn("clean_text", clean_text).drop("_encoded", "_kept", "_n_kept", "_typed", "_rewritten", "_fixed", "_n_fixed", "_out", "_n_out")
 
 
 def most_frequent(items: Column) -> Column:
@@ -68,16 +68,20 @@ def merge_short(sections: Column, least_words: int = 20) -> Column:
 
 def pack_words(text: Column, limit: int = 2000, least_words: int = 20) -> Column:
     """Blocks of words closed when their length (words and blanks) reaches `limit`; a last block of `least_words` words or fewer goes."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
+    # The fold keeps numbers alone: where blocks end, how many words were seen, and the open block's length.
+    start = F.struct(F.array(F.lit(0)).alias("ends"), F.lit(0).alias("i"), F.lit(0).alias("size"))
 
     def step(acc: Column, w: Column) -> Column:
-        size = acc["size"] + F.length(w) + 1
-        grown = F.concat(acc["open"], F.array(w))
+        i, size = acc["i"] + 1, acc["size"] + F.length(w) + 1
         full = size >= limit
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(F.array_join(grown, " ")))).otherwise(acc["done"]).alias("done"), F.when(full, F.array().cast("array<string>")).otherwise(grown).alias("open"), F.when(full, F.lit(0)).otherwise(size).alias("size"))
+        return F.struct(F.when(full, F.concat(acc["ends"], F.array(i))).otherwise(acc["ends"]).alias("ends"), i.alias("i"), F.when(full, 0).otherwise(size).alias("size"))
 
-    return F.aggregate(words, start, step, lambda acc: F.when(F.size(acc["open"]) > least_words, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"]))
+    def cut(words: Column) -> Column:
+        last = lambda acc: F.when(acc["i"] - F.element_at(acc["ends"], -1) > least_words, F.concat(acc["ends"], F.array(acc["i"]))).otherwise(acc["ends"])
+        block = lambda ends: F.transform(F.slice(ends, 2, F.size(ends)), lambda end, k: F.array_join(F.slice(words, F.get(ends, k) + 1, end - F.get(ends, k)), " "))
+        return T.bound(F.aggregate(words, start, step, last), block)
+
+    return T.bound(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0), cut)
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], fill: Sequence[str] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from lexforum.functions import courts as C
 from lexforum.functions import text as T
 from lexforum.functions.materialise import small_batches
 from lexforum.functions.patterns import Finder, folded, stem
+from lexforum.functions.text import bound
 from lexforum.operators.ingest import most_frequent
 
 #: Characters of a text that hold its head, and those that are looked at first for a date.
@@ -24,11 +25,6 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def bound(value: Column, of: Callable[[Column], Column]) -> Column:
-    """What the function gives for a value that is computed once, however often the function names it."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def _low(text: Column) -> Column:
     """The text in one case, as far as patterns with (?iu) take letters for equal: each of their matches holds the pattern's stem here."""
     return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
