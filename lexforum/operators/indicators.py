@@ -24,7 +24,7 @@ from lexforum.functions import lexicons as L
 from lexforum.functions.materialise import small_batches
 from lexforum.functions.patterns import Finder, folded
 from lexforum.functions.stats import clamp, quantiles
-from lexforum.operators.records import bound
+from lexforum.functions.text import bound
 from lexforum.operators.spans import sentences
 
 
@@ -400,13 +400,18 @@ def denial(texts: DataFrame, tokens: DataFrame, scale: Scale = NV_SCALE, text: s
 # -- civil lexicon ----------------------------------------------------------------
 
 
-_MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+# Two classes, as a class that reaches beyond the first 65,536 characters is searched range by range.
+_MARKS, _FAR_MARKS = (re.compile("[" + "".join(c for c in map(chr, r) if unicodedata.combining(c)) + "]+") for r in (range(0x10000), range(0x10000, sys.maxunicode + 1)))
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 
 
 def plain(word: str) -> str:
     """Lower case without accents."""
     low = word.lower()
-    return low if low.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", low))
+    if low.isascii():
+        return low
+    low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
+    return _FAR_MARKS.sub("", low) if _FAR.search(low) else low
 
 
 def words_of(text: str) -> list[str]:
@@ -428,17 +433,20 @@ def lexicon_similarity(reference: dict[str, float]):
     """A column function: cosine of a text's and the reference's TF-IDF vectors over these two texts (terms in both weigh 1, others 1 + ln 1.5)."""
     rare = (1 + math.log(1.5)) ** 2
     whole = sum(x * x for x in reference.values())
+    single, double = {t: y for t, y in reference.items() if " " not in t}, {tuple(t.split(" ")): y for t, y in reference.items() if " " in t}
     small_batches()
 
     def cosine(text: str | None) -> float:
-        own = {t: 1 + math.log(n) for t, n in _terms(words_of(plain(text or ""))).items()}
-        dot = a = b = 0.0
-        for t, x in own.items():
-            y = reference.get(t)
-            if y is None:
-                a += rare * x * x
-            else:
-                a, b, dot = a + x * x, b + y * y, dot + x * y
+        words = words_of(plain(text or ""))
+        dot = own = shared = b = 0.0
+        # Terms that are not the reference's count by their frequencies alone.
+        for terms, known in ((Counter(words), single), (Counter(zip(words, words[1:])), double)):
+            own += sum(k * (1 + math.log(n)) ** 2 for n, k in sorted(Counter(terms.values()).items()))
+            for t, y in known.items():
+                if t in terms:
+                    x = 1 + math.log(terms[t])
+                    shared, b, dot = shared + x * x, b + y * y, dot + x * y
+        a = rare * (own - shared) + shared
         b += rare * (whole - b)
         return dot / math.sqrt(a * b) if a and b else 0.0
 
