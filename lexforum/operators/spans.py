@@ -88,6 +88,18 @@ def token_windows(df: DataFrame, scorer: str | Column, size: int = 400, step: in
     return wins.select(key, "window", F.posexplode(F.slice(F.col(tokens), F.col("start") + 1, size)).alias("i", "token"), "start").select(key, "window", (F.col("start") + F.col("i")).alias("token_index"), "token", F.expr(scorer).alias("token_score") if isinstance(scorer, str) else scorer.alias("token_score"))
 
 
+def window_summary(windows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, covered (rows of all windows), tokens (places in one window at least), mean of token_score: of token_windows' rows.
+
+    Rows meet by window where they lie, so a window and not each of its tokens is shuffled; places are counted as ranges.
+    """
+    per = windows.groupBy(key, "window").agg(F.count(F.lit(1)).alias("n"), F.sum("token_score").alias("sum"), F.count("token_score").alias("scored"), F.min("token_index").alias("low"), (F.max("token_index") + 1).alias("high"))
+    ahead = F.max("high").over(W.partitionBy(key).orderBy("low", "window").rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("high") - F.greatest("low", F.coalesce(ahead, "low")), F.lit(0))
+    out = per.withColumn("fresh", fresh).groupBy(key).agg(F.sum("n").alias("covered"), F.sum("fresh").cast("long").alias("tokens"), F.sum("sum").alias("_sum"), F.sum("scored").alias("_n"))
+    return out.select(key, "covered", "tokens", (F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).alias("mean"))
+
+
 def token_labels(df: DataFrame, spans: Sequence[tuple[int, int, str]], key: str = "doc_id", text: str = "text", other: str = "O") -> DataFrame:
     """A label for every blank-separated token of the whole text: key, token_index, label. A token's first character decides, the later span wins."""
     row = df.select(key, F.monotonically_increasing_id().alias("_row"), F.split(text, " ", -1).alias("_tokens"))

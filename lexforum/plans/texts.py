@@ -169,7 +169,7 @@ def w7_token_windows(spark: SparkSession, d: str) -> DataFrame:
 def _window_means(docs: DataFrame, size: int, step: int, most: int | None) -> DataFrame:
     docs = docs.select("doc_id", F.split("text", " ").alias("tokens"))
     wins = spans.token_windows(docs, F.when(F.col("token") == "the", 1.0).otherwise(0.0), size, step, most)
-    return wins.groupBy("doc_id").agg(F.count(F.lit(1)).alias("covered"), F.count_distinct("token_index").alias("tokens"), F.avg("token_score").alias("mean"))
+    return spans.window_summary(wins)
 
 
 @query()
