@@ -92,20 +92,31 @@ def _code(count: np.ndarray) -> np.ndarray:
 
 
 def pack(element: np.ndarray, text: np.ndarray, texts: int, code: np.ndarray | None = None) -> bytes:
-    """Elements of one hash range, ordered by text, in 5 bytes each (40 bits; the range stands for more), with codes if given, and how many each text has."""
-    head = np.array([len(element), texts], "<u4").tobytes()
+    """Elements of one hash range, ordered by text, in 5 bytes each (40 bits; the range stands for more), with codes if given, and the texts they belong to.
+
+    Texts are told by how many elements each has or, where the range holds few, by each element's step from the text
+    before, whichever takes less, in integers as narrow as they fit: the more ranges, the fewer elements one has, and
+    a count for every text would come to outweigh them.
+    """
+    counts, steps = np.bincount(text, minlength=texts), np.diff(text, prepend=0)
+    told = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (counts, steps)]
+    by_step = told[1].nbytes < told[0].nbytes
+    own = told[by_step].astype(f"<u{min(4, told[by_step].itemsize)}")
+    head = np.array([len(element), texts, own.itemsize | by_step << 8], "<u4").tobytes()
     high = ((element >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
-    counts = np.bincount(text, minlength=texts).astype("<u4").tobytes()
-    return head + counts + element.astype("<u4").tobytes() + high + (b"" if code is None else code.tobytes())
+    return head + own.tobytes() + element.astype("<u4").tobytes() + high + (b"" if code is None else code.tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """Elements, their texts, the number of texts, and codes (empty if none were given)."""
-    m, texts = np.frombuffer(blob, "<u4", 2).tolist()
-    counts = np.frombuffer(blob, "<u4", texts, 8).astype(np.int64)
-    low = np.frombuffer(blob, "<u4", m, 8 + 4 * texts).astype(np.uint64)
-    high = np.frombuffer(blob, np.uint8, m, 8 + 4 * texts + 4 * m).astype(np.uint64)
-    return low | high << np.uint64(32), np.repeat(np.arange(texts), counts), texts, np.frombuffer(blob, np.uint8, -1, 8 + 4 * texts + 5 * m)
+    m, texts, form = np.frombuffer(blob, "<u4", 3).tolist()
+    width, by_step = form & 0xFF, form >> 8
+    own = np.frombuffer(blob, f"<u{width}", m if by_step else texts, 12).astype(np.int64)
+    at = 12 + own.size * width
+    low = np.frombuffer(blob, "<u4", m, at).astype(np.uint64)
+    high = np.frombuffer(blob, np.uint8, m, at + 4 * m).astype(np.uint64)
+    text = np.cumsum(own) if by_step else np.repeat(np.arange(texts), own)
+    return low | high << np.uint64(32), text, texts, np.frombuffer(blob, np.uint8, -1, at + 5 * m)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -221,8 +232,9 @@ def _keys(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.Recor
             if n <= boundary:
                 e, place = _rare(n, blob, SUBSET)
                 x, y = np.triu_indices(len(e), 1)
-                s = kernel.mix(e[x] * np.uint64(0x9E3779B97F4A7C15) + kernel.mix(e[y]))
-                keys.append(s), owner.append(np.full(len(s), i)), kinds.append(np.full(len(s), 2)), left.append(n - place[y] - 1 + SUBSET)
+                # Each key once a set, so that rows need no exchange to be told apart.
+                s, first = np.unique(kernel.mix(e[x] * np.uint64(0x9E3779B97F4A7C15) + kernel.mix(e[y])), return_index=True)
+                keys.append(s), owner.append(np.full(len(s), i)), kinds.append(np.full(len(s), 2)), left.append(n - place[y[first]] - 1 + SUBSET)
         if keys and (o := np.concatenate(owner)).size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(left).astype(np.int32)), pa.array(np.array(weight, np.int32)[o]), batch.column(0).take(pa.array(o)), batch.column(1).take(pa.array(o))], ["key", "kind", "left", "weight", "name", "n"])
 
@@ -244,11 +256,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set names that link."""
+    """The pairs (a, b) of sets that link, by their numbers."""
     x = sets.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     y = sets.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
     full = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ea", "eb")
-    return checkpointed(full.mapInArrow(_links, "a string, b string"))
+    return checkpointed(full.mapInArrow(_links, "a long, b long"))
 
 
 def boundary(sets: DataFrame) -> int:
@@ -296,13 +308,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = checkpointed(repeated.groupBy("chunk").applyInArrow(run, schema))
     free_shuffles(spark)
     named = texts.where("n > 0")
-    # One set for each name; the blob is read once, by its first text.
+    # One set for each name; the blob is read once, by its first text. From here to the components sets go by numbers, fixed once they are written.
     sets = named.where("elements is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
-    sets = checkpointed(sets)
-    links = _set_links(sets)
-    member = components(links)
+    sets = checkpointed(sets.withColumn("number", F.monotonically_increasing_id()))
+    links = _set_links(sets.select(F.col("number").alias("name"), "n", "elements"))
+    member = components(links).join(sets.select(F.col("number").alias("node"), "name"), "node").select("name", F.col("component").cast("string").alias("component"))  # shorter than any name
     least = named.groupBy("name").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("rows"))
-    root = least.join(member.withColumnRenamed("node", "name"), "name", "left").select("name", "own", "rows", F.coalesce("component", "name").alias("component"))
+    root = least.join(member, "name", "left").select("name", "own", "rows", F.coalesce("component", "name").alias("component"))
     smallest = root.groupBy("component").agg(F.min("own").alias("component_id"))
     by_name = root.join(smallest, "component").select("name", "rows", "component_id")
     # Texts without a set have no name to meet by; those of a set with many copies are spread.
@@ -312,10 +324,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _set_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the same sets as all links do."""
+    """Links (a, b) that connect the same sets as all links do. sets: name (a number), n, elements."""
     limit = boundary(sets)
-    keys = sets.select("name", "n", "elements").mapInArrow(lambda b: _keys(b, limit), "key long, kind int, left int, weight int, name string, n int")
-    keys = keys.withColumn("subset", F.col("kind") == 2).drop_duplicates(["key", "subset", "name"])
+    keys = sets.select("name", "n", "elements").mapInArrow(lambda b: _keys(b, limit), "key long, kind int, left int, weight int, name long, n int")
+    keys = keys.withColumn("subset", F.col("kind") == 2)
     # Keys of one set alone, and lists without a heavy set, make no candidates.
     many = keys.groupBy("key", "subset").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("top"), F.struct(F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64(F.lit(7), "name"))).alias("content"), F.sum("left").alias("room")).where("sets > 1 and (subset or top = 1)")
     # Of keys with the same members the one that comes first in their order is enough: any pair's first shared key is one of these.
@@ -373,16 +385,21 @@ def _with_head(members: DataFrame, by: list[str], order: Column, hot: int) -> Da
     return pairs.select(F.least(h["name"], m["name"]).alias("a"), F.greatest(h["name"], m["name"]).alias("b")).distinct()
 
 
-#: Parts that the pairs of a hot key are dealt to.
-PAIR_PARTS = 16
+#: Parts at most that each side of a hot key's pairs is cut into.
+PAIR_PARTS = 4
 
 
 def _cross_pairs(named: DataFrame, hot: int) -> DataFrame:
-    """All pairs of a key that lie in different components and can link: what comparing with heads has left open. A hot key's are dealt to PAIR_PARTS tasks."""
+    """All pairs of a key that lie in different components and can link: what comparing with heads has left open.
+
+    Both sides of a hot key are cut, the more the larger it is, and each part of one meets each part of the other in a
+    task of its own: at most PAIR_PARTS squared tasks, a row goes to PAIR_PARTS of them at most.
+    """
     columns = ("name", "n", "kind", "left", "component")
-    parts = F.when(F.col("sets") >= hot, PAIR_PARTS).otherwise(1)
-    p = named.select("key", "subset", F.pmod(F.xxhash64("name"), parts).cast("int").alias("part"), *(F.col(c).alias(f"p_{c}") for c in columns))
-    q = named.select("key", "subset", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"q_{c}") for c in columns))
+    parts = F.least(F.lit(PAIR_PARTS), F.ceil(F.sqrt(F.col("sets") / hot))).cast("int")
+    own, every = F.pmod(F.xxhash64("name"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    p = named.select("key", "subset", own.alias("row"), every.alias("column"), *(F.col(c).alias(f"p_{c}") for c in columns))
+    q = named.select("key", "subset", every.alias("row"), own.alias("column"), *(F.col(c).alias(f"q_{c}") for c in columns))
     of = lambda side: {c: F.col(f"{side}_{c}") for c in columns} | {"subset": F.col("subset")}
-    pairs = p.join(q, ["key", "subset", "part"]).where((F.col("p_name") < F.col("q_name")) & (F.col("p_component") != F.col("q_component")) & _fits(of("p"), of("q")))
+    pairs = p.join(q, ["key", "subset", "row", "column"]).where((F.col("p_name") < F.col("q_name")) & (F.col("p_component") != F.col("q_component")) & _fits(of("p"), of("q")))
     return pairs.select(F.col("p_name").alias("a"), F.col("q_name").alias("b")).distinct()
