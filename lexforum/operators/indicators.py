@@ -216,26 +216,64 @@ def _told(own: Column, short: Column, n: Column, scale: Scale, mechanisms: Seque
 _KEY = ["doc_id", "sent"]
 
 
-def _children(tokens: DataFrame, condition: Column, flag: str) -> DataFrame:
-    """doc_id, sent, head of tokens that meet a condition; a root, which is its own head, is no child."""
-    return tokens.where(condition & (F.col("i") != F.col("head"))).select(*_KEY, "head", F.lit(True).alias(flag)).distinct()
+def _marks() -> dict[str, Column]:
+    """What the detectors ask of a token by itself. Names that end in _child hold for tokens that hang on another (a root is its own head)."""
+    word, lemma, dep = F.lower("token"), F.lower("lemma"), F.col("dep")
+    either = lambda words: lemma.isin(*words) | word.isin(*words)
+    named = F.col("ent").isin("PER", "ORG")
+    out = {
+        "passive": dep == "nsubjpass", "por": word == "por", "agent_child": (dep == "agent") | (word.isin("por", "mediante") & (dep == "prep")),
+        "se": (word == "se") & dep.isin("expl", "expl:pv", "nsubj", "obj", "iobj"), "named_child": (dep == "nsubj") & named,
+        "action": (F.col("pos") == "NOUN") & is_nominalisation(word, lemma), "owner_child": dep.isin("nmod", "nmod:poss") & named,
+        "subject": dep.isin("nsubj", "nsubjpass"), "institution": either(L.SA_INSTITUTIONS), "institution_child": dep.isin("det", "amod") & lemma.isin(*L.SA_INSTITUTIONS),
+        "reports": lemma.isin(*L.SA_REPORT_VERBS), "acts": lemma.isin(*L.SA_ACTION_VERBS), "proceeds": (F.col("pos") == "VERB") & lemma.isin(*L.SA_INSTITUTION_VERBS),
+        "combatant": lemma.isin(*L.NV_COMBATANT_LEMMAS) & (F.col("pos") != "VERB"), "neg_child": dep == "neg",
+        "weapon": lemma.isin(*L.NV_WEAPON_LEMMAS) & F.col("pos").isin("NOUN", "PROPN"), "holds_child": lemma.isin(*L.NV_POSSESSION_LEMMAS) | word.isin(*L.NV_POSSESSION_WORDS),
+        "denied": F.col("pos").isin("NOUN", "PRON", "PROPN") & (either(L.NV_DIRECT_LEMMAS) | (either(L.NV_CONTEXT_LEMMAS) & dep.isin("nsubj", "nsubjpass", "obj", "dobj"))),
+    }
+    return {k: F.coalesce(c & (F.col("i") != F.col("head")) if k.endswith("_child") else c, F.lit(False)) for k, c in out.items()}
+
+
+class _Sentence:
+    """A sentence as an array of its tokens, sorted by place: i, head, start, end and marks, of which each that a detector asks for is one bit.
+
+    So no word is shuffled, and a sentence is looked at where all of it lies: it crosses the network once for all detectors.
+    """
+
+    def __init__(self) -> None:
+        self.bits: dict[str, int] = {}
+        self.tokens = F.col("_tokens")
+
+    def has(self, token: Column, mark: str) -> Column:
+        return token["marks"].bitwiseAND(F.lit(self.bits.setdefault(mark, 1 << len(self.bits)))) != 0
+
+    def all(self, mark: str) -> Column:
+        return F.filter(self.tokens, lambda t: self.has(t, mark))
+
+    def without(self, chosen: Column, mark: str, *by: str) -> Column:
+        """The chosen tokens of which none of the places `by` is the head of a token with the mark."""
+        taken = F.transform(self.all(mark), lambda t: t["head"])
+        found = lambda a, c: F.coalesce(F.array_contains(a, c), F.lit(False))
+        return bound(taken, lambda a: F.filter(chosen, lambda c: ~F.exists(F.array(*(c[b] for b in by)), lambda p: found(a, p))))
 
+    def heads(self, token: Column) -> Column:
+        """The token's head (null if the sentence lacks it), found by its place where places run without a gap."""
+        none = F.array(F.get(self.tokens, F.lit(-1)))
+        looked = bound(F.filter(self.tokens, lambda h: h["i"] == token["head"]), lambda hs: F.when(F.size(hs) > 0, hs).otherwise(none))
+        return F.when(F.col("_whole"), F.array(F.get(self.tokens, (token["head"] - F.col("_first")).cast("int")))).otherwise(looked)
 
-def _flagged(tokens: DataFrame, children: DataFrame, flag: str, by: str = "i") -> DataFrame:
-    """Adds flag: whether the token named by `by` has such a child."""
-    joined = tokens.join(children.withColumnRenamed("head", by), [*_KEY, by], "left")
-    return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
+def _instances(chosen: Column, mechanism: str, weight, start=lambda t: t["start"], end=lambda t: t["end"]) -> Column:
+    return F.transform(chosen, lambda t: F.struct(F.lit(mechanism).alias("mechanism"), weight(t).cast("double").alias("weight"), start(t).alias("start"), end(t).alias("end")))
 
-def _heads(tokens: DataFrame) -> DataFrame:
-    """Adds its head's token, lemma, pos, start and end."""
-    head = tokens.select(*_KEY, F.col("i").alias("head"), *(F.col(c).alias(f"head_{c}") for c in ("token", "lemma", "pos", "start", "end")))
-    return tokens.join(head, [*_KEY, "head"], "left")
 
+def _with_head(s: _Sentence, chosen: Column, mechanism: str, weight, keep=None) -> Column:
+    """Instances from a token to its head; weight and keep are told by the head."""
+    def each(t: Column) -> Column:
+        heads = s.heads(t) if keep is None else F.filter(s.heads(t), keep)
+        return _instances(heads, mechanism, weight, lambda h: F.least(t["start"], h["start"]), lambda h: F.greatest(t["end"], h["end"]))
 
-def _instance(df: DataFrame, mechanism: str, weight: Column, start: Column | str = "start", end: Column | str = "end") -> DataFrame:
-    start, end = (F.col(x) if isinstance(x, str) else x for x in (start, end))
-    return df.select(*_KEY, F.lit(mechanism).alias("mechanism"), weight.cast("double").alias("weight"), start.alias("start"), end.alias("end"))
+    return F.flatten(F.transform(chosen, each))
 
 
 def long_sentences(tokens: DataFrame, least: int = 5) -> DataFrame:
@@ -244,24 +282,16 @@ def long_sentences(tokens: DataFrame, least: int = 5) -> DataFrame:
     return tokens.join(keep, _KEY, "left_semi")
 
 
-def passive_without_agent(tokens: DataFrame) -> DataFrame:
+def passive_without_agent(s: _Sentence) -> Column:
     """Passive subjects whose verb has no agent: no child `agent`, no preposition por or mediante, no "por" among the five tokens after it."""
-    word = F.lower("token")
-    agent = _children(tokens, (F.col("dep") == "agent") | (word.isin("por", "mediante") & (F.col("dep") == "prep")), "agent")
-    por = tokens.where(word == "por").select(*_KEY, F.explode(F.sequence(F.col("i") - 5, F.col("i") - 1)).alias("head"), F.lit(True).alias("por")).distinct()
-    subjects = _heads(tokens).where("dep = 'nsubjpass'")
-    out = _flagged(_flagged(subjects, agent, "agent", "head"), por, "por", "head").where("not agent and not por")
-    weight = F.when(F.lower("head_lemma").isin(*L.SA_REPORT_VERBS), L.SA_REPORT_FACTOR).otherwise(1.0) * L.SA_WEIGHTS["pasiva_sin_agente"]
-    return _instance(out, "pasiva_sin_agente", weight, F.least("start", "head_start"), F.greatest("end", "head_end"))
+    free = s.without(s.all("passive"), "agent_child", "head")
+    after = bound(F.transform(s.all("por"), lambda t: t["i"]), lambda a: F.filter(free, lambda c: ~F.coalesce(F.exists(a, lambda p: p.between(c["head"] + 1, c["head"] + 5)), F.lit(False))))
+    return _with_head(s, after, "pasiva_sin_agente", lambda h: F.when(s.has(h, "reports"), L.SA_REPORT_FACTOR).otherwise(1.0) * L.SA_WEIGHTS["pasiva_sin_agente"])
 
 
-def impersonal_se(tokens: DataFrame) -> DataFrame:
+def impersonal_se(s: _Sentence) -> Column:
     """"se" on a verb without a named subject; verbs of no procedure count half."""
-    named = _children(tokens, (F.col("dep") == "nsubj") & F.col("ent").isin("PER", "ORG"), "named")
-    se = _heads(tokens).where((F.lower("token") == "se") & F.col("dep").isin("expl", "expl:pv", "nsubj", "obj", "iobj"))
-    out = _flagged(se, named, "named", "head").where("not named")
-    weight = F.when(F.lower("head_lemma").isin(*L.SA_ACTION_VERBS), 1.0).otherwise(L.SA_GENERIC_FACTOR) * L.SA_WEIGHTS["se_impersonal"]
-    return _instance(out, "se_impersonal", weight, F.least("start", "head_start"), F.greatest("end", "head_end"))
+    return _with_head(s, s.without(s.all("se"), "named_child", "head"), "se_impersonal", lambda h: F.when(s.has(h, "acts"), 1.0).otherwise(L.SA_GENERIC_FACTOR) * L.SA_WEIGHTS["se_impersonal"])
 
 
 def is_nominalisation(word: Column, lemma: Column) -> Column:
@@ -272,60 +302,56 @@ def is_nominalisation(word: Column, lemma: Column) -> Column:
     return ~(lemma.isin(*L.SA_NO_ACTION) | word.isin(*L.SA_NO_ACTION)) & (lemma.isin(*L.SA_TRIGGERS) | word.isin(*L.SA_TRIGGERS) | suffix)
 
 
-def nominalisations(tokens: DataFrame) -> DataFrame:
+def nominalisations(s: _Sentence) -> Column:
     """Nouns that stand for an action without a named owner; as subjects they weigh more."""
-    owner = _children(tokens, F.col("dep").isin("nmod", "nmod:poss") & F.col("ent").isin("PER", "ORG"), "owner")
-    nouns = tokens.where((F.col("pos") == "NOUN") & is_nominalisation(F.lower("token"), F.lower("lemma")))
-    weight = F.when(F.col("dep").isin("nsubj", "nsubjpass"), L.SA_SUBJECT_FACTOR).otherwise(1.0) * L.SA_WEIGHTS["nominalizacion"]
-    return _instance(_flagged(nouns, owner, "owner").where("not owner"), "nominalizacion", weight)
+    return _instances(s.without(s.all("action"), "owner_child", "i"), "nominalizacion", lambda t: F.when(s.has(t, "subject"), L.SA_SUBJECT_FACTOR).otherwise(1.0) * L.SA_WEIGHTS["nominalizacion"])
 
 
-def institutional_subjects(tokens: DataFrame) -> DataFrame:
+def institutional_subjects(s: _Sentence) -> Column:
     """Institutions, by themselves or by a determiner or adjective, as subjects of verbs of procedure."""
-    part = _children(tokens, F.col("dep").isin("det", "amod") & F.lower("lemma").isin(*L.SA_INSTITUTIONS), "part")
-    subjects = _flagged(_heads(tokens).where("dep in ('nsubj', 'nsubjpass')"), part, "part")
-    own = F.lower("lemma").isin(*L.SA_INSTITUTIONS) | F.lower("token").isin(*L.SA_INSTITUTIONS) | F.col("part")
-    out = subjects.where(own & (F.col("head_pos") == "VERB") & F.lower("head_lemma").isin(*L.SA_INSTITUTION_VERBS))
-    return _instance(out, "sujeto_institucional", F.lit(L.SA_WEIGHTS["sujeto_institucional"]), F.least("start", "head_start"), F.greatest("end", "head_end"))
+    part = F.transform(s.all("institution_child"), lambda t: t["head"])
+    own = bound(part, lambda a: F.filter(s.all("subject"), lambda t: s.has(t, "institution") | F.coalesce(F.array_contains(a, t["i"]), F.lit(False))))
+    return _with_head(s, own, "sujeto_institucional", lambda h: F.lit(L.SA_WEIGHTS["sujeto_institucional"]), lambda h: s.has(h, "proceeds"))
 
 
-def _not_negated(tokens: DataFrame, chosen: DataFrame) -> DataFrame:
-    negated = _children(tokens, F.col("dep") == "neg", "negated")
-    out = _flagged(chosen, negated, "negated")
-    return _flagged(out.withColumnRenamed("negated", "own"), negated, "negated", "head").where("not own and not negated").drop("own", "negated")
-
-
-def recategorised(tokens: DataFrame) -> DataFrame:
+def recategorised(s: _Sentence) -> Column:
     """Words for combatants that are no verbs and not directly negated."""
-    chosen = tokens.where(F.lower("lemma").isin(*L.NV_COMBATANT_LEMMAS) & (F.col("pos") != "VERB"))
-    return _instance(_not_negated(tokens, chosen), "recategorizacion_combatiente", F.lit(L.NV_WEIGHTS["recategorizacion_combatiente"]))
+    return _instances(s.without(s.all("combatant"), "neg_child", "i", "head"), "recategorizacion_combatiente", lambda t: F.lit(L.NV_WEIGHTS["recategorizacion_combatiente"]))
 
 
-def armed(tokens: DataFrame) -> DataFrame:
+def armed(s: _Sentence) -> Column:
     """Weapons that someone is said to hold: a sibling is a verb of possession, "con" or "sin"; they count 0.7 of the mechanism."""
-    holds = tokens.where(F.lower("lemma").isin(*L.NV_POSSESSION_LEMMAS) | F.lower("token").isin(*L.NV_POSSESSION_WORDS)).where("i <> head").groupBy(*_KEY, "head").agg(F.min("i").alias("low"), F.max("i").alias("high"))
-    chosen = tokens.where(F.lower("lemma").isin(*L.NV_WEAPON_LEMMAS) & F.col("pos").isin("NOUN", "PROPN")).join(holds, [*_KEY, "head"]).where("low <> i or high <> i")
-    return _instance(chosen, "atribucion_armamento", F.lit(L.NV_WEIGHTS["atribucion_armamento"] * 0.7))
+    held = bound(s.all("holds_child"), lambda a: F.filter(s.all("weapon"), lambda t: F.coalesce(F.exists(a, lambda x: (x["head"] == t["head"]) & (x["i"] != t["i"])), F.lit(False))))
+    return _instances(held, "atribucion_armamento", lambda t: F.lit(L.NV_WEIGHTS["atribucion_armamento"] * 0.7))
 
 
-def dehumanised(tokens: DataFrame) -> DataFrame:
+def dehumanised(s: _Sentence) -> Column:
     """Words that deny a person: some always, others as subject or object; not directly negated."""
-    listed = lambda words: F.lower("lemma").isin(*words) | F.lower("token").isin(*words)
-    direct, context = listed(L.NV_DIRECT_LEMMAS), listed(L.NV_CONTEXT_LEMMAS)
-    chosen = tokens.where(F.col("pos").isin("NOUN", "PRON", "PROPN") & (direct | (context & F.col("dep").isin("nsubj", "nsubjpass", "obj", "dobj"))))
-    return _instance(_not_negated(tokens, chosen), "deshumanizacion", F.lit(L.NV_WEIGHTS["deshumanizacion"]))
+    return _instances(s.without(s.all("denied"), "neg_child", "i", "head"), "deshumanizacion", lambda t: F.lit(L.NV_WEIGHTS["deshumanizacion"]))
 
 
 SA_TOKENS = (passive_without_agent, impersonal_se, nominalisations, institutional_subjects)
 NV_TOKENS = (recategorised, armed, dehumanised)
 
 
-def token_instances(tokens: DataFrame, detectors: Sequence) -> DataFrame:
-    """All instances of several detectors over one table of parsed tokens."""
-    first, *rest = (d(tokens) for d in detectors)
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+def token_instances(tokens: DataFrame, detectors: Sequence, least: int = 0, blank: bool = True) -> DataFrame:
+    """doc_id, sent, mechanism, weight, start, end: all instances of several detectors over one table of parsed tokens, in sentences of `least` tokens or more (blank ones count if asked).
+
+    Tokens are marked where they lie and gathered by sentence once; those without a document or sentence stand alone.
+    """
+    s = _Sentence()
+    found = F.concat(*(d(s) for d in detectors))
+    known = F.col("doc_id").isNotNull() & F.col("sent").isNotNull()
+    all_marks, marks = _marks(), F.lit(0)
+    for name, bit in s.bits.items():
+        marks = marks.bitwiseOR(F.when(all_marks[name], bit).otherwise(0))
+    own = tokens.select(*_KEY, F.when(~known, F.monotonically_increasing_id()).alias("_alone"), F.struct("i", F.when(known, F.col("head")).alias("head"), "start", "end", marks.alias("marks")).alias("_t"), *([] if blank else [(F.trim("token") != "").alias("_full")]))
+    n = F.count(F.lit(1)) if blank else F.count_if("_full")
+    sentences = own.groupBy(*_KEY, "_alone").agg(n.alias("_n"), F.array_sort(F.collect_list("_t")).alias("_tokens")).where(F.col("_n") >= least)
+    first, last, size = F.col("_tokens")[0]["i"], F.element_at("_tokens", -1)["i"], F.size("_tokens")
+    whole = (last - first + 1 == size) & (F.size(F.array_distinct(F.col("_tokens.i"))) == size)
+    looked = sentences.select(*_KEY, "_tokens", first.alias("_first"), whole.alias("_whole"))
+    return looked.select(*_KEY, F.explode(found).alias("_x")).select(*_KEY, "_x.*")
 
 
 # -- scores from tokens and patterns together -------------------------------------------
@@ -382,7 +408,7 @@ def suppressed_agency(texts: DataFrame, tokens: DataFrame, scale: Scale = SA_SCA
 
     doc_id, score, score_raw, n_sentences, n_instances, n_questioned (0), a count for each mechanism, valid (more than 20 characters and a sentence), warning. Texts under 20 characters score 0; texts without tokens have no sentences and a raw score of 0.
     """
-    found = token_instances(long_sentences(tokens), SA_TOKENS).select("doc_id", "mechanism", "weight", "start", "end")
+    found = token_instances(tokens, SA_TOKENS, 5, blank=False).select("doc_id", "mechanism", "weight", "start", "end")
     both = found.unionByName(pattern_instances(texts, SA, text=text)).withColumn("questioned", F.lit(False))
     return _scored(texts, both, sentence_table(tokens, 5), scale, list(L.SA_WEIGHTS), text)
 
@@ -390,8 +416,7 @@ def suppressed_agency(texts: DataFrame, tokens: DataFrame, scale: Scale = SA_SCA
 def denial(texts: DataFrame, tokens: DataFrame, scale: Scale = NV_SCALE, text: str = "text") -> DataFrame:
     """y4 of each text with its parsed tokens, columns as suppressed_agency: instances and phrases in sentences of 3 tokens or more (blank ones count), moral phrases in the whole text; instances of both kinds near a trigger keep a quarter."""
     sentences = sentence_table(tokens, 3, blank=True)
-    own = tokens.join(sentences.select(*_KEY), _KEY, "left_semi")
-    found = token_instances(own, NV_TOKENS).select("doc_id", "mechanism", "weight", "start", "end")
+    found = token_instances(tokens, NV_TOKENS, 3).select("doc_id", "mechanism", "weight", "start", "end")
     whole = {"descalificacion_moral"}
     phrases = pattern_instances(texts, [m for m in NV if m.name not in whole], sentences, text).unionByName(pattern_instances(texts, [m for m in NV if m.name in whole], text=text))
     return _scored(texts, questioned(found.unionByName(phrases), texts, text=text), sentences, scale, list(L.NV_WEIGHTS), text)
