@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforum.functions import text as T
+from lexforum.functions.materialise import written
 
 # Mean and deviation that surprisals and acoustic scores are told by; weights of slow speech, pauses and loudness; what a slow rate is held to; voiced segments of a second that leave no pause.
 SURPRISAL = (3.82, 1.14)
 ACOUSTIC = (0.52, 0.18)
 ACOUSTIC_WEIGHTS = (0.4, 0.4, 0.2)
 LEAST_RATE, MOST_VOICED = 0.1, 10.0
+#: Words that are broadcast are fewer than this.
+FREQUENT = 1 << 16
 
 
 def half_distance(a: Column, b: Column) -> Column:
@@ -32,6 +35,20 @@ def surprisal(mean_nats: Column, scale: tuple[float, float] = SURPRISAL) -> Colu
     return (mean_nats - scale[0]) / scale[1]
 
 
+def own_log_probs(tokens: DataFrame, word: str, frequent: int = FREQUENT) -> DataFrame:
+    """Adds log_prob, the log of a word's share of all tokens; null words are left out.
+
+    Words that hold more than 1 / `frequent` of the tokens are fewer than that: they are broadcast, and their tokens, nearly all of a
+    text, stay where they lie. Only rare words' tokens are shuffled to their counts. The tokens are made once for each of the three.
+    """
+    counts = written(tokens.where(F.col(word).isNotNull()).groupBy(word).agg(F.count(F.lit(1)).alias("_n")))
+    known = counts.withColumn("_all", counts.agg(F.sum("_n")).scalar())  # one row
+    often = F.col("_n") * frequent > F.col("_all")
+    told = lambda own: own.select(word, F.ln(F.col("_n") / F.col("_all")).alias("log_prob"))
+    top = F.broadcast(told(known.where(often)))
+    return tokens.join(top, word).unionByName(tokens.join(top.select(word), word, "left_anti").join(told(known.where(~often)), word))
+
+
 def mean_surprisal(tokens: DataFrame, key: str = "doc_id", log_prob: str = "log_prob", weight: str | None = None) -> DataFrame:
     """Mean surprisal (nats) and y7 of texts from the log probabilities of their tokens; weight: how often a row's token occurs (else once). Null ones do not count, a text without any has a mean of 0."""
     x = -F.col(log_prob)

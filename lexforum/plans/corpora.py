@@ -101,12 +101,10 @@ def t35_poles(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), s AS (SELECT sum(n) AS n FROM c)
 SELECT doc_id, round(avg(-ln(c.n / s.n)), 6) AS surprisal, round((avg(-ln(c.n / s.n)) - 3.82) / 1.14, 6) AS y7_surprisal FROM w JOIN c USING (w), s GROUP BY doc_id""")
 def t35_surprisal(spark: SparkSession, d: str) -> DataFrame:
-    """Surprisal of texts under the corpus' own words, from log probabilities of tokens; each text's words are counted first, so a frequent word is joined once a text."""
-    own = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("k"))
-    words = own.groupBy("w").agg(F.sum("k").alias("n"))
-    total = own.agg(F.sum("k"))  # one row
-    rows = own.join(words, "w").withColumn("log_prob", F.ln(F.col("n") / total.scalar()))
-    return measurement.mean_surprisal(rows, weight="k").select("doc_id", *(F.round(c, 6).alias(c) for c in ("surprisal", "y7_surprisal")))
+    """Surprisal of texts under the corpus' own words, from log probabilities of tokens."""
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    rows = measurement.own_log_probs(tokens, "w")
+    return measurement.mean_surprisal(rows).select("doc_id", *(F.round(c, 6).alias(c) for c in ("surprisal", "y7_surprisal")))
 
 
 @query("SELECT l_orderkey, l_linenumber, round((0.4 / greatest(l_quantity / 10, 0.1) + (1 - l_tax * 100 / 10.0) * 0.4 + l_discount * 0.2 - 0.52) / 0.18, 8) AS y12 FROM lineitem")
