@@ -34,6 +34,12 @@ SAMPLE = 400
 SHARE = 0.2
 #: Lookups of an n-gram; slots for each n-gram kept.
 LOOKUPS, SLOTS = 2, 8
+#: Bytes of text whose n-grams are found at once: each byte takes some 200 in arrays of n-grams.
+PIECE_BYTES = 128 << 10
+
+
+#: Bytes that are no letter nor part of one.
+_ENDS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 
 @lru_cache(maxsize=1)
@@ -49,6 +55,21 @@ def _fold() -> np.ndarray:
     return table
 
 
+def pieces(data: np.ndarray, off: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The documents as they are, or one longer text in pieces of about `size` bytes. Texts are cut where a word ends, which no n-gram spans, so pieces hold the same n-grams together; a run of letters alone stays whole."""
+    if len(off) != 2 or len(data) <= size:
+        yield data, off
+        return
+    a = 0
+    while a < len(data):
+        b = a + size
+        while b < len(data) and not (cut := _ENDS[data[b : b + size]]).any():
+            b += size
+        b = min(b + int(cut.argmax()), len(data)) if b < len(data) else len(data)
+        yield data[a:b], np.array([0, b - a])
+        a = b
+
+
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams, and the number of them before each document (n + 1 values)."""
     n = len(off) - 1
@@ -118,14 +139,19 @@ class Filters:
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score (corrected share of n-grams that the language contains) of each document."""
-        h, before = grams(data, off)
-        n = np.diff(before)
-        if not self.languages or not len(h):
+        n, totals = np.zeros(len(off) - 1, np.int64), np.zeros((len(self.languages), 1), np.int64)
+        for part, ends in pieces(data, off):
+            h, before = grams(part, ends)
+            n += np.diff(before)
+            found = self.lookup(h)
+            if len(part) < len(data):  # one text in pieces
+                totals[:, 0] += np.unpackbits(found, axis=1, bitorder="little").sum(0, np.int64)[: len(totals)]
+        if not self.languages or not n.any():
             return [UND] * len(n), np.zeros(len(n))
-        found = self.lookup(h)
+        cut = len(part) < len(data)
         best, most = np.zeros(len(n), np.int64), np.full(len(n), -np.inf)  # one language after the other: no documents x languages table
         for i in range(len(self.languages)):
-            hits = kernel.segment_sums(((found[:, i // 8] >> (i % 8)) & 1).astype(np.int64), before)
+            hits = totals[i] if cut else kernel.segment_sums(((found[:, i // 8] >> (i % 8)) & 1).astype(np.int64), before)
             share = (hits / np.maximum(n, 1) - self.false[i]) / (1 - self.false[i])
             more = share > most
             best[more], most[more] = i, share[more]
@@ -145,18 +171,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     many = [(r[0], min(1.0, sample / r[1]) * 2**32) for r in labelled.groupBy(lang_col).count().collect()]  # one row for each language, like the filters themselves
     if not many:
         return Filters.of({})
-    # The share of each language that the sample takes, as a limit on a hash; Spark knows the table's size and picks the join by it.
-    limits = docs.sparkSession.createDataFrame(many, "_lang string, _limit double")
+    # The share of each language that the sample takes, as a limit on a hash; one row for each language is broadcast, so texts are chosen where they lie.
+    limits = F.broadcast(docs.sparkSession.createDataFrame(many, "_lang string, _limit double"))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 32)).alias("_draw"))
     chosen = rows.join(limits, F.col("lang") == F.col("_lang")).where("_draw < _limit").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in kernel.blocks(batches):
-            h, before = grams(data, off)
-            langs = np.repeat(np.array(batch.column(0).to_pylist(), object), np.diff(before))
-            for lang in set(langs.tolist()):
-                keys, counts = np.unique(h[langs == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["lang", "keys", "counts"])
+        for batch, data, off in kernel.blocks(batches, size=PIECE_BYTES):
+            for part, ends in pieces(data, off):
+                h, before = grams(part, ends)
+                langs = np.repeat(np.array(batch.column(0).to_pylist(), object), np.diff(before))
+                for lang in set(langs.tolist()):
+                    keys, counts = np.unique(h[langs == lang], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["lang", "keys", "counts"])
 
     parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in chosen.mapInArrow(run, "lang string, keys binary, counts binary").toLocalIterator():  # bounded by the sample
@@ -184,7 +211,7 @@ def predict(docs: DataFrame, filters: Filters | None = None, text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in kernel.blocks(batches, text_col):
+        for batch, data, off in kernel.blocks(batches, text_col, PIECE_BYTES):
             langs, scores = shared.value.predict(data, off)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
