@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,19 +149,54 @@ def correlation_p(r: Column, n: Column) -> Column:
     return F.when(free > 0, student_tail(t, free))
 
 
+#: Ranks of a column are broadcast if it has so many distinct values at most.
+FEW_VALUES = 10_000
+
+
 def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """Spearman's rho within groups (ties get mean ranks): by, n, rho, p."""
-    # Pairs are counted first: ranks then meet rows of (x, y) with a count, not every row twice.
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    ranked = both
-    for value, rank in (("x", "rx"), ("y", "ry")):
-        counts = both.groupBy(*by, value).agg(F.sum("w").alias("ties"))
-        ranks = running_totals(counts, by, value, ["ties"]).select(*by, value, (F.col("upto_ties") - (F.col("ties") - 1) / 2 - (F.col("all_ties") + 1) / 2).alias(rank))
-        ranked = ranked.join(ranks, [*by, value])
-    # Ranks are taken from their mean, so sums of products are covariances.
-    w = F.col("w")
-    sums = ranked.groupBy(*by).agg(F.sum("w").alias("n"), F.sum(w * F.col("rx") * F.col("ry")).alias("xy"), F.sum(w * F.col("rx") * F.col("rx")).alias("xx"), F.sum(w * F.col("ry") * F.col("ry")).alias("yy"))
-    out = sums.select(*by, "n", (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("rho"))
+    """Spearman's rho within groups (ties get mean ranks): by, n, rho, p. Null groups are groups of their own."""
+    return spearman_pairs(df, [a, b], *by).drop("a", "b")
+
+
+def spearman_pairs(df: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
+    """Spearman's rho of every two columns within groups, over the rows that hold both: by, a, b, n, rho, p.
+
+    Each column's values are counted once, by the columns that their rows hold, too; all ranks come from these counts.
+    Rows then meet the ranks of all columns but the one with the most values. They are summed by its values, and these sums meet its ranks.
+    """
+    k, groups = range(len(columns)), [f"_by{m}" for m in range(len(by))]
+    pairs = list(combinations(k, 2))
+    rows = df.select(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)))
+    kinds = [rows.schema[f"_v{i}"].dataType for i in k]
+    # Values of different types are told apart by their place in a struct.
+    key = lambda i: F.col(f"_v{i}") if len({t.simpleString() for t in kinds}) == 1 else F.struct(*((F.col(f"_v{j}") if j == i else F.lit(None).cast(kinds[j])).alias(f"v{j}") for j in k))
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("code"), key(i).alias("value"), F.col(f"_v{i}").isNotNull().alias("held")) for i in k)))
+    told = rows.select(*groups, *(F.col(f"_v{j}").isNotNull().alias(f"_held{j}") for j in k), values.alias("_p")).where("_p.held")
+    counts = told.groupBy(*groups, F.col("_p.code").alias("_code"), F.col("_p.value").alias("_value")).agg(*(F.count_if(f"_held{j}").alias(f"_n{j}") for j in k))
+    # Ranks are taken from their mean, so sums of products are covariances. _n<j> and _r<j> are those among the rows that hold column j.
+    centred = [(F.col(f"upto__n{j}") - (F.col(f"_n{j}") - 1) / 2 - (F.col(f"all__n{j}") + 1) / 2).alias(f"_r{j}") for j in k]
+    ranks = written(running_totals(counts, [*groups, "_code"], "_value", [f"_n{j}" for j in k]).select(*groups, "_code", "_value", *(f"_n{j}" for j in k), *centred))
+    sizes = {r[0]: r[1] for r in ranks.groupBy("_code").count().collect()}  # a row for each column
+    last = max(k, key=lambda i: sizes.get(i, 0))
+
+    def ranked(left: DataFrame, i: int, value: Column) -> DataFrame:
+        own = ranks.where(F.col("_code") == i).select(*(F.col(g).alias(f"_own{g}") for g in groups), F.col("_value").alias("_key"), *(F.col(f"_r{j}").alias(f"_r{i}_{j}") for j in k if j != i))
+        on = reduce(lambda c, g: c & F.col(g).eqNullSafe(F.col(f"_own{g}")), groups, value == F.col("_key"))
+        return left.join(F.broadcast(own) if sizes.get(i, 0) <= FEW_VALUES else own, on, "left").drop("_key", *(f"_own{g}" for g in groups))
+
+    for i in k:
+        rows = ranked(rows, i, key(i)) if i != last else rows
+    product = lambda i, j: F.col(f"_r{i}_{j}") * F.col(f"_r{j}_{i}")
+    own = [(i, j) for i, j in pairs if last not in (i, j)]
+    sums = rows.groupBy(*groups, key(last).alias("_last")).agg(*(F.sum(product(i, j)).alias(f"_xy{i}_{j}") for i, j in own), *(F.sum(f"_r{i}_{last}").alias(f"_r{i}_{last}") for i in k if i != last))
+    xy = ranked(sums, last, F.col("_last")).groupBy(*groups).agg(*(F.sum(f"_xy{i}_{j}" if (i, j) in own else product(i, j)).alias(f"_xy{i}_{j}") for i, j in pairs))
+    of = lambda i, c: F.sum(F.when(F.col("_code") == i, c))
+    square = lambda i, j: of(i, F.col(f"_n{j}") * F.col(f"_r{j}") * F.col(f"_r{j}"))
+    squares = ranks.groupBy(*groups).agg(*(c for i, j in pairs for c in (of(i, F.col(f"_n{j}")).alias(f"_n{i}_{j}"), square(i, j).alias(f"_xx{i}_{j}"), square(j, i).alias(f"_yy{i}_{j}"))))
+    both = xy.unionByName(squares, allowMissingColumns=True).groupBy(*groups).agg(*(F.max(c).alias(c) for i, j in pairs for c in (f"_n{i}_{j}", f"_xy{i}_{j}", f"_xx{i}_{j}", f"_yy{i}_{j}")))
+    each = F.array(*(F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), *(F.col(f"_{c}{i}_{j}").alias(c) for c in ("n", "xy", "xx", "yy"))) for i, j in pairs))
+    out = both.select(*groups, F.explode(each).alias("_p")).where("_p.n > 0")
+    out = out.select(*(F.col(g).alias(c) for g, c in zip(groups, by, strict=True)), "_p.a", "_p.b", "_p.n", (F.col("_p.xy") / F.nullif(F.sqrt(F.col("_p.xx") * F.col("_p.yy")), F.lit(0.0))).alias("rho"))
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +42,10 @@ def temporal_control(df: DataFrame, group: Column, year: Column, first: int, las
 def correlated_pairs(df: DataFrame, columns: Sequence[str], above: float = REDUNDANT) -> DataFrame:
     """Spearman's rho of every two columns over the rows that hold both: a, b, n, rho, p, redundant (size above the limit).
 
-    All pairs are ranked in one pass; a pair without a rho (a constant column) is not redundant.
+    All columns are ranked in one pass; a pair without a rho (a constant column) is not redundant.
     """
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for a, b in combinations(columns, 2)))
-    long = df.select(F.explode(pairs).alias("_p")).select("_p.*").where("not isnan(_x) and not isnan(_y)")
-    return stats.spearman(long, "_x", "_y", "a", "b").withColumn("redundant", F.coalesce(F.abs("rho") > above, F.lit(False)))
+    values = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
+    return stats.spearman_pairs(values, columns).withColumn("redundant", F.coalesce(F.abs("rho") > above, F.lit(False)))
 
 
 def explainability(df: DataFrame, columns: Sequence[str], weights: Mapping[str, Mapping[str, float]], checks: Mapping[str, bool], above: float = REDUNDANT) -> DataFrame:
