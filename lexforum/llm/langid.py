@@ -168,11 +168,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Filters from about `sample` labelled texts of each language that are not held out, all of them if there are fewer."""
     prepare(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    many = [(r[0], min(1.0, sample / r[1]) * 2**32) for r in labelled.groupBy(lang_col).count().collect()]  # one row for each language, like the filters themselves
+    many = {r[0]: min(1.0, sample / r[1]) * 2**32 for r in labelled.groupBy(lang_col).count().collect()}  # one row for each language, like the filters themselves
     if not many:
         return Filters.of({})
-    # The share of each language that the sample takes, as a limit on a hash; one row for each language is broadcast, so texts are chosen where they lie.
-    limits = F.broadcast(docs.sparkSession.createDataFrame(many, "_lang string, _limit double"))
+    # The share of each language that the sample takes, as a limit on a hash; one row for each language is broadcast, so texts are chosen where they lie. A list of rows would start Python workers of their own, an Arrow table starts none.
+    limits = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"_lang": pa.array(many.keys(), pa.string()), "_limit": pa.array(many.values(), pa.float64())})))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 32)).alias("_draw"))
     chosen = rows.join(limits, F.col("lang") == F.col("_lang")).where("_draw < _limit").select("lang", "text")
 

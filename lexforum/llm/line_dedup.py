@@ -67,22 +67,21 @@ def ranked(groups: DataFrame, by: list[str]) -> DataFrame:
 def _shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """start and length of the shortest runs of repeated lines with min_words words, from each line on and up to each line."""
     order = W.partitionBy(*DOC).orderBy("pos")
-    runs = lines.withColumn("seg", F.col("pos") - F.row_number().over(order))
-    own = W.partitionBy(*DOC, "seg").orderBy("pos")
-    runs = runs.withColumn("upto", F.sum("words").over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("words"))
-    runs = runs.select(*DOC, "seg", "pos", "before", "upto")
-    null = F.lit(None).cast("int")
-    # From a line on: the first line that ends with `before` + min_words words or more. Going down from the most words, it is the last one seen.
-    ends = runs.select(*DOC, "seg", F.col("upto").alias("v"), F.lit(0).alias("ask"), "pos", F.col("pos").alias("seen"))
-    asks = runs.select(*DOC, "seg", (F.col("before") + min_words).alias("v"), F.lit(1).alias("ask"), "pos", null.alias("seen"))
-    down = W.partitionBy(*DOC, "seg").orderBy(F.desc("v"), "ask", F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
-    forward = ends.unionByName(asks).withColumn("end", F.last("seen", True).over(down)).where("ask = 1 and end is not null").select(*DOC, F.col("pos").alias("start"), "end")
-    # Up to a line: the last line that starts with `upto` - min_words words before it or less.
-    starts = runs.select(*DOC, "seg", F.col("before").alias("v"), F.lit(0).alias("ask"), "pos", F.col("pos").alias("seen"))
-    asks = runs.select(*DOC, "seg", (F.col("upto") - min_words).alias("v"), F.lit(1).alias("ask"), "pos", null.alias("seen"))
-    up = W.partitionBy(*DOC, "seg").orderBy("v", "ask", "pos").rowsBetween(W.unboundedPreceding, 0)
-    backward = starts.unionByName(asks).withColumn("start", F.last("seen", True).over(up)).where("ask = 1 and start is not null").select(*DOC, "start", F.col("pos").alias("end"))
-    return forward.unionByName(backward).distinct().select(*DOC, "start", (F.col("end") - F.col("start") + 1).alias("m"))
+    runs = lines.select(*DOC, "pos", (F.col("pos") - F.row_number().over(order)).alias("seg"), "words", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    runs = runs.select(*DOC, "seg", "pos", (F.col("upto") - F.col("words")).alias("before"), "upto")
+    # Both questions are growing frames over the same rows; within a stretch (seg) a line's `before` is `upto` of the line above.
+    # From a line on: the line above the first one that starts with `before` + min_words words or more; failing that, the last line, if it ends with so many.
+    down = W.partitionBy(*DOC, "seg").orderBy(F.desc("before"))
+    far, rest = down.rangeBetween(W.unboundedPreceding, -min_words), down.rangeBetween(W.unboundedPreceding, 0)
+    end = F.coalesce(F.min("pos").over(far) - 1, F.when(F.max("upto").over(rest) >= F.col("before") + min_words, F.max("pos").over(rest)))
+    runs = runs.withColumn("end", end)
+    # Up to a line: the line below the last one that ends with `upto` - min_words words or less; failing that, the first line, if it starts with so few.
+    up = W.partitionBy(*DOC, "seg").orderBy("upto")
+    far, rest = up.rangeBetween(W.unboundedPreceding, -min_words), up.rangeBetween(W.unboundedPreceding, 0)
+    start = F.coalesce(F.max("pos").over(far) + 1, F.when(F.min("before").over(rest) <= F.col("upto") - min_words, F.min("pos").over(rest)))
+    runs = runs.withColumn("start", start)
+    both = F.array(F.struct(F.col("pos").alias("start"), F.col("end").alias("end")), F.struct(F.col("start").alias("start"), F.col("pos").alias("end")))
+    return runs.select(*DOC, F.inline(both)).where("start is not null and end is not null").distinct().select(*DOC, "start", (F.col("end") - F.col("start") + 1).alias("m"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

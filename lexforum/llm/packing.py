@@ -29,6 +29,8 @@ from .shared import checkpointed
 
 #: Pieces that one shard packs, about.
 SHARD_PIECES = 65_536
+#: Bytes of text that are encoded at once: a worker stays for a minute after its task, with what these took.
+ENCODE_BYTES = 512 << 10
 
 
 class SumOfSquares:
@@ -74,7 +76,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, separator: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = bpe.encoder(path)
-        for batch, data, off in kernel.blocks(batches):
+        for batch, data, off in kernel.blocks(batches, size=ENCODE_BYTES):
             ids, before = e.encode(data, off)
             n = np.diff(before) + 1
             joined = np.full(int(n.sum()), separator, "<u4")
