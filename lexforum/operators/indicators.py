@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 import re
 import sys
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,37 +87,6 @@ def pattern_spans(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (
     return spans
 
 
-def sentence_spans(mechanisms: Sequence[Mechanism]):
-    """A column function of a text and its sentences' starts and ends: all matches within one sentence, as array of SPAN with places in the text."""
-    found = _found(mechanisms)
-    small_batches()
-
-    def each(text: str | None, starts, ends) -> list[dict]:
-        return [x | {"start": x["start"] + int(a), "end": x["end"] + int(a)} for a, b in zip(starts, ends, strict=True) for x in found((text or "")[int(a) : int(b)])]
-
-    @F.pandas_udf(f"array<{SPAN}>")
-    def spans(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([each(*x) for x in zip(text, starts, ends, strict=True)], dtype=object)
-
-    return spans
-
-
-def trigger_spans(patterns: Sequence[str]):
-    """A column function: start and end of all matches of patterns that begin at a word's edge; edge: whether there is one (at the cut of a window any place is)."""
-    bodies = [re.compile(p.removeprefix(r"\b"), re.IGNORECASE) for p in patterns]
-    edge = re.compile(r"\b")
-    small_batches()
-
-    def found(text: str | None) -> list[dict]:
-        return [{"start": m.start(), "end": m.end(), "edge": edge.match(text, m.start()) is not None} for p in bodies for m in p.finditer(text or "")]
-
-    @F.pandas_udf("array<struct<start:int,end:int,edge:boolean>>")
-    def spans(text: pd.Series) -> pd.Series:
-        return text.map(found, na_action=None)
-
-    return spans
-
-
 def _found(mechanisms: Sequence[Mechanism], questioned: Sequence[str] = (), width: int = 150, factor: float = 0.25, apart: bool = False):
     """The matches of one text, for pattern_spans."""
     rules = [(m.name, float(m.weight), Finder(p)) for m in mechanisms for p in m.patterns]
@@ -234,46 +208,54 @@ def _marks() -> dict[str, Column]:
     return {k: F.coalesce(c & (F.col("i") != F.col("head")) if k.endswith("_child") else c, F.lit(False)) for k, c in out.items()}
 
 
-class _Sentence:
-    """A sentence as an array of its tokens, sorted by place: i, head, start, end and marks, of which each that a detector asks for is one bit.
+class _Tokens:
+    """Tokens of whole sentences as arrays: the number of their sentence, their marks, and one number for their sentence with their own place (`own`) and with their head's (`head`), -1 where there is none.
 
-    So no word is shuffled, and a sentence is looked at where all of it lies: it crosses the network once for all detectors.
+    Within a sentence, places lie less than 2^40 from its first token's.
     """
 
-    def __init__(self) -> None:
-        self.bits: dict[str, int] = {}
-        self.tokens = F.col("_tokens")
+    def __init__(self, sentence: np.ndarray, first: np.ndarray, i: pa.Array, head: pa.Array, marks: np.ndarray, bits: dict[str, int]) -> None:
+        self.sentence, self.marks, self.bits = sentence, marks, bits
+        base = i.fill_null(0).to_numpy(zero_copy_only=False)[first][sentence]
+        far = 1 << 40
 
-    def has(self, token: Column, mark: str) -> Column:
-        return token["marks"].bitwiseAND(F.lit(self.bits.setdefault(mark, 1 << len(self.bits)))) != 0
+        def numbered(x: pa.Array) -> np.ndarray:
+            place = np.clip(x.fill_null(0).to_numpy(zero_copy_only=False) - base, 8 - far, far - 8) + far
+            return np.where(x.is_valid().to_numpy(zero_copy_only=False), sentence * (2 * far) + place, -1)
 
-    def all(self, mark: str) -> Column:
-        return F.filter(self.tokens, lambda t: self.has(t, mark))
+        self.own, self.head = numbered(i), numbered(head)
+        order = np.argsort(self.own, kind="stable")
+        self.order, self.places = order, self.own[order]
 
-    def without(self, chosen: Column, mark: str, *by: str) -> Column:
-        """The chosen tokens of which none of the places `by` is the head of a token with the mark."""
-        taken = F.transform(self.all(mark), lambda t: t["head"])
-        found = lambda a, c: F.coalesce(F.array_contains(a, c), F.lit(False))
-        return bound(taken, lambda a: F.filter(chosen, lambda c: ~F.exists(F.array(*(c[b] for b in by)), lambda p: found(a, p))))
+    def has(self, rows: np.ndarray, mark: str) -> np.ndarray:
+        return (self.marks[rows] & self.bits[mark] != 0) & (rows >= 0)
 
-    def heads(self, token: Column) -> Column:
-        """The token's head (null if the sentence lacks it), found by its place where places run without a gap."""
-        none = F.array(F.get(self.tokens, F.lit(-1)))
-        looked = bound(F.filter(self.tokens, lambda h: h["i"] == token["head"]), lambda hs: F.when(F.size(hs) > 0, hs).otherwise(none))
-        return F.when(F.col("_whole"), F.array(F.get(self.tokens, (token["head"] - F.col("_first")).cast("int")))).otherwise(looked)
+    def all(self, mark: str) -> np.ndarray:
+        return np.flatnonzero(self.marks & self.bits[mark])
 
+    def without(self, rows: np.ndarray, mark: str, *by: str) -> np.ndarray:
+        """The rows of which none of the places `by` is the head of a token with the mark."""
+        taken = self.head[self.all(mark)]
+        for b in by:
+            rows = rows[~np.isin(getattr(self, b)[rows], taken)]
+        return rows
 
-def _instances(chosen: Column, mechanism: str, weight, start=lambda t: t["start"], end=lambda t: t["end"]) -> Column:
-    return F.transform(chosen, lambda t: F.struct(F.lit(mechanism).alias("mechanism"), weight(t).cast("double").alias("weight"), start(t).alias("start"), end(t).alias("end")))
+    def heads(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a token and its head; -1 where the sentence lacks it."""
+        low, high = (np.searchsorted(self.places, self.head[rows], side) for side in ("left", "right"))
+        high = np.where(self.head[rows] >= 0, high, low)
+        many = np.maximum(high - low, 1)
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(rows, many), np.where(np.repeat(high > low, many), self.order[np.minimum(at, len(self.order) - 1)], -1)
 
 
-def _with_head(s: _Sentence, chosen: Column, mechanism: str, weight, keep=None) -> Column:
-    """Instances from a token to its head; weight and keep are told by the head."""
-    def each(t: Column) -> Column:
-        heads = s.heads(t) if keep is None else F.filter(s.heads(t), keep)
-        return _instances(heads, mechanism, weight, lambda h: F.least(t["start"], h["start"]), lambda h: F.greatest(t["end"], h["end"]))
+@dataclass(frozen=True)
+class Detector:
+    """A mechanism over parsed tokens, and the marks it asks for. `find` gives tokens, their heads where instances reach these (else the tokens), and weights."""
 
-    return F.flatten(F.transform(chosen, each))
+    mechanism: str
+    marks: tuple[str, ...]
+    find: Callable[[_Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def long_sentences(tokens: DataFrame, least: int = 5) -> DataFrame:
@@ -282,16 +264,18 @@ def long_sentences(tokens: DataFrame, least: int = 5) -> DataFrame:
     return tokens.join(keep, _KEY, "left_semi")
 
 
-def passive_without_agent(s: _Sentence) -> Column:
+def passive_without_agent(t: _Tokens):
     """Passive subjects whose verb has no agent: no child `agent`, no preposition por or mediante, no "por" among the five tokens after it."""
-    free = s.without(s.all("passive"), "agent_child", "head")
-    after = bound(F.transform(s.all("por"), lambda t: t["i"]), lambda a: F.filter(free, lambda c: ~F.coalesce(F.exists(a, lambda p: p.between(c["head"] + 1, c["head"] + 5)), F.lit(False))))
-    return _with_head(s, after, "pasiva_sin_agente", lambda h: F.when(s.has(h, "reports"), L.SA_REPORT_FACTOR).otherwise(1.0) * L.SA_WEIGHTS["pasiva_sin_agente"])
+    free, por = t.without(t.all("passive"), "agent_child", "head"), t.own[t.all("por")]
+    before = (por[por >= 0][:, None] - np.arange(1, 6)).ravel()
+    rows, heads = t.heads(free[~np.isin(t.head[free], before)])
+    return rows, heads, np.where(t.has(heads, "reports"), L.SA_REPORT_FACTOR, 1.0) * L.SA_WEIGHTS["pasiva_sin_agente"]
 
 
-def impersonal_se(s: _Sentence) -> Column:
+def impersonal_se(t: _Tokens):
     """"se" on a verb without a named subject; verbs of no procedure count half."""
-    return _with_head(s, s.without(s.all("se"), "named_child", "head"), "se_impersonal", lambda h: F.when(s.has(h, "acts"), 1.0).otherwise(L.SA_GENERIC_FACTOR) * L.SA_WEIGHTS["se_impersonal"])
+    rows, heads = t.heads(t.without(t.all("se"), "named_child", "head"))
+    return rows, heads, np.where(t.has(heads, "acts"), 1.0, L.SA_GENERIC_FACTOR) * L.SA_WEIGHTS["se_impersonal"]
 
 
 def is_nominalisation(word: Column, lemma: Column) -> Column:
@@ -302,105 +286,266 @@ def is_nominalisation(word: Column, lemma: Column) -> Column:
     return ~(lemma.isin(*L.SA_NO_ACTION) | word.isin(*L.SA_NO_ACTION)) & (lemma.isin(*L.SA_TRIGGERS) | word.isin(*L.SA_TRIGGERS) | suffix)
 
 
-def nominalisations(s: _Sentence) -> Column:
+def nominalisations(t: _Tokens):
     """Nouns that stand for an action without a named owner; as subjects they weigh more."""
-    return _instances(s.without(s.all("action"), "owner_child", "i"), "nominalizacion", lambda t: F.when(s.has(t, "subject"), L.SA_SUBJECT_FACTOR).otherwise(1.0) * L.SA_WEIGHTS["nominalizacion"])
+    rows = t.without(t.all("action"), "owner_child", "own")
+    return rows, rows, np.where(t.has(rows, "subject"), L.SA_SUBJECT_FACTOR, 1.0) * L.SA_WEIGHTS["nominalizacion"]
 
 
-def institutional_subjects(s: _Sentence) -> Column:
+def institutional_subjects(t: _Tokens):
     """Institutions, by themselves or by a determiner or adjective, as subjects of verbs of procedure."""
-    part = F.transform(s.all("institution_child"), lambda t: t["head"])
-    own = bound(part, lambda a: F.filter(s.all("subject"), lambda t: s.has(t, "institution") | F.coalesce(F.array_contains(a, t["i"]), F.lit(False))))
-    return _with_head(s, own, "sujeto_institucional", lambda h: F.lit(L.SA_WEIGHTS["sujeto_institucional"]), lambda h: s.has(h, "proceeds"))
+    subjects = t.all("subject")
+    rows, heads = t.heads(subjects[t.has(subjects, "institution") | np.isin(t.own[subjects], t.head[t.all("institution_child")])])
+    acts = t.has(heads, "proceeds")
+    return rows[acts], heads[acts], np.full(acts.sum(), L.SA_WEIGHTS["sujeto_institucional"])
 
 
-def recategorised(s: _Sentence) -> Column:
+def recategorised(t: _Tokens):
     """Words for combatants that are no verbs and not directly negated."""
-    return _instances(s.without(s.all("combatant"), "neg_child", "i", "head"), "recategorizacion_combatiente", lambda t: F.lit(L.NV_WEIGHTS["recategorizacion_combatiente"]))
+    rows = t.without(t.all("combatant"), "neg_child", "own", "head")
+    return rows, rows, np.full(len(rows), L.NV_WEIGHTS["recategorizacion_combatiente"])
 
 
-def armed(s: _Sentence) -> Column:
+def armed(t: _Tokens):
     """Weapons that someone is said to hold: a sibling is a verb of possession, "con" or "sin"; they count 0.7 of the mechanism."""
-    held = bound(s.all("holds_child"), lambda a: F.filter(s.all("weapon"), lambda t: F.coalesce(F.exists(a, lambda x: (x["head"] == t["head"]) & (x["i"] != t["i"])), F.lit(False))))
-    return _instances(held, "atribucion_armamento", lambda t: F.lit(L.NV_WEIGHTS["atribucion_armamento"] * 0.7))
+    rows, holds = t.all("weapon"), t.all("holds_child")
+    rows, holds = rows[(t.head[rows] >= 0) & (t.own[rows] >= 0)], holds[np.lexsort((t.own[holds], t.head[holds]))]
+    # A sibling at another place: the least or the largest place of those that hold is another one.
+    low, high = (np.searchsorted(t.head[holds], t.head[rows], side) for side in ("left", "right"))
+    rows, low, high = rows[high > low], low[high > low], high[high > low]
+    rows = rows[(t.own[holds[low]] != t.own[rows]) | (t.own[holds[high - 1]] != t.own[rows])]
+    return rows, rows, np.full(len(rows), L.NV_WEIGHTS["atribucion_armamento"] * 0.7)
 
 
-def dehumanised(s: _Sentence) -> Column:
+def dehumanised(t: _Tokens):
     """Words that deny a person: some always, others as subject or object; not directly negated."""
-    return _instances(s.without(s.all("denied"), "neg_child", "i", "head"), "deshumanizacion", lambda t: F.lit(L.NV_WEIGHTS["deshumanizacion"]))
+    rows = t.without(t.all("denied"), "neg_child", "own", "head")
+    return rows, rows, np.full(len(rows), L.NV_WEIGHTS["deshumanizacion"])
+
+
+SA_TOKENS = (
+    Detector("pasiva_sin_agente", ("passive", "agent_child", "por", "reports"), passive_without_agent), Detector("se_impersonal", ("se", "named_child", "acts"), impersonal_se),
+    Detector("nominalizacion", ("action", "owner_child", "subject"), nominalisations), Detector("sujeto_institucional", ("subject", "institution", "institution_child", "proceeds"), institutional_subjects),
+)
+NV_TOKENS = (Detector("recategorizacion_combatiente", ("combatant", "neg_child"), recategorised), Detector("atribucion_armamento", ("weapon", "holds_child"), armed), Detector("deshumanizacion", ("denied", "neg_child"), dehumanised))
+
+#: Tokens that a task looks at together, at least: whole sentences of several batches.
+BLOCK = 1 << 16
+
+
+def _starts(column: pa.Array) -> np.ndarray:
+    """Whether a value differs from the one before (the first one does); nulls are equal."""
+    out = np.zeros(len(column), bool)
+    out[:1] = True
+    if pa.types.is_struct(column.type):
+        for part in column.flatten():
+            out |= _starts(part)
+    elif len(column) > 1:
+        out[1:] = pc.not_equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+    if column.null_count:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        out[1:] |= known[1:] != known[:-1]
+    return out
+
+
+def _sentence_rows(detectors: Sequence[Detector], bits: dict[str, int], placed: int):
+    """Batches of tokens in order of sentences to a row per sentence, as told in sentence_instances."""
+    def told(tokens: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        column = {c: tokens.column(c).combine_chunks() if tokens.column(c).num_chunks != 1 else tokens.column(c).chunk(0) for c in tokens.column_names}
+        first, sentence = np.flatnonzero(starts), np.cumsum(starts) - 1
+        marks, many = column["marks"].to_numpy(), len(first)
+        t = _Tokens(sentence, first, column["i"], column["head"], marks, bits)
+        found = [d.find(t) for d in detectors]
+        counts = np.stack([np.bincount(sentence[x[0]], minlength=many) for x in found], 1)
+        sums = np.stack([np.bincount(sentence[x[0]], x[2], many) for x in found], 1)
+        rows, heads, weights = (np.concatenate([x[k] for x in found[placed:]] or [np.zeros(0, np.int64)]) for k in range(3))
+        kinds = np.repeat(np.arange(placed, len(found), dtype=np.int32), [len(x[0]) for x in found[placed:]])
+        order = np.argsort(sentence[rows], kind="stable")
+        rows, heads = rows[order], heads[order]
+        ends = lambda least, c: least(column[c].take(pa.array(rows)), column[c].take(pa.array(heads, mask=heads < 0)))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(sentence[rows], minlength=many)))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(kinds[order]), pa.array(weights[order].astype(float)), ends(pc.min_element_wise, "start"), ends(pc.max_element_wise, "end"))]
+        fixed = pa.array(np.arange(many + 1) * len(found), pa.int32())
+        over = lambda f, c, none: f.reduceat(column[c].fill_null(none).to_numpy(zero_copy_only=False), first)
+        low, high = over(np.minimum, "start", np.iinfo(np.int64).max), over(np.maximum, "end", np.iinfo(np.int64).min)
+        values = [
+            column["doc_id"].take(pa.array(first)), column["sent"].take(pa.array(first)), pa.array(np.diff(np.append(first, len(starts)))), pa.array(np.add.reduceat((marks & 1).astype(np.int64), first)),
+            pa.array(low, mask=low == np.iinfo(np.int64).max), pa.array(high, mask=high == np.iinfo(np.int64).min),
+            pa.ListArray.from_arrays(fixed, pa.array(counts.ravel().astype(np.int64))), pa.ListArray.from_arrays(fixed, pa.array(sums.ravel())), *lists,
+        ]
+        return pa.RecordBatch.from_arrays(values, _SENTENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            tokens = pa.Table.from_batches(held)
+            starts = reduce(operator.or_, (_starts(tokens.column(c).combine_chunks() if tokens.column(c).num_chunks != 1 else tokens.column(c).chunk(0)) for c in ("doc_id", "sent", "alone")))
+            end = len(starts) if last else int(np.flatnonzero(starts)[-1])  # the last sentence may go on
+            if end:
+                yield told(tokens.slice(0, end), starts[:end])
+            held, size = tokens.slice(end).combine_chunks().to_batches(), len(starts) - end
+
+        fresh = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size, fresh = size + batch.num_rows, fresh + batch.num_rows
+            if fresh >= max(BLOCK, size // 2):
+                fresh = 0
+                yield from block(False)
+        if size:
+            yield from block(True)
+
+    return run
+
+
+_SENTENCE = ["doc_id", "sent", "n", "full", "start", "end", "counts", "sums", "kinds", "weights", "starts", "ends"]
+
+
+def sentence_instances(tokens: DataFrame, detectors: Sequence[Detector], placed: int = 0) -> DataFrame:
+    """A row per sentence: doc_id, sent, n (tokens), full (those that are not blank), start, end, counts and sums (of weights) of each detector's instances; kinds (numbers of detectors), weights, starts and ends of all instances, from detector number `placed` on.
+
+    Tokens are marked where they lie and cross the network once for all detectors, as numbers; a task reads its sentences in order, many at once. Tokens without a document stand alone, those without a sentence hang on none.
+    """
+    small_batches()
+    bits = {m: 2 << k for k, m in enumerate(dict.fromkeys(m for d in detectors for m in d.marks))}
+    all_marks, marks = _marks(), F.when(F.trim("token") != "", 1).otherwise(0)
+    for name, bit in bits.items():
+        marks = marks.bitwiseOR(F.when(all_marks[name], bit).otherwise(0))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    head = F.when(F.col("doc_id").isNotNull() & F.col("sent").isNotNull(), F.col("head")).cast("long").alias("head")
+    own = tokens.select(*_KEY, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("alone"), long("i"), head, long("start"), long("end"), marks.alias("marks"))
+    kind = {c: tokens.schema[c].dataType.simpleString() for c in _KEY}
+    schema = f"doc_id {kind['doc_id']}, sent {kind['sent']}, n bigint, full bigint, start bigint, end bigint, counts array<bigint>, sums array<double>, kinds array<int>, weights array<double>, starts array<bigint>, ends array<bigint>"
+    return own.repartition(*_KEY, "alone").sortWithinPartitions(*_KEY, "alone").mapInArrow(_sentence_rows(detectors, bits, placed), schema)
 
 
-SA_TOKENS = (passive_without_agent, impersonal_se, nominalisations, institutional_subjects)
-NV_TOKENS = (recategorised, armed, dehumanised)
+def token_instances(tokens: DataFrame, detectors: Sequence[Detector], least: int = 0, blank: bool = True) -> DataFrame:
+    """doc_id, sent, mechanism, weight, start, end: all instances of several detectors over one table of parsed tokens, in sentences of `least` tokens or more (blank ones count if asked); tokens without a document or sentence stand alone."""
+    n = F.when(F.col("doc_id").isNotNull() & F.col("sent").isNotNull(), F.col("n" if blank else "full")).otherwise(F.least("n" if blank else "full", F.lit(1)))
+    rows = sentence_instances(tokens, detectors).where(n >= least).select(*_KEY, "weights", "starts", "ends", F.posexplode("kinds").alias("_k", "_kind"))
+    names = F.array(*(F.lit(d.mechanism) for d in detectors))
+    of = lambda c, name: F.get(F.col(c), F.col("_k")).cast(tokens.schema[name].dataType).alias(name)
+    return rows.select(*_KEY, F.get(names, F.col("_kind")).alias("mechanism"), F.get("weights", F.col("_k")).alias("weight"), of("starts", "start"), of("ends", "end"))
 
 
-def token_instances(tokens: DataFrame, detectors: Sequence, least: int = 0, blank: bool = True) -> DataFrame:
-    """doc_id, sent, mechanism, weight, start, end: all instances of several detectors over one table of parsed tokens, in sentences of `least` tokens or more (blank ones count if asked).
+# -- scores from tokens and patterns together -------------------------------------------
 
-    Tokens are marked where they lie and gathered by sentence once; those without a document or sentence stand alone.
-    """
-    s = _Sentence()
-    found = F.concat(*(d(s) for d in detectors))
-    known = F.col("doc_id").isNotNull() & F.col("sent").isNotNull()
-    all_marks, marks = _marks(), F.lit(0)
-    for name, bit in s.bits.items():
-        marks = marks.bitwiseOR(F.when(all_marks[name], bit).otherwise(0))
-    own = tokens.select(*_KEY, F.when(~known, F.monotonically_increasing_id()).alias("_alone"), F.struct("i", F.when(known, F.col("head")).alias("head"), "start", "end", marks.alias("marks")).alias("_t"), *([] if blank else [(F.trim("token") != "").alias("_full")]))
-    n = F.count(F.lit(1)) if blank else F.count_if("_full")
-    sentences = own.groupBy(*_KEY, "_alone").agg(n.alias("_n"), F.array_sort(F.collect_list("_t")).alias("_tokens")).where(F.col("_n") >= least)
-    first, last, size = F.col("_tokens")[0]["i"], F.element_at("_tokens", -1)["i"], F.size("_tokens")
-    whole = (last - first + 1 == size) & (F.size(F.array_distinct(F.col("_tokens.i"))) == size)
-    looked = sentences.select(*_KEY, "_tokens", first.alias("_first"), whole.alias("_whole"))
-    return looked.select(*_KEY, F.explode(found).alias("_x")).select(*_KEY, "_x.*")
+#: Characters to each side that a trigger reaches, and what it leaves of a weight.
+REACH, DOUBTED = 150, 0.25
 
 
-# -- scores from tokens and patterns together -------------------------------------------
-# Instances of both kinds are rows: doc_id, mechanism, weight, start, end.
+def pattern_counts(mechanisms: Sequence[Mechanism]):
+    """A column function: how many matches of the mechanisms a text has."""
+    rules = [Finder(p) for m in mechanisms for p in m.patterns]
+    small_batches()
+
+    def found(text: str | None) -> int:
+        low = folded(text or "")
+        return sum(1 for p in rules for _ in p.finditer(text or "", low))
+
+    @F.pandas_udf("long")
+    def counts(text: pd.Series) -> pd.Series:
+        return text.map(found, na_action=None).astype("int64")
 
-#: Characters of text that one cell holds; characters to each side that a trigger reaches, and what it leaves of a weight.
-CELL, REACH, DOUBTED = 512, 150, 0.25
+    return counts
 
 
-def sentence_table(tokens: DataFrame, least: int, blank: bool = False) -> DataFrame:
-    """doc_id, sent, start, end of sentences with so many tokens or more; blank ones count if asked."""
-    n = F.count(F.lit(1)) if blank else F.count_if(F.trim("token") != "")
-    return tokens.groupBy(*_KEY).agg(n.alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("n") >= least).drop("n")
+def questioned(text: str, low: str, triggers: Sequence[Finder], start: np.ndarray, end: np.ndarray, width: int = REACH) -> np.ndarray:
+    """Whether a trigger lies within `width` characters of each span of a text. Triggers begin at a word's edge; at the cut of a window a word may begin that is the rest of one."""
+    hits = sorted((m.start(), m.end()) for p in triggers for m in p.finditer(text, low))
+    if not hits:
+        return np.zeros(len(start), bool)
+    edge = re.compile(r"\b")
+    first, last = np.maximum(start - width, 0), end + width
 
+    def reached(own: list[tuple[int, int]], exact: bool) -> np.ndarray:
+        a, b = (np.array([x[k] for x in own] + [np.iinfo(np.int64).max], np.int64) for k in (0, 1))
+        at = np.searchsorted(a, first)
+        if exact:  # the first hit at a place ends first
+            return (a[at] == first) & (b[at] <= last)
+        return np.minimum.accumulate(b[::-1])[::-1][at] <= last
 
-def pattern_instances(texts: DataFrame, mechanisms: Sequence[Mechanism], sentences: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """Instances of patterns in whole texts or, where sentences are given, in each of these by itself."""
-    if sentences is None:
-        spans = texts.select("doc_id", pattern_spans(mechanisms)(F.col(text)).alias("s"))
-    else:
-        own = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("b"))  # no more than its text holds
-        spans = texts.join(own, "doc_id").select("doc_id", sentence_spans(mechanisms)(F.col(text), F.col("b.start"), F.col("b.end")).alias("s"))
-    return spans.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.mechanism", "s.weight", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+    return reached(hits, True) | reached([x for x in hits if edge.match(text, x[0])], False)
 
 
-def questioned(instances: DataFrame, texts: DataFrame, patterns: Sequence[str] = L.NV_QUESTIONED, width: int = REACH, factor: float = DOUBTED, text: str = "text") -> DataFrame:
-    """Adds `questioned`: whether a trigger lies within `width` characters of the instance; such keep `factor` of their weight.
+def denials(mechanisms: Sequence[Mechanism] = tuple(NV), whole: Sequence[str] = ("descalificacion_moral",), names: Sequence[str] = tuple(L.NV_WEIGHTS), patterns: Sequence[str] = L.NV_QUESTIONED, factor: float = DOUBTED):
+    """A column function of a text, its sentences' starts and ends, and the kinds (numbers of `names`), weights, starts and ends of its tokens' instances: struct of weight, n_questioned and n (instances by name), of these and of the patterns' matches, `whole` ones in the whole text and others within a sentence.
 
-    An interval join by cells of text: a trigger stands in the cell of its start, an instance looks into the cells that its window reaches. Neither a long text nor a frequent one gathers in a task.
+    Instances near a trigger keep `factor` of their weight.
     """
-    triggers = texts.select("doc_id", F.explode(trigger_spans(patterns)(F.col(text))).alias("t")).select(F.col("doc_id").alias("t_doc"), F.floor(F.col("t.start") / CELL).alias("t_cell"), F.col("t.start").alias("t_start"), F.col("t.end").alias("t_end"), F.col("t.edge").alias("t_edge")).distinct()
-    low = F.greatest(F.col("start") - width, F.lit(0))
-    spots = instances.select("doc_id", "start", "end").distinct().withColumn("cell", F.explode(F.sequence(F.floor(low / CELL), F.floor((F.col("end") + width) / CELL))))
-    # At the cut of a window a word may begin that is the rest of one.
-    near = (F.col("doc_id") == F.col("t_doc")) & (F.col("cell") == F.col("t_cell")) & (F.col("t_end") <= F.col("end") + width) & ((F.col("t_edge") & (F.col("t_start") >= low)) | (F.col("t_start") == low))
-    doubted = spots.join(triggers, near, "left_semi").select("doc_id", "start", "end").distinct().withColumn("questioned", F.lit(True))
-    out = instances.join(doubted, ["doc_id", "start", "end"], "left").withColumn("questioned", F.coalesce("questioned", F.lit(False)))
-    return out.withColumn("weight", F.when(F.col("questioned"), F.col("weight") * factor).otherwise(F.col("weight")))
-
-
-def _scored(texts: DataFrame, instances: DataFrame, sentences: DataFrame, scale: Scale, mechanisms: Sequence[str], text: str) -> DataFrame:
-    per = instances.groupBy("doc_id").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("n_instances"), F.count_if("questioned").alias("n_questioned"), *(F.count_if(F.col("mechanism") == m).alias(f"n_{m}") for m in mechanisms))
-    sizes = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
-    short = F.coalesce(F.length(F.trim(text)) < 20, F.lit(True)).alias("_short")
-    out = texts.select("doc_id", short, F.coalesce(F.length(text) > 20, F.lit(False)).alias("_long")).join(sizes, "doc_id", "left").join(per, "doc_id", "left")
-    counts = ["n_sentences", "n_instances", "n_questioned", *(f"n_{m}" for m in mechanisms)]
-    out = out.withColumns({c: F.when(F.col("_short"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long") for c in counts})
-    out = out.withColumn("score_raw", F.when(F.col("n_sentences") > 0, F.coalesce("_w", F.lit(0.0)) / F.col("n_sentences")).otherwise(0.0))
-    return out.select("doc_id", F.when(F.col("_short"), 0.0).otherwise(scale(F.col("score_raw"))).alias("score"), "score_raw", *counts, (F.col("_long") & (F.col("n_sentences") > 0)).alias("valid"), F.when(F.col("_short"), "texto_vacio_o_muy_corto").alias("warning"))
+    rules = [(names.index(m.name), float(m.weight), m.name in whole, Finder(p)) for m in mechanisms for p in m.patterns]
+    triggers = [Finder(p.removeprefix(r"\b")) for p in patterns]
+    small_batches()
+
+    def spans(text: str, low: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        same = len(low) == len(text)  # then both have the same places
+        for kind, weight, all_of, p in rules:
+            if not p.within(low):
+                continue
+            if all_of:
+                yield from ((kind, weight, *m.span()) for m in p.pattern.finditer(text))
+                continue
+            first, last = p.reach(low) if same else (0, len(text))
+            near = (ends >= first) & (starts <= last)
+            for a, b in zip(starts[near].tolist(), ends[near].tolist(), strict=True):
+                piece = text[a:b]
+                yield from ((kind, weight, a + m.start(), a + m.end()) for m in p.finditer(piece, low[a:b] if same else folded(piece)))
+
+    def told(text: str | None, starts, ends, kinds, weights, low_at, high_at) -> tuple[float, int, list[int]]:
+        low = folded(text or "")
+        found = list(spans(text or "", low, starts, ends))
+        kind, weight, a, b = (np.concatenate((x, np.array(y, x.dtype))) for x, y in zip((kinds, weights, low_at, high_at), zip(*found) if found else ((),) * 4, strict=True))
+        doubted = questioned(text or "", low, triggers, a, b)
+        return float((weight * np.where(doubted, factor, 1.0)).sum()), int(doubted.sum()), np.bincount(kind, minlength=len(names)).tolist()
+
+    @F.pandas_udf("weight double, n_questioned long, n array<long>")
+    def scores(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series, weights: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([told(*x) for x in zip(text, starts, ends, kinds, weights, low, high, strict=True)], columns=["weight", "n_questioned", "n"])
+
+    return scores
+
+
+def _parsed_texts(texts: DataFrame, tokens: DataFrame, agency: bool, denied: bool, text: str) -> DataFrame:
+    """The texts' rows with the structs `_agency` and `_denial` (_w, n_sentences, n_questioned, a count for each mechanism), as asked: tokens meet by sentence, sentences by document, documents their text, each once."""
+    sa, nv = SA_TOKENS if agency else (), NV_TOKENS if denied else ()
+    rows = sentence_instances(tokens.where(F.col("doc_id").isNotNull()), (*sa, *nv), len(sa))
+    known, aggs = F.col("sent").isNotNull(), []
+    if agency:
+        long = known & (F.col("full") >= 5)
+        total = lambda c: F.sum(F.when(long, c))
+        aggs += [F.count_if(F.col("full") >= 5).alias("_sa_n"), total(sum((F.col("sums")[k] for k in range(1, len(sa))), F.col("sums")[0])).alias("_sa_w"), *(total(F.col("counts")[k]).alias(f"_sa_{k}") for k in range(len(sa)))]
+    if denied:
+        long = F.col("n") >= 3
+        aggs += [F.collect_list(F.when(long, F.coalesce(c, F.lit(0)))).alias(f"_nv_{c}") for c in ("start", "end")]
+        aggs += [F.flatten(F.collect_list(F.when(long & known, F.col(c)))).alias(f"_nv_{c}") for c in ("kinds", "weights", "starts", "ends")]
+    out = texts.join(rows.groupBy("doc_id").agg(*aggs), "doc_id", "left")
+    if agency:
+        lexical = pattern_counts(SA)(F.col(text))
+        out = out.withColumn("_lexical", lexical)
+        weight = F.coalesce("_sa_w", F.lit(0.0)) + L.SA_WEIGHTS["patron_lexical"] * F.col("_lexical")
+        counts = [F.coalesce(f"_sa_{k}", F.lit(0)).alias(f"n_{d.mechanism}") for k, d in enumerate(sa)]
+        out = out.withColumn("_agency", F.struct(weight.alias("_w"), F.coalesce("_sa_n", F.lit(0)).alias("n_sentences"), F.lit(0).alias("n_questioned"), *counts, F.col("_lexical").alias("n_patron_lexical")))
+    if denied:
+        names = list(L.NV_WEIGHTS)
+        empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+        kinds = F.transform(empty("_nv_kinds", "int"), lambda k: F.get(F.array(*(F.lit(names.index(d.mechanism)) for d in nv)), k - len(sa)))
+        own = [empty(f"_nv_{c}", kind) for c, kind in (("start", "bigint"), ("end", "bigint"), ("weights", "double"), ("starts", "bigint"), ("ends", "bigint"))]
+        out = out.withColumn("_found", denials()(F.col(text), own[0], own[1], kinds, *own[2:]))
+        out = out.withColumn("_denial", F.struct(F.col("_found.weight").alias("_w"), F.size(own[0]).alias("n_sentences"), F.col("_found.n_questioned").alias("n_questioned"), *(F.col("_found.n")[k].alias(f"n_{m}") for k, m in enumerate(names))))
+    return out
+
+
+def _scored(x: str, scale: Scale, mechanisms: Sequence[str], text: str) -> dict[str, Column]:
+    """Columns of suppressed_agency and denial, of a struct that _parsed_texts gives."""
+    short = F.coalesce(F.length(F.trim(text)) < 20, F.lit(True))
+    n = F.col(f"{x}.n_sentences")
+    raw = F.when(~short & (n > 0), F.col(f"{x}._w") / n).otherwise(0.0)
+    counts = {"n_sentences": n, "n_instances": sum((F.col(f"{x}.n_{m}") for m in mechanisms[1:]), F.col(f"{x}.n_{mechanisms[0]}")), "n_questioned": F.col(f"{x}.n_questioned"), **{f"n_{m}": F.col(f"{x}.n_{m}") for m in mechanisms}}
+    out = {"score": F.when(short, 0.0).otherwise(scale(raw)), "score_raw": raw} | {k: F.when(short, 0).otherwise(c).cast("long") for k, c in counts.items()}
+    return out | {"valid": F.coalesce(F.length(text) > 20, F.lit(False)) & ~short & (n > 0), "warning": F.when(short, "texto_vacio_o_muy_corto")}
 
 
 def suppressed_agency(texts: DataFrame, tokens: DataFrame, scale: Scale = SA_SCALE, text: str = "text") -> DataFrame:
@@ -408,18 +553,14 @@ def suppressed_agency(texts: DataFrame, tokens: DataFrame, scale: Scale = SA_SCA
 
     doc_id, score, score_raw, n_sentences, n_instances, n_questioned (0), a count for each mechanism, valid (more than 20 characters and a sentence), warning. Texts under 20 characters score 0; texts without tokens have no sentences and a raw score of 0.
     """
-    found = token_instances(tokens, SA_TOKENS, 5, blank=False).select("doc_id", "mechanism", "weight", "start", "end")
-    both = found.unionByName(pattern_instances(texts, SA, text=text)).withColumn("questioned", F.lit(False))
-    return _scored(texts, both, sentence_table(tokens, 5), scale, list(L.SA_WEIGHTS), text)
+    out = _scored("_agency", scale, list(L.SA_WEIGHTS), text)
+    return _parsed_texts(texts, tokens, True, False, text).select("doc_id", *(c.alias(k) for k, c in out.items()))
 
 
 def denial(texts: DataFrame, tokens: DataFrame, scale: Scale = NV_SCALE, text: str = "text") -> DataFrame:
     """y4 of each text with its parsed tokens, columns as suppressed_agency: instances and phrases in sentences of 3 tokens or more (blank ones count), moral phrases in the whole text; instances of both kinds near a trigger keep a quarter."""
-    sentences = sentence_table(tokens, 3, blank=True)
-    found = token_instances(tokens, NV_TOKENS, 3).select("doc_id", "mechanism", "weight", "start", "end")
-    whole = {"descalificacion_moral"}
-    phrases = pattern_instances(texts, [m for m in NV if m.name not in whole], sentences, text).unionByName(pattern_instances(texts, [m for m in NV if m.name in whole], text=text))
-    return _scored(texts, questioned(found.unionByName(phrases), texts, text=text), sentences, scale, list(L.NV_WEIGHTS), text)
+    out = _scored("_denial", scale, list(L.NV_WEIGHTS), text)
+    return _parsed_texts(texts, tokens, False, True, text).select("doc_id", *(c.alias(k) for k, c in out.items()))
 
 
 # -- civil lexicon ----------------------------------------------------------------
@@ -508,13 +649,15 @@ def civil_terms(text: Column, lexicon: dict[str, list[str]] = L.CIVIL) -> Column
     return bound(bound(civil_words(text), counts), told)
 
 
-def civil_distance(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] = L.CIVIL) -> DataFrame:
-    """Adds y3_civil_similarity_raw, y3_civil_distance, similarity_by_dimension (see civil_terms), top_civil_tokens and civil_warning. A text of fewer than 20 characters or 5 words has a warning instead: its similarity is 0."""
+def civil_distance(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] = L.CIVIL, terms: bool = True) -> DataFrame:
+    """Adds y3_civil_similarity_raw, y3_civil_distance, similarity_by_dimension (see civil_terms), top_civil_tokens and civil_warning. A text of fewer than 20 characters or 5 words has a warning instead: its similarity is 0. Without `terms`, similarity_by_dimension and top_civil_tokens are left out."""
     short = F.coalesce(F.length(F.trim(text)) < 20, F.lit(True))
-    own = df.withColumn("_civil", civil_terms(F.col(text), lexicon))
+    own = df.withColumn("_civil", civil_terms(F.col(text), lexicon) if terms else F.struct(F.size(civil_words(F.col(text))).alias("n_words")))
     warning = F.when(short, "texto_vacio_o_muy_corto").when(F.col("_civil.n_words") < 5, "texto_muy_corto")
     out = own.withColumn("civil_warning", warning).withColumn("y3_civil_similarity_raw", F.when(F.col("civil_warning").isNull(), lexicon_similarity(lexicon_terms(lexicon))(F.col(text))).otherwise(0.0))
     out = out.withColumn("y3_civil_distance", clamp(1 - F.col("y3_civil_similarity_raw")))
+    if not terms:
+        return out.drop("_civil")
     out = out.withColumn("similarity_by_dimension", F.when(F.col("civil_warning").isNull(), F.col("_civil.by_dimension")))
     return out.withColumn("top_civil_tokens", F.when(F.col("civil_warning").isNull(), F.col("_civil.top"))).drop("_civil")
 
@@ -524,13 +667,28 @@ def parsed_feature_rows(sections: DataFrame, tokens: DataFrame, most_chars: int
 
     y1_ebi, y5_corpus_type, y6_period: the sections' columns of these names, where there are any (the first is 0 where it is not given, as no model is in the library).
     """
-    rows = feature_rows(sections, most_chars=most_chars, least_chars=least_chars).drop("y2_sa", "y4_nv", "n_sa_instances", "n_nv_instances", "n_nv_questioned")
-    texts = sections.select("doc_id", (F.trim("text") if most_chars is None else F.substring(F.trim("text"), 1, most_chars)).alias("text")).where(F.length("text") >= least_chars)
     own = tokens if most_chars is None else tokens.where(F.col("end") <= most_chars)
-    sa = suppressed_agency(texts, own).select("doc_id", F.col("score").alias("y2_sa"), F.col("n_instances").alias("n_sa_instances"))
-    nv = denial(texts, own).select("doc_id", F.col("score").alias("y4_nv"), F.col("n_instances").alias("n_nv_instances"), "n_questioned")
-    out = rows.join(sa, "doc_id").join(nv, "doc_id").withColumnRenamed("n_questioned", "n_nv_questioned")
-    return out if "y1_ebi" in out.columns else out.withColumn("y1_ebi", F.lit(0.0))
+    df = _parsed_texts(_bodies(sections, "text", most_chars, least_chars).where(F.col("doc_id").isNotNull()), own, True, True, "_text")
+    sa, nv = _scored("_agency", SA_SCALE, list(L.SA_WEIGHTS), "_text"), _scored("_denial", NV_SCALE, list(L.NV_WEIGHTS), "_text")
+    df, extra = _featured(df)
+    extra |= {"y2_sa": sa["score"], "n_sa_instances": sa["n_instances"], "y4_nv": nv["score"], "n_nv_instances": nv["n_instances"], "n_nv_questioned": nv["n_questioned"]}
+    if "y1_ebi" not in sections.columns:
+        extra["y1_ebi"] = F.lit(0.0)
+    return df.select("doc_id", *(c for c in sections.columns if c not in ("doc_id", "text")), *(c.alias(n) for n, c in extra.items()))
+
+
+def _bodies(sections: DataFrame, text: str, most_chars: int | None, least_chars: int) -> DataFrame:
+    """Sections of so many characters or more with what is read of them, `_text`."""
+    df = sections.withColumn("_text", F.trim(text)).where(F.length("_text") >= least_chars)
+    return df if most_chars is None else df.withColumn("_text", F.substring("_text", 1, most_chars))
+
+
+def _featured(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows of _bodies with what feature rows need of `_text` beside y2 and y4; the columns made of it."""
+    df = civil_distance(df.withColumn("_rep", rep_spans(F.col("_text"))), "_text", terms=False)
+    df = df.withColumn("_rep", indicator(F.col("_rep"), F.col("_text"), REP_SCALE, list(L.REP_WEIGHTS)))
+    extra = {"text_length_chars": F.length("_text"), "y3_civil": F.col("y3_civil_distance"), "y10_rep": F.col("_rep.score"), "n_rep_instances": F.col("_rep.n_instances")}
+    return df, extra | {"has_warning": F.coalesce(F.col("civil_warning"), F.col("_rep.warning")).isNotNull()}
 
 
 def feature_rows(sections: DataFrame, text: str = "text", corpus_type: str = "corpus_type", most_chars: int | None = 8000, least_chars: int = 30) -> DataFrame:
@@ -538,17 +696,11 @@ def feature_rows(sections: DataFrame, text: str = "text", corpus_type: str = "co
 
     `most_chars`: characters of a section that are read (the reference reads 8,000; None: all).
     """
-    df = sections.withColumn("_text", F.trim(text)).where(F.length("_text") >= least_chars)
-    if most_chars is not None:
-        df = df.withColumn("_text", F.substring("_text", 1, most_chars))
-    df = df.withColumns({"_sa": sa_spans(F.col("_text")), "_nv": nv_spans(F.col("_text")), "_rep": rep_spans(F.col("_text"))})
     body = F.col("_text")
-    df = df.withColumns({
-        "_sa": indicator(F.col("_sa"), body, SA_SCALE, ["patron_lexical"], 5), "_nv": indicator(F.col("_nv"), body, NV_SCALE, list(L.NV_WEIGHTS)), "_rep": indicator(F.col("_rep"), body, REP_SCALE, list(L.REP_WEIGHTS)),
-    })
-    df = civil_distance(df, "_text")
-    extra = {"text_length_chars": F.length("_text"), "y2_sa": F.col("_sa.score"), "y3_civil": F.col("y3_civil_distance"), "y4_nv": F.col("_nv.score"), "y10_rep": F.col("_rep.score")}
-    extra |= {"n_sa_instances": F.col("_sa.n_instances"), "n_nv_instances": F.col("_nv.n_instances"), "n_rep_instances": F.col("_rep.n_instances"), "n_nv_questioned": F.col("_nv.n_questioned")}
-    extra["has_warning"] = F.coalesce(F.col("_sa.warning"), F.col("civil_warning"), F.col("_nv.warning"), F.col("_rep.warning")).isNotNull()
-    own = [c for c in sections.columns if c != text]
-    return df.select(*own, *(c.alias(n) for n, c in extra.items()))
+    df = _bodies(sections, text, most_chars, least_chars)
+    df = df.withColumns({"_sa": sa_spans(body), "_nv": nv_spans(body)})
+    df = df.withColumns({"_sa": indicator(F.col("_sa"), body, SA_SCALE, ["patron_lexical"], 5), "_nv": indicator(F.col("_nv"), body, NV_SCALE, list(L.NV_WEIGHTS))})
+    df, own = _featured(df)
+    own |= {"y2_sa": F.col("_sa.score"), "y4_nv": F.col("_nv.score"), "n_sa_instances": F.col("_sa.n_instances"), "n_nv_instances": F.col("_nv.n_instances"), "n_nv_questioned": F.col("_nv.n_questioned")}
+    names = ("text_length_chars", "y2_sa", "y3_civil", "y4_nv", "y10_rep", "n_sa_instances", "n_nv_instances", "n_rep_instances", "n_nv_questioned", "has_warning")
+    return df.select(*(c for c in sections.columns if c != text), *(own[n].alias(n) for n in names))
